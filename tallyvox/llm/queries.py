@@ -18,6 +18,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Verdict, host and path.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target text: of good quality and not toxic."""
+    return table(spark, sf_dir, "labels").where("quality is not null").select("doc_id", F.expr("quality = 1 and coalesce(toxic, 0) = 0").alias("target"))
+
+
+def op4_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import select
+
+    sampled, _ = select(table(spark, sf_dir, "documents"), targets(spark, sf_dir))
+    return sampled.select("doc_id", F.round("log_weight", 9).alias("log_weight"), "key", F.lit(True).alias("kept"))
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """A capture log of pages: each is fetched at 8 * page_id, and asked for again with its tag, with another tag or with its date only, also before the fetch."""
+    date = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id")), "yyyy-MM-dd HH:mm:ss")
+    tag = F.md5(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
+    page = pages.select("page_id", "url", tag.alias("tag"), date.alias("date"), F.length(F.coalesce("html", F.lit(""))).cast("string").alias("size"))
+    none = F.lit(None).cast("string")
+
+    def record(nth: int, status: int, shift: int, etag, modified, headers):
+        return F.struct((F.col("page_id") * 4 + nth).alias("record_id"), (F.col("page_id") * 8 + shift).alias("ts"), F.lit(status).alias("status"), etag.alias("etag"), modified.alias("last_modified"), headers.alias("headers"))
+
+    fetched = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), F.col("size"), F.lit("Cache-Control"), F.lit("max-age=60"))
+    again = F.create_map(F.lit("Content-Length"), F.lit("0"), F.lit("Cache-Control"), F.lit("max-age=600"), F.lit("Age"), (F.col("page_id") % 7).cast("string"))
+    log = F.array(
+        record(0, 200, 0, F.col("tag"), F.col("date"), fetched),
+        record(1, 304, 3, F.concat(F.lit("W/"), F.col("tag")), none, again),
+        record(2, 304, 5, F.when(F.col("page_id") % 5 == 0, F.lit("other")), F.col("date"), again),
+        record(3, 304, -1, none, F.when(F.col("page_id") % 3 > 0, F.col("date")), again),
+    )
+    return page.select("url", F.explode(log).alias("r")).select("url", "r.*")
+
+
+def op5_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import resolve
+
+    found = resolve(captures(table(spark, sf_dir, "pages")), bucket=65_536)
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return found.select("record_id", F.expr("record_id div 4").alias("page_id"), "canonical_url", "outcome", "response_id", listed.alias("headers"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -36,5 +93,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+OP5_SQL = """
+WITH page AS (
+  SELECT page_id, md5(coalesce(html, '')) AS tag, strftime(make_timestamp((1700000000 + page_id) * 1000000), '%Y-%m-%d %H:%M:%S') AS date,
+    length(coalesce(html, '')) AS size, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z]+://', '') AS u
+  FROM pages),
+canon AS (
+  SELECT page_id, tag, date, size,
+    regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*', 0)), ':(80|443)$', ''), '^www\\.', '')
+    || regexp_replace(regexp_replace(regexp_extract(u, '^[^/?]*(.*)$', 1), 'utm_[a-z]+=[^&]*&?', '', 'g'), '[?&/]+$', '') AS canonical_url
+  FROM page),
+asked AS (
+  SELECT 4 * page_id + 1 AS record_id, page_id, 8 * page_id + 3 AS ts, canonical_url, tag AS etag, NULL AS modified FROM canon
+  UNION ALL SELECT 4 * page_id + 2, page_id, 8 * page_id + 5, canonical_url, CASE WHEN page_id % 5 = 0 THEN 'other' END, date FROM canon
+  UNION ALL SELECT 4 * page_id + 3, page_id, 8 * page_id - 1, canonical_url, NULL, CASE WHEN page_id % 3 > 0 THEN date END FROM canon),
+found AS (
+  SELECT a.*, r.page_id AS of, r.tag AS r_tag, r.date AS r_date, r.size AS r_size
+  FROM asked a ASOF LEFT JOIN (SELECT *, 8 * page_id AS r_ts FROM canon) r ON a.canonical_url = r.canonical_url AND a.ts > r.r_ts),
+judged AS (
+  SELECT *, CASE WHEN of IS NULL THEN 'no_response' WHEN etag IS NULL AND modified IS NULL THEN 'unverified'
+    WHEN etag IS NOT NULL THEN CASE WHEN etag = r_tag THEN 'resolved' ELSE 'mismatch' END
+    WHEN modified = r_date THEN 'resolved' ELSE 'mismatch' END AS outcome
+  FROM found)
+SELECT record_id, page_id, canonical_url, outcome, 4 * of AS response_id,
+  'age=' || (page_id % 7) || ';cache-control=max-age=600;content-length=' || CASE WHEN outcome = 'resolved' THEN r_size || ';content-type=text/html' ELSE '0' END AS headers
+FROM judged
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_revisits": OP5_SQL}
