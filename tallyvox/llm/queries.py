@@ -75,6 +75,12 @@ def op5_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", F.expr("record_id div 4").alias("page_id"), "canonical_url", "outcome", "response_id", listed.alias("headers"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
