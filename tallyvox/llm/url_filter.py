@@ -57,10 +57,8 @@ def grams(url: Column) -> Column:
     folded = F.translate(F.lower(F.when(F.instr(url, "://") > 0, after_scheme(url)).otherwise(url)), "123456789", "000000000")
     letters = F.filter(F.split(folded, ""), lambda c: c != "")
     codes = F.transform(letters, lambda c: F.coalesce(F.nullif(F.instr(F.lit(ALPHABET), c), F.lit(0)), F.lit(SIZE - 1)))
-    # one array of (before last, last, this) by zipping shifted copies
-    back1 = F.concat(F.array(F.lit(0)), codes)
-    back2 = F.concat(F.array(F.lit(0), F.lit(0)), codes)
-    return F.transform(codes, lambda c, i: (F.get(back2, i) * SIZE + F.get(back1, i)) * SIZE + c)
+    first = lambda extra: F.slice(F.concat(F.array(*[F.lit(0)] * extra), codes), F.lit(1), F.size(letters))
+    return F.zip_with(F.zip_with(first(2), first(1), lambda a, b: a * SIZE + b), codes, lambda ab, c: ab * SIZE + c)
 
 
 def weights(labelled: DataFrame) -> DataFrame:
@@ -85,11 +83,15 @@ def weights(labelled: DataFrame) -> DataFrame:
     return each.agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "w"))), lambda x: x["w"]).alias("weights"))
 
 
-def scored(df: DataFrame, model: DataFrame, into: str = "score") -> DataFrame:
+def scored(df: DataFrame, model: Column, into: str = "score") -> DataFrame:
     """df (with grams) and each row's score: null without characters."""
-    held = df.withColumn("_weights", model.scalar())
-    total = F.aggregate("grams", F.lit(0.0), lambda acc, g: acc + F.get(F.col("_weights"), g))
-    return held.withColumn(into, F.when(F.size("grams") > 0, total / F.size("grams"))).drop("_weights")
+    total = F.aggregate("grams", F.lit(0.0), lambda acc, g: acc + F.get(model, g))
+    return df.withColumn(into, F.when(F.size("grams") > 0, total / F.size("grams")))
+
+
+def constant(model: DataFrame) -> Column:
+    """The model's 32**3 numbers as a constant of the plan. As a column of rows they would be copied with each row."""
+    return F.split(F.lit(",".join(f"{x:.6g}" for x in model.first()[0])), ",").cast("array<double>")
 
 
 def threshold(held_out: DataFrame) -> DataFrame:
@@ -113,7 +115,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], *, url: str = "ur
     df = pages.select(*kept, host.alias("host"), path_of(F.col(url)).alias("path"), grams(F.col(url)).alias("grams"), labels.alias("_accepted"))
     labelled = df.where("_accepted is not null").select("grams", F.col("_accepted").alias("accepted"))
     aside = F.xxhash64("grams") % HELD_OUT == 0
-    model = weights(labelled.where(~aside))
+    model = constant(weights(labelled.where(~aside)))
     bar = threshold(scored(labelled.where(aside), model))
     rule, said = rule_for(F.col("host"), F.col("path"), rules)
     out = scored(df, model).withColumn("threshold", bar.scalar())
