@@ -28,13 +28,10 @@ def tokenized(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, start = Encoder.of(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], encoder.wide).tobytes()
         for chunk in tx.chunks(batches, "text"):
-            ids = [encoder.encode(t or "") + end for t in tx.column(chunk.rows, "text").to_pylist()]
-            size = np.array([len(x) for x in ids], np.int64) // encoder.wide.itemsize
-            begin = start + np.cumsum(size) - size
-            start += int(size.sum())
-            yield tx.batch(part=np.full(len(ids), part, np.int32), doc_id=tx.column(chunk.rows, "doc_id"), local_start=begin, n_tokens=size, ids=pa.array(ids, pa.binary()))
+            ids, at = encoder.encode(tx.column(chunk.rows, "text").to_pylist(), end_id)
+            yield tx.batch(part=np.full(chunk.n, part, np.int32), doc_id=tx.column(chunk.rows, "doc_id"), local_start=start + at[:-1], n_tokens=np.diff(at), ids=tx.slices(ids, at))
+            start += len(ids)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "part int, doc_id long, local_start long, n_tokens long, ids binary")
 

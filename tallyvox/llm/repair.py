@@ -84,6 +84,7 @@ class Block:
 
     def __init__(self, vocabulary: int, rules: np.ndarray, expands: np.ndarray, sequence: np.ndarray, at: np.ndarray):
         self.vocabulary, self.rules, self.expands, self.sequence, self.at = vocabulary, rules, expands, sequence, at
+        self._table = self._ends = None
 
     @staticmethod
     def of(ids: np.ndarray, at: np.ndarray, vocabulary: int) -> Block:
@@ -124,14 +125,18 @@ class Block:
     def decode(self, first: int = 0, last: int | None = None) -> np.ndarray:
         """The ids of documents first to last-1 (all by default): only the symbols that cover them are expanded."""
         last = len(self.at) - 1 if last is None else last
-        size = np.ones(len(self.sequence), np.int64)
-        big = self.sequence >= self.vocabulary
-        size[big] = self.expands[self.sequence[big] - self.vocabulary]
-        ends = np.cumsum(size)
+        if self._ends is None:
+            size = np.ones(len(self.sequence), np.int64)
+            big = self.sequence >= self.vocabulary
+            size[big] = self.expands[self.sequence[big] - self.vocabulary]
+            self._ends = np.cumsum(size)
+        ends = self._ends
         lo, hi = np.searchsorted(ends, self.at[first], "right"), np.searchsorted(ends, self.at[last], "left") + 1
-        symbols, size = self.sequence[lo:hi], size[lo:hi]
-        table, begin = self._expanded()
-        source = np.concatenate([np.arange(self.vocabulary, dtype=np.uint32), table])
+        symbols, size = self.sequence[lo:hi], np.diff(ends[lo:hi], prepend=ends[lo - 1] if lo else 0)
+        if self._table is None:
+            table, begin = self._expanded()
+            self._table = np.concatenate([np.arange(self.vocabulary, dtype=np.uint32), table]), begin
+        source, begin = self._table
         at = np.where(symbols < self.vocabulary, symbols, self.vocabulary + begin[np.maximum(symbols - self.vocabulary, 0)] if len(begin) else symbols)
         stop = np.cumsum(size)
         out = source[np.repeat(at - (stop - size), size) + np.arange(int(size.sum()))]
@@ -147,24 +152,22 @@ def encode(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = Encoder.of(tokenizer), TaskContext.get().partitionId()
-        end, vocabulary = np.array([end_id], encoder.wide).tobytes(), len(encoder.bytes_per_id)
-        held: list[bytes] = []
-        names: list[int | None] = []
-        n = nth = first = 0
+        vocabulary = len(encoder.bytes_per_id)
+        held, sizes, names, nth, first = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), encoder.wide)
-            at = np.concatenate([[0], np.cumsum([len(x) // encoder.wide.itemsize for x in held])])
-            return tx.batch(part=np.array([part], np.int32), block=np.array([nth], np.int32), first=np.array([first]), n_tokens=np.array([len(ids)]), doc_ids=pa.array([names], pa.list_(pa.int64())), payload=pa.array([Block.of(ids, at, vocabulary).to_bytes()], pa.binary()))
+            ids, at = np.concatenate(held), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+            return tx.batch(part=np.array([part], np.int32), block=np.array([nth], np.int32), first=np.array([first]), n_tokens=np.array([len(ids)]), doc_ids=pa.array([sum(names, [])], pa.list_(pa.int64())), payload=pa.array([Block.of(ids, at, vocabulary).to_bytes()], pa.binary()))
 
         for chunk in tx.chunks(batches, "text"):
-            for name, t in zip(tx.column(chunk.rows, "doc_id").to_pylist(), tx.column(chunk.rows, "text").to_pylist(), strict=True):
-                held.append(encoder.encode(t or "") + end)
-                names.append(name)
-                n += len(held[-1]) // encoder.wide.itemsize
-                if n >= block:
-                    yield flush()
-                    held, names, first, n, nth = [], [], first + n, 0, nth + 1
+            ids, at = encoder.encode(tx.column(chunk.rows, "text").to_pylist(), end_id)
+            held.append(ids)
+            sizes.append(np.diff(at))
+            names.append(tx.column(chunk.rows, "doc_id").to_pylist())
+            n = sum(map(len, held))
+            if n >= block:
+                yield flush()
+                held, sizes, names, nth, first = [], [], [], nth + 1, first + n
         if held:
             yield flush()
 
