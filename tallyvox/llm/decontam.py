@@ -153,11 +153,15 @@ class Index:
         most = near.groupBy("item", *KEY, "slot").agg(F.count_distinct("pos").alias("words")).groupBy("item", *KEY).agg(F.max("words").alias("words"))
         return most.where(F.col("words") >= words).join(self.words.select("item", "item_id").distinct(), "item").select(F.nullif(F.col("doc"), F.lit(-(2**63))).alias("doc_id"), "item_id", "words")
 
-    def matches(self) -> DataFrame:
-        """(doc_id, text, found): each document and the candidate phrases in it, null where there are none."""
+    def candidates(self) -> DataFrame:
+        """(doc, same, found): the candidate phrases of each document that has any, with the items' words."""
         listed = self.words.groupBy("item").agg(F.first("item_id").alias("item_id"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias("words"))
         found = self.phrases().join(listed, "item").groupBy(*KEY).agg(F.collect_list(F.struct("item_id", "begin", "words")).alias("found"))  # what one document's own words agree with
-        return self.docs.join(written(found, "found"), KEY, "left").select("doc_id", "text", "found")
+        return written(found, "found")
+
+    def matches(self) -> DataFrame:
+        """(doc_id, text, found): each document and the candidate phrases in it, null where there are none."""
+        return self.docs.join(self.candidates().hint("merge"), KEY, "left").select("doc_id", "text", "found")
 
 
 def hits(h: np.ndarray, found: list[tuple[str, int, np.ndarray]], span: int) -> tuple[np.ndarray, set[str]]:
@@ -196,3 +200,25 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
             yield tx.batch(doc_id=tx.column(chunk.rows, "doc_id"), n_words=np.diff(at), n_hit=n_hit, n_items=n_items, items_sha256=pa.array(digest), contaminated=n_hit > 0)
 
     return index.matches().mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+def clean(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs (all columns) without the contaminated ones."""
+    found = Index(docs, items, doc_id=doc_id, text=text, **options).candidates().hint("merge")
+    key = {"doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))), "same": F.xxhash64(text)}
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"), *[v.alias(k) for k, v in key.items()]).join(found, KEY, "left").select("row", "text", "found")
+    span = options.get("span", SPAN)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in tx.chunks(batches):
+            hit = np.zeros(chunk.n, bool)
+            found = tx.column(chunk.rows, "found")
+            maybe = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+            if len(maybe):
+                h, at = word_hashes(chunk)
+                for d in maybe:
+                    some = [(x["item_id"], x["begin"], np.array(x["words"], np.int64).view(np.uint64)) for x in found[int(d)].as_py()]
+                    hit[d] = hits(h[at[d] : at[d + 1]], some, span)[0].any()
+            yield chunk.rows.select(["row"]).filter(pa.array(~hit))
+
+    return rows.mapInArrow(run, rows.select("row").schema).select("row.*")
