@@ -101,6 +101,14 @@ def op8_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read(stored).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import eflm
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", eflm.held_out(F.col("doc_id")).alias("held_out"))
+    raw, counts = eflm.train(docs.where("not held_out"))
+    return eflm.score(docs, raw, counts, keep=("doc_id", "held_out"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import report
 
