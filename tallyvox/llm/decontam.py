@@ -161,6 +161,7 @@ class Index:
 
     def matches(self) -> DataFrame:
         """(doc_id, text, found): each document and the candidate phrases in it, null where there are none."""
+        # always a merge join: how many documents match isn't bounded, and the plan is to be the same at every size
         return self.docs.join(self.candidates().hint("merge"), KEY, "left").select("doc_id", "text", "found")
 
 
