@@ -4,9 +4,9 @@ Equal sets are one node. Tokens are ordered by (frequent or not, hash); any orde
 and frequent tokens last keeps lists short. Sets that overlap by the wanted share have at least two tokens in common among
 the first n - ceil(share * n) + 2 of each (one, for sets of one token). These tokens only are stored.
 
- 1. Each token's pivot is the least set that has it. Sets are compared with their pivots, a linear number of pairs; links
-    found here join most copies of a text into one component.
- 2. Sets with the same best pivot (and component, if it has several sets) form groups of about `block` sets. The matrix
+ 1. Sets are compared with the head of each of their minhash bands, a linear number of pairs; links found here join most
+    copies of a text into one component.
+ 2. A token's pivot is the least set that has it. Sets with the same best pivot (and component, if it has several sets) form groups of about `block` sets. The matrix
     holds each group's token union. A query opens a group only if enough of its tokens are in the union and the group
     isn't wholly of the query's own component. In an opened group a parity sketch bounds each pair's difference from below,
     inside the join, so that only pairs that can link become rows.
@@ -56,8 +56,28 @@ def token_sets(chunk: tx.Chunk, shingle: int) -> tuple[list[np.ndarray], np.ndar
     return sets, n, fp
 
 
-def nodes(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, doc, same, fp, n, sketch): sketch has for each of 1024 token classes whether their number is odd."""
+def bands(sets: list[np.ndarray], n: np.ndarray) -> pa.Array:
+    """Keys that similar sets are likely to share: hashes of the least tokens of four and of eight of 64 ranges; none where fewer than half of a key's ranges have a token."""
+    token, document = np.concatenate(sets), np.repeat(np.arange(len(n)), n)
+    place = document * 64 + (token >> np.uint64(58)).astype(np.int64)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    least = np.zeros(len(n) * 64, np.uint64)
+    least[place[first]] = token[first]
+    keys, full = [], []
+    for width in (4, 8):
+        part = least.reshape(len(n), 64 // width, width)
+        key = np.broadcast_to(np.arange(64 // width, dtype=np.uint64) + np.uint64(width << 8), part.shape[:2]).copy()
+        for j in range(width):
+            key = tx.mix(key * np.uint64(0xD6E8FEB86659FD93) + part[:, :, j])
+        keys.append(key)
+        full.append((part > 0).sum(axis=2) >= width // 2)
+    key, full = np.concatenate(keys, axis=1), np.concatenate(full, axis=1)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full.sum(axis=1))]).astype(np.int32)), tx.ints(key[full]))
+
+
+def nodes(docs: DataFrame, shingle: int, percent: int, often: np.ndarray) -> DataFrame:
+    """(doc_id, doc, same, fp, n, rare, sketch, bands): sketch has for each of 1024 token classes whether their number is odd; rare is the share of infrequent ones among the first tokens."""
+    sent = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in tx.chunks(batches):
@@ -66,9 +86,10 @@ def nodes(docs: DataFrame, shingle: int) -> DataFrame:
             odd = (np.bincount(slot, minlength=chunk.n * SKETCH_BITS) & 1).astype(np.uint8)
             words = np.packbits(odd).view(np.int64)
             sketch = pa.ListArray.from_arrays(pa.array(np.arange(chunk.n + 1, dtype=np.int32) * (SKETCH_BITS // 64)), pa.array(words))
-            yield tx.batch(**{c: tx.column(chunk.rows, c) for c in ("doc_id", *KEY)}, fp=tx.ints(fp), n=n, sketch=sketch)
+            rare = np.array([1 - has(sent.value, s[: _first(len(s), percent)]).mean() if len(s) else 1.0 for s in sets])
+            yield tx.batch(**{c: tx.column(chunk.rows, c) for c in ("doc_id", *KEY)}, fp=tx.ints(fp), n=n, rare=rare, sketch=sketch, bands=bands(sets, n))
 
-    return docs.select("doc_id", *KEY, "text").mapInArrow(run, "doc_id long, doc long, same long, fp long, n long, sketch array<long>")
+    return docs.select("doc_id", *KEY, "text").mapInArrow(run, "doc_id long, doc long, same long, fp long, n long, rare double, sketch array<long>, bands array<long>")
 
 
 def _prefix(n: int, percent: int) -> int:
@@ -76,6 +97,11 @@ def _prefix(n: int, percent: int) -> int:
     return n - need + min(2, need)
 
 
+def _first(n: int, percent: int) -> int:
+    """How many of a set's least tokens are counted."""
+    return min(n, _prefix(n, percent) * 3 // 2)
+
+
 def frequent(docs: DataFrame, shingle: int, percent: int) -> np.ndarray:
     """A filter of the tokens that are among the first (by hash) of more than FREQUENT sets, as bits."""
 
@@ -87,7 +113,7 @@ def frequent(docs: DataFrame, shingle: int, percent: int) -> np.ndarray:
             for s, k, name in zip(sets, n.tolist(), fp.tolist(), strict=True):
                 if k and name not in seen:
                     seen.add(name)
-                    some.append(s[: _prefix(k, percent) * 3 // 2])
+                    some.append(s[: _first(k, percent)])
             if some:
                 token, count = np.unique(np.concatenate(some), return_counts=True)
                 yield tx.batch(token=tx.ints(token), count=count.astype(np.int32))
@@ -174,26 +200,32 @@ def verified(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> D
 def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 85, block: int = BLOCK) -> DataFrame:
     """(doc_id, doc, same, n_shingles, component_id) of each document."""
     docs = keyed(docs, doc_id, text)
-    members = written(nodes(docs, shingle), "nodes")
-    sets = members.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    stored = written(stored_tokens(docs, shingle, percent, frequent(docs, shingle, percent)), "tokens")
-    pivots = stored.groupBy("token").agg(F.min("fp").alias("pivot"), F.max("fp").alias("other")).where("pivot <> other").select("token", "pivot")
-    shared = written(stored.join(pivots, "token"), "shared")
-
-    # 1: each set and the pivots of its tokens
-    near = written(shared.groupBy("fp", "pivot").agg(F.count("*").alias("c"), F.first("n").alias("n")), "near")
-    kept = written(sets.join(near.select("fp").union(near.select("pivot")).distinct(), "fp", "left_semi"), "sets")  # of sets that share a token
-    p = kept.select(F.col("fp").alias("pivot"), F.col("n").alias("pn"), F.col("sketch").alias("ps"))
-    first = near.where("fp <> pivot").select("fp", "pivot").join(kept, "fp").join(p, "pivot")
-    first = first.where(can_link(F.col("n"), F.col("pn"), F.col("sketch"), F.col("ps"), percent)).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
+    often = frequent(docs, shingle, percent)
+    members = written(nodes(docs, shingle, percent, often), "nodes")
+    sets = written(members.where("n > 0").groupBy("fp").agg(*[F.first(c).alias(c) for c in ("n", "rare", "sketch", "bands")]), "sets")
+    stored = written(stored_tokens(docs, shingle, percent, often), "tokens")
+
+    # 1: each set and the heads of its bands; of those that it can link to, the first and the nearest. The head is the set
+    # with the fewest rare tokens: of copies with changes, the least changed one, to which most others can link
+    rank = F.struct("rare", "fp")
+    keys = sets.select(rank.alias("set"), F.explode("bands").alias("key"))
+    heads = keys.groupBy("key").agg(F.min("set").alias("head"), F.max("set").alias("other")).where("head <> other").select("key", "head")
+    first = keys.join(heads, "key").where("set <> head").groupBy(F.col("set.fp").alias("fp"), F.col("head.fp").alias("pivot")).agg(F.count("*").alias("c"), F.first("head").alias("head"))
+    one, two = sets.select("fp", "n", "sketch"), sets.select(F.col("fp").alias("pivot"), F.col("n").alias("pn"), F.col("sketch").alias("ps"))
+    first = first.join(one, "fp").join(two, "pivot").where(can_link(F.col("n"), F.col("pn"), F.col("sketch"), F.col("ps"), percent))
+    first = first.groupBy("fp").agg(F.min("head").alias("least"), F.max(F.struct("c", "pivot")).alias("nearest")).select("fp", F.explode(F.array_distinct(F.array("least.fp", "nearest.pivot"))).alias("pivot"))
+    first = first.select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
     links = verified(docs, first, shingle, percent)
     roots = written(components(links), "roots")
 
     # 2: groups and their token unions
+    pivots = stored.groupBy("token").agg(F.min("fp").alias("pivot"), F.max("fp").alias("other")).where("pivot <> other").select("token", "pivot")
+    shared = written(stored.join(pivots, "token"), "shared")
+    near = shared.groupBy("fp", "pivot").agg(F.count("*").alias("c"))
     best = near.groupBy("fp").agg(F.max(F.struct("c", F.col("pivot"))).alias("m")).select("fp", F.col("m.pivot").alias("pivot"))
     placed = best.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "pivot", F.coalesce("root", "fp").alias("comp"), F.coalesce("root", F.lit(0)).alias("own"))
     many = placed.groupBy("pivot", "own").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    grouped = written(placed.join(many, ["pivot", "own"]).select("fp", "comp", F.xxhash64("pivot", "own", F.pmod(F.xxhash64("fp"), "blocks")).alias("gid")).join(kept, "fp"), "groups")
+    grouped = written(placed.join(many, ["pivot", "own"]).select("fp", "comp", F.xxhash64("pivot", "own", F.pmod(F.xxhash64("fp"), "blocks")).alias("gid")).join(sets.drop("bands", "rare"), "fp"), "groups")
     rows = written(shared.select("token", "fp", "n").join(grouped.select("fp", "comp", "gid"), "fp"), "matrix-rows")
     open_ = rows.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
     rows = rows.join(open_, "token")
