@@ -15,20 +15,23 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .docs import KEY, key_of, keyed
 from .scratch import written
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 SPAN = 10
 #: Test words sent to all tasks as a filter, at most; with more, all words are counted and stored.
 FILTER_WORDS = 1 << 21
-KEY = ["doc", "same"]
 
 
 class Members:
@@ -73,11 +76,6 @@ def filter_of(words: DataFrame) -> Members | None:
     return Members(found) if len(found) <= FILTER_WORDS else None
 
 
-def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, text) and the document's key: doc (its id, or the least long for null) and same (a hash of the text)."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumns({"doc": F.coalesce("doc_id", F.lit(-(2**63))), "same": F.xxhash64("text")})
-
-
 def frequencies(docs: DataFrame, members: Members | None) -> DataFrame:
     """(word, frequency) in the whole text of all documents."""
     sent = docs.sparkSession.sparkContext.broadcast(members)
@@ -206,8 +204,7 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs (all columns) without the contaminated ones."""
     found = Index(docs, items, doc_id=doc_id, text=text, **options).candidates().hint("merge")
-    key = {"doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))), "same": F.xxhash64(text)}
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"), *[v.alias(k) for k, v in key.items()]).join(found, KEY, "left").select("row", "text", "found")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"), *[v.alias(k) for k, v in key_of(doc_id, text).items()]).join(found, KEY, "left").select("row", "text", "found")
     span = options.get("span", SPAN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .decontam import KEY, keyed
+from .docs import KEY, key_of, keyed
 from .graph import components
 from .scratch import written
 
@@ -255,6 +255,5 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """docs without the documents of a component other than that with the least id; rows with a null id stay only alone."""
     found = join(docs, doc_id=doc_id, text=text, **options)
     stays = found.where("doc_id <=> component_id").select(*KEY).distinct()
-    key = {"doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))), "same": F.xxhash64(text)}
-    rows = docs.select(F.struct(*docs.columns).alias("row"), *[v.alias(k) for k, v in key.items()])
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *[v.alias(k) for k, v in key_of(doc_id, text).items()])
     return rows.join(stays, KEY, "left_semi").select("row.*")

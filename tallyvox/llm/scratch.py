@@ -18,9 +18,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 4 MB from here on in this session (64 by default), so that long texts stay small in executors' memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df after a write to the shared folder: its lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/tallyvox/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

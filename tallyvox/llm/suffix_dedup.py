@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .decontam import KEY, keyed
+from .docs import KEY, key_of, keyed
 from .scratch import written
 
 LENGTH, ANCHOR = 400, 32
 #: Different segments of an anchor that are sorted in one task, at most.
 LIMIT = 4096
 #: Bytes of segments that are sorted at once.
-BATCH = 1 << 20
+BATCH = 1 << 19
 #: A side of a join is broadcast up to so many bytes, counted before.
 BROADCAST = 32 << 20
 
@@ -79,7 +79,7 @@ def segments(docs: DataFrame) -> DataFrame:
     """(doc, same, lo, run, anchor, g, seg) of keyed documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in tx.chunks(batches):
+        for chunk in tx.chunks(batches, size=tx.CHUNK // 2):  # some fifteen numbers a byte are held
             d, lo, windows, anchor, g, seg = anchored(chunk)
             d = pa.array(d)
             yield tx.batch(doc=tx.column(chunk.rows, "doc").take(d), same=tx.column(chunk.rows, "same").take(d), lo=lo.astype(np.int32), run=windows.astype(np.int32), anchor=anchor.astype(np.int32), g=tx.ints(g), seg=tx.ints(seg))
@@ -93,25 +93,28 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray
     Positions that follow a wanted larger-than-successor suffix, up to the next smaller one, take part in the scan too.
     """
     n = len(text)
-    step = np.diff(text.astype(np.int16), append=-1)  # the empty suffix after the last is the smallest
-    differs = np.flatnonzero(step)
-    next_step = step[differs[np.searchsorted(differs, np.arange(n))]]
-    small = next_step > 0
+    step = np.zeros(n, np.int8)  # whether the next byte is larger (1), smaller (-1) or equal (0)
+    step[:-1] = (text[1:] > text[:-1]).astype(np.int8) - (text[1:] < text[:-1]).astype(np.int8)
+    step[-1] = -1  # the empty suffix after the last is the smallest
+    place = np.arange(n, dtype=np.int32)
+    differs = np.minimum.accumulate(np.where(step != 0, place, n)[::-1])[::-1]
+    small = step[differs] > 0
     used = wanted.copy()
-    stop = np.flatnonzero(small | (np.arange(n) == n - 1))  # where chains of larger suffixes end
-    end = stop[np.searchsorted(stop, np.flatnonzero(wanted & ~small))]
-    reach = np.zeros(n + 1, np.int64)
-    np.add.at(reach, np.flatnonzero(wanted & ~small), 1)
-    np.add.at(reach, end + 1, -1)
+    stop = np.minimum.accumulate(np.where(small, place, n - 1)[::-1])[::-1]  # where chains of larger suffixes end
+    chain = np.flatnonzero(wanted & ~small)
+    reach = np.zeros(n + 1, np.int32)
+    np.add.at(reach, chain, 1)
+    np.add.at(reach, stop[chain] + 1, -1)
     used |= np.cumsum(reach[:-1]) > 0
+    del place, differs, stop, reach, chain
     # first stage: smaller suffixes
     begin = np.flatnonzero(used & small)
     as_text = text.tobytes().decode("latin-1")
-    keys = [as_text[i : i + depth] for i in begin.tolist()]
-    begin = begin[sorted(range(len(keys)), key=keys.__getitem__)]
-    del keys
-    lead = text[begin]
-    cut = np.searchsorted(lead, np.arange(257))
+    begin = begin[np.argsort(text[begin], kind="stable")]
+    cut = np.searchsorted(text[begin], np.arange(257))
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):  # a bucket's keys at a time are held
+        keys = [as_text[i : i + depth] for i in begin[a:b].tolist()]
+        begin[a:b] = begin[a:b][sorted(range(len(keys)), key=keys.__getitem__)]
     # second stage: one scan over the buckets, from the least byte
     large = used & ~small
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -293,8 +296,14 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 def _with_spans(docs: DataFrame, limit: int) -> DataFrame:
     """docs (with doc, same and text) and spans, as one binary of (begin, end) pairs; null where nothing is removed."""
-    merge = F.pandas_udf(lambda s: s.map(lambda x: np.array(merged(list(x)), "<i8").tobytes()), "binary")
-    spans = written(repeated_spans(docs.select(*KEY, "text"), limit).select(*KEY, merge("spans").alias("spans")), "spans")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            both = [np.array(merged(x), "<i8").tobytes() for x in rows["spans"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([rows["doc"], rows["same"], pa.array(both, pa.binary())], names=[*KEY, "spans"])
+
+    spans = repeated_spans(docs.select(*KEY, "text"), limit).mapInArrow(merge, "doc long, same long, spans binary")
+    spans = written(spans, "spans")
     return docs.join(within(spans, "spans"), KEY, "left")
 
 
@@ -328,10 +337,15 @@ def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", limit
 
 def remove(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """docs with the repeated strings cut out of their text; documents of which nothing is left go, others keep all columns."""
-    key = {"doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))), "same": F.xxhash64(text)}
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"), *[v.alias(k) for k, v in key.items()])
-    cut = F.pandas_udf(lambda t, s: t.combine(s, lambda x, y: x if y is None or x is None else kept_bytes(x.encode(), y)[0].decode("utf-8", "ignore")), "string")
-    found = _with_spans(packed, limit)
-    found = found.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans")))
-    found = found.where("spans is null or text <> ''")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"), *[v.alias(k) for k, v in key_of(doc_id, text).items()])
+    found = _with_spans(packed, limit).select("row", "text", "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in tx.chunks(batches):
+            spans, texts = tx.column(chunk.rows, "spans").to_pylist(), tx.column(chunk.rows, "text").to_pylist()
+            kept = [t if s is None else kept_bytes(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)]
+            stays = pa.array([s is None or k != "" for s, k in zip(spans, kept, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([tx.column(chunk.rows, "row"), pa.array(kept, pa.string())], names=["row", "text"]).filter(stays)
+
+    found = found.mapInArrow(run, found.select("row", "text").schema)
     return found.select(*[F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

@@ -6,6 +6,7 @@ Hashes are 64-bit: a polynomial over the bytes (prefix sums give that of any spa
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 2 << 20
+try:  # glibc: large arrays go back to the system when they are freed, instead of staying with the worker
+    ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)
+except OSError:
+    pass
 WHITE = np.array([b in (32, 9, 10, 11, 12, 13) for b in range(256)])
 NOT_WHITE = ~WHITE
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
