@@ -1 +1 @@
-
+"""Streaming monitors."""
