@@ -42,7 +42,8 @@ def best_rows(df: DataFrame, by: list[str], score: str, order: str) -> DataFrame
 def improved(df: DataFrame, by: list[str], score: str, order: str, start: float) -> DataFrame:
     """Rows whose score is above every earlier one's and above `start`."""
     before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.where(F.col(score) > F.greatest(F.lit(start), F.coalesce(F.max(score).over(before), F.lit(start))))
+    bar = F.greatest(F.lit(start), F.coalesce(F.max(score).over(before), F.lit(start)))
+    return df.withColumn("_bar", bar).where(F.col(score) > F.col("_bar")).drop("_bar")
 
 
 def wide(df: DataFrame, by: list[str], name: Column, value: str, names: list[str]) -> DataFrame:

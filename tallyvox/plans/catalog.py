@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import agreement, geometry  # noqa: F401
+from . import agreement, curation, geometry  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -1,0 +1,13 @@
+"""A new folder that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    return f"{(found or 'file://' + tempfile.mkdtemp(prefix='tallyvox-')).rstrip('/')}/tallyvox/{uuid.uuid4().hex}"
