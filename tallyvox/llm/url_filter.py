@@ -6,8 +6,9 @@ ln P(accepted) - ln P(rejected) over its characters, divided by their number. Th
 balanced accuracy on URLs that the models haven't seen. Characters are folded to 32 classes, so either model is a table of
 32**3 numbers whatever the corpus; scoring reads it from one array, without a join or shuffle.
 
-Null and empty URLs have no characters: score null, accepted. Where one class has no labelled URL there is no threshold,
-and what no rule decides is accepted. Repeated rows are judged alike, each on its own.
+Null and empty URLs have no characters: score null, accepted. Where one class has no labelled URL all scores are 0, where
+one has none held out the threshold is 0; a score at the threshold is accepted. Repeated rows are judged alike, each on
+its own.
 """
 
 from __future__ import annotations
@@ -118,6 +119,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], *, url: str = "ur
     model = constant(weights(labelled.where(~aside)))
     bar = threshold(scored(labelled.where(aside), model))
     rule, said = rule_for(F.col("host"), F.col("path"), rules)
-    out = scored(df, model).withColumn("threshold", bar.scalar())
+    out = scored(df, model).withColumn("threshold", F.coalesce(bar.scalar(), F.lit(0.0)))
     method = F.when(F.col("score") < F.col("threshold"), F.lit("block")).otherwise(F.lit("allow"))
     return out.select(*kept, "host", "path", rule.alias("rule"), "score", "threshold", F.coalesce(said, method).alias("verdict"))
