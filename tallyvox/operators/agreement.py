@@ -39,15 +39,15 @@ def contingency(pairs: DataFrame, by: list[str]) -> DataFrame:
 def clustering(pairs: DataFrame, by: list[str]) -> DataFrame:
     """(by, ari, voi): adjusted Rand index (1 where both agree wholly) and variation of information in bits. Cells of the contingency table are few, so what follows the first aggregate is small."""
     cells = contingency(pairs, by)
-    rows, cols = cells.groupBy(*by, "gt").agg(F.sum("n").alias("a")), cells.groupBy(*by, "pred").agg(F.sum("n").alias("b"))
+    rows, cols = cells.groupBy(*by, "gt").agg(F.sum("n").alias("_a")), cells.groupBy(*by, "pred").agg(F.sum("n").alias("_b"))
     both = cells.join(rows, [*by, "gt"]).join(cols, [*by, "pred"])
-    n, a, b = F.col("n"), F.col("a"), F.col("b")
-    sums = both.groupBy(*by).agg(F.sum("n").alias("N"), F.sum(n * n).alias("S"), F.sum(n * a).alias("A"), F.sum(n * b).alias("B"), F.sum(n * (F.log2(n / a) + F.log2(n / b))).alias("H"))
-    total, s, a, b = F.col("N"), F.col("S"), F.col("A"), F.col("B")  # sum of n * a over cells is that of a * a over rows
+    n, a, b = F.col("n"), F.col("_a"), F.col("_b")
+    sums = both.groupBy(*by).agg(F.sum("n").alias("_n"), F.sum(n * n).alias("_nn"), F.sum(n * a).alias("_na"), F.sum(n * b).alias("_nb"), F.sum(n * (F.log2(n / a) + F.log2(n / b))).alias("_h"))
+    total, s, a, b = F.col("_n"), F.col("_nn"), F.col("_na"), F.col("_nb")  # sum of n * a over cells is that of a * a over rows
     tp, fn, fp, tn = s - total, a - s, b - s, total * total - a - b + s
     den = (tp + fn) * (fn + tn) + (tp + fp) * (fp + tn)
     ari = F.when((fn == 0) & (fp == 0), 1.0).otherwise(2 * (tp * tn - fn * fp) / F.nullif(den, F.lit(0.0)))
-    return sums.select(*by, ari.alias("ari"), (-F.col("H") / total).alias("voi"))
+    return sums.select(*by, ari.alias("ari"), (-F.col("_h") / total).alias("voi"))
 
 
 def sampled(pairs: DataFrame, position: Column, every: int = 50) -> DataFrame:

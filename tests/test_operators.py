@@ -1,0 +1,182 @@
+"""Operators against numpy, on fixed cubes and random data."""
+
+import itertools
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallyvox.operators import agreement, curate, ensemble, grid, loss, report, surface, topology
+from tallyvox.sources import files, tables, volumes
+
+
+def cube(rater, x, y, z, label=1, subject="s"):
+    return [(subject, rater, i, j, k, label) for i in range(*x) for j in range(*y) for k in range(*z)]
+
+
+@pytest.fixture(scope="module")
+def two_cubes(spark):
+    return spark.createDataFrame(cube("a", (5, 15), (5, 15), (5, 15)) + cube("b", (6, 14), (6, 14), (6, 14)), "subject string, rater string, x int, y int, z int, label int")
+
+
+def test_two_cubes(two_cubes):
+    assert {(r.rater, r.n) for r in surface.shell(two_cubes, ["subject", "rater"]).groupBy("rater").agg(F.count("*").alias("n")).collect()} == {("a", 488), ("b", 296)}
+    d = surface.surface_distances(two_cubes, ["subject"], (1.5, 1.5, 2.0), (20, 20, 20)).first()
+    assert (round(d.hd95, 5), round(d.asd, 5), round(d.nsd, 5)) == (2.5, 1.72393, 0.89344)
+    pairs = agreement.co_located(two_cubes.withColumn("r", (F.col("rater") == "b").cast("int") + 1), 1, 2, ["subject", "x", "y", "z"], "r")
+    c = agreement.overlap(agreement.confusion(pairs, ["subject"], [1], F.lit(8000))).first()
+    assert round(c.dice, 6) == 0.677249 and c.tn == 7000
+
+
+def test_distances_are_the_nearest(spark):
+    rng = np.random.default_rng(4)
+    a, b = (np.unique(rng.integers(0, 40, (60, 3)), axis=0) for _ in range(2))
+    spacing = (1.5, 1.0, 2.0)
+    df = lambda p: spark.createDataFrame([("g", *map(int, r)) for r in p], "s string, x int, y int, z int")
+    got = {(r.x, r.y, r.z): r.d for r in surface.nearest(df(a), df(b), ["s"], spacing, 100.0).collect()}
+    for p in a:
+        assert abs(got[tuple(map(int, p))] - np.sqrt((((b - p) * spacing) ** 2).sum(1)).min()) < 1e-9
+
+
+@pytest.mark.parametrize(("points", "six", "twenty_six"), [([], 0, 0), ([(0, 0, 0), (1, 1, 1)], 2, 1), ([(0, 0, 0), (0, 0, 1), (5, 5, 5), (5, 6, 5), (6, 7, 5), (9, 9, 9)], 4, 3)])
+def test_components(points, six, twenty_six):
+    xyz = np.array(points).reshape(-1, 3)
+    assert (topology.n_components(xyz, 6), topology.n_components(xyz, 26)) == (six, twenty_six)
+
+
+def test_diversity_weights(spark):
+    small = set(itertools.product(range(10), repeat=3))
+    rows = [("s", x * 900 + y * 30 + z, [1, 1, int((x, y, z) in small)]) for x in range(30) for y in range(30) for z in range(30)]
+    wide = spark.createDataFrame(rows, "subject string, element int, labels array<int>")
+    w = ensemble.diversity_weights(ensemble.pair_dice(wide, ["subject"], 3), ["subject"], 3).first().weights
+    assert abs(sum(w) - 1) < 1e-9 and w[2] > w[0] and [round(x, 2) for x in w] == [0.25, 0.25, 0.5]
+
+
+def test_two_raters_agree_on_the_lower_label(spark):
+    rng = np.random.default_rng(0)
+    labels = rng.integers(0, 5, (1000, 2))
+    votes = spark.createDataFrame([("s", i, r + 1, int(x[r])) for i, x in enumerate(labels) for r in (0, 1)], "subject string, element int, rater int, label int")
+    elements, _ = ensemble.ensemble(votes, [1, 2])
+    assert [r.label for r in elements.orderBy("element").collect()] == labels.min(1).tolist()
+
+
+def test_probability_ensembles(spark):
+    rng = np.random.default_rng(1)
+    p = rng.dirichlet(np.ones(5), (50, 2))
+    df = spark.createDataFrame([(i, x.tolist(), [0.3, 0.7]) for i, x in enumerate(p)], "element int, labels array<array<double>>, weights array<double>")
+    want = 0.3 * p[:, 0] + 0.7 * p[:, 1]
+    for r in ensemble.consensus(df, 2, probabilities=True).collect():
+        q = np.clip(want[r.element], 1e-7, 1 - 1e-7)
+        assert r.label == want[r.element].argmax() and abs(r.h + (q * np.log2(q)).sum()) < 1e-9
+    votes = spark.createDataFrame([("s", 1, 1, 0), ("s", 1, 2, 0)], "subject string, element int, rater int, label int")
+    assert abs(ensemble.ensemble(votes, [1, 2])[0].first().h - ensemble.background_entropy()) < 1e-12
+
+
+def test_clustering_formulas(spark):
+    rng = np.random.default_rng(2)
+    gt, pred = rng.integers(0, 3, 200), rng.integers(0, 4, 200)
+    r = agreement.clustering(spark.createDataFrame([("s", int(a), int(b)) for a, b in zip(gt, pred, strict=True)], "s string, gt int, pred int"), ["s"]).first()
+    same = lambda v: v[:, None] == v[None]
+    off = ~np.eye(200, dtype=bool)
+    tp, fn, fp, tn = ((x & y & off).sum() for x, y in ((same(gt), same(pred)), (same(gt), ~same(pred)), (~same(gt), same(pred)), (~same(gt), ~same(pred))))
+    assert abs(r.ari - 2 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn))) < 1e-12
+    h = lambda *v: -sum(p * np.log2(p) for p in np.unique(np.stack(v), axis=1, return_counts=True)[1] / 200)
+    assert abs(r.voi - (2 * h(gt, pred) - h(gt) - h(pred))) < 1e-9
+
+
+def test_autolabel(spark):
+    human = {p: 1 for p in itertools.product(range(5, 15), range(5, 15), range(5, 10))} | {p: 4 for p in itertools.product(range(5, 10), range(5, 10), range(10, 15))}
+    cons = {p: 1 for p in itertools.product(range(6, 15), range(6, 15), range(5, 10))} | {p: 4 for p in itertools.product(range(5, 12), range(5, 12), range(10, 15))}
+    rows = [("s", human.get(p, 0), cons.get(p, 0)) for p in human.keys() | cons.keys()]
+    r = curate.autolabel_stats(spark.createDataFrame(rows, "s string, gt int, pred int"), ["s"]).first()
+    assert (r.n_foreground, r.n_ignore, r.pct_ignore) == (625, 95, 15.2)
+
+
+def test_splits_and_queue(spark):
+    audit = spark.createDataFrame([("CLEAN_B", "SUCCESS", "CLEAN_HIGH_CONFIDENCE"), ("CLEAN_A", "SUCCESS", "CLEAN_HIGH_CONFIDENCE"), ("WEAK_A", "SUCCESS", "WEAK_COARSE"), ("REJECT_A", "SUCCESS", "NOISE_REJECT"), ("BAD", "ERROR: boom", None)], "subject_id string, status string, triage_category string")
+    assert {r.category: (r.n, r.subject_ids) for r in curate.splits(audit).collect()} == {"CLEAN_HIGH_CONFIDENCE": (2, "CLEAN_A,CLEAN_B"), "WEAK_COARSE": (1, "WEAK_A"), "NOISE_REJECT": (1, "REJECT_A"), "TRAIN_POOL": (3, "CLEAN_A,CLEAN_B,WEAK_A")}
+    assert curate.manifest(audit, use_weak=False).count() == 2 and curate.manifest(audit).count() == 3
+    pool = spark.createDataFrame([("SUBJ_01", "unlabeled", 0.15, 1), ("SUBJ_02", "triage", 0.85, 2), ("SUBJ_03", "triage", 0.45, 3), ("SUBJ_04", "unlabeled", 0.05, 4)], "subject_id string, state string, score double, seq int")
+    assert [r.subject_id for r in curate.review_queue(pool, 2).collect()] == ["SUBJ_02", "SUBJ_03"]
+    assert [r.subject_id for r in curate.review_queue(pool.where("state <> 'triage'"), 2).collect()] == ["SUBJ_01", "SUBJ_04"]
+    moved = curate.annotated(pool, spark.createDataFrame([("SUBJ_02",), ("SUBJ_02",)], "subject_id string"))
+    assert moved.where("subject_id = 'SUBJ_02'").select("state").collect() == [("labeled",)]
+
+
+@pytest.mark.parametrize(("n", "k"), [(10, 4), (7, 3), (3, 5), (8, 4)])
+def test_folds(spark, n, k):
+    rows = curate.ranked(spark.range(n), [F.col("id")]).orderBy("id").collect()
+    assert [r.rn for r in rows] == list(range(1, n + 1))
+    got = [r[0] for r in spark.range(1, n + 1).select(curate.fold_of(F.col("id"), F.lit(n), k)).collect()]
+    assert got == [i for i, part in enumerate(np.array_split(np.arange(n), k)) for _ in part]
+
+
+def test_grid_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    v = rng.integers(0, 4, (6, 5, 4))
+    df = spark.createDataFrame([("s", *map(int, p), int(v[tuple(p)])) for p in np.argwhere(v)], "s string, x int, y int, z int, label int")
+    got = {(r.x, r.y, r.z): r.label for r in grid.resize_nearest(df, ["s"], (6, 5, 4), (9, 7, 3)).collect()}
+    want = v[np.ix_(np.arange(9) * 6 // 9, np.arange(7) * 5 // 7, np.arange(3) * 4 // 3)]
+    assert all(got.get(p, 0) == want[p] for p in np.ndindex(want.shape))
+    flipped = {(r.x, r.y, r.z): r.label for r in grid.flip(df, (True, False, True), v.shape).collect()}
+    assert all(flipped.get(p, 0) == v[::-1, :, ::-1][p] for p in np.ndindex(v.shape))
+    assert grid.best_orientation(df, grid.flip(df, (False, True, True), v.shape), ["s"], v.shape).first().flip == 6
+    assert grid.tiles((100, 90, 200)) == [(x, 0, z) for x in (0, 4) for z in (0, 72, 104)]
+
+
+def test_losses(spark):
+    rng = np.random.default_rng(6)
+    p, t = rng.dirichlet(np.ones(5), 300), rng.integers(0, 5, 300)
+    t[:20] = 255
+    df = spark.createDataFrame([(0, x.tolist(), int(y)) for x, y in zip(p, t, strict=True)], "b int, p array<double>, truth int")
+    ok = t != 255
+    q, y = p[ok], t[ok]
+    true = q[np.arange(len(y)), y]
+    i, s, g = (np.array([f(c) for c in range(1, 5)]) for f in (lambda c: q[y == c, c].sum(), lambda c: q[:, c].sum(), lambda c: (y == c).sum()))
+    assert abs(loss.dice_ce(df, ["b"]).first().loss - (0.5 * -np.log(true).mean() + 0.5 * (1 - 2 * i / (s + g + 1e-6)).mean())) < 1e-9
+    ce = (-np.log(true) * np.where(y > 0, 0.7, 1.0)).mean()
+    assert abs(loss.asymmetric(df, ["b"]).first().loss - (0.5 * ce + (1 - (2 * i + 1e-5) / (s + g + 1e-5)).mean())) < 1e-9
+    wrong = lambda alpha, beta, truth, x: loss.asymmetric_binary(spark.createDataFrame([(0, x, truth)], "b int, p double, truth int"), ["b"], alpha, beta).first().loss
+    assert wrong(0.7, 0.3, 1, 0.1) > wrong(0.7, 0.3, 0, 0.9) and wrong(0.3, 0.7, 1, 0.1) < wrong(0.3, 0.7, 0, 0.9)
+
+
+def test_volumes_round_trip(spark, tmp_path):
+    v = np.zeros((4, 3, 2), np.uint8)
+    v[1, 2, 0], v[3, 0, 1] = 3, 255
+    affine = np.diag([1.5, 1.5, 2.0, 1.0])
+    (tmp_path / "a.nii.gz").write_bytes(volumes.encode_nifti(v, affine))
+    (tmp_path / "broken.nii.gz").write_bytes(b"nothing")
+    got = {r.path.rsplit("/", 1)[1]: r for r in volumes.read_volumes(spark, str(tmp_path)).collect()}
+    r = got["a.nii.gz"]
+    assert r.status == "SUCCESS" and r.shape == [4, 3, 2] and [round(x, 4) for x in r.spacing] == [1.5, 1.5, 2.0] and got["broken.nii.gz"].status.startswith("ERROR")
+    assert {tuple(x)[1:] for x in volumes.voxels(volumes.read_volumes(spark, str(tmp_path))).collect()} == {(1, 2, 0, 3), (3, 0, 1, 255)}
+    head = b"NRRD0004\ntype: uint8\ndimension: 3\nsizes: 4 3 2\nspace directions: (1.5,0,0) (0,1.5,0) (0,0,2)\nencoding: raw\n\n"
+    (tmp_path / "b.seg.nrrd").write_bytes(head + v.tobytes(order="F"))
+    n = volumes.read_volumes(spark, str(tmp_path), "*.nrrd").first()
+    assert n.spacing == [1.5, 1.5, 2.0] and sorted(n.label) == [3, 255]
+    np.savez(tmp_path / "p.npz", probs=np.random.default_rng(0).random((5, 2, 2, 3)).astype(np.float16))
+    assert volumes.read_probabilities(spark, str(tmp_path)).count() == 12
+
+
+def test_tables_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([("00242113", 0.5), ("1", None)], "subject_id string, score double")
+    tables.write_csv(df, f"{tmp_path}/csv")
+    assert {tuple(r) for r in tables.read_csv(spark, f"{tmp_path}/csv", df.schema).collect()} == {("00242113", 0.5), ("1", None)}
+    (tmp_path / "list.txt").write_text("b\n\n  a \n")
+    assert [r[0] for r in tables.read_list(spark, f"{tmp_path}/list.txt").collect()] == ["b", "a"]
+    merged = tables.merged_shards(spark.createDataFrame([("s", 1, "f2"), ("s", 2, "f1"), ("t", 3, "f2")], "subject_id string, v int, file string"))
+    assert {tuple(r) for r in merged.collect()} == {("s", 2), ("t", 3)}
+
+
+def test_reports(spark):
+    df = spark.createDataFrame([("a", 0.5, 1), ("a", 0.7, 2), ("a", 0.7, 3), (None, 0.1, 4)], "k string, v double, e int")
+    assert {tuple(r) for r in report.value_counts(df, "k").collect()} == {("a", 3, 75.0)}
+    assert report.best_rows(df.where("k = 'a'"), ["k"], "v", "e").first().e == 2
+    assert [r.e for r in report.improved(df.where("k = 'a'"), ["k"], "v", "e", 0.0).orderBy("e").collect()] == [1, 2]
+
+
+def test_listing(spark, tmp_path):
+    (tmp_path / "P1").mkdir()
+    (tmp_path / "P1" / "ct.nii.gz").write_bytes(b"x")
+    r = files.listing(spark, str(tmp_path)).first()
+    assert (r["name"], r["folder"], r["size"]) == ("ct.nii.gz", "P1", 1)
