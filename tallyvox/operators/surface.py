@@ -23,7 +23,7 @@ def nearest(source: DataFrame, target: DataFrame, by: list[str], spacing: tuple[
     """(by, x, y, z, d): the distance of each source point to the nearest target point of its group, in the unit of `spacing`. reach: the grid's diagonal.
 
     Points meet in cells of a given width: each source point looks into its own cell and the 26 around it. What it finds
-    within the width is the nearest; other points look again in cells of twice the width. So a point meets the few targets
+    within the width is the nearest; other points look again in cells of four times the width. So a point meets the few targets
     near it, not all of its group. Groups without targets have no rows.
     """
     cell = lambda c, s, w: F.floor(F.col(c) * s / w).cast("int")
@@ -39,7 +39,7 @@ def nearest(source: DataFrame, target: DataFrame, by: list[str], spacing: tuple[
             return reduce(DataFrame.unionByName, [*done, found.where("d is not null")])
         done.append(found.where(F.col("d") <= width))
         left = found.where(F.col("d").isNull() | (F.col("d") > width)).drop("d")
-        width *= 2
+        width *= 4
 
 
 def surface_distances(voxels: DataFrame, by: list[str], spacing: tuple[float, float, float], shape: tuple[int, int, int], tolerance: float = 2.0, gt: str = "a", pred: str = "b") -> DataFrame:
