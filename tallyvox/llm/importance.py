@@ -6,7 +6,8 @@ their number (so that its noise doesn't depend on the length) and multiplied by
 of id and seed, the k largest keys are a sample without replacement in proportion to the weights.
 
 Raw counts are of all documents. The target counts are of at most `target_rows` labelled documents, the first by a hash of
-the id. k is `share` of the rows: by default the target's share of the labels.
+the id. k is `share` of the rows: by default the target's share of the labels and a twentieth more, as the last good
+documents and the first bad ones have like weights.
 
 Null and empty texts have no n-grams and weight 0 (neither better nor worse than raw text). Rows with equal keys at the
 border are all kept; repeated rows with one id have one key. Without target labels all weights are 0. Of an empty table
@@ -25,51 +26,54 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .scratch import written
 
-BUCKETS = 1 << 16
+#: Buckets of words, which are to tell rare ones apart, and of pairs.
+WORDS, PAIRS = 1 << 19, 1 << 16
+#: By how much the default share is above the target's share of the labels.
+MARGIN = 0.05
 #: Labelled documents that the target model is fitted on, at most.
 TARGET_ROWS = 8192
 
 
-def hashed(chunk: tx.Chunk, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of each word and of each pair of words, their documents' offsets in the one list and in the other: (ids, word offsets, pair offsets); pairs follow the words."""
+def hashed(chunk: tx.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, word offsets, pair offsets): the buckets of all words, then those of all pairs of words, and where each document's begin in that list."""
     starts, ends, at = chunk.words()
     h = tx.span_hash(chunk.prefix(), starts, ends)
     pairs, first = tx.windows(h, at, 2)
-    ids = np.concatenate([h, pairs]) % np.uint64(buckets)
-    return ids.astype(np.int32), at, np.searchsorted(first, at) + len(h)
+    ids = np.concatenate([(h % np.uint64(WORDS)).astype(np.int32), (pairs % np.uint64(PAIRS)).astype(np.int32) + WORDS])
+    return ids, at, np.searchsorted(first, at) + len(h)
 
 
-def counted(docs: DataFrame, target_ids: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """Counts of each bucket in all text and in the target's: 2 x buckets. docs: (doc_id, text); target_ids: at most TARGET_ROWS ids."""
+def counted(docs: DataFrame, target_ids: DataFrame) -> np.ndarray:
+    """Counts of each bucket in all text and in the target's. docs: (doc_id, text); target_ids: at most TARGET_ROWS ids."""
     marked = docs.join(F.broadcast(target_ids.select("doc_id", F.lit(True).alias("target"))), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, buckets), np.int64)
+        total = np.zeros((2, WORDS + PAIRS), np.int64)
         for chunk in tx.chunks(batches):
-            ids, at, pair_at = hashed(chunk, buckets)
-            total[0] += np.bincount(ids, minlength=buckets)
+            ids, at, pair_at = hashed(chunk)
+            total[0] += np.bincount(ids, minlength=WORDS + PAIRS)
             wanted = tx.column(chunk.rows, "target").to_numpy(zero_copy_only=False)
-            for d in np.flatnonzero(wanted):
-                total[1] += np.bincount(np.concatenate([ids[at[d] : at[d + 1]], ids[pair_at[d] : pair_at[d + 1]]]), minlength=buckets)
+            both = [ids[a[d] : a[d + 1]] for d in np.flatnonzero(wanted) for a in (at, pair_at)]
+            if both:
+                total[1] += np.bincount(np.concatenate(both), minlength=WORDS + PAIRS)
         found = np.flatnonzero(total[0])
         yield tx.batch(bucket=found.astype(np.int32), raw=total[0][found], target=total[1][found])
 
     rows = marked.mapInArrow(run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    out = np.zeros((2, buckets))
-    for k, name in enumerate(("raw", "target")):  # at most `buckets` rows, whatever the corpus
+    out = np.zeros((2, WORDS + PAIRS))
+    for k, name in enumerate(("raw", "target")):  # a row a bucket at most, whatever the corpus
         out[k, rows["bucket"].to_numpy()] = rows[name].to_numpy()
     return out
 
 
-def ratios(counts: np.ndarray, smoothing: float = 0.5) -> np.ndarray:
-    """ln P(target) - ln P(raw) of each bucket."""
-    raw, target = counts
-    if not target.sum():
-        return np.zeros(len(raw))
-    # both are smoothed towards the raw text, so that what the smaller target sample lacks by chance weighs little
-    p = (raw + smoothing) / (raw + smoothing).sum()
-    q = (target + smoothing * len(raw) * p) / (target.sum() + smoothing * len(raw))
-    return np.log(q) - np.log(p)
+def ratios(counts: np.ndarray, smoothing: float = 2.0) -> np.ndarray:
+    """ln P(target) - ln P(raw) of each bucket. The same number is added to the target's count and to that expected of raw text of its size, so that what a small target sample lacks by chance weighs little."""
+    out = np.zeros(counts.shape[1])
+    for part in (slice(0, WORDS), slice(WORDS, None)):
+        raw, target = counts[0, part], counts[1, part]
+        if target.sum():
+            out[part] = np.log(target + smoothing) - np.log(raw * target.sum() / raw.sum() + smoothing)
+    return out
 
 
 def keyed(docs: DataFrame, weight: np.ndarray, *, sharpness: float, seed: int, doc_id: str, text: str, above: float | None = None) -> DataFrame:
@@ -84,7 +88,7 @@ def keyed(docs: DataFrame, weight: np.ndarray, *, sharpness: float, seed: int, d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
         for chunk in tx.chunks(batches, text):
-            ids, at, pair_at = hashed(chunk, len(w))
+            ids, at, pair_at = hashed(chunk)
             total = np.concatenate([[0.0], np.cumsum(w[ids])])
             n = np.diff(at) + np.diff(pair_at)
             log_weight = sharpness * (total[at[1:]] - total[at[:-1]] + total[pair_at[1:]] - total[pair_at[:-1]]) / np.sqrt(np.maximum(n, 1))
@@ -121,7 +125,7 @@ def select(docs: DataFrame, labels: DataFrame, *, share: float | None = None, sh
     """(sample, kept): (doc_id, log_weight, key) of the sampled documents, and their rows of docs. labels: (doc_id, target boolean)."""
     if share is None:
         said = labels.agg(F.avg(F.col("target").cast("double"))).first()[0]
-        share = 1.0 if said is None else said
+        share = 1.0 if said is None else min(1.0, said * (1 + MARGIN))
     chosen = labels.where("target").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows)
     weight = ratios(counted(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), chosen))
     how = {"sharpness": sharpness, "seed": seed, "doc_id": doc_id, "text": text}
