@@ -10,4 +10,6 @@ from pyspark.sql import SparkSession
 
 def folder(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{(found or 'file://' + tempfile.mkdtemp(prefix='tallyvox-')).rstrip('/')}/tallyvox/{uuid.uuid4().hex}"
