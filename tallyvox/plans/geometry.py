@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import grid, loss, surface, topology
+from ..sources import volumes
 from . import views
 from .registry import query, table
 from .views import BOXES_SQL, GRID, PROBS_SQL, SPACING
@@ -183,3 +184,30 @@ def p21_p22_intensity_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = t.groupBy("l_suppkey").agg(F.percentile("l_quantity", F.lit(0.01)).alias("lo"), F.percentile("l_quantity", F.lit(0.99)).alias("hi"))
     scaled = F.when(F.col("hi") > F.col("lo"), F.least(F.greatest((F.col("l_quantity") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
     return t.join(edges, "l_suppkey").select("l_orderkey", "l_linenumber", F.round(rules.window_intensity(F.col("l_quantity") * 10 - 200), 4).alias("fixed"), F.round(scaled, 4).alias("by_percentile"))
+
+
+@query(f"WITH {BOXES_SQL} SELECT subject || '_consensus.nii.gz' AS path, 'SUCCESS' AS status, x, y, z, z % 4 + 1 AS label FROM boxes WHERE rater = 'a'")
+def s01_k04_g11_nifti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = volumes.encoded(labelled(spark, sf_dir, "a"), "subject", SHAPE, SPACING)
+    return volumes.voxels(volumes.decoded(files)).select("path", F.lit("SUCCESS").alias("status"), "x", "y", "z", "label")
+
+
+@query("""SELECT p_partkey || '_probs.npz' AS path, x.i AS x, y.i AS y, 0 AS z, CAST((p_partkey + x.i + 2 * y.i) % 5 AS INTEGER) AS label, 5e-1 AS top FROM part, (SELECT range AS i FROM range(3)) x, (SELECT range AS i FROM range(2)) y WHERE p_partkey < 24""")
+def s03_k07_npz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = table(spark, sf_dir, "part").where("p_partkey < 24").select(F.col("p_partkey").alias("subject"))
+    label = (F.col("subject") + F.col("x") + 2 * F.col("y")) % 5
+    rows = grid.target_grid(groups, (3, 2, 1)).withColumn("p", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda c: F.when(c == label, 0.5).otherwise(0.125).cast("float")))
+    back = volumes.decoded_probabilities(volumes.encoded_probabilities(rows, "subject", (3, 2, 1)))
+    return back.select("path", "x", "y", "z", rules.top_class(F.col("p")).alias("label"), F.array_max("p").cast("double").alias("top"))
+
+
+@query("""WITH v AS (SELECT event_id, (event_id * 7 % 100) / 1e2 AS d, (event_id * 13 % 100) / 1e2 AS i, event_id % 8 AS b, (event_id * 3 % 20) / 1e2 AS h FROM events)
+SELECT event_id, CASE WHEN b > 5 OR d < 5e-1 OR h > 15e-2 THEN 'NOISE_REJECT' WHEN d >= 82e-2 AND i >= 85e-2 AND b <= 2 THEN 'CLEAN_HIGH_CONFIDENCE' ELSE 'WEAK_COARSE' END AS category,
+  CASE WHEN 2 * b + 3 > 0 THEN 2e0 * b / (2 * b + 3) ELSE 1e0 END AS dice, round(4e-1 * d + 6e-1 * greatest(0e0, 1 - b * 10 / 5e1), 6) AS composite FROM v""")
+def p01_m02_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.sql import register
+
+    register(spark)
+    table(spark, sf_dir, "events").select("event_id").createOrReplaceTempView("tallyvox_events")
+    return spark.sql("""WITH v AS (SELECT event_id, (event_id * 7 % 100) / 1e2 AS d, (event_id * 13 % 100) / 1e2 AS i, CAST(event_id % 8 AS INT) AS b, (event_id * 3 % 20) / 1e2 AS h FROM tallyvox_events)
+        SELECT event_id, triage_case(d, i, b, h) AS category, dice(b, 1L, 2L) AS dice, round(composite_score(d, b * 10e0), 6) AS composite FROM v""")

@@ -89,16 +89,32 @@ def _decoded(path: str, raw: bytes) -> tuple:
         return (path, f"ERROR: {e}"[:200], None, None, None, None, None, None, None)
 
 
-def read_volumes(spark: SparkSession, path: str, pattern: str = "*.nii.gz") -> DataFrame:
-    """One row a file: path, status, shape, spacing, affine and its foreground voxels as arrays. Files of no bytes give no row; compare with a listing."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")
+def decoded(files: DataFrame) -> DataFrame:
+    """One row for each of files(path, content): path, status, shape, spacing, affine and its foreground voxels as arrays."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for name, raw in zip(rows["path"], rows["content"], strict=True):
                 yield pd.DataFrame([_decoded(name, raw)], columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return files.mapInPandas(run, SCHEMA)
+    return files.select("path", "content").mapInPandas(run, SCHEMA)
+
+
+def read_volumes(spark: SparkSession, path: str, pattern: str = "*.nii.gz") -> DataFrame:
+    """decoded() files of a folder. Files of no bytes give no row; compare with a listing."""
+    return decoded(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path))
+
+
+def encoded(voxels: DataFrame, by: str, shape: tuple[int, int, int], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), suffix: str = "_consensus.nii.gz") -> DataFrame:
+    """(path, content): a NIfTI file of each group's labelled voxels, to be stored as a table or handed to an exporter. A group is one scan."""
+    affine = np.diag([*spacing, 1.0])
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        data = np.zeros(shape, np.uint8)
+        data[tuple(rows[c].to_numpy() for c in "xyz")] = rows["label"].to_numpy()
+        return pd.DataFrame({"path": [f"{key[0]}{suffix}"], "content": [encode_nifti(data, affine)]})
+
+    return voxels.groupBy(by).applyInPandas(run, "path string, content binary")
 
 
 def voxels(volumes: DataFrame) -> DataFrame:
@@ -106,9 +122,8 @@ def voxels(volumes: DataFrame) -> DataFrame:
     return volumes.where("status = 'SUCCESS'").select("path", F.explode(F.arrays_zip("x", "y", "z", "label")).alias("v")).select("path", "v.*")
 
 
-def read_probabilities(spark: SparkSession, path: str, pattern: str = "*.npz") -> DataFrame:
-    """(path, x, y, z, p): arrays of class probabilities from the `probs` array (classes first) of each file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+def decoded_probabilities(files: DataFrame) -> DataFrame:
+    """(path, x, y, z, p) of files(path, content): arrays of class probabilities from the `probs` array (classes first) of each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -118,4 +133,21 @@ def read_probabilities(spark: SparkSession, path: str, pattern: str = "*.npz") -
                     y, z = np.meshgrid(np.arange(p.shape[2]), np.arange(p.shape[3]), indexing="ij")
                     yield pd.DataFrame({"path": name, "x": np.int32(x), "y": y.ravel().astype(np.int32), "z": z.ravel().astype(np.int32), "p": list(p[:, x].reshape(len(p), -1).T)})
 
-    return files.mapInPandas(run, "path string, x int, y int, z int, p array<float>")
+    return files.select("path", "content").mapInPandas(run, "path string, x int, y int, z int, p array<float>")
+
+
+def read_probabilities(spark: SparkSession, path: str, pattern: str = "*.npz") -> DataFrame:
+    return decoded_probabilities(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path))
+
+
+def encoded_probabilities(rows: DataFrame, by: str, shape: tuple[int, int, int], classes: int = 5) -> DataFrame:
+    """(path, content): an NPZ file of half-precision probabilities for each group of (by, x, y, z, p)."""
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        data = np.zeros((classes, *shape), np.float16)
+        data[(slice(None), *(part[c].to_numpy() for c in "xyz"))] = np.stack(part["p"].to_numpy()).T
+        out = io.BytesIO()
+        np.savez_compressed(out, probs=data)
+        return pd.DataFrame({"path": [f"{key[0]}_probs.npz"], "content": [out.getvalue()]})
+
+    return rows.groupBy(by).applyInPandas(run, "path string, content binary")
