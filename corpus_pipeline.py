@@ -23,8 +23,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that occur again, n_chars counted anew; emptied documents go."""
-    return suffix_dedup.remove(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Texts without the strings of 200 bytes (passages of some 40 words) that occur again, n_chars counted anew; emptied documents go."""
+    return suffix_dedup.remove(docs, length=200).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

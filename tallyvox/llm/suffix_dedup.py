@@ -75,12 +75,12 @@ def anchored(chunk: tx.Chunk, length: int = LENGTH, k: int = ANCHOR) -> tuple[np
     return document, lo - at[document], windows, anchor - lo, h[anchor], tx.span_hash(prefix, lo, lo + windows - 1 + length)
 
 
-def segments(docs: DataFrame) -> DataFrame:
+def segments(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc, same, lo, run, anchor, g, seg) of keyed documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in tx.chunks(batches, size=tx.CHUNK // 2):  # some fifteen numbers a byte are held
-            d, lo, windows, anchor, g, seg = anchored(chunk)
+        for chunk in tx.chunks(batches):  # some fifteen numbers a byte are held
+            d, lo, windows, anchor, g, seg = anchored(chunk, length)
             d = pa.array(d)
             yield tx.batch(doc=tx.column(chunk.rows, "doc").take(d), same=tx.column(chunk.rows, "same").take(d), lo=lo.astype(np.int32), run=windows.astype(np.int32), anchor=anchor.astype(np.int32), g=tx.ints(g), seg=tx.ints(seg))
 
@@ -232,16 +232,16 @@ def pieces(segs: DataFrame, width: int, length: int = LENGTH) -> DataFrame:
     return segs.mapInArrow(run, "g long, seg long, m long, run int, anchor int, data binary, parent_g long, parent_seg long, shift int")
 
 
-def resolved(segs: DataFrame, widths: tuple[int, ...] = (32, 4, 1), limit: int = LIMIT) -> DataFrame:
+def resolved(segs: DataFrame, widths: tuple[int, ...] = (32, 4, 1), limit: int = LIMIT, length: int = LENGTH) -> DataFrame:
     """(g, seg, shift, spans): spans are from `shift` windows after the segment's first."""
     crowd = segs.groupBy("g").agg(F.count_distinct("seg").alias("n")).where(F.col("n") > limit)
     crowd = written(crowd.select("g"), "crowded") if widths else None
     if crowd is None or crowd.isEmpty():
-        return sorted_spans(segs).select("g", "seg", F.lit(0).alias("shift"), "spans")
-    rest = sorted_spans(segs.join(crowd, "g", "left_anti")).select("g", "seg", F.lit(0).alias("shift"), "spans")
-    cut = written(pieces(segs.join(crowd, "g", "left_semi").dropDuplicates(["g", "seg"]), widths[0]), "pieces")
+        return sorted_spans(segs, length).select("g", "seg", F.lit(0).alias("shift"), "spans")
+    rest = sorted_spans(segs.join(crowd, "g", "left_anti"), length).select("g", "seg", F.lit(0).alias("shift"), "spans")
+    cut = written(pieces(segs.join(crowd, "g", "left_semi").dropDuplicates(["g", "seg"]), widths[0], length), "pieces")
     one = cut.groupBy("g", "seg").agg(F.sum("m").alias("m"), F.first("run").alias("run"), F.first("anchor").alias("anchor"), F.first("data").alias("data"))
-    below = resolved(written(one, "segments"), widths[1:], limit).withColumnRenamed("shift", "inner")
+    below = resolved(written(one, "segments"), widths[1:], limit, length).withColumnRenamed("shift", "inner")
     back = cut.select("g", "seg", "parent_g", "parent_seg", "shift").join(below, ["g", "seg"])
     return rest.unionByName(back.select(F.col("parent_g").alias("g"), F.col("parent_seg").alias("seg"), (F.col("shift") + F.col("inner")).alias("shift"), "spans"))
 
@@ -254,9 +254,10 @@ def within(df: DataFrame, payload: str) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, limit: int = LIMIT, length: int = LENGTH) -> DataFrame:
     """(doc, same, spans): the byte spans of keyed documents that repeated windows cover; spans is a list of (lo, spans) to be shifted by lo."""
-    found = written(segments(docs), "anchors")
+    found = written(segments(docs, length), "anchors")
     kinds = found.groupBy("g").agg(F.count("*").alias("n"), (F.min("seg") == F.max("seg")).alias("alike")).where("n > 1")
-    shared = written(found.join(kinds.select("g", "alike"), "g"), "shared")
+    kinds = written(kinds.select("g", "alike"), "kinds")  # as a table, so that the join can be split where one anchor has very many segments
+    shared = written(found.join(kinds, "g"), "shared")
     mixed = shared.where("not alike")
     reps = mixed.groupBy("g", "seg").agg(F.count("*").alias("m"), F.min(F.struct("doc", "same", "lo", "run", "anchor")).alias("at"))
     pack = F.struct("g", "seg", "m", F.col("at.lo").alias("lo"), F.col("at.run").alias("run"), F.col("at.anchor").alias("anchor"))
@@ -273,7 +274,7 @@ def repeated_spans(docs: DataFrame, limit: int = LIMIT, length: int = LENGTH) ->
             yield tx.batch(**{c: inner.field(c) for c in ("g", "seg", "m", "run", "anchor")}, data=pa.array([raw[a:b] for a, b in zip(lo.tolist(), stop.tolist(), strict=True)], pa.binary()))
 
     segs = written(docs.select(*KEY, "text").join(listed, KEY).select("text", "wanted").mapInArrow(cut, "g long, seg long, m long, run int, anchor int, data binary"), "segments")
-    spans = resolved(segs, limit=limit).where(F.length("spans") > 0)
+    spans = resolved(segs, limit=limit, length=length).where(F.length("spans") > 0)
     some = mixed.select(*KEY, "lo", "g", "seg").join(spans, ["g", "seg"]).select(*KEY, (F.col("lo") + F.col("shift")).alias("lo"), "spans")
     all_ = shared.where("alike").select(*KEY, "lo", F.lit(None).cast("binary").alias("spans"), (F.col("run") - 1 + length).alias("size"))
     return some.withColumn("size", F.lit(0)).unionByName(all_).groupBy(*KEY).agg(F.collect_list(F.struct("lo", "size", "spans")).alias("spans"))  # spans of one document
@@ -294,7 +295,7 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return list(zip(both[new, 0].tolist(), reach[np.append(new[1:], len(both)) - 1].tolist(), strict=True))
 
 
-def _with_spans(docs: DataFrame, limit: int) -> DataFrame:
+def _with_spans(docs: DataFrame, limit: int, length: int) -> DataFrame:
     """docs (with doc, same and text) and spans, as one binary of (begin, end) pairs; null where nothing is removed."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +303,7 @@ def _with_spans(docs: DataFrame, limit: int) -> DataFrame:
             both = [np.array(merged(x), "<i8").tobytes() for x in rows["spans"].to_pylist()]
             yield pa.RecordBatch.from_arrays([rows["doc"], rows["same"], pa.array(both, pa.binary())], names=[*KEY, "spans"])
 
-    spans = repeated_spans(docs.select(*KEY, "text"), limit).mapInArrow(merge, "doc long, same long, spans binary")
+    spans = repeated_spans(docs.select(*KEY, "text"), limit, length).mapInArrow(merge, "doc long, same long, spans binary")
     spans = written(spans, "spans")
     return docs.join(within(spans, "spans"), KEY, "left")
 
@@ -320,7 +321,7 @@ def kept_bytes(raw: bytes, spans: bytes | None) -> tuple[bytes, int, int]:
     return kept, len(raw) - len(kept), len(pairs)
 
 
-def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
+def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,13 +333,13 @@ def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", limit
                 rows.append((removed, n, hashlib.sha256(kept).hexdigest()))
             yield tx.batch(doc_id=tx.column(chunk.rows, "doc_id"), n_bytes=np.diff(chunk.at), n_removed=pa.array([r[0] for r in rows], pa.int64()), n_spans=pa.array([r[1] for r in rows], pa.int64()), kept_sha256=pa.array([r[2] for r in rows], pa.string()))
 
-    return _with_spans(keyed(docs, doc_id, text), limit).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(keyed(docs, doc_id, text), limit, length).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
+def remove(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT, length: int = LENGTH) -> DataFrame:
     """docs with the repeated strings cut out of their text; documents of which nothing is left go, others keep all columns."""
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"), *[v.alias(k) for k, v in key_of(doc_id, text).items()])
-    found = _with_spans(packed, limit).select("row", "text", "spans")
+    found = _with_spans(packed, limit, length).select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in tx.chunks(batches):

@@ -423,10 +423,10 @@ def brute_repeats(rows, length=400):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("limit", [4096, 2])
-def test_repeated_strings(frame, odd, limit):
-    got = suffix_dedup.report(frame, limit=limit)
-    assert rows_of(got, *got.columns) == brute_repeats(odd)
+@pytest.mark.parametrize(("limit", "length"), [(4096, 400), (2, 400), (4096, 200), (2, 64)])
+def test_repeated_strings(frame, odd, limit, length):
+    got = suffix_dedup.report(frame, limit=limit, length=length)
+    assert rows_of(got, *got.columns) == brute_repeats(odd, length)
 
 
 def test_texts_without_repeats(frame, odd, empty):
