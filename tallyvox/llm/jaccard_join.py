@@ -224,7 +224,8 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle
     near = shared.groupBy("fp", "pivot").agg(F.count("*").alias("c"))
     best = near.groupBy("fp").agg(F.max(F.struct("c", F.col("pivot"))).alias("m")).select("fp", F.col("m.pivot").alias("pivot"))
     placed = best.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "pivot", F.coalesce("root", "fp").alias("comp"), F.coalesce("root", F.lit(0)).alias("own"))
-    many = placed.groupBy("pivot", "own").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    placed = written(placed, "placed")
+    many = written(placed.groupBy("pivot", "own").agg(F.ceil(F.count("*") / block).alias("blocks")), "many")  # sums as tables, so that joins with them can be split
     grouped = written(placed.join(many, ["pivot", "own"]).select("fp", "comp", F.xxhash64("pivot", "own", F.pmod(F.xxhash64("fp"), "blocks")).alias("gid")).join(sets.drop("bands", "rare"), "fp"), "groups")
     rows = written(shared.select("token", "fp", "n").join(grouped.select("fp", "comp", "gid"), "fp"), "matrix-rows")
     open_ = rows.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
@@ -247,7 +248,9 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle
     over = components(across)
     final = comp.join(over.select(F.col("node").alias("comp"), "root"), "comp", "left").select("fp", F.coalesce("root", "comp").alias("root"))
     ids = members.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id")).join(final, "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
-    named = ids.join(ids.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("fp", "component_id")
+    ids = written(ids, "ids")
+    least = written(ids.groupBy("root").agg(F.min("id").alias("component_id")), "least")
+    named = written(ids.join(least, "root").select("fp", "component_id"), "named")
     return members.join(named, "fp", "left").select("doc_id", *KEY, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
