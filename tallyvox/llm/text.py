@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 try:  # glibc: large arrays go back to the system when they are freed, instead of staying with the worker
     ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)
 except OSError:
