@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import CLEAN, LEGACY_REJECT, TEACHER, WEAK, autolabel
+from ..sources.shared import written
 
 
 def autolabel_stats(pairs: DataFrame, by: list[str], human: str = "gt", consensus: str = "pred") -> DataFrame:
@@ -41,15 +42,15 @@ def splits(audit: DataFrame, subject: str = "subject_id") -> DataFrame:
 
 
 def ranked(df: DataFrame, order: list[Column], name: str = "rn", by: list[str] | None = None) -> DataFrame:
-    """Row numbers from 1. Without `by` rows are numbered over range partitions: a count a partition gives each its offset, so no single task sorts all."""
+    """Row numbers from 1. Without `by` rows are numbered over range partitions: a count a partition gives each its offset, so no single task sorts all. The numbered partitions are written once, as range bounds are sampled anew each time they are asked for."""
     if by:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     parted = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    parted = parted.select("*", F.shiftright("_id", 33).cast("int").alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_nth"))
+    parted = written(parted.select(*df.columns, F.shiftright("_id", 33).cast("int").alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_nth")))
     counts = parted.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return parted.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_nth") + 1).drop("_id", "_part", "_nth", "_before")
+    return parted.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_nth") + 1).select(*df.columns, name)
 
 
 def fold_of(rn: Column, n: Column, k: int) -> Column:

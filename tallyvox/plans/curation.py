@@ -170,7 +170,7 @@ def s16_synthetic_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {NAMED_SQL} SELECT subject_id, status, mean_consensus_dice, mean_consensus_iou, mean_inter_model_dice, max_betti_diff, mean_uncertainty, max_uncertainty, triage_category FROM named")
 def s04_s05_k01_k03_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .scratch import folder
+    from ..sources.shared import folder
 
     path = f"{folder(spark)}/audit-csv"
     tables.write_csv(named_audit(spark, sf_dir).select(*tables.AUDIT.names), path)
@@ -179,7 +179,7 @@ def s04_s05_k01_k03_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {NAMED_SQL} SELECT subject_id FROM named WHERE triage_category = 'WEAK_COARSE'")
 def s06_k05_text_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .scratch import folder
+    from ..sources.shared import folder
 
     path = f"{folder(spark)}/weak-list"
     tables.write_list(named_audit(spark, sf_dir).where(F.col("triage_category") == rules.WEAK), "subject_id", path)
@@ -189,7 +189,7 @@ def s06_k05_text_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {NAMED_SQL} SELECT triage_category AS category, count(*) AS n FROM named WHERE status = 'SUCCESS' GROUP BY ALL
 UNION ALL SELECT 'TRAIN_POOL', count(*) FROM named WHERE status = 'SUCCESS' AND triage_category <> 'NOISE_REJECT'""")
 def s07_k06_json_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .scratch import folder
+    from ..sources.shared import folder
 
     path = f"{folder(spark)}/manifest-json"
     limits = {"NOISE_BETTI_DIFF_MAX": rules.NOISE_BETTI_DIFF_MAX, "NOISE_DICE_MIN": rules.NOISE_DICE_MIN, "CLEAN_DICE_MIN": rules.CLEAN_DICE_MIN}
@@ -406,7 +406,7 @@ def r09_r10_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def r07_r08_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import monitor
-    from .scratch import folder
+    from ..sources.shared import folder
 
     at = folder(spark)
     e = table(spark, sf_dir, "events").select("event_id", "event_type")
