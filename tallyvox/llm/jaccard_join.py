@@ -165,21 +165,23 @@ def can_link(n1: Column, n2: Column, s1: Column, s2: Column, percent: int) -> Co
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * apart <= (100 - percent) * (n1 + n2))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets that link, by their whole sets."""
+def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets that link, by their whole sets. A wanted set comes from one of its documents: the others aren't tokenized again."""
     pairs = written(pairs, "pairs")
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "wanted")
     sent = docs.sparkSession.sparkContext.broadcast(bits_of(wanted, WANTED_BITS))
+    holders = members.where("n > 0").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("doc").alias("doc"))
+    held = docs.sparkSession.sparkContext.broadcast(bits_of(holders.select("doc"), WANTED_BITS))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for chunk in tx.chunks(batches):
+        for chunk in tx.chunks(rows.filter(pa.array(has(held.value, rows["doc"].to_numpy().view(np.uint64)))) for rows in batches):
             sets, n, fp = token_sets(chunk, shingle)
             keep = [d for d in np.flatnonzero(has(sent.value, fp) & (n > 0)).tolist() if int(fp[d]) not in seen and not seen.add(int(fp[d]))]
             if keep:
                 yield tx.batch(fp=tx.ints(fp[keep]), tokens=pa.array([sets[d].tobytes() for d in keep], pa.binary()))
 
-    whole = docs.select("text").mapInArrow(gather, "fp long, tokens binary").join(wanted, "fp", "left_semi").dropDuplicates(["fp"])
+    whole = docs.select("doc", "text").mapInArrow(gather, "fp long, tokens binary").join(wanted, "fp", "left_semi").dropDuplicates(["fp"])
     whole = written(whole, "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +217,7 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle
     first = first.join(one, "fp").join(two, "pivot").where(can_link(F.col("n"), F.col("pn"), F.col("sketch"), F.col("ps"), percent))
     first = first.groupBy("fp").agg(F.min("head").alias("least"), F.max(F.struct("c", "pivot")).alias("nearest")).select("fp", F.explode(F.array_distinct(F.array("least.fp", "nearest.pivot"))).alias("pivot"))
     first = first.select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
-    links = verified(docs, first, shingle, percent)
+    links = verified(docs, members, first, shingle, percent)
     roots = written(components(links), "roots")
 
     # 2: groups and their token unions
@@ -242,7 +244,7 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle
     pairs = pairs.select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b")).distinct()
 
     # 3: links between components
-    more = verified(docs, pairs, shingle, percent)
+    more = verified(docs, members, pairs, shingle, percent)
     comp = grouped.select("fp", "comp")
     across = more.join(comp.select(F.col("fp").alias("a"), F.col("comp").alias("u")), "a").join(comp.select(F.col("fp").alias("b"), F.col("comp").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
     over = components(across)
