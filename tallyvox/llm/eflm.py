@@ -1,38 +1,47 @@
-"""Language-model scoring with an n-gram trie in Elias-Fano code.
+"""Language-model scoring with sharded n-gram tries in Elias-Fano code.
 
-Words are white-space tokens, A-Z lower-cased; each text ends with an end token. Unigrams are counted over all training
-text, exactly. A trie of bigrams and trigrams holds interpolated, absolutely discounted probabilities in 8 bits each; what
-pruning leaves out goes to the back-off weights, so each context's probabilities sum to one. The trie's size is bounded
-by parameters: a word, bigram or trigram is in it from the least count at which no more than so many are. Tasks map its
-bytes from a file that they unlink at once. Words outside the trie keep their exact unigram probability by a join.
+Words are white-space tokens, A-Z lower-cased; each text ends with an end token. Probabilities of unigrams, bigrams and
+trigrams are interpolated with absolute discounting. Every bigram and trigram found LEAST times or more in the training text
+is in the model, which grows with it: n-grams are partitioned by a hash of their context, each part is built by one task and
+is one file in the shared folder. What is found less often goes to the back-off weights, so each context's probabilities
+sum to one. Values have 8 bits each.
+
+For scoring, each token's trigram goes to the part of its context, from there its bigram to the part of that one's context;
+many lookups of one part are dealt out to several tasks, which all read its file. The most frequent words have short numbers,
+which every task knows; the others stand as hashes and get their exact counts by a join. Sums come back by a hash of the
+text's tokens, and rows with the same text get the same score.
 
 Null and empty texts are their end token. Repeated rows are scored each on its own. A null id is training text. Without
-training text every probability is 1 / (V + 1) with V = 0. Columns other than id and text aren't read.
+training text every probability is 1 / (V + 1) with V = 0. Columns other than id and text aren't read. spark.checkpoint.dir
+must be a folder that tasks can open as files.
 """
 
 from __future__ import annotations
 
 import io
 import os
-import tempfile
-import zipfile
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
 from .eliasfano import Level
-from .scratch import written
-
-#: Bounds of the trie: words known by number, words in its contexts, bigrams, trigrams.
-WORDS, CONTEXT_WORDS, BIGRAMS, TRIGRAMS = 1 << 19, 1 << 16, 1 << 20, 1 << 20
-DISCOUNT = 0.75
+from .scratch import shared_dir, written
+
+U = np.uint64
+#: Words that have short numbers. This is for speed only: other words stand as hashes, with the top bit set.
+WORDS = 1 << 19
+TOP, BITS, START = U(1 << 63), U(20), U((1 << 20) - 1)
+LEAST, DISCOUNT = 2, 0.75
+#: Training tokens a part of the model is to hold, and tokens a task holds before it sends them on.
+PART_TOKENS, FLUSH = 1 << 21, 1 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 END = np.uint64(0x5E4DE4D5E4DE4D5F)
 #: Distinct keys a task counts before it sends them on.
 HELD = 1 << 21
@@ -42,7 +51,7 @@ def words_of(chunk: tx.Chunk) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, an end token after each document's words, and the documents' offsets."""
     low = chunk.lower()
     starts, ends, at = low.words()
-    h = np.insert(tx.span_hash(low.prefix(), starts, ends), at[1:], END)
+    h = np.insert(tx.span_hash(low.prefix(), starts, ends), at[1:], END) | TOP
     return h, at + np.arange(len(at))
 
 
@@ -74,20 +83,10 @@ def _merge(held: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k, np.bincount(back, np.concatenate(counts)).astype(np.int64)
 
 
-def most(counts: DataFrame, room: int, least: int = 1) -> dict[str, np.ndarray]:
-    """key and c of the rows from the least count, at least `least`, at which there are no more than `room`; by falling c, then key."""
-    low, run = least, 0
-    # counts of counts: few rows, and large counts are put together
-    bins = counts.groupBy(F.least("c", F.lit(1 << 16)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.col("c").desc()).toArrow()
-    for c, n in zip(bins["c"].to_pylist(), bins["n"].to_pylist(), strict=True):
-        run += n
-        if run > room:
-            low = max(least, c + 1)
-            break
-    found = counts.where(F.col("c") >= low).select("key", "c").toArrow()
-    key, c = (found[x].to_numpy().astype(np.int64) for x in ("key", "c"))
-    order = np.lexsort((key, -c))
-    return {"key": key[order], "c": c[order]}
+def most(counts: DataFrame, room: int) -> dict[str, np.ndarray]:
+    """key and c of the `room` most frequent, by falling c, then key."""
+    found = counts.select("key", "c").orderBy(F.col("c").desc(), "key").limit(room).toArrow()
+    return {x: found[x].to_numpy().astype(np.int64) for x in ("key", "c")}
 
 
 class Words:
@@ -133,36 +132,126 @@ def packed(arrays: dict[str, np.ndarray]) -> bytes:
     return out.getvalue()
 
 
+def pair(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The context (u, v) as a hash."""
+    return tx.mix(tx.mix(u + U(1)) * U(0xD6E8FEB86659FD93) + v)
+
+
+def shard_of(context: np.ndarray, parts: int) -> np.ndarray:
+    return (tx.mix(context ^ U(0x5851F42D4C957F2D)) % U(parts)).astype(np.int64)
+
+
+def short(*words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether all words have short numbers, those numbers in one)."""
+    ok, key = np.ones(len(words[0]), bool), np.zeros(len(words[0]), U)
+    for w in words:
+        ok &= w < U(1 << 20)
+        key = key << BITS | w
+    return ok, key
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """The bytes of an array, first bytes first, compressed."""
+    if not x.size:
+        return b""
+    raw = np.ascontiguousarray(x).reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def loose(raw: bytes, kind: type) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def told(key: bytes, rest: bytes, n: int) -> list[np.ndarray]:
+    """The n words each of short ones, then of others."""
+    k, r = loose(key, np.uint32).reshape(n, -1), loose(rest, U).reshape(n, -1)
+    return [np.concatenate([k[j].astype(U), r[j]]) for j in range(n)]
+
+
+def routed(shard: np.ndarray, parts: int, words: tuple[np.ndarray, ...], level: int, **with_them: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (level, shard, salt, key, rest, more...) with the arrays as bytes. A row has at most twice the mean of a part; what is over goes out under another salt."""
+    room = 2 * len(shard) // parts + 1024
+    ok, _ = short(*words)
+    order = np.lexsort((~ok, shard)) if parts > 1 else np.argsort(~ok, kind="stable")
+    edge = np.searchsorted(shard[order], np.arange(parts + 1))
+    pieces = [(s, i, order[lo : min(lo + room, edge[s + 1])]) for s in np.flatnonzero(np.diff(edge)) for i, lo in enumerate(range(edge[s], edge[s + 1], room))]
+    cells = {"level": pa.array([level] * len(pieces), pa.int32()), "shard": pa.array([int(x[0]) for x in pieces], pa.int32()), "salt": pa.array([x[1] for x in pieces], pa.int32())}
+    cells["key"] = pa.array([squeezed(np.stack([w[q[ok[q]]] for w in words]).astype(np.uint32)) for *_, q in pieces], pa.binary())
+    cells["rest"] = pa.array([squeezed(np.stack([w[q[~ok[q]]] for w in words])) for *_, q in pieces], pa.binary())
+    cells |= {name: pa.array([squeezed(v[q]) for *_, q in pieces], pa.binary()) for name, v in with_them.items()}
+    whole = pa.RecordBatch.from_pydict(cells)
+    for i in range(0, len(pieces), 64):
+        yield whole.slice(i, 64)
+
+
+def small(p: np.ndarray) -> np.ndarray:
+    """Logarithms in two bytes, finer than the 8-bit values they are of; of 0 minus infinity."""
+    with np.errstate(divide="ignore"):
+        return np.log10(p).astype(np.float16)
+
+
+ROUTED = "level int, shard int, salt int, key binary, rest binary"
+
+
+class Part:
+    """A part of a level, read from its file: discounted probabilities, and what is left for lower orders."""
+
+    def __init__(self, path: str):
+        a = np.load(path)
+        self.context, self.word = a["context"], a["word"]
+        self.level = Level.of({k[2:]: a[k] for k in a.files if k.startswith("t_")})
+        self.p, self.off = 10.0 ** a["p_book"].astype(float), 10.0 ** a["off_book"].astype(float)
+        self.p_code, self.off_code = a["p"], a["off"]
+
+    @staticmethod
+    def write(path: str, context: np.ndarray, word: np.ndarray, c: np.ndarray, discount: float) -> None:
+        """context, word, c: distinct n-grams, all of those of each context."""
+        order = np.lexsort((word, context))
+        context, word, c = context[order], word[order], c[order]
+        _, parent = np.unique(context, return_inverse=True)
+        total = np.bincount(parent, c)[parent]
+        keep = c >= LEAST
+        context, word, c, total = context[keep], word[keep], c[keep], total[keep]
+        names, begin, parent = np.unique(context, return_index=True, return_inverse=True)
+        vocabulary, number = np.unique(word, return_inverse=True)
+        p = (c - discount) / total
+        off = np.maximum(1e-9, 1 - np.bincount(parent, p, len(names)))
+        a = {"context": names, "word": vocabulary} | {f"t_{k}": v for k, v in Level.arrays(parent, number, len(names)).items()}
+        a["p"], a["p_book"] = quantised(np.log10(p))
+        a["off"], a["off_book"] = quantised(np.log10(off))
+        whole = f"{path}.{uuid.uuid4().hex}"
+        with open(whole, "wb") as f:
+            f.write(packed(a))
+        os.replace(whole, path)  # another attempt's file is the same
+
+    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(discounted probability, weight of the lower order); 0 and 1 for unknown contexts."""
+        p, off = np.zeros(len(context)), np.ones(len(context))
+        if not len(self.context):
+            return p, off
+        node = np.minimum(np.searchsorted(self.context, context), len(self.context) - 1)
+        q = np.flatnonzero(self.context[node] == context)
+        off[q] = self.off[self.off_code[node[q]]]
+        number = np.minimum(np.searchsorted(self.word, word[q]), len(self.word) - 1)
+        there = self.word[number] == word[q]
+        q, number = q[there], number[there]
+        place = self.level.child(node[q], number)
+        p[q[place >= 0]] = self.p[self.p_code[place[place >= 0]]]
+        return p, off
+
+
 class Model:
-    """A trie mapped from its bytes. Levels: 1 from a word to its followers, 2 from a bigram to its."""
+    """What every task knows: totals, the most frequent words, and where the parts are."""
 
     def __init__(self, raw: bytes):
-        handle, path = tempfile.mkstemp()
-        with os.fdopen(handle, "wb") as f:
-            f.write(raw)
-        mapped = np.asarray(np.memmap(path, np.uint8, "r"))
-        os.unlink(path)  # the mapping stays
-        a = {}
-        with zipfile.ZipFile(io.BytesIO(raw)) as z:
-            for x in z.infolist():
-                skip = x.header_offset + 30 + int.from_bytes(raw[x.header_offset + 26 : x.header_offset + 28], "little") + int.from_bytes(raw[x.header_offset + 28 : x.header_offset + 30], "little")
-                f = io.BytesIO(raw[skip : skip + 256])
-                np.lib.format.read_magic(f)
-                shape, _, kind = np.lib.format.read_array_header_1_0(f)
-                begin = skip + f.tell()
-                a[x.filename[:-4]] = mapped[begin : begin + int(np.prod(shape)) * kind.itemsize].view(kind) if np.prod(shape) else np.zeros(shape, kind)
-        self.total, self.distinct = a["totals"].tolist()
-        self.words, self.count = Words(a["key"].view(np.uint64)), a["c"]
-        self.context = int(a["context"][0])
-        self.levels, self.p, self.off = [], [], [a["off1"]] if "off1" in a else []
-        self.books = [a["off1_book"]] if "off1" in a else []
-        for k in (2, 3):
-            if f"{k}_begin_head" in a:
-                self.levels.append(Level.of({x[2:]: v for x, v in a.items() if x.startswith(f"{k}_")}))
-                self.p.append((a[f"p{k}"], a[f"p{k}_book"]))
-                if f"off{k}" in a:
-                    self.off.append(a[f"off{k}"])
-                    self.books.append(a[f"off{k}_book"])
+        a = np.load(io.BytesIO(raw))
+        self.total, self.distinct, self.parts = a["totals"].tolist()
+        self.folder = str(a["folder"])
+        self.words, self.count = Words(a["key"].view(U)), a["c"]
+        self.held: tuple[str, Part | None] = ("", None)
 
     def unigram(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 1) / (self.total + self.distinct + 1))
@@ -170,45 +259,45 @@ class Model:
     def number(self, h: np.ndarray) -> np.ndarray:
         return self.words.find(h)
 
-    def bigram(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Places of known bigrams, -1 for others."""
-        out = np.full(len(left), -1, np.int64)
-        if self.levels:
-            q = np.flatnonzero((left >= 0) & (left < self.context) & (right >= 0) & (right < self.context))
-            out[q] = self.levels[0].child(left[q], right[q])
-        return out
-
-    def score(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word numbers, base, score) of tokens; for unknown words base is 0 and score what backing off to the unigram costs."""
+    def named(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the most frequent words, hashes of others."""
         w = self.number(h)
-        known = w >= 0
-        base = np.zeros(len(h))
-        base[known] = self.unigram(self.count[w[known]])
-        out = base.copy()
-        first = np.zeros(len(h), bool)
+        return np.where(w >= 0, w.astype(U), h)
+
+    def path(self, level: int, shard: int) -> str:
+        return f"{self.folder}/{level}-{shard}.npz"
+
+    def part(self, level: int, shard: int) -> Part | None:
+        path = self.path(level, shard)
+        if self.held[0] != path:
+            self.held = path, Part(path) if os.path.exists(path) else None
+        return self.held[1]
+
+    def find(self, level: int, shard: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = self.part(level, shard)
+        return found.find(context, word) if found else (np.zeros(len(word)), np.ones(len(word)))
+
+    def trigrams(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each token with the two before it."""
+        w = self.named(h)
+        first = np.zeros(len(h) + 1, bool)
         first[at[:-1]] = True
-        left = np.append(-1, w[:-1])
-        left[first] = -1
-        if not self.levels:
-            return w, base, out
-        two = self.bigram(left, w)
-        hit = two >= 0
-        codes, book = self.p[0]
-        out[hit] = book[codes[two[hit]]]
-        miss = np.flatnonzero(~hit & (left >= 0) & (left < self.context))
-        out[miss] += self.books[0][self.off[0][left[miss]]]
-        if len(self.levels) > 1:
-            before = np.append(-1, two[:-1])
-            before[first] = -1
-            q = np.flatnonzero(before >= 0)
-            three = np.full(len(q), -1, np.int64)
-            ok = (w[q] >= 0) & (w[q] < self.context)
-            three[ok] = self.levels[1].child(before[q[ok]], w[q[ok]])
-            hit = three >= 0
-            codes, book = self.p[1]
-            out[q[hit]] = book[codes[three[hit]]]
-            out[q[~hit]] += self.books[1][self.off[1][before[q[~hit]]]]
-        return w, base, out
+        v = np.where(first[:-1], START, np.append(START, w[:-1]))
+        u = np.where(first[:-1], START, np.append(START, v[:-1]))
+        return u, v, w
+
+    def score(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word numbers, base, score) of tokens that are all among the most frequent words, with all parts at hand."""
+        u, v, w = self.trigrams(h, at)
+        p1 = 10 ** self.unigram(self.count[w.astype(np.int64)])
+        low = p1
+        for level, context in ((2, v), (3, pair(u, v))):
+            shard, p, off = shard_of(context, self.parts), np.zeros(len(w)), np.ones(len(w))
+            for s in np.unique(shard):
+                q = shard == s
+                p[q], off[q] = self.find(level, s, context[q], w[q])
+            low = p + off * low
+        return w.astype(np.int64), np.log10(p1), np.log10(low)
 
 
 _models: dict[int, Model] = {}
@@ -224,94 +313,167 @@ def model_of(sent) -> Model:
     return _models[key]
 
 
-def train(docs: DataFrame, *, words: int = WORDS, context_words: int = CONTEXT_WORDS, bigrams: int = BIGRAMS, trigrams: int = TRIGRAMS, discount: float = DISCOUNT) -> tuple[bytes, DataFrame]:
-    """(the trie's bytes, exact unigram counts (key, c)) of docs (text)."""
-    sc, docs = docs.sparkSession.sparkContext, docs.select("text")
+def train(docs: DataFrame, *, words: int = WORDS, discount: float = DISCOUNT, part_tokens: int = PART_TOKENS) -> tuple[bytes, DataFrame]:
+    """(the model's head, exact unigram counts (key, c)) of docs (text). words and part_tokens change no score."""
+    spark, docs = docs.sparkSession, docs.select("text")
     counts = written(docs.mapInArrow(counting(lambda chunk: words_of(chunk)[0]), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "unigrams")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    vocabulary = most(counts, words)
-    context = min(context_words, len(vocabulary["key"]))
-    arrays = {"totals": np.array([total, distinct]), **vocabulary, "context": np.array([context])}
-    base = packed(arrays)
+    parts = -(-total // part_tokens) or 1
+    folder = shared_dir(spark)
+    if "://" in folder.removeprefix("file://"):
+        raise ValueError("spark.checkpoint.dir must be a folder that tasks can open as files")
+    folder = f"{folder.removeprefix('file://').removeprefix('file:')}/tallyvox/ngrams-{uuid.uuid4().hex}"
+    raw = packed({"totals": np.array([total, distinct, parts]), "folder": np.array(folder), **most(counts, words)})
     if not total:
-        return base, counts
-    sent = sc.broadcast(base)
-
-    def pairs(chunk: tx.Chunk) -> np.ndarray:
-        h, at = words_of(chunk)
-        w = model_of(sent).number(h)
-        ok = (w[:-1] >= 0) & (w[:-1] < context) & (w[1:] >= 0) & (w[1:] < context)
-        ok[at[1:-1] - 1] = False
-        return w[:-1][ok] << 16 | w[1:][ok]
-
-    found = written(docs.mapInArrow(counting(pairs), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "bigrams")
-    two = most(found, bigrams, 2)
-    order = np.argsort(two["key"])
-    key, c2 = two["key"][order], two["c"][order]
-    left, right = key >> 16, key & 0xFFFF
-    c1 = vocabulary["c"].astype(float)
-    p1 = (c1 + 1) / (total + distinct + 1)
-    seen = np.bincount(left, c2 - discount, context)
-    off1 = np.maximum(1e-9, 1 - seen / c1[:context])
-    p2 = (c2 - discount) / c1[left] + off1[left] * p1[right]
-    arrays |= {f"2_{x}": v for x, v in Level.arrays(left, right, context).items()}
-    arrays["p2"], arrays["p2_book"] = quantised(np.log10(p2))
-    arrays["off1"], arrays["off1_book"] = quantised(np.log10(off1))
-    if not len(key):
-        return packed(arrays), counts
-    sent2 = sc.broadcast(packed(arrays))
-
-    def triples(chunk: tx.Chunk) -> np.ndarray:
-        h, at = words_of(chunk)
-        m = model_of(sent2)
-        w = m.number(h)
-        two = m.bigram(w[:-1], w[1:])
-        two[at[1:-1] - 1] = -1
-        ok = (two[:-1] >= 0) & (two[1:] >= 0)
-        return two[:-1][ok] << 16 | w[2:][ok]
-
-    found = written(docs.mapInArrow(counting(triples), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "trigrams")
-    three = most(found, trigrams, 2)
-    order = np.argsort(three["key"])
-    key, c3 = three["key"][order], three["c"][order]
-    up, last = key >> 16, key & 0xFFFF
-    seen = np.bincount(up, c3 - discount, len(c2))
-    off2 = np.maximum(1e-9, 1 - seen / c2)
-    lower = np.searchsorted(left << 16 | right, right[up] << 16 | last)  # (second, third) is a known bigram
-    p3 = (c3 - discount) / c2[up] + off2[up] * p2[lower]
-    arrays |= {f"3_{x}": v for x, v in Level.arrays(up, last, len(c2)).items()}
-    arrays["p3"], arrays["p3_book"] = quantised(np.log10(p3))
-    arrays["off2"], arrays["off2_book"] = quantised(np.log10(off2))
-    return packed(arrays), counts
+        return raw, counts
+    sent = spark.sparkContext.broadcast(raw)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model_of(sent)
+        for us, vs, ws in gathered((m.trigrams(*words_of(chunk)) for chunk in tx.chunks(batches)), FLUSH):
+            for level, q in ((2, vs != START), (3, us != START)):
+                of = (vs[q], ws[q]) if level == 2 else (us[q], vs[q], ws[q])
+                n = distinct_of(of)
+                if len(n[-1]):
+                    context = n[0] if level == 2 else pair(n[0], n[1])
+                    yield from routed(shard_of(context, parts), parts, tuple(n[:-1]), level, c=n[-1])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, now, held, built = model_of(sent), None, [], 0
+        os.makedirs(folder, exist_ok=True)
+
+        def done() -> None:
+            level, shard = now
+            *of, c = distinct_of(tuple(np.concatenate(x) for x in zip(*(x[:-1] for x in held), strict=True)), np.concatenate([x[-1] for x in held]))
+            Part.write(m.path(level, shard), of[0] if level == 2 else pair(of[0], of[1]), of[-1], c.astype(np.int64), discount)
+
+        for rows in batches:
+            for r in rows.to_pylist():
+                if now is not None and now != (r["level"], r["shard"]):
+                    done()
+                    held, built = [], built + 1
+                now = r["level"], r["shard"]
+                held.append([*told(r["key"], r["rest"], r["level"]), loose(r["c"], np.uint32)])
+        if held:
+            done()
+            built += 1
+        yield tx.batch(built=np.array([built]))
+
+    sent_rows = docs.mapInArrow(grams, f"{ROUTED}, c binary").repartition("level", "shard").sortWithinPartitions("level", "shard")
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # else the shuffled counts stay on disk while lookups are shuffled
+    try:
+        sent_rows.mapInArrow(build, "built long").agg(F.sum("built")).collect()
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return raw, counts
+
+
+def gathered(found: Iterator[tuple[np.ndarray, ...]], size: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Tuples of arrays put together until they have at least that size."""
+    held, n = [], 0
+    for x in found:
+        held.append(x)
+        n += len(x[0])
+        if n >= size:
+            yield tuple(np.concatenate(y) for y in zip(*held, strict=True))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(y) for y in zip(*held, strict=True))
+
+
+def distinct_of(words: tuple[np.ndarray, ...], c: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """The distinct tuples and their counts."""
+    ok, key = short(*words)
+    key = key[ok], np.zeros(0, U)
+    rest = [w[~ok] for w in words]
+    for w in rest:
+        key = key[0], tx.mix((key[1] if len(key[1]) else np.zeros(len(w), U)) * U(0xD6E8FEB86659FD93) + w)
+    out = []
+    for k, of, n in ((key[0], [w[ok] for w in words], None if c is None else c[ok]), (key[1], rest, None if c is None else c[~ok])):
+        if n is None:
+            _, i, n = np.unique(k, return_index=True, return_counts=True)
+        else:
+            _, i, back = np.unique(k, return_index=True, return_inverse=True)
+            n = np.bincount(back, n, len(i))
+        out.append([*(w[i] for w in of), n.astype(np.uint32)])
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def names(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each document's tokens in order."""
+    place = (np.arange(len(h)) - np.repeat(at[:-1], np.diff(at))).astype(U)
+    return tx.mix(tx.per_document(tx.mix(h + tx.mix(place + U(1))).view(np.int64), at).view(U))
 
 
 def score(docs: DataFrame, raw: bytes, counts: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The `keep` columns of docs (with text) and n_tokens, n_known, base_score, score. raw, counts: from train()."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(raw)
-    head = np.load(io.BytesIO(raw))["totals"]
-    total, distinct = int(head[0]), int(head[1])
+    sent = docs.sparkSession.sparkContext.broadcast(raw)
+    total, distinct, parts = np.load(io.BytesIO(raw))["totals"].tolist()
     schema = [docs.schema[c] for c in keep]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, part, nth = model_of(sent), TaskContext.get().partitionId(), 0
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in tx.chunks(batches):
             h, at = words_of(chunk)
-            w, base, value = m.score(h, at)
-            rare = np.flatnonzero(w < 0)
-            edge = np.searchsorted(rare, at)
-            yield tx.batch(**{c: tx.column(chunk.rows, c) for c in keep}, part=np.full(chunk.n, part, np.int32), nth=np.arange(nth, nth + chunk.n), n_tokens=np.diff(at), known=np.diff(at) - np.diff(edge), base=tx.per_document(base, at), score=tx.per_document(value, at), rare=pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), tx.ints(h[rare])))
-            nth += chunk.n
-
-    own = [("part", T.IntegerType()), ("nth", T.LongType()), ("n_tokens", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType()), ("rare", T.ArrayType(T.LongType()))]
-    out = T.StructType([*schema, *(T.StructField(*x) for x in own)])
-    first = written(docs.select(*keep, "text").mapInArrow(run, out), "scored")
-    rare = first.select("part", "nth", F.explode("rare").alias("key")).groupBy("part", "nth", "key").agg(F.count("*").alias("n"))
-    logp = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(total + distinct + 1)))
-    rest = rare.join(counts, "key", "left").groupBy("part", "nth").agg(F.sum(F.col("n") * logp).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("also"))
-    joined = first.drop("rare").join(rest, ["part", "nth"], "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return joined.select(*keep, "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(total).alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+            yield tx.batch(**{c: tx.column(chunk.rows, c) for c in keep}, name=tx.ints(names(h, at)), n_tokens=np.diff(at))
+
+    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model_of(sent)
+
+        def of() -> Iterator[tuple[np.ndarray, ...]]:
+            for chunk in tx.chunks(batches):
+                h, at = words_of(chunk)
+                yield *m.trigrams(h, at), np.repeat(names(h, at), np.diff(at))
+
+        for u, v, w, name in gathered(of(), FLUSH):
+            yield from routed(shard_of(pair(u, v), parts), parts, (u, v, w), 3, name=name)
+
+    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model_of(sent)
+
+        def of() -> Iterator[tuple[np.ndarray, ...]]:
+            for rows in batches:
+                for r in rows.to_pylist():
+                    u, v, w = told(r["key"], r["rest"], 3)
+                    p, off = m.find(3, r["shard"], pair(u, v), w)
+                    yield v, w, loose(r["name"], U), small(p), small(off)
+
+        for v, w, name, p, off in gathered(of(), FLUSH):
+            yield from routed(shard_of(v, parts), parts, (v, w), 2, name=name, p=p, off=off)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of frequent words (name, key null, n, base, score) and, to be joined with counts, other words (name, key, p, off)."""
+        m = model_of(sent)
+
+        def of() -> Iterator[tuple[np.ndarray, ...]]:
+            for rows in batches:
+                for r in rows.to_pylist():
+                    v, w = told(r["key"], r["rest"], 2)
+                    p2, off2 = m.find(2, r["shard"], v, w)
+                    p3, off3 = (10 ** loose(r[x], np.float16).astype(float) for x in ("p", "off"))
+                    yield w, loose(r["name"], U), p3 + off3 * p2, off3 * off2
+
+        for w, name, p, off in gathered(of(), FLUSH):
+            known = w < START
+            base = m.unigram(m.count[w[known].astype(np.int64)])
+            value = np.log10(p[known] + off[known] * 10**base)
+            which, back = np.unique(name[known], return_inverse=True)
+            n = len(which)
+            yield tx.batch(name=tx.ints(which), key=pa.nulls(n, pa.int64()), n=np.bincount(back, minlength=n), base=np.bincount(back, base, n).astype(float), score=np.bincount(back, value, n).astype(float))
+            n = int((~known).sum())
+            yield tx.batch(name=tx.ints(name[~known]), key=tx.ints(w[~known]), n=np.zeros(n, np.int64), base=p[~known], score=off[~known])
+
+    spread = lambda df: df.repartition("shard", "salt").sortWithinPartitions("shard")
+    first = docs.select("text").mapInArrow(triples, f"{ROUTED}, name binary")
+    second = spread(first).mapInArrow(bigrams, f"{ROUTED}, name binary, p binary, off binary")
+    found = written(spread(second).mapInArrow(sums, "name long, key long, n long, base double, score double"), "sums")
+    p1 = (F.coalesce("c", F.lit(0)) + 1) / F.lit(float(total + distinct + 1))
+    rare = found.where("key is not null").join(counts, "key", "left").select("name", F.col("c").isNotNull().cast("long").alias("n"), F.log10(p1).alias("base"), F.log10(F.col("base") + F.col("score") * p1).alias("score"))
+    values = found.where("key is null").select("name", "n", "base", "score").unionByName(rare).groupBy("name").agg(*(F.sum(x).alias(x) for x in ("n", "base", "score")))
+    listed = written(docs.select(*keep, "text").mapInArrow(heads, T.StructType([*schema, T.StructField("name", T.LongType()), T.StructField("n_tokens", T.LongType())])), "names")
+    times = listed.groupBy("name").agg(F.count("*").alias("times"))  # each row with a text has sent its tokens
+    joined = listed.join(values.join(times, "name"), "name", "left")
+    return joined.select(*keep, "n_tokens", F.expr("n div times").alias("n_known"), F.lit(total).alias("train_tokens"), (F.col("base") / F.col("times")).alias("base_score"), (F.col("score") / F.col("times")).alias("score"))
 
 
 def held_out(doc_id: Column, of: int = 7, which: int = 2) -> Column:

@@ -399,6 +399,38 @@ def test_lm_probabilities_sum_to_one(spark, frame):
         assert abs(total + 1 / (m.total + m.distinct + 1) - 1) < 0.1  # 8-bit probabilities
 
 
+def test_lm_keeps_all_ngrams_that_occur_again(spark):
+    """More context words than 2 ** 16, and a model in many parts: each value is that of brute force, up to 8 bits."""
+    rows = [(i, " ".join(f"w{j} then x{j} w{j} then x{j}" for j in range(i * 500, (i + 1) * 500))) for i in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = [(i, ["", "", *t.split(), "."]) for i, t in rows]
+    grams = [Counter() for _ in range(3)]
+    for _, t in docs:
+        for j in range(2, len(t)):
+            for k in range(3):
+                if k == 0 or t[j - k] != "":
+                    grams[k][tuple(t[j - k : j + 1])] += 1
+    total, distinct = sum(grams[0].values()), len(grams[0])
+    of, back = [None, Counter(), Counter()], [None, Counter(), Counter()]
+    for k in (1, 2):
+        for g, n in grams[k].items():
+            of[k][g[:-1]] += n
+            back[k][g[:-1]] += n - eflm.DISCOUNT if n >= 2 else 0
+
+    def p(g):
+        if len(g) == 1:
+            return (grams[0][g] + 1) / (total + distinct + 1)
+        k = len(g) - 1
+        n, low = of[k][g[:-1]], p(g[1:])
+        c = grams[k][g]
+        return (max(0, c - eflm.DISCOUNT) if c >= 2 else 0) / n + (1 - back[k][g[:-1]] / n) * low if n else low
+
+    want = {i: sum(math.log10(p(tuple(t[j - 2 : j + 1]))) for j in range(2, len(t))) for i, t in docs[-3:]}
+    raw, counts = eflm.train(frame, words=1000, part_tokens=50_000)
+    got = {r.doc_id: r.score for r in eflm.score(frame, raw, counts).collect()}
+    assert all(abs(got[i] - x) < 0.01 * abs(x) for i, x in want.items())
+
+
 def test_lm_without_training_text(empty, frame):
     raw, counts = eflm.train(empty)
     assert {r.score for r in eflm.score(frame, raw, counts).collect()} == {0.0}
