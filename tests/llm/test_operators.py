@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyvox.llm import decontam, eflm, importance, jaccard_join, packing, quality_rules, queries, repair, suffix_dedup, url_filter, warc
@@ -172,6 +173,15 @@ def test_base_counts_and_verdicts(spark, frame, odd):
     assert quality_rules.judge(frame, labels.limit(0)).where("not base_failed and not kept").count() == 0
 
 
+def test_features_do_not_depend_on_the_next_document():
+    texts = ["abcd", "", "x", None, "yz", "some more words", "q"]
+    chunk = lambda of: next(quality_rules.tx.chunks([pa.record_batch({"text": pa.array(of, pa.string())})]))
+    alone = [quality_rules.features(chunk([t])) for t in texts]
+    for kind, (ids, at) in enumerate(quality_rules.features(chunk(texts))):
+        for k, one in enumerate(alone):
+            assert ids[at[k] : at[k + 1]].tolist() == one[kind][0].tolist()
+
+
 def test_quality_model_holds_out_of_sample(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     fit_on = labels.where("doc_id % 2 = 0")
