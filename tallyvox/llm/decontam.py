@@ -53,7 +53,7 @@ class Members:
 def word_hashes(chunk: tx.Chunk) -> tuple[np.ndarray, np.ndarray]:
     low = chunk.lower()
     starts, ends, at = low.words(tx.ALNUM)
-    return tx.span_hash(low.prefix(), starts, ends), at
+    return low.hashes(starts, ends), at
 
 
 def item_words(items: DataFrame, item_id: str, text: str) -> DataFrame:

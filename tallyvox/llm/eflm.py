@@ -51,7 +51,7 @@ def words_of(chunk: tx.Chunk) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, an end token after each document's words, and the documents' offsets."""
     low = chunk.lower()
     starts, ends, at = low.words()
-    h = np.insert(tx.span_hash(low.prefix(), starts, ends), at[1:], END) | TOP
+    h = np.insert(low.hashes(starts, ends), at[1:], END) | TOP
     return h, at + np.arange(len(at))
 
 

@@ -37,7 +37,7 @@ TARGET_ROWS = 8192
 def hashed(chunk: tx.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, word offsets, pair offsets): the buckets of all words, then those of all pairs of words, and where each document's begin in that list."""
     starts, ends, at = chunk.words()
-    h = tx.span_hash(chunk.prefix(), starts, ends)
+    h = chunk.hashes(starts, ends)
     pairs, first = tx.windows(h, at, 2)
     ids = np.concatenate([(h % np.uint64(WORDS)).astype(np.int32), (pairs % np.uint64(PAIRS)).astype(np.int32) + WORDS])
     return ids, at, np.searchsorted(first, at) + len(h)

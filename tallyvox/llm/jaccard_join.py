@@ -42,7 +42,7 @@ def token_sets(chunk: tx.Chunk, shingle: int) -> tuple[list[np.ndarray], np.ndar
     """Each document's sorted distinct shingle hashes, their number, and a hash of the set (0 for none)."""
     low = chunk.lower()
     starts, ends, at = low.words()
-    h = tx.span_hash(low.prefix(), starts, ends)
+    h = low.hashes(starts, ends)
     s, first = tx.windows(h, at, shingle)
     s_at = np.searchsorted(first, at)
     sets = [np.unique(s[a:b]) for a, b in zip(s_at[:-1].tolist(), s_at[1:].tolist(), strict=True)]

@@ -41,7 +41,6 @@ def counts(chunk: tx.Chunk) -> dict[str, np.ndarray]:
     """The base counts of each document."""
     buf, at = chunk.buf, chunk.at
     starts, ends, word_at = chunk.words()
-    prefix = chunk.prefix()
     points = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
     out = {"n_words": np.diff(word_at), "word_chars": tx.per_document(points[ends] - points[starts], word_at), "n_symbols": tx.per_document(SYMBOLS[buf], at)}
     # lines: cut at each newline and at the ends of documents
@@ -53,9 +52,9 @@ def counts(chunk: tx.Chunk) -> dict[str, np.ndarray]:
     document = np.searchsorted(at, begin, "right") - 1
     has = np.searchsorted(starts, stop) > np.searchsorted(starts, begin)
     begin, stop, document = begin[has], stop[has], document[has]
-    _, new = _distinct(document, tx.span_hash(prefix, begin, stop))
+    _, new = _distinct(document, chunk.hashes(begin, stop))
     out["n_dup_lines"] = np.bincount(document[~new], minlength=chunk.n)
-    h, first = tx.windows(tx.span_hash(prefix, starts, ends), word_at, 5)
+    h, first = tx.windows(chunk.hashes(starts, ends), word_at, 5)
     times, _ = _distinct(np.searchsorted(word_at, first, "right") - 1, h)
     cover = np.zeros(len(starts) + 1, np.int64)
     again = first[times > 1]
@@ -68,7 +67,7 @@ def counts(chunk: tx.Chunk) -> dict[str, np.ndarray]:
 def features(chunk: tx.Chunk, buckets: int = BUCKETS) -> list[tuple[np.ndarray, np.ndarray]]:
     """For words, word pairs and byte trigrams: the bucket of each (in that kind's own range), and the documents' offsets."""
     starts, ends, at = chunk.words()
-    h = tx.span_hash(chunk.prefix(), starts, ends)
+    h = chunk.hashes(starts, ends)
     pairs, first = tx.windows(h, at, 2)
     low = tx.LOWER[chunk.buf].astype(np.uint32)
     three = (low[:-2] << np.uint32(16) | low[1:-1] << np.uint32(8) | low[2:]) if len(low) > 2 else low[:0]

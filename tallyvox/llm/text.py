@@ -1,12 +1,13 @@
 """Words, shingles and hashes of Arrow text columns, as numpy arrays over whole chunks of documents.
 
 A chunk is the bytes of several texts one after the other; a document longer than the chunk size is a chunk of its own.
-Hashes are 64-bit: a polynomial over the bytes (prefix sums give that of any span in one step), then a mixing step.
+Hashes are 64-bit: eight bytes at a time go into the state, which is mixed after each; spans of over LONG bytes have BLAKE2b's.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,11 @@ LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 ALNUM = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 
 U = np.uint64
-_BASE, _STEP = U(0x9E3779B97F4A7C15 | 1), U(0xD6E8FEB86659FD93)
+_SEED, _STEP = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
+#: The low bytes of an eight that a span has left, by their number.
+_LEFT = np.array([(1 << 8 * j) - 1 for j in range(9)], U)
+#: Spans of more bytes are hashed one by one.
+LONG = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -34,21 +39,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-_INVERSE = U(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[int, np.ndarray] = {}
+def eights(buf: np.ndarray) -> np.ndarray:
+    """At each place the eight bytes from there on as a number, zeros beyond the end."""
+    padded = np.zeros(len(buf) + 16, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 9,), "<u8", padded, strides=(1,))
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        full = np.full(max(n, CHUNK + 1), base, U)
-        full[0] = 1
-        have = _powers[int(base)] = np.multiply.accumulate(full)
-        if n > 4 * CHUNK:  # not kept for one very long text
-            del _powers[int(base)]
-    return have[:n]
+def digest(raw: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
+
+
+def digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return np.array([digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], U)
 
 
 class Chunk:
@@ -73,18 +76,23 @@ class Chunk:
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         return starts, ends, np.searchsorted(starts, self.at)
 
-    def prefix(self) -> np.ndarray:
-        """Prefix sums for span_hash()."""
-        out = np.zeros(len(self.buf) + 1, U)
-        np.cumsum(_BYTE[self.buf] * powers(_BASE, len(self.buf)), out=out[1:])
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A hash of the bytes of each span, the same wherever they stand."""
+        size = ends - starts
+        out = mix(size.astype(U) + _SEED)
+        eight = eights(self.buf)
+        todo = np.flatnonzero((size > 0) & (size <= LONG))
+        k = 0
+        while len(todo):
+            left = size[todo] - k
+            out[todo] = mix(out[todo] ^ (eight[starts[todo] + k] & _LEFT[np.minimum(left, 8)]) * _STEP)
+            todo, k = todo[left > 8], k + 8
+        long = np.flatnonzero(size > LONG)
+        if len(long):
+            out[long] = digests(self.buf.tobytes(), starts[long], ends[long])
         return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each span, the same wherever they stand."""
-    return mix((prefix[ends] - prefix[starts]) * powers(_INVERSE, len(prefix))[starts])
-
-
 def windows(h: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each k consecutive items within a document, and the index of its first item. at: the documents' first items, and the end."""
     if len(h) < k:

@@ -95,7 +95,7 @@ class Encoder:
         first[stop[buf[stop - 1] == 32]] = False
         starts = np.flatnonzero(first)
         ends = np.append(starts[1:], len(buf))
-        h = tx.span_hash(chunk.prefix(), starts, ends)
+        h = chunk.hashes(starts, ends)
         h[h == 0] = 1
         slot = self._slots(h)
         new = np.flatnonzero(slot < 0)
