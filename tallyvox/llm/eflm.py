@@ -2,45 +2,54 @@
 
 Words are white-space tokens, A-Z lower-cased; each text ends with an end token. Probabilities of unigrams, bigrams and
 trigrams are interpolated with absolute discounting. Every bigram and trigram found LEAST times or more in the training text
-is in the model, which grows with it: n-grams are partitioned by a hash of their context, each part is built by one task and
-is one file in the shared folder. What is found less often goes to the back-off weights, so each context's probabilities
-sum to one. Values have 8 bits each.
-
-For scoring, each token's trigram goes to the part of its context, from there its bigram to the part of that one's context;
-many lookups of one part are dealt out to several tasks, which all read its file. The most frequent words have short numbers,
-which every task knows; the others stand as hashes and get their exact counts by a join. Sums come back by a hash of the
-text's tokens, and rows with the same text get the same score.
+is in the model, which grows with it. What is found less often goes to the back-off weights, so each context's
+probabilities sum to one. Values have 8 bits each.
+
+ 1. Words are counted, and texts written once as word numbers: the most frequent words have short ones that every task
+    knows (for speed, not for results), the others stand as 64-bit hashes and get their exact counts by a join.
+ 2. N-grams (u, v, w) are partitioned by the word v before the last, so that a trigram and its bigram (v, w) are in one part.
+    A word v with more tokens than a part is to hold is split by u; its bigrams are summed before and copied to its parts.
+    One task builds a part and writes it to one file in the shared folder: a trie with v at its root, below it the u with
+    their w (trigrams) and the w of v (bigrams).
+ 3. For scoring, a task sends its tokens, sorted, each with the place of its text, to the tasks of their parts. Many lookups
+    of one part are dealt out to several tasks, which all map its file. Sums go back to the texts' own partitions.
 
 Null and empty texts are their end token. Repeated rows are scored each on its own. A null id is training text. Without
-training text every probability is 1 / (V + 1) with V = 0. Columns other than id and text aren't read. spark.checkpoint.dir
-must be a folder that tasks can open as files.
+training text every probability is 1 / (V + 1) with V = 0. Columns other than id and text aren't read, but those to be kept.
+spark.checkpoint.dir must be a folder that tasks can open as files.
 """
 
 from __future__ import annotations
 
 import io
+import json
 import os
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
 from .eliasfano import Level
-from .scratch import shared_dir, written
+from .scratch import shared_dir, small_batches, written
 
 U = np.uint64
-#: Words that have short numbers. This is for speed only: other words stand as hashes, with the top bit set.
+#: Words that have short numbers. Other words stand as hashes, with the top bit set.
 WORDS = 1 << 19
-TOP, BITS, START = U(1 << 63), U(20), U((1 << 20) - 1)
+TOP, BITS = U(1 << 63), U(21)
+#: Below the numbers of a part's other words. The two last are for words to be found elsewhere, and for the place before a text.
+OTHER = 1 << 20
+ELSEWHERE, START = U(OTHER - 2), U(OTHER - 1)
 LEAST, DISCOUNT = 2, 0.75
-#: Training tokens a part of the model is to hold, and tokens a task holds before it sends them on.
-PART_TOKENS, FLUSH = 1 << 21, 1 << 20
+#: Training tokens a part of the model is to hold (more, when there would be over PARTS parts), and tokens a task holds before it sends them on.
+PART_TOKENS, PARTS, FLUSH = 1 << 21, 1 << 16, 1 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 END = np.uint64(0x5E4DE4D5E4DE4D5F)
 #: Distinct keys a task counts before it sends them on.
@@ -51,42 +60,36 @@ def words_of(chunk: tx.Chunk) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, an end token after each document's words, and the documents' offsets."""
     low = chunk.lower()
     starts, ends, at = low.words()
-    h = np.insert(low.hashes(starts, ends), at[1:], END) | TOP
-    return h, at + np.arange(len(at))
-
-
-def counting(keys: Callable[[tx.Chunk], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for mapInArrow that counts keys, (key, c) rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, counts, size = [], [], 0
-        for chunk in tx.chunks(batches):
-            k, c = np.unique(keys(chunk), return_counts=True)
-            held.append(k)
-            counts.append(c)
-            size += len(k)
-            if size > HELD:
-                k, c = _merge(held, counts)
-                held, counts, size = [k], [c], len(k)
-                if size > HELD // 2:
-                    yield tx.batch(key=tx.ints(k), c=c)
-                    held, counts, size = [], [], 0
-        if size:
-            k, c = _merge(held, counts)
-            yield tx.batch(key=tx.ints(k), c=c)
-
-    return run
-
-
-def _merge(held: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, back = np.unique(np.concatenate(held), return_inverse=True)
-    return k, np.bincount(back, np.concatenate(counts)).astype(np.int64)
-
-
-def most(counts: DataFrame, room: int) -> dict[str, np.ndarray]:
-    """key and c of the `room` most frequent, by falling c, then key."""
-    found = counts.select("key", "c").orderBy(F.col("c").desc(), "key").limit(room).toArrow()
-    return {x: found[x].to_numpy().astype(np.int64) for x in ("key", "c")}
+    return np.insert(low.hashes(starts, ends), at[1:], END) | TOP, at + np.arange(len(at))
+
+
+def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of tokens, (key, c) rows."""
+    held, counts, size = [], [], 0
+    for chunk in tx.chunks(batches):
+        k, c = np.unique(words_of(chunk)[0], return_counts=True)
+        held.append(k)
+        counts.append(c)
+        size += len(k)
+        if size > HELD:
+            k, c = summed(np.concatenate(held), np.concatenate(counts))
+            held, counts, size = [k], [c], len(k)
+            if size > HELD // 2:
+                yield tx.batch(key=tx.ints(k), c=c)
+                held, counts, size = [], [], 0
+    if size:
+        k, c = summed(np.concatenate(held), np.concatenate(counts))
+        yield tx.batch(key=tx.ints(k), c=c)
+
+
+def summed(key: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the sum of each one's counts."""
+    if not len(key):
+        return key, c
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[first], np.add.reduceat(c[order], first)
 
 
 class Words:
@@ -106,14 +109,15 @@ class Words:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         at = (h & np.uint64(self.size - 1)).astype(np.int64)
-        out = np.full(len(h), -1, np.int64)
-        todo = np.arange(len(h))
+        there = self.slot[at]
+        out = np.where(there == h, self.number[at], -1).astype(np.int64)
+        todo = np.flatnonzero((there != h) & (there != 0))
         while len(todo):
+            at[todo] = (at[todo] + 1) & (self.size - 1)
             there = self.slot[at[todo]]
             hit = there == h[todo]
             out[todo[hit]] = self.number[at[todo[hit]]]
             todo = todo[~hit & (there != 0)]
-            at[todo] = (at[todo] + 1) & (self.size - 1)
         return out
 
 
@@ -126,30 +130,6 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.pad(book, (0, 256 - len(book)), mode="edge").astype(np.float32)
 
 
-def packed(arrays: dict[str, np.ndarray]) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)  # not compressed: arrays can be mapped
-    return out.getvalue()
-
-
-def pair(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The context (u, v) as a hash."""
-    return tx.mix(tx.mix(u + U(1)) * U(0xD6E8FEB86659FD93) + v)
-
-
-def shard_of(context: np.ndarray, parts: int) -> np.ndarray:
-    return (tx.mix(context ^ U(0x5851F42D4C957F2D)) % U(parts)).astype(np.int64)
-
-
-def short(*words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(whether all words have short numbers, those numbers in one)."""
-    ok, key = np.ones(len(words[0]), bool), np.zeros(len(words[0]), U)
-    for w in words:
-        ok &= w < U(1 << 20)
-        key = key << BITS | w
-    return ok, key
-
-
 def squeezed(x: np.ndarray) -> bytes:
     """The bytes of an array, first bytes first, compressed."""
     if not x.size:
@@ -165,139 +145,256 @@ def loose(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
-def told(key: bytes, rest: bytes, n: int) -> list[np.ndarray]:
-    """The n words each of short ones, then of others."""
-    k, r = loose(key, np.uint32).reshape(n, -1), loose(rest, U).reshape(n, -1)
-    return [np.concatenate([k[j].astype(U), r[j]]) for j in range(n)]
+def rising(x: np.ndarray) -> bytes:
+    """A sorted array, by its steps."""
+    return squeezed(np.diff(x, prepend=x.dtype.type(0)))
 
 
-def routed(shard: np.ndarray, parts: int, words: tuple[np.ndarray, ...], level: int, **with_them: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (level, shard, salt, key, rest, more...) with the arrays as bytes. A row has at most twice the mean of a part; what is over goes out under another salt."""
-    room = 2 * len(shard) // parts + 1024
-    ok, _ = short(*words)
-    order = np.lexsort((~ok, shard)) if parts > 1 else np.argsort(~ok, kind="stable")
-    edge = np.searchsorted(shard[order], np.arange(parts + 1))
-    pieces = [(s, i, order[lo : min(lo + room, edge[s + 1])]) for s in np.flatnonzero(np.diff(edge)) for i, lo in enumerate(range(edge[s], edge[s + 1], room))]
-    cells = {"level": pa.array([level] * len(pieces), pa.int32()), "shard": pa.array([int(x[0]) for x in pieces], pa.int32()), "salt": pa.array([x[1] for x in pieces], pa.int32())}
-    cells["key"] = pa.array([squeezed(np.stack([w[q[ok[q]]] for w in words]).astype(np.uint32)) for *_, q in pieces], pa.binary())
-    cells["rest"] = pa.array([squeezed(np.stack([w[q[~ok[q]]] for w in words])) for *_, q in pieces], pa.binary())
-    cells |= {name: pa.array([squeezed(v[q]) for *_, q in pieces], pa.binary()) for name, v in with_them.items()}
-    whole = pa.RecordBatch.from_pydict(cells)
-    for i in range(0, len(pieces), 64):
-        yield whole.slice(i, 64)
+def risen(raw: bytes) -> np.ndarray:
+    return np.cumsum(loose(raw, U), dtype=U)
+
+
+class Grams(NamedTuple):
+    """Word triples: those of short words as one sorted key, the others as three arrays. u is START where there is none."""
+
+    key: np.ndarray
+    rest: np.ndarray
 
+    @staticmethod
+    def of(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[Grams, np.ndarray]:
+        """The grams in their order, and the places they are from."""
+        ok = (u | v | w) < TOP
+        key = (v[ok] << BITS | u[ok]) << BITS | w[ok]
+        order, rest = np.argsort(key), np.flatnonzero(~ok)
+        return Grams(key[order], np.stack([u[rest], v[rest], w[rest]])), np.concatenate([np.flatnonzero(ok)[order], rest])
+
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        low = (U(1) << BITS) - U(1)
+        short = (self.key >> BITS) & low, self.key >> (BITS + BITS), self.key & low
+        return tuple(np.concatenate([a, b]) for a, b in zip(short, self.rest, strict=True))
+
+    def take(self, at: np.ndarray) -> Grams:
+        """Some of them, by rising places."""
+        n = int(np.searchsorted(at, len(self.key)))
+        return Grams(self.key[at[:n]], self.rest[:, at[n:] - len(self.key)])
+
+    def bytes(self) -> tuple[bytes, bytes]:
+        return rising(self.key), squeezed(self.rest)
+
+    @staticmethod
+    def read(key: bytes, rest: bytes) -> Grams:
+        return Grams(risen(key), loose(rest, U).reshape(3, -1))
 
-def small(p: np.ndarray) -> np.ndarray:
-    """Logarithms in two bytes, finer than the 8-bit values they are of; of 0 minus infinity."""
-    with np.errstate(divide="ignore"):
-        return np.log10(p).astype(np.float16)
 
+def gathered(found: Iterator[tuple[np.ndarray, ...]], size: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Tuples of arrays put together until they have at least that size."""
+    held, n = [], 0
+    for x in found:
+        held.append(x)
+        n += len(x[0])
+        if n >= size:
+            yield tuple(np.concatenate(y) for y in zip(*held, strict=True))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(y) for y in zip(*held, strict=True))
 
-ROUTED = "level int, shard int, salt int, key binary, rest binary"
+
+class Codes:
+    """Words as numbers of one part: short ones as they are, others by their place among the part's others; -1 for unknown ones."""
+
+    def __init__(self, others: np.ndarray):
+        self.others = others
+
+    def of(self, word: np.ndarray) -> np.ndarray:
+        out = word.astype(np.int64)
+        q = np.flatnonzero(word >= TOP)
+        if len(q):
+            at = np.searchsorted(self.others, word[q])
+            there = at < len(self.others)
+            there[there] = self.others[at[there]] == word[q][there]
+            out[q] = np.where(there, at + OTHER, -1)
+        return out
+
+
+def in_order(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the rows by these columns, the first of each distinct row in that order)."""
+    if max((int(c.max(initial=0)) for c in columns), default=0) >> 63 // len(columns) == 0:
+        key = np.zeros(len(columns[0]), np.int64)
+        for c in columns:
+            key = key << 63 // len(columns) | c
+        order = np.argsort(key)
+        new = key[order][1:] != key[order][:-1]
+    else:  # numbers too large for one key
+        order = np.lexsort(columns[::-1])
+        new = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
+    return order, np.flatnonzero(np.append(True, new)) if len(order) else np.zeros(0, np.int64)
 
 
 class Part:
-    """A part of a level, read from its file: discounted probabilities, and what is left for lower orders."""
+    """A part of the model, mapped from its file. Levels: the u below a v, the w below a u below a v, the w below a v."""
+
+    LEVELS = ("u", "uw", "w")
 
     def __init__(self, path: str):
-        a = np.load(path)
-        self.context, self.word = a["context"], a["word"]
-        self.level = Level.of({k[2:]: a[k] for k in a.files if k.startswith("t_")})
-        self.p, self.off = 10.0 ** a["p_book"].astype(float), 10.0 ** a["off_book"].astype(float)
-        self.p_code, self.off_code = a["p"], a["off"]
+        raw = np.memmap(path, np.uint8, "r")
+        head = int(raw[:8].view("<u8")[0])
+        self.arrays = {k: raw[a : a + n].view(kind) for k, kind, a, n in json.loads(raw[8 : 8 + head].tobytes())}
+        self.root, self.codes = self.arrays["root"], Codes(self.arrays["others"])
+        self.levels = {x: Level.of({k[len(x) + 1 :]: a for k, a in self.arrays.items() if k.startswith(f"{x}_")}) for x in self.LEVELS}
+        self.book = {x: 10.0 ** self.arrays[f"book.{x}"].astype(float) for x in ("p3", "p2", "off3", "off2")}
 
     @staticmethod
-    def write(path: str, context: np.ndarray, word: np.ndarray, c: np.ndarray, discount: float) -> None:
-        """context, word, c: distinct n-grams, all of those of each context."""
-        order = np.lexsort((word, context))
-        context, word, c = context[order], word[order], c[order]
-        _, parent = np.unique(context, return_inverse=True)
-        total = np.bincount(parent, c)[parent]
-        keep = c >= LEAST
-        context, word, c, total = context[keep], word[keep], c[keep], total[keep]
-        names, begin, parent = np.unique(context, return_index=True, return_inverse=True)
-        vocabulary, number = np.unique(word, return_inverse=True)
-        p = (c - discount) / total
-        off = np.maximum(1e-9, 1 - np.bincount(parent, p, len(names)))
-        a = {"context": names, "word": vocabulary} | {f"t_{k}": v for k, v in Level.arrays(parent, number, len(names)).items()}
-        a["p"], a["p_book"] = quantised(np.log10(p))
-        a["off"], a["off_book"] = quantised(np.log10(off))
-        whole = f"{path}.{uuid.uuid4().hex}"
-        with open(whole, "wb") as f:
-            f.write(packed(a))
-        os.replace(whole, path)  # another attempt's file is the same
-
-    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(discounted probability, weight of the lower order); 0 and 1 for unknown contexts."""
-        p, off = np.zeros(len(context)), np.ones(len(context))
-        if not len(self.context):
+    def write(path: str, grams: tuple[np.ndarray, ...], hot: tuple[np.ndarray, ...], discount: float) -> None:
+        """grams: u, v, w, c, with all of those of each v that isn't in hot; hot: v, w, c, all of each v in it. Both may have rows twice: c of grams is to be summed."""
+        u, v, w, c = grams
+        others = np.unique(np.concatenate([x[x >= TOP] for x in (u, v, w, *hot[:2])]))
+        codes = Codes(others)
+        u, v, w = codes.of(u), codes.of(v), codes.of(w)
+        order, first = in_order(v, u, w)
+        u, v, w, c = u[order][first], v[order][first], w[order][first], np.add.reduceat(c[order], first) if len(first) else c
+        hv, hw = codes.of(hot[0]), codes.of(hot[1])
+        order, first = in_order(hv, hw)
+        hv, hw, hc = hv[order][first], hw[order][first], hot[2][order][first]
+        two = ~np.isin(v, hv)
+        order, first = in_order(v[two], w[two])
+        bv, bw = (np.concatenate([x[two][order][first], y]) for x, y in ((v, hv), (w, hw)))
+        bc = np.concatenate([np.add.reduceat(c[two][order], first) if len(first) else c[:0], hc])
+        order = in_order(bv, bw)[0]
+        bv, bw, bc = bv[order], bw[order], bc[order]
+
+        three = u != int(START)
+        u, v, w, c = u[three], v[three], w[three], c[three]
+        new = np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])) if len(u) else np.zeros(0, bool)
+        context, (keep3, parent3, p3, off3, cu, cv) = np.cumsum(new) - 1, (np.zeros(0, np.int64),) * 6
+        if len(u):
+            keep3, parent3, p3, off3, names = kept_of(context, c, discount)
+            cu, cv = u[new][names], v[new][names]
+        node2, begin2 = np.unique(bv, return_inverse=True)
+        keep2, parent2, p2, off2, names2 = kept_of(begin2, bc, discount)
+        root = np.unique(np.concatenate([cv, node2[names2]]))  # every v with a bigram or trigram
+        a = {"others": others, "root": np.where(root < OTHER, root.astype(U), others[np.maximum(root - OTHER, 0)] if len(others) else root.astype(U))}
+        at = lambda x: np.searchsorted(root, x)
+        for name, parent, word, n in (("u", at(cv), cu, len(root)), ("uw", parent3, w[keep3] if len(u) else w, len(cu)), ("w", at(node2[names2][parent2]), bw[keep2], len(root))):
+            a |= {f"{name}_{k}": x for k, x in Level.arrays(parent, word, n).items()}
+        whole2 = np.zeros(len(root))  # no bigram: all is left to the unigrams
+        whole2[at(node2[names2])] = np.log10(off2)
+        for k, x in (("p3", np.log10(p3)), ("off3", np.log10(off3)), ("p2", np.log10(p2)), ("off2", whole2)):
+            a[f"code.{k}"], a[f"book.{k}"] = quantised(x)
+        mapped(path, a)
+
+    def find(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(p, off): what bigrams and trigrams say of w after u, v, and the weight of its unigram. Sorted by v and u it is faster."""
+        p, off = np.zeros(len(v)), np.ones(len(v))
+        if not len(self.root):
             return p, off
-        node = np.minimum(np.searchsorted(self.context, context), len(self.context) - 1)
-        q = np.flatnonzero(self.context[node] == context)
-        off[q] = self.off[self.off_code[node[q]]]
-        number = np.minimum(np.searchsorted(self.word, word[q]), len(self.word) - 1)
-        there = self.word[number] == word[q]
-        q, number = q[there], number[there]
-        place = self.level.child(node[q], number)
-        p[q[place >= 0]] = self.p[self.p_code[place[place >= 0]]]
+        change = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (u[1:] != u[:-1])))  # contexts
+        row = np.repeat(np.arange(len(change)), np.diff(np.append(change, len(v))))
+        node = np.minimum(np.searchsorted(self.root, v[change]), len(self.root) - 1)
+        known = self.root[node] == v[change]
+        w = self.codes.of(w)
+        q = np.flatnonzero(known[row] & (w >= 0))
+        place = self.levels["w"].child(node, w[q], row[q])
+        hit = place >= 0
+        p[q[hit]] = self.book["p2"][self.arrays["code.p2"][place[hit]]]
+        off[:] = np.where(known, self.book["off2"][self.arrays["code.off2"][node]], 1.0)[row]
+        context = np.full(len(change), -1)
+        uc = self.codes.of(u[change])
+        some = np.flatnonzero(known & (uc >= 0))
+        context[some] = self.levels["u"].child(node, uc[some], some)
+        q = np.flatnonzero(context[row] >= 0)
+        if len(q):
+            low = self.book["off3"][self.arrays["code.off3"][context[row[q]]]]
+            p[q], off[q] = p[q] * low, off[q] * low
+            q = q[w[q] >= 0]
+            place = self.levels["uw"].child(np.maximum(context, 0), w[q], row[q])
+            hit = place >= 0
+            p[q[hit]] += self.book["p3"][self.arrays["code.p3"][place[hit]]]
         return p, off
 
 
+def kept_of(context: np.ndarray, c: np.ndarray, discount: float) -> tuple[np.ndarray, ...]:
+    """Of n-grams with these context numbers: (which are kept, the number of each one's context among those that have any, discounted probabilities, what each such context leaves, which contexts these are)."""
+    total = np.bincount(context, c, minlength=int(context.max(initial=-1)) + 1)
+    keep = np.flatnonzero(c >= LEAST)
+    p = (c[keep] - discount) / total[context[keep]]
+    names, parent = np.unique(context[keep], return_inverse=True)
+    return keep, parent, p, np.maximum(1e-9, 1 - np.bincount(parent, p, len(names))), names
+
+
+def mapped(path: str, arrays: dict[str, np.ndarray]) -> None:
+    """Write arrays to one file, each at a multiple of 8 bytes."""
+    head, at = [], 1 << 13
+    for k, x in arrays.items():
+        head.append((k, x.dtype.str, at, x.nbytes))
+        at += -(-x.nbytes // 8) * 8
+    told = json.dumps(head).encode()
+    whole = f"{path}.{uuid.uuid4().hex}"
+    with open(whole, "wb") as f:
+        f.write(len(told).to_bytes(8, "little") + told.ljust((1 << 13) - 8))
+        for (_, _, at, _), x in zip(head, arrays.values(), strict=True):
+            f.seek(at)
+            f.write(np.ascontiguousarray(x).tobytes())
+    os.replace(whole, path)  # another attempt's file is the same
+
+
 class Model:
     """What every task knows: totals, the most frequent words, and where the parts are."""
 
     def __init__(self, raw: bytes):
         a = np.load(io.BytesIO(raw))
-        self.total, self.distinct, self.parts = a["totals"].tolist()
+        self.total, self.distinct, self.parts, part_tokens = a["totals"].tolist()
         self.folder = str(a["folder"])
         self.words, self.count = Words(a["key"].view(U)), a["c"]
-        self.held: tuple[str, Part | None] = ("", None)
+        self.split = np.ones(OTHER, np.int64)
+        self.split[: len(self.count)] = -(-self.count // part_tokens)
+        self.held: tuple[int, Part | None] = (-1, None)
 
     def unigram(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 1) / (self.total + self.distinct + 1))
 
-    def number(self, h: np.ndarray) -> np.ndarray:
-        return self.words.find(h)
-
     def named(self, h: np.ndarray) -> np.ndarray:
         """Numbers of the most frequent words, hashes of others."""
-        w = self.number(h)
+        w = self.words.find(h)
         return np.where(w >= 0, w.astype(U), h)
 
-    def path(self, level: int, shard: int) -> str:
-        return f"{self.folder}/{level}-{shard}.npz"
-
-    def part(self, level: int, shard: int) -> Part | None:
-        path = self.path(level, shard)
-        if self.held[0] != path:
-            self.held = path, Part(path) if os.path.exists(path) else None
-        return self.held[1]
-
-    def find(self, level: int, shard: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = self.part(level, shard)
-        return found.find(context, word) if found else (np.zeros(len(word)), np.ones(len(word)))
-
-    def trigrams(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each token with the two before it."""
-        w = self.named(h)
-        first = np.zeros(len(h) + 1, bool)
-        first[at[:-1]] = True
-        v = np.where(first[:-1], START, np.append(START, w[:-1]))
-        u = np.where(first[:-1], START, np.append(START, v[:-1]))
-        return u, v, w
-
-    def score(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word numbers, base, score) of tokens that are all among the most frequent words, with all parts at hand."""
-        u, v, w = self.trigrams(h, at)
-        p1 = 10 ** self.unigram(self.count[w.astype(np.int64)])
-        low = p1
-        for level, context in ((2, v), (3, pair(u, v))):
-            shard, p, off = shard_of(context, self.parts), np.zeros(len(w)), np.ones(len(w))
-            for s in np.unique(shard):
-                q = shard == s
-                p[q], off[q] = self.find(level, s, context[q], w[q])
-            low = p + off * low
-        return w.astype(np.int64), np.log10(p1), np.log10(low)
+    def splits(self, v: np.ndarray) -> np.ndarray:
+        return self.split[np.where(v < TOP, v, START).astype(np.int64)]
+
+    def place(self, v: np.ndarray, nth: np.ndarray) -> np.ndarray:
+        """The part of the nth split of v."""
+        return (tx.mix(tx.mix(v + U(0x5851F42D4C957F2D)) + nth.astype(U)) % U(self.parts)).astype(np.int64)
+
+    def part_of(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The part of each triple; what has no v is dealt out by w."""
+        split, nth = self.splits(v), np.zeros(len(v), np.int64)
+        q = np.flatnonzero(split > 1)
+        nth[q] = (tx.mix(u[q] + U(1)) % split[q].astype(U)).astype(np.int64)
+        return self.place(np.where(v == START, w, v), nth)
+
+    def path(self, part: int) -> str:
+        return f"{self.folder}/{part}.trie"
+
+    def find(self, part: int, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.held[0] != part:
+            self.held = part, Part(self.path(part)) if os.path.exists(self.path(part)) else None
+        return self.held[1].find(u, v, w) if self.held[1] else (np.zeros(len(w)), np.ones(len(w)))
+
+    def score(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """log10 probabilities of tokens that are all among the most frequent words, with all parts at hand."""
+        u, v, w = before(self.named(h), at)
+        part, p, off = self.part_of(u, v, w), np.zeros(len(w)), np.ones(len(w))
+        for s in np.unique(part):
+            q = np.flatnonzero(part == s)
+            p[q], off[q] = self.find(int(s), u[q], v[q], w[q])
+        return np.log10(p + off * 10 ** self.unigram(self.count[w.astype(np.int64)]))
+
+
+def before(w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each token with the two before it in its document."""
+    first = np.zeros(len(w) + 1, bool)
+    first[at[:-1]] = True
+    v = np.where(first[:-1], START, np.append(START, w[:-1]))
+    return np.where(first[:-1], START, np.append(START, v[:-1])), v, w
 
 
 _models: dict[int, Model] = {}
@@ -313,167 +410,274 @@ def model_of(sent) -> Model:
     return _models[key]
 
 
-def train(docs: DataFrame, *, words: int = WORDS, discount: float = DISCOUNT, part_tokens: int = PART_TOKENS) -> tuple[bytes, DataFrame]:
-    """(the model's head, exact unigram counts (key, c)) of docs (text). words and part_tokens change no score."""
-    spark, docs = docs.sparkSession, docs.select("text")
-    counts = written(docs.mapInArrow(counting(lambda chunk: words_of(chunk)[0]), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "unigrams")
+class Trained(NamedTuple):
+    """head: what every task is to know; counts: exact unigram counts (key, c); numbered: the documents as word numbers."""
+
+    head: bytes
+    counts: DataFrame
+    numbered: DataFrame
+
+
+def numbered(docs: DataFrame, sent, keep: tuple[str, ...]) -> DataFrame:
+    """The `keep` columns of docs (with text) and row, n_tokens, n_known, base, words, others: the texts as word numbers, written once. n_known and base are of the most frequent words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, row = model_of(sent), TaskContext.get().partitionId() << 32
+        for chunk in tx.chunks(batches):
+            h, at = words_of(chunk)
+            w = m.named(h)
+            known = w < TOP
+            base = np.zeros(len(w))
+            base[known] = m.unigram(m.count[w[known].astype(np.int64)])
+            short, cut = np.where(known, w, ELSEWHERE).astype(np.uint32), np.concatenate([[0], np.cumsum(~known)])[at]
+            others = w[~known]
+            yield tx.batch(
+                **{c: tx.column(chunk.rows, c) for c in keep}, row=row + np.arange(chunk.n), n_tokens=np.diff(at), n_known=tx.per_document(known, at), base=tx.per_document(base, at),
+                words=pa.array([squeezed(short[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary()),
+                others=pa.array([squeezed(others[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary()),
+            )
+            row += chunk.n
+
+    more = "row long, n_tokens long, n_known long, base double, words binary, others binary"
+    return written(docs.select(*keep, "text").mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string(more)])), "numbered")
+
+
+def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(u, v, w, row) of the tokens of batches (row, words, others)."""
+
+    def done() -> tuple[np.ndarray, ...]:
+        at = np.concatenate([[0], np.cumsum([len(x) for x in held])])
+        return *before(np.concatenate(held), at), np.repeat(np.array(names, U), np.diff(at))
+
+    held, names, size = [], [], 0
+    for rows in batches:
+        for row, short, others in zip(*(rows[c].to_pylist() for c in ("row", "words", "others")), strict=True):
+            x = loose(short, np.uint32).astype(U)
+            if others:
+                x[x == ELSEWHERE] = loose(others, U)
+            held.append(x)
+            names.append(row)
+            size += len(x)
+            if size >= FLUSH // 4:
+                yield done()
+                held, names, size = [], [], 0
+    if held:
+        yield done()
+
+
+def routed(m: Model, grams: Grams, more: dict[str, np.ndarray], deal: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (part, salt, key, rest, more...) with arrays as bytes. With `deal`, a row has at most twice a part's mean, and what is over goes out under another salt."""
+    part = m.part_of(*grams.words())
+    order = np.argsort(part.astype(np.uint16) if m.parts <= 1 << 16 else part, kind="stable")  # within a part the order stays
+    room = 2 * len(part) // m.parts + 1024 if deal else len(part)
+    edge = np.searchsorted(part[order], np.arange(m.parts + 1))
+    pieces = [(s, i, order[lo : min(lo + room, edge[s + 1])]) for s in np.flatnonzero(np.diff(edge)) for i, lo in enumerate(range(edge[s], edge[s + 1], room))]
+    for i in range(0, len(pieces), 64):
+        some = pieces[i : i + 64]
+        told = [grams.take(q).bytes() for *_, q in some]
+        cells = {"part": pa.array([int(x[0]) for x in some], pa.int32()), "salt": pa.array([x[1] for x in some], pa.int32()), "key": pa.array([x[0] for x in told], pa.binary()), "rest": pa.array([x[1] for x in told], pa.binary())}
+        yield tx.batch(**cells, **{name: pa.array([f(q) for *_, q in some], pa.binary()) for name, f in more.items()})
+
+
+ROUTED = "part int, salt int, key binary, rest binary"
+
+
+def train(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), training: str | None = None, words: int = WORDS, discount: float = DISCOUNT, part_tokens: int = PART_TOKENS) -> Trained:
+    """The model of docs (the `keep` columns, text), or of those where the boolean column `training` is true. words and part_tokens change no score."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    counts = written((docs.where(training) if training else docs).select("text").mapInArrow(counting, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "unigrams")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    part_tokens = max(part_tokens, -(-total // PARTS))
     parts = -(-total // part_tokens) or 1
     folder = shared_dir(spark)
     if "://" in folder.removeprefix("file://"):
         raise ValueError("spark.checkpoint.dir must be a folder that tasks can open as files")
     folder = f"{folder.removeprefix('file://').removeprefix('file:')}/tallyvox/ngrams-{uuid.uuid4().hex}"
-    raw = packed({"totals": np.array([total, distinct, parts]), "folder": np.array(folder), **most(counts, words)})
-    if not total:
-        return raw, counts
-    sent = spark.sparkContext.broadcast(raw)
+    most = counts.orderBy(F.col("c").desc(), "key").limit(words).toArrow()
+    out = io.BytesIO()
+    np.savez(out, totals=np.array([total, distinct, parts, part_tokens]), folder=np.array(folder), **{x: most[x].to_numpy().astype(np.int64) for x in ("key", "c")})
+    sent = spark.sparkContext.broadcast(out.getvalue())
+    table = numbered(docs, sent, tuple(dict.fromkeys([*keep, training] if training else keep)))
+    if total:
+        build(spark, (table.where(training) if training else table).select("row", "words", "others"), sent, folder, discount)
+    return Trained(out.getvalue(), counts, table)
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model_of(sent)
-        for us, vs, ws in gathered((m.trigrams(*words_of(chunk)) for chunk in tx.chunks(batches)), FLUSH):
-            for level, q in ((2, vs != START), (3, us != START)):
-                of = (vs[q], ws[q]) if level == 2 else (us[q], vs[q], ws[q])
-                n = distinct_of(of)
-                if len(n[-1]):
-                    context = n[0] if level == 2 else pair(n[0], n[1])
-                    yield from routed(shard_of(context, parts), parts, tuple(n[:-1]), level, c=n[-1])
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, now, held, built = model_of(sent), None, [], 0
-        os.makedirs(folder, exist_ok=True)
 
-        def done() -> None:
-            level, shard = now
-            *of, c = distinct_of(tuple(np.concatenate(x) for x in zip(*(x[:-1] for x in held), strict=True)), np.concatenate([x[-1] for x in held]))
-            Part.write(m.path(level, shard), of[0] if level == 2 else pair(of[0], of[1]), of[-1], c.astype(np.int64), discount)
+def build(spark: SparkSession, table: DataFrame, sent, folder: str, discount: float) -> None:
+    """Write all parts."""
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for u, v, w, _ in gathered(texts(batches), FLUSH):
+            q = v != START
+            yield u[q], v[q], w[q]
 
+    def hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Bigrams of split words: a row for each of a number of ranges of their hash, so that none grows with the corpus."""
+        m = model_of(sent)
+        for _, v, w in tokens(batches):
+            q = m.splits(v) > 1
+            order, first = in_order(*(Codes(np.zeros(0, U)).of(x[q & (w < TOP)]) for x in (v, w)))
+            pairs = [x[q & (w < TOP)][order][first] for x in (v, w)], np.diff(np.append(first, len(order)))
+            rare = q & (w >= TOP)  # each on its own
+            a, b, c = np.append(pairs[0][0], v[rare]), np.append(pairs[0][1], w[rare]), np.append(pairs[1], np.ones(int(rare.sum()), np.int64))
+            yield from packs(m.place(tx.mix(a) ^ b, np.zeros(len(a), U)), a, b, c)
+
+    def packs(part: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(part):
+            return
+        order = np.argsort(part, kind="stable")
+        names, edge = np.unique(part[order], return_index=True)
+        at = [order[a:b] for a, b in zip(edge, np.append(edge[1:], len(order)), strict=True)]
+        for i in range(0, len(at), 64):
+            yield tx.batch(part=names[i : i + 64].astype(np.int32), **{k: pa.array([squeezed(f(q)) for q in at[i : i + 64]], pa.binary()) for k, f in (("v", lambda q: v[q].astype(np.uint32)), ("w", lambda q: w[q]), ("c", lambda q: c[q].astype(U)))})
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+        now, held = None, []
         for rows in batches:
             for r in rows.to_pylist():
-                if now is not None and now != (r["level"], r["shard"]):
-                    done()
-                    held, built = [], built + 1
-                now = r["level"], r["shard"]
-                held.append([*told(r["key"], r["rest"], r["level"]), loose(r["c"], np.uint32)])
+                if r["part"] != now and held:
+                    yield now, held
+                    held = []
+                now = r["part"]
+                held.append(r)
         if held:
-            done()
+            yield now, held
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of split words' bigrams, to each of their parts."""
+        m = model_of(sent)
+        for _, held in groups(batches):
+            v, w, c = (np.concatenate([loose(r[k], kind).astype(U) for r in held]) for k, kind in (("v", np.uint32), ("w", U), ("c", U)))
+            order = np.lexsort((w, v))
+            first = np.flatnonzero(np.append(True, (v[order][1:] != v[order][:-1]) | (w[order][1:] != w[order][:-1])))
+            v, w, c = v[order][first], w[order][first], np.add.reduceat(c[order], first)
+            times = m.splits(v)
+            nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            v, w, c = (np.repeat(x, times) for x in (v, w, c))
+            yield from packs(m.place(v, nth), v, w, c)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model_of(sent)
+        for u, v, w in tokens(batches):
+            found, _ = Grams.of(u, v, w)
+            first = np.flatnonzero(np.append(True, found.key[1:] != found.key[:-1])) if len(found.key) else np.zeros(0, np.int64)
+            c = np.append(np.diff(np.append(first, len(found.key))), np.ones(found.rest.shape[1], np.int64)).astype(np.uint32)
+            yield from routed(m, Grams(found.key[first], found.rest), {"c": lambda q, c=c: squeezed(c[q])}, deal=False)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, built = model_of(sent), 0
+        os.makedirs(folder, exist_ok=True)
+        for part, held in groups(batches):
+            own, split = [r for r in held if r["v"] is None], [r for r in held if r["v"] is not None]
+            of = [Grams.read(r["key"], r["rest"]).words() for r in own]
+            found = [np.concatenate([x[i] for x in of]) if of else np.zeros(0, U) for i in range(3)]
+            c = np.concatenate([loose(r["c"], np.uint32) for r in own]).astype(np.int64) if own else np.zeros(0, np.int64)
+            two = [np.concatenate([loose(r[k], kind) for r in split]).astype(U) if split else np.zeros(0, U) for k, kind in (("v", np.uint32), ("w", U), ("c", U))]
+            Part.write(m.path(part), (*found, c), (*two[:2], two[2].astype(np.int64)), discount)
             built += 1
         yield tx.batch(built=np.array([built]))
 
-    sent_rows = docs.mapInArrow(grams, f"{ROUTED}, c binary").repartition("level", "shard").sortWithinPartitions("level", "shard")
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")  # else the shuffled counts stay on disk while lookups are shuffled
-    try:
-        sent_rows.mapInArrow(build, "built long").agg(F.sum("built")).collect()
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return raw, counts
+    with cleaned(spark):
+        some = table.mapInArrow(hot, "part int, v binary, w binary, c binary").repartition("part").sortWithinPartitions("part")
+        split = written(some.mapInArrow(totals, "part int, v binary, w binary, c binary"), "split-words")
+        own = table.mapInArrow(grams, f"{ROUTED}, c binary").drop("salt")
+        both = own.unionByName(split, allowMissingColumns=True).repartition("part").sortWithinPartitions("part")
+        both.mapInArrow(write, "built long").agg(F.sum("built")).collect()
 
 
-def gathered(found: Iterator[tuple[np.ndarray, ...]], size: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Tuples of arrays put together until they have at least that size."""
-    held, n = [], 0
-    for x in found:
-        held.append(x)
-        n += len(x[0])
-        if n >= size:
-            yield tuple(np.concatenate(y) for y in zip(*held, strict=True))
-            held, n = [], 0
-    if n:
-        yield tuple(np.concatenate(y) for y in zip(*held, strict=True))
+class cleaned:
+    """Shuffle files of the queries within go when each query ends; else they stay on disk beside those that follow."""
 
+    def __init__(self, spark: SparkSession):
+        self.conf, self.before = spark.conf, spark.conf.get(CLEANUP, "false")
 
-def distinct_of(words: tuple[np.ndarray, ...], c: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """The distinct tuples and their counts."""
-    ok, key = short(*words)
-    key = key[ok], np.zeros(0, U)
-    rest = [w[~ok] for w in words]
-    for w in rest:
-        key = key[0], tx.mix((key[1] if len(key[1]) else np.zeros(len(w), U)) * U(0xD6E8FEB86659FD93) + w)
-    out = []
-    for k, of, n in ((key[0], [w[ok] for w in words], None if c is None else c[ok]), (key[1], rest, None if c is None else c[~ok])):
-        if n is None:
-            _, i, n = np.unique(k, return_index=True, return_counts=True)
-        else:
-            _, i, back = np.unique(k, return_index=True, return_inverse=True)
-            n = np.bincount(back, n, len(i))
-        out.append([*(w[i] for w in of), n.astype(np.uint32)])
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def names(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A hash of each document's tokens in order."""
-    place = (np.arange(len(h)) - np.repeat(at[:-1], np.diff(at))).astype(U)
-    return tx.mix(tx.per_document(tx.mix(h + tx.mix(place + U(1))).view(np.int64), at).view(U))
-
-
-def score(docs: DataFrame, raw: bytes, counts: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The `keep` columns of docs (with text) and n_tokens, n_known, base_score, score. raw, counts: from train()."""
-    sent = docs.sparkSession.sparkContext.broadcast(raw)
-    total, distinct, parts = np.load(io.BytesIO(raw))["totals"].tolist()
-    schema = [docs.schema[c] for c in keep]
-
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in tx.chunks(batches):
-            h, at = words_of(chunk)
-            yield tx.batch(**{c: tx.column(chunk.rows, c) for c in keep}, name=tx.ints(names(h, at)), n_tokens=np.diff(at))
+    def __enter__(self) -> None:
+        self.conf.set(CLEANUP, "true")
 
-    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model_of(sent)
+    def __exit__(self, *_) -> None:
+        self.conf.set(CLEANUP, self.before)
 
-        def of() -> Iterator[tuple[np.ndarray, ...]]:
-            for chunk in tx.chunks(batches):
-                h, at = words_of(chunk)
-                yield *m.trigrams(h, at), np.repeat(names(h, at), np.diff(at))
 
-        for u, v, w, name in gathered(of(), FLUSH):
-            yield from routed(shard_of(pair(u, v), parts), parts, (u, v, w), 3, name=name)
+def score(trained: Trained, docs: DataFrame | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The `keep` columns and n_tokens, n_known, train_tokens, base_score, score and gain (the score less the base, a token) of docs (with text), by default of the documents given to train()."""
+    spark = trained.counts.sparkSession
+    sent = spark.sparkContext.broadcast(trained.head)
+    total, distinct = np.load(io.BytesIO(trained.head))["totals"].tolist()[:2]
+    table = trained.numbered if docs is None else numbered(docs, sent, keep)
 
-    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model_of(sent)
+        for u, v, w, row in gathered(texts(batches), FLUSH):
+            found, at = Grams.of(u, v, w)
+            names, nth = np.unique(row, return_inverse=True)
+            told, nth = rising(names), nth[at].astype(np.uint16 if len(names) <= 1 << 16 else np.uint32)
+            yield from routed(m, found, {"names": lambda q, told=told: told, "nth": lambda q, nth=nth: squeezed(nth[q])}, deal=True)
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of each text's tokens in a part (home, names, score), and tokens of less frequent words (key, row, p, off)."""
         m = model_of(sent)
 
-        def of() -> Iterator[tuple[np.ndarray, ...]]:
-            for rows in batches:
-                for r in rows.to_pylist():
-                    u, v, w = told(r["key"], r["rest"], 3)
-                    p, off = m.find(3, r["shard"], pair(u, v), w)
-                    yield v, w, loose(r["name"], U), small(p), small(off)
-
-        for v, w, name, p, off in gathered(of(), FLUSH):
-            yield from routed(shard_of(v, parts), parts, (v, w), 2, name=name, p=p, off=off)
+        def done(part: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            u, v, w, row = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((u, v)) if len(held) > 1 else np.arange(len(v))
+            w, row = w[order], row[order]
+            p, off = m.find(part, u[order], v[order], w)
+            known = w < TOP
+            value = np.log10(p[known] + off[known] * 10 ** m.unigram(m.count[w[known].astype(np.int64)]))
+            names, back = np.unique(row[known], return_inverse=True)
+            total = np.bincount(back, value, len(names)).astype(np.float32)
+            edge = np.flatnonzero(np.diff(names >> U(32), prepend=U(1 << 62)))
+            cut = zip(edge.tolist(), [*edge[1:].tolist(), len(names)], strict=False)  # a partition's texts each
+            out = [(int(names[a] >> U(32)), rising(names[a:b]), squeezed(total[a:b]), None, None, None, None) for a, b in cut]
+            if not known.all():
+                out.append((-1, None, None, w[~known].view(np.int64), row[~known].view(np.int64), p[~known], off[~known]))
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64()))
+            return tx.batch(**{c: pa.array([x[i] for x in out], kind) for i, (c, kind) in enumerate(zip(("home", "names", "score", "key", "row", "p", "off"), kinds, strict=True))})
+
+        now, held, size = -1, [], 0
+        for rows in batches:
+            for r in rows.to_pylist():
+                if held and (r["part"] != now or size >= FLUSH):
+                    yield done(now, held)
+                    held, size = [], 0
+                names, now = risen(r["names"]), r["part"]
+                held.append((*Grams.read(r["key"], r["rest"]).words(), names[loose(r["nth"], np.uint16 if len(names) <= 1 << 16 else np.uint32)]))
+                size += len(held[-1][0])
+        if held:
+            yield done(now, held)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums of frequent words (name, key null, n, base, score) and, to be joined with counts, other words (name, key, p, off)."""
-        m = model_of(sent)
+        now, held = None, ([], [])
 
-        def of() -> Iterator[tuple[np.ndarray, ...]]:
-            for rows in batches:
-                for r in rows.to_pylist():
-                    v, w = told(r["key"], r["rest"], 2)
-                    p2, off2 = m.find(2, r["shard"], v, w)
-                    p3, off3 = (10 ** loose(r[x], np.float16).astype(float) for x in ("p", "off"))
-                    yield w, loose(r["name"], U), p3 + off3 * p2, off3 * off2
-
-        for w, name, p, off in gathered(of(), FLUSH):
-            known = w < START
-            base = m.unigram(m.count[w[known].astype(np.int64)])
-            value = np.log10(p[known] + off[known] * 10**base)
-            which, back = np.unique(name[known], return_inverse=True)
-            n = len(which)
-            yield tx.batch(name=tx.ints(which), key=pa.nulls(n, pa.int64()), n=np.bincount(back, minlength=n), base=np.bincount(back, base, n).astype(float), score=np.bincount(back, value, n).astype(float))
-            n = int((~known).sum())
-            yield tx.batch(name=tx.ints(name[~known]), key=tx.ints(w[~known]), n=np.zeros(n, np.int64), base=p[~known], score=off[~known])
-
-    spread = lambda df: df.repartition("shard", "salt").sortWithinPartitions("shard")
-    first = docs.select("text").mapInArrow(triples, f"{ROUTED}, name binary")
-    second = spread(first).mapInArrow(bigrams, f"{ROUTED}, name binary, p binary, off binary")
-    found = written(spread(second).mapInArrow(sums, "name long, key long, n long, base double, score double"), "sums")
-    p1 = (F.coalesce("c", F.lit(0)) + 1) / F.lit(float(total + distinct + 1))
-    rare = found.where("key is not null").join(counts, "key", "left").select("name", F.col("c").isNotNull().cast("long").alias("n"), F.log10(p1).alias("base"), F.log10(F.col("base") + F.col("score") * p1).alias("score"))
-    values = found.where("key is null").select("name", "n", "base", "score").unionByName(rare).groupBy("name").agg(*(F.sum(x).alias(x) for x in ("n", "base", "score")))
-    listed = written(docs.select(*keep, "text").mapInArrow(heads, T.StructType([*schema, T.StructField("name", T.LongType()), T.StructField("n_tokens", T.LongType())])), "names")
-    times = listed.groupBy("name").agg(F.count("*").alias("times"))  # each row with a text has sent its tokens
-    joined = listed.join(values.join(times, "name"), "name", "left")
-    return joined.select(*keep, "n_tokens", F.expr("n div times").alias("n_known"), F.lit(total).alias("train_tokens"), (F.col("base") / F.col("times")).alias("base_score"), (F.col("score") / F.col("times")).alias("score"))
+        def done() -> pa.RecordBatch:
+            names, back = np.unique(np.concatenate(held[0]), return_inverse=True)
+            return tx.batch(row=tx.ints(names), score=np.bincount(back, np.concatenate(held[1]), len(names)))
+
+        for rows in batches:
+            for r in rows.to_pylist():
+                if r["home"] != now and held[0]:
+                    yield done()
+                    held = ([], [])
+                now = r["home"]
+                held[0].append(risen(r["names"]))
+                held[1].append(loose(r["score"], np.float32).astype(float))
+        if held[0]:
+            yield done()
+
+    with cleaned(spark):
+        sent_out = table.select("row", "words", "others").mapInArrow(lookups, f"{ROUTED}, names binary, nth binary").repartition("part", "salt").sortWithinPartitions("part")
+        found = written(sent_out.mapInArrow(answers, "home int, names binary, score binary, key array<long>, row array<long>, p array<double>, off array<double>"), "answers")
+        frequent = found.where("home >= 0").select("home", "names", "score").repartition("home").sortWithinPartitions("home").mapInArrow(sums, "row long, score double")
+        p1 = (F.coalesce("c", F.lit(0)) + 1) / F.lit(float(total + distinct + 1))
+        rare = found.where("home < 0").select(F.explode(F.arrays_zip("key", "row", "p", "off")).alias("x")).select("x.*").join(trained.counts, "key", "left")
+        rare = rare.select("row", F.col("c").isNotNull().cast("long").alias("more"), F.log10(p1).alias("base"), F.log10(F.col("p") + F.col("off") * p1).alias("score"))
+        none = F.lit(0)
+        each = frequent.select("row", none.cast("long").alias("more"), none.cast("double").alias("more_base"), "score").unionByName(rare.withColumnRenamed("base", "more_base"))
+        each = written(each.groupBy("row").agg(*(F.sum(x).alias(x) for x in ("more", "more_base", "score"))), "sums")
+    joined = table.select(*keep, "row", "n_tokens", "n_known", "base").join(each, "row", "left")
+    base = F.col("base") + F.coalesce("more_base", F.lit(0.0))
+    return joined.select(*keep, "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).alias("train_tokens"), base.alias("base_score"), "score", ((F.col("score") - base) / F.col("n_tokens")).alias("gain"))
 
 
 def held_out(doc_id: Column, of: int = 7, which: int = 2) -> Column:

@@ -75,15 +75,10 @@ class Sequence:
 
 
 class Level:
-    """Children of a level's nodes: begin of each node's children, their words, made monotone by adding what the earlier nodes' children end with, and quantised values."""
+    """Children of a level's nodes: begin of each node's children, and their words, made monotone by adding what the earlier nodes' children end with."""
 
     def __init__(self, begin: Sequence, words: Sequence):
-        self.words = words
-        self.begin = begin.get(np.arange(begin.n)).astype(np.int32)  # pointers are unpacked where they are read
-        self.base = np.zeros(begin.n - 1, np.int64)
-        later = np.flatnonzero(self.begin[:-1] > 0)
-        if words.n:
-            self.base[later] = words.get(self.begin[later].astype(np.int64) - 1)
+        self.begin, self.words = begin, words
 
     @staticmethod
     def arrays(parent: np.ndarray, word: np.ndarray, nodes: int) -> dict[str, np.ndarray]:
@@ -103,12 +98,18 @@ class Level:
     def of(arrays: dict[str, np.ndarray]) -> Level:
         return Level(*(Sequence(int(arrays[f"{x}_head"][0]), int(arrays[f"{x}_head"][1]), arrays[f"{x}_low"], arrays[f"{x}_high"]) for x in ("begin", "words")))
 
-    def child(self, node: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The place of the node's child with that word, or -1: the successor, among the node's children, of the word counted from where the earlier nodes' words end."""
-        out = np.full(len(node), -1, np.int64)
-        q = np.flatnonzero(self.begin[node + 1] > self.begin[node])
-        if len(q):
-            i, same = self.words.find(self.base[node[q]] + word[q] + 1)
-            same &= (i < self.begin[node[q] + 1]) & (i >= self.begin[node[q]])
-            out[q[same]] = i[same]
+    def child(self, node: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The place of the child of node[at] with that word, or -1: the successor, among the node's children, of the word counted from where the earlier nodes' words end. Pointers are decoded once a node."""
+        out = np.full(len(word), -1, np.int64)
+        if not len(word) or not self.words.n:
+            return out
+        lo, hi = self.begin.get(node), self.begin.get(node + 1)
+        base = np.zeros(len(node), np.int64)
+        later = np.flatnonzero(lo > 0)
+        base[later] = self.words.get(lo[later] - 1)
+        lo, hi, base = lo[at], hi[at], base[at]
+        q = np.flatnonzero(hi > lo)
+        i, same = self.words.find(base[q] + word[q] + 1)
+        same &= (i < hi[q]) & (i >= lo[q])
+        out[q[same]] = i[same]
         return out

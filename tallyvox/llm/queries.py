@@ -108,8 +108,8 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import eflm
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", eflm.held_out(F.col("doc_id")).alias("held_out"))
-    raw, counts = eflm.train(docs.where("not held_out"))
-    return eflm.score(docs, raw, counts, keep=("doc_id", "held_out"))
+    docs = docs.withColumn("training", ~F.col("held_out"))
+    return eflm.score(eflm.train(docs, keep=("doc_id", "held_out"), training="training"), keep=("doc_id", "held_out"))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

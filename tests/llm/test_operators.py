@@ -380,13 +380,14 @@ def test_elias_fano():
     level = Level.of(Level.arrays(k // 5000, k % 5000, 60))
     q, w = rng.integers(0, 60, 3000), rng.integers(0, 5000, 3000)
     there = dict(zip(k.tolist(), range(len(k)), strict=True))
-    assert level.child(q, w).tolist() == [there.get(a * 5000 + b, -1) for a, b in zip(q.tolist(), w.tolist(), strict=True)]
+    assert level.child(np.arange(60), w, q).tolist() == [there.get(a * 5000 + b, -1) for a, b in zip(q.tolist(), w.tolist(), strict=True)]
 
 
 def test_lm_scores(frame, odd):
     docs = frame.select("doc_id", "text", eflm.held_out(frame.doc_id).alias("held_out"))
-    raw, counts = eflm.train(docs.where("not held_out"))
-    got = eflm.score(docs, raw, counts, keep=("doc_id", "held_out"))
+    got = eflm.score(eflm.train(docs.where("not held_out")), docs, keep=("doc_id", "held_out"))
+    both = eflm.train(docs.withColumn("training", ~docs.held_out), keep=("doc_id", "held_out"), training="training")
+    assert rows_of(eflm.score(both, keep=("doc_id", "held_out")), *got.columns[:-2]) == rows_of(got, *got.columns[:-2])
     tokens = [(i, i is not None and zlib.crc32(str(i).encode()) % 7 == 2, [*words(t), None]) for i, t in odd]
     c = Counter(w for _, out, t in tokens if not out for w in t)
     total = sum(c.values())
@@ -397,21 +398,21 @@ def test_lm_scores(frame, odd):
 
 
 def test_lm_probabilities_sum_to_one(spark, frame):
-    raw, counts = eflm.train(frame)
-    m = eflm.Model(raw)
-    key = np.array([r.key for r in counts.collect()]).view(np.uint64)
-    number = m.number(key)
+    trained = eflm.train(frame)
+    m = eflm.Model(trained.head)
+    key = np.array([r.key for r in trained.counts.collect()]).view(np.uint64)
+    number = m.words.find(key)
     assert (number >= 0).all()
     for context in range(6):
         h = np.empty(2 * len(key), np.uint64)
         h[0::2], h[1::2] = key[number == context], key
-        total = (10 ** m.score(h, np.arange(0, len(h) + 1, 2))[2][1::2]).sum()
+        total = (10 ** m.score(h, np.arange(0, len(h) + 1, 2))[1::2]).sum()
         assert abs(total + 1 / (m.total + m.distinct + 1) - 1) < 0.1  # 8-bit probabilities
 
 
 def test_lm_keeps_all_ngrams_that_occur_again(spark):
     """More context words than 2 ** 16, and a model in many parts: each value is that of brute force, up to 8 bits."""
-    rows = [(i, " ".join(f"w{j} then x{j} w{j} then x{j}" for j in range(i * 500, (i + 1) * 500))) for i in range(150)]
+    rows = [(i, " ".join(f"w{j} then x{j} w{j} then x{j} then w{j % 7}" for j in range(i * 500, (i + 1) * 500))) for i in range(150)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     docs = [(i, ["", "", *t.split(), "."]) for i, t in rows]
     grams = [Counter() for _ in range(3)]
@@ -435,17 +436,18 @@ def test_lm_keeps_all_ngrams_that_occur_again(spark):
         c = grams[k][g]
         return (max(0, c - eflm.DISCOUNT) if c >= 2 else 0) / n + (1 - back[k][g[:-1]] / n) * low if n else low
 
-    want = {i: sum(math.log10(p(tuple(t[j - 2 : j + 1]))) for j in range(2, len(t))) for i, t in docs[-3:]}
-    raw, counts = eflm.train(frame, words=1000, part_tokens=50_000)
-    got = {r.doc_id: r.score for r in eflm.score(frame, raw, counts).collect()}
-    assert all(abs(got[i] - x) < 0.01 * abs(x) for i, x in want.items())
+    more = [(900, ["", "", "then", "w3", "nowhere", "then", "then", "."]), (901, ["", "", "."])]
+    want = {i: sum(math.log10(p(tuple(t[j - 2 : j + 1]))) for j in range(2, len(t))) for i, t in docs[-3:] + more}
+    for words, part_tokens in ((1000, 50_000), (1000, 1 << 21), (1 << 19, 50_000), (4, 9_000)):  # with "then" split and not, many and few words with numbers
+        trained = eflm.train(frame, words=words, part_tokens=part_tokens)
+        assert words > 4 or eflm.Model(trained.head).split.max() > 9
+        got = {r.doc_id: r.score for d in (None, spark.createDataFrame([(i, " ".join(t[2:-1])) for i, t in more], "doc_id long, text string")) for r in eflm.score(trained, d).collect()}
+        assert all(abs(got[i] - x) < 0.01 * abs(x) for i, x in want.items())
 
 
 def test_lm_without_training_text(empty, frame):
-    raw, counts = eflm.train(empty)
-    assert {r.score for r in eflm.score(frame, raw, counts).collect()} == {0.0}
-    raw, counts = eflm.train(frame)
-    assert eflm.score(empty, raw, counts).count() == 0
+    assert {r.score for r in eflm.score(eflm.train(empty), frame).collect()} == {0.0}
+    assert eflm.score(eflm.train(frame), empty).count() == 0 and eflm.score(eflm.train(empty)).count() == 0
 
 
 # 10
