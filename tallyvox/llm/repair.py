@@ -1,9 +1,9 @@
 """Re-Pair grammar compression of token ids.
 
 Documents are ordered by id over range partitions; a partition is a shard, cut into blocks of a bounded number of tokens.
-In each block frequent pairs of neighbouring symbols become nonterminals, round after round. A block's record holds its
-rules, their expansion lengths, the remaining sequence and where each document begins, so that any document can be decoded
-from the symbols that cover it.
+In each block the most frequent pairs of neighbouring symbols become nonterminals, many at a time, until no pair is found
+`least` times. A block's record holds its rules, their expansion lengths, the remaining sequence and where each document
+begins, so that any document can be decoded from the symbols that cover it.
 
 Null text is an empty document (its end id alone); documents with a null id come first; rows that share an id are ordered
 by a hash of their text; an empty table gives no blocks. Columns other than the two named are not read.
@@ -25,60 +25,110 @@ from .packing import bases
 from .scratch import written
 from .tokens import Encoder
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 BLOCK = 1 << 20
-_SLOTS = 1 << 18
-
-
-def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(14)
-
-
-def compress(ids: np.ndarray, vocabulary: int, *, rounds: int = 6, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, rules): rules[k] is the pair that symbol vocabulary + k stands for. Symbols stay within 16 bits where the vocabulary does."""
-    seq, rules = ids.astype(np.uint32), []
-    room = (1 << 16 if vocabulary < 1 << 16 else 1 << 20) - vocabulary
-    each = max(1, room // rounds)
-    for _ in range(rounds):
-        if len(seq) < 2 * least:
+#: A rule takes about five bytes, a replaced pair saves two: rules for rarer pairs make blocks longer again.
+LEAST = 8
+_SLOT_BITS = 20
+
+
+def _slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(32 - _SLOT_BITS)
+
+
+def replaced(seq: np.ndarray, at: np.ndarray, bar: int, first: int, of_slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, rules) after one round (of_slot: a table of -1): of the pairs at the places `at` those found `bar` times or more become symbols from `first` on. Where two overlap, the more frequent one counts; what is left over waits for the next round."""
+    key = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+    ordered = np.sort(key)
+    begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(key) else np.zeros(0, np.int64)
+    n = np.diff(np.append(begin, len(ordered)))
+    pair, n = ordered[begin[n >= bar]], n[n >= bar]
+    left, right = (pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32)
+    own, by_n = _slots(left, right), np.argsort(n, kind="stable")
+    of_slot[own[by_n]] = by_n  # the most frequent pair of a slot
+    rule = of_slot[_slots(seq[at], seq[at + 1])]
+    of_slot[own] = -1
+    hit = np.flatnonzero(rule >= 0)
+    hit = hit[pair[rule[hit]] == key[hit]]
+    at, rule = at[hit], rule[hit].astype(np.int64)
+    near, rank = np.diff(at) == 1, n[rule] << 32 | rule
+    loses = np.zeros(len(at), bool)
+    loses[1:] |= near & (rank[:-1] > rank[1:])
+    loses[:-1] |= near & (rank[1:] > rank[:-1])
+    run = np.flatnonzero(np.append(True, ~near | (rule[1:] != rule[:-1]))[: len(at)])  # overlapping pairs alike: every other one
+    odd = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2
+    keep = ~loses & (odd == 0)
+    good = np.bincount(rule[keep], minlength=len(pair)) >= max(2, bar // 2)
+    keep &= good[rule]
+    at, rule = at[keep], (np.cumsum(good) - 1)[rule[keep]]
+    seq[at] = (first + rule).astype(np.uint32)
+    stays = np.ones(len(seq), bool)
+    stays[at + 1] = False
+    return seq[stays], np.stack([left[good], right[good]], 1)
+
+
+def compress(ids: np.ndarray, vocabulary: int, *, least: int = LEAST, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, rules): rules[k] is the pair that symbol vocabulary + k stands for. The count that a pair needs falls by `step` to `least`; then rounds go on until no pair has it."""
+    seq, rules, first, bar = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)], vocabulary, None
+    of_slot = np.full(1 << _SLOT_BITS, -1, np.int32)
+    while len(seq) > 1:
+        slot = _slots(seq[:-1], seq[1:])
+        count = np.bincount(slot, minlength=1 << _SLOT_BITS)
+        top = int(count.max())
+        if top < least:
             break
-        slot = _pairs(seq[:-1], seq[1:])
-        count = np.bincount(slot, minlength=_SLOTS)
-        bar = max(least, int(np.partition(count, _SLOTS - each)[_SLOTS - each]))
+        last = bar == least
+        bar = max(least, min(top, bar or top) // step)
         at = np.flatnonzero(count[slot] >= bar)
-        pair, n = np.unique(seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], return_counts=True)
-        pair, n = pair[n >= least], n[n >= least]
-        best = np.argsort(-n, kind="stable")[: min(each, room)]
-        left, right = (pair[best] >> np.uint64(32)).astype(np.uint32), pair[best].astype(np.uint32)
-        of_slot = np.full(_SLOTS, -1, np.int32)
-        own = _pairs(left, right)
-        of_slot[own[::-1]] = np.arange(len(best), dtype=np.int32)[::-1]  # the most frequent pair of a slot; others wait for the next round
-        stays = of_slot[own] == np.arange(len(best))
-        left, right = left[stays], right[stays]
-        if not len(left):
+        found = False
+        while len(at) > (0 if bar == least else len(seq) >> 5):  # what is few at a higher bar is found at the next
+            seq, new = replaced(seq, at, bar, first, of_slot)
+            if not len(new):
+                break
+            found = True
+            rules.append(new)
+            fresh = seq >= first  # a pair can only have become more frequent with a new symbol
+            first += len(new)
+            at = np.flatnonzero(fresh[:-1] | fresh[1:])
+        if last and not found:
             break
-        of_slot[own[stays]] = np.arange(len(left), dtype=np.int32)
-        rule = of_slot[slot[at]]
-        hit = (rule >= 0) & (left[rule] == seq[at]) & (right[rule] == seq[at + 1])
-        at, rule = at[hit], rule[hit]
-        run = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # overlapping pairs: every other one of a run, from its left
-        odd = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2
-        at, rule = at[odd == 0], rule[odd == 0]
-        seq[at] = vocabulary + sum(map(len, rules)) + rule.astype(np.uint32)
-        seq = np.delete(seq, at + 1)
-        rules.append(np.stack([left, right], 1))
-        room -= len(left)
-    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+    return seq, np.concatenate(rules)
+
+
+def batches_of(rules: np.ndarray, vocabulary: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rules that refer to earlier ones only."""
+    most, i = rules.astype(np.int64).max(axis=1, initial=0) - vocabulary, 0
+    while i < len(rules):
+        later = most[i:] >= i
+        j = i + int(later.argmax()) if later.any() else len(rules)
+        yield i, j
+        i = j
 
 
 def lengths(rules: np.ndarray, vocabulary: int) -> np.ndarray:
     """How many ids each nonterminal expands to."""
-    out = np.zeros(len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[k] = (1 if a < vocabulary else out[a - vocabulary]) + (1 if b < vocabulary else out[b - vocabulary])
+    out, a = np.zeros(len(rules), np.int64), rules.astype(np.int64) - vocabulary
+    for i, j in batches_of(rules, vocabulary):
+        out[i:j] = np.where(a[i:j] < 0, 1, out[np.maximum(a[i:j], 0)]).sum(axis=1)
     return out
 
 
+def narrow(x: np.ndarray) -> bytes:
+    """Numbers below 2**32 by their low 16 bits and, a bit at a time, the others that any has."""
+    bits = max(16, int(x.max(initial=0)).bit_length())
+    return b"".join([struct.pack("<IB", len(x), bits), x.astype("<u2").tobytes(), *(np.packbits((x >> j & 1).astype(np.uint8)).tobytes() for j in range(16, bits))])
+
+
+def widened(raw: bytes, at: int) -> tuple[np.ndarray, int]:
+    """(numbers, the place after them)."""
+    n, bits = struct.unpack_from("<IB", raw, at)
+    out, at = np.frombuffer(raw, "<u2", n, at + 5).astype(np.int64), at + 5 + 2 * n
+    for j in range(16, bits):
+        out |= np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8), at), count=n).astype(np.int64) << j
+        at += -(-n // 8)
+    return out, at
+
+
 class Block:
     """A block as it is stored."""
 
@@ -92,35 +142,28 @@ class Block:
         return Block(vocabulary, rules, lengths(rules, vocabulary), sequence, at)
 
     def to_bytes(self) -> bytes:
-        wide = "<u2" if self.vocabulary < 1 << 16 else "<u4"
-        return b"".join([MAGIC, struct.pack("<IIIII", self.vocabulary, len(self.rules), len(self.sequence), len(self.at), int(wide[2])), *(np.ascontiguousarray(x.astype(t)).tobytes() for x, t in ((self.rules, "<u4"), (self.expands, "<u4"), (self.sequence, wide), (self.at, "<i8")))])
+        return b"".join([MAGIC, struct.pack("<I", self.vocabulary), *(narrow(x) for x in (self.rules.ravel(), self.expands, self.sequence, np.diff(self.at)))])
 
     @staticmethod
     def from_bytes(raw: bytes) -> Block:
         if raw[:4] != MAGIC:
             raise ValueError("not a block of this format")
-        vocabulary, n_rules, n_sequence, n_at, wide = struct.unpack_from("<IIIII", raw, 4)
-        found, i = [], 24
-        for kind, n in (("<u4", 2 * n_rules), ("<u4", n_rules), (f"<u{wide}", n_sequence), ("<i8", n_at)):
-            found.append(np.frombuffer(raw, kind, n, i))
-            i += n * np.dtype(kind).itemsize
-        return Block(vocabulary, found[0].reshape(-1, 2), found[1].astype(np.int64), found[2].astype(np.int64), found[3])
+        found, i = [], 8
+        for _ in range(4):
+            x, i = widened(raw, i)
+            found.append(x)
+        return Block(struct.unpack_from("<I", raw, 4)[0], found[0].reshape(-1, 2), found[1], found[2], np.concatenate([[0], np.cumsum(found[3])]))
 
     def _expanded(self) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all nonterminals one after the other, and where each begins."""
-        v, begin = self.vocabulary, np.cumsum(self.expands) - self.expands
-        out = np.zeros(int(self.expands.sum()), np.uint32)
-        for k, (a, b) in enumerate(self.rules.tolist()):
-            i = begin[k]
-            for x in (a, b):
-                if x < v:
-                    out[i] = x
-                    i += 1
-                else:
-                    j, n = begin[x - v], self.expands[x - v]
-                    out[i : i + n] = out[j : j + n]
-                    i += n
-        return out, begin
+        """The ids of all nonterminals one after the other, behind those of the vocabulary, and where each begins."""
+        v, begin = self.vocabulary, self.vocabulary + np.cumsum(self.expands) - self.expands
+        out = np.concatenate([np.arange(v, dtype=np.uint32), np.zeros(int(self.expands.sum()), np.uint32)])
+        at, size = np.concatenate([np.arange(v), begin]), np.concatenate([np.ones(v, np.int64), self.expands])
+        for i, j in batches_of(self.rules, v):
+            both = self.rules[i:j].ravel()
+            stop = np.cumsum(size[both])
+            out[begin[i] : begin[i] + stop[-1]] = out[np.repeat(at[both] - (stop - size[both]), size[both]) + np.arange(stop[-1])]
+        return out, at
 
     def decode(self, first: int = 0, last: int | None = None) -> np.ndarray:
         """The ids of documents first to last-1 (all by default): only the symbols that cover them are expanded."""
@@ -130,16 +173,13 @@ class Block:
             big = self.sequence >= self.vocabulary
             size[big] = self.expands[self.sequence[big] - self.vocabulary]
             self._ends = np.cumsum(size)
+            self._table = self._expanded()
         ends = self._ends
         lo, hi = np.searchsorted(ends, self.at[first], "right"), np.searchsorted(ends, self.at[last], "left") + 1
         symbols, size = self.sequence[lo:hi], np.diff(ends[lo:hi], prepend=ends[lo - 1] if lo else 0)
-        if self._table is None:
-            table, begin = self._expanded()
-            self._table = np.concatenate([np.arange(self.vocabulary, dtype=np.uint32), table]), begin
-        source, begin = self._table
-        at = np.where(symbols < self.vocabulary, symbols, self.vocabulary + begin[np.maximum(symbols - self.vocabulary, 0)] if len(begin) else symbols)
+        source, at = self._table
         stop = np.cumsum(size)
-        out = source[np.repeat(at - (stop - size), size) + np.arange(int(size.sum()))]
+        out = source[np.repeat(at[symbols] - (stop - size), size) + np.arange(int(size.sum()))]
         skip = int(self.at[first] - (ends[lo - 1] if lo else 0))
         return out[skip : skip + int(self.at[last] - self.at[first])]
 
@@ -172,7 +212,7 @@ def encode(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str
             yield flush()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(run, SCHEMA)
+    return rows.withColumn("hash", F.xxhash64("text")).repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash").mapInArrow(run, SCHEMA)
 
 
 def write(docs: DataFrame, tokenizer: str, path: str | None = None, **options) -> DataFrame:

@@ -79,10 +79,9 @@ class Chunk:
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A hash of the bytes of each span, the same wherever they stand."""
         size = ends - starts
-        out = mix(size.astype(U) + _SEED)
         eight = eights(self.buf)
-        todo = np.flatnonzero((size > 0) & (size <= LONG))
-        k = 0
+        out = mix((eight[starts] & _LEFT[np.minimum(size, 8)]) * _STEP + size.astype(U) * _SEED)
+        todo, k = np.flatnonzero((size > 8) & (size <= LONG)), 8
         while len(todo):
             left = size[todo] - k
             out[todo] = mix(out[todo] ^ (eight[starts[todo] + k] & _LEFT[np.minimum(left, 8)]) * _STEP)

@@ -17,7 +17,7 @@ KIND = np.full(256, 3, np.uint8)
 KIND[[i for i in range(256) if chr(i).isalpha()]] = 0
 KIND[[i for i in range(256) if chr(i).isnumeric()]] = 1
 KIND[[9, 10, 11, 12, 13, 32, 0x85, 0xA0]] = 2
-SLOTS = 1 << 21
+SLOTS = 1 << 22
 _loaded: dict[str, Encoder] = {}
 
 
@@ -28,7 +28,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         vocabulary = self.tokenizer.get_vocab()  # its strings have a character for each byte
-        self.bytes_per_id = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes_per_id = np.zeros(max(vocabulary.values()) + 1, np.int32)
         self.bytes_per_id[list(vocabulary.values())] = [len(x) for x in vocabulary]
         self._forget()
 
@@ -40,7 +40,7 @@ class Encoder:
         return _loaded[path]
 
     def _forget(self) -> None:
-        self.key, self.begin, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int32)
+        self.key, self.begin, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
         self.arena, self.used, self.filled = np.zeros(1 << 16, self.wide), 0, 0
 
     def ids(self, text: str) -> np.ndarray:
@@ -110,7 +110,7 @@ class Encoder:
             slot[new] = self._slots(h[new])
         n = self.size[slot].astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(n)])
-        out = self.arena[np.repeat(self.begin[slot] - upto[:-1], n) + np.arange(upto[-1])]
+        out = self.arena[np.repeat(self.begin[slot].astype(np.int64) - upto[:-1], n) + np.arange(upto[-1])]
         return out, np.diff(upto[np.searchsorted(starts, at)])
 
     def _slots(self, h: np.ndarray) -> np.ndarray:
@@ -132,6 +132,8 @@ class Encoder:
         """Ids of new pieces. They go to the tokenizer in one text, which it splits into them again: those with a leading blank as they are, the others on a line each; white space goes alone."""
         begin, size = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
         raw = buf.tobytes()
+        high = np.zeros(len(buf) + 1, np.int32)
+        np.cumsum(buf >> 7, dtype=np.int32, out=high[1:])
         blank = buf[starts] == 32
         spaces = KIND[buf[ends - 1]] == 2
         for chosen, line in ((np.flatnonzero(blank & ~spaces), ""), (np.flatnonzero(~blank & ~spaces), "\n")):
@@ -139,10 +141,10 @@ class Encoder:
                 pieces = [raw[a:b] for a, b in zip(starts[chosen].tolist(), ends[chosen].tolist(), strict=True)]
                 joined = line.encode().join(pieces).decode("latin-1")
                 ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.wide)
-                high = np.concatenate([[0], np.cumsum(buf >= 128)])
                 length = ends[chosen] - starts[chosen] + high[ends[chosen]] - high[starts[chosen]]  # in UTF-8
                 b = np.cumsum(length + len(line)) - length - len(line)
-                upto = np.concatenate([[0], np.cumsum(self.bytes_per_id[ids])])
+                upto = np.zeros(len(ids) + 1, np.int32)
+                np.cumsum(self.bytes_per_id[ids], dtype=np.int32, out=upto[1:])
                 a, b = np.searchsorted(upto, b), np.searchsorted(upto, b + length)
                 begin[chosen], size[chosen] = self._keep(ids) + a, b - a
         for k in np.flatnonzero(spaces):
