@@ -200,7 +200,7 @@ def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, shingle: int
 
 
 def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 85, block: int = BLOCK) -> DataFrame:
-    """(doc_id, doc, same, n_shingles, component_id) of each document."""
+    """(doc_id, doc, same, n_shingles, component_id, root) of each document; root names the component (null without words)."""
     docs = keyed(docs, doc_id, text)
     often = frequent(docs, shingle, percent)
     members = written(nodes(docs, shingle, percent, often), "nodes")
@@ -252,13 +252,21 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle
     ids = members.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id")).join(final, "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
     ids = written(ids, "ids")
     least = written(ids.groupBy("root").agg(F.min("id").alias("component_id")), "least")
-    named = written(ids.join(least, "root").select("fp", "component_id"), "named")
-    return members.join(named, "fp", "left").select("doc_id", *KEY, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = written(ids.join(least, "root").select("fp", "component_id", "root"), "named")
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return members.join(named, "fp", "left").select("doc_id", *KEY, F.col("n").alias("n_shingles"), own.alias("component_id"), F.when(F.col("n") > 0, F.col("root")).alias("root"))
 
 
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs without the documents of a component other than that with the least id; rows with a null id stay only alone."""
+    """docs with one document of each component: that with the least id (of several with this id the one with the least text hash, of repeated rows one).
+
+    Documents without words have no component; each stays. So does one document of a component whose ids are all null.
+    """
     found = join(docs, doc_id=doc_id, text=text, **options)
-    stays = found.where("doc_id <=> component_id").select(*KEY).distinct()
+    times = found.groupBy(*KEY).agg(F.first("root").alias("root"), F.first(F.col("doc_id").isNull()).alias("unnamed"), F.count("*").alias("times"))
+    first = times.where("root is not null").groupBy("root").agg(F.min(F.struct("unnamed", *KEY, "times")).alias("first")).select("first.doc", "first.same", (F.col("first.times") > 1).alias("repeated"))
+    stays = written(first.unionByName(times.where("root is null").select(*KEY, F.lit(False).alias("repeated"))), "stays")
     rows = docs.select(F.struct(*docs.columns).alias("row"), *[v.alias(k) for k, v in key_of(doc_id, text).items()])
-    return rows.join(stays, KEY, "left_semi").select("row.*")
+    once = rows.join(stays.where("not repeated").select(*KEY), KEY, "left_semi").select("row")
+    repeated = rows.join(stays.where("repeated").select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.first("row").alias("row")).select("row")
+    return once.unionByName(repeated).select("row.*")
