@@ -1,17 +1,20 @@
 """Importance resampling of documents towards labelled target text, by Gumbel top-k.
 
-Two generative models over hashed words and word pairs: one of the target (documents with target labels), one of all text.
-A document's log importance weight is the sum over its n-grams of ln P(target) - ln P(raw), divided by the square root of
-their number (so that its noise doesn't depend on the length) and multiplied by `sharpness`. With Gumbel noise, a function
-of id and seed, the k largest keys are a sample without replacement in proportion to the weights.
+Two generative models over hashed n-grams (words of letters and digits, lower-cased; pairs of words, told apart by whether
+the second repeats the first; byte trigrams): one of the target (documents with target labels), one of all text. The target model backs off to the raw one for n-grams whose counts the
+sampling of the target explains: only those that differ by `least` in logarithm and by `deviations` standard deviations
+have a ratio of their own. A document's log ratio is the sum over its words of ln P(target) - ln P(raw); so it is for pairs,
+and for trigrams tempered by 1/8, as they overlap and each word has several. Weights are truncated at 1: each of the three
+ratios counts as far as it is below 0, and their sum is the log importance weight. With Gumbel noise, a function of id and seed,
+the k largest of weight + noise are a sample without replacement in proportion to the weights.
 
 Raw counts are of all documents. The target counts are of at most `target_rows` labelled documents, the first by a hash of
-the id. k is `share` of the rows: by default the target's share of the labels and a twentieth more, as the last good
-documents and the first bad ones have like weights.
+the id. k is the number of the documents given whose weight is at least that which `keep` of the target's documents have
+that the target model hasn't seen (a fifth of the labelled ones): it follows the documents, not the labels' shares.
 
 Null and empty texts have no n-grams and weight 0 (neither better nor worse than raw text). Rows with equal keys at the
-border are all kept; repeated rows with one id have one key. Without target labels all weights are 0. Of an empty table
-nothing comes out. Other columns are passed on untouched.
+border are all kept; repeated rows with one id have one key. Without target labels all weights are 0 and all rows stay. Of
+an empty table nothing comes out. Other columns are passed on untouched.
 """
 
 from __future__ import annotations
@@ -26,21 +29,31 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .scratch import written
 
-#: Buckets of words, which are to tell rare ones apart, and of pairs.
-WORDS, PAIRS = 1 << 19, 1 << 16
-#: By how much the default share is above the target's share of the labels.
-MARGIN = 0.05
-#: Labelled documents that the target model is fitted on, at most.
-TARGET_ROWS = 8192
-
-
-def hashed(chunk: tx.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, word offsets, pair offsets): the buckets of all words, then those of all pairs of words, and where each document's begin in that list."""
-    starts, ends, at = chunk.words()
-    h = chunk.hashes(starts, ends)
-    pairs, first = tx.windows(h, at, 2)
-    ids = np.concatenate([(h % np.uint64(WORDS)).astype(np.int32), (pairs % np.uint64(PAIRS)).astype(np.int32) + WORDS])
-    return ids, at, np.searchsorted(first, at) + len(h)
+#: Buckets of words, of pairs and of trigrams.
+WORDS, PAIRS, TRIGRAMS = 1 << 19, 2, 1 << 16
+SIZE = WORDS + PAIRS + TRIGRAMS
+#: What an n-gram's ratio has to show, and the exponent of the trigrams' model.
+LEAST, DEVIATIONS, TRIGRAM_SHARE = 1.4, 2.5, 0.125
+#: Of target documents that the model hasn't seen, the share whose weights the cut lets pass.
+KEEP = 0.995
+#: Labelled documents that the target model is fitted on, at most, and one in how many is set aside for the cut.
+TARGET_ROWS, ASIDE = 1 << 15, 5
+
+
+def hashed(chunk: tx.Chunk) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For words, pairs and byte trigrams: the bucket of each (in that kind's own range), and the documents' offsets."""
+    low = chunk.lower()
+    starts, ends, at = low.words(tx.ALNUM)
+    h = low.hashes(starts, ends)
+    inside = np.ones(len(h), bool)
+    inside[at[:-1][at[:-1] < len(h)]] = False  # a document's first word ends no pair
+    pair = np.flatnonzero(inside)
+    three, three_at = tx.trigrams(low, TRIGRAMS)
+    return [
+        ((h % np.uint64(WORDS)).astype(np.int32), at),
+        ((h[pair] == h[pair - 1]).astype(np.int32) + WORDS, np.concatenate([[0], np.cumsum(inside)])[at]),
+        (three + np.int32(WORDS + PAIRS), three_at),
+    ]
 
 
 def counted(docs: DataFrame, target_ids: DataFrame) -> np.ndarray:
@@ -48,37 +61,45 @@ def counted(docs: DataFrame, target_ids: DataFrame) -> np.ndarray:
     marked = docs.join(F.broadcast(target_ids.select("doc_id", F.lit(True).alias("target"))), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, WORDS + PAIRS), np.int64)
+        total = np.zeros((2, SIZE), np.int64)
         for chunk in tx.chunks(batches):
-            ids, at, pair_at = hashed(chunk)
-            total[0] += np.bincount(ids, minlength=WORDS + PAIRS)
-            wanted = tx.column(chunk.rows, "target").to_numpy(zero_copy_only=False)
-            both = [ids[a[d] : a[d + 1]] for d in np.flatnonzero(wanted) for a in (at, pair_at)]
-            if both:
-                total[1] += np.bincount(np.concatenate(both), minlength=WORDS + PAIRS)
+            wanted = np.flatnonzero(tx.column(chunk.rows, "target").to_numpy(zero_copy_only=False))
+            for ids, at in hashed(chunk):
+                total[0] += np.bincount(ids, minlength=SIZE)
+                if len(wanted):
+                    total[1] += np.bincount(np.concatenate([ids[at[d] : at[d + 1]] for d in wanted]), minlength=SIZE)
         found = np.flatnonzero(total[0])
         yield tx.batch(bucket=found.astype(np.int32), raw=total[0][found], target=total[1][found])
 
     rows = marked.mapInArrow(run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    out = np.zeros((2, WORDS + PAIRS))
+    out = np.zeros((2, SIZE))
     for k, name in enumerate(("raw", "target")):  # a row a bucket at most, whatever the corpus
         out[k, rows["bucket"].to_numpy()] = rows[name].to_numpy()
     return out
 
 
-def ratios(counts: np.ndarray, smoothing: float = 2.0) -> np.ndarray:
-    """ln P(target) - ln P(raw) of each bucket. The same number is added to the target's count and to that expected of raw text of its size, so that what a small target sample lacks by chance weighs little."""
+def ratios(counts: np.ndarray, least: float = LEAST, deviations: float = DEVIATIONS) -> np.ndarray:
+    """ln P(target) - ln P(raw) of each bucket, 0 where the target's count is what raw text of its size would have by chance (but for the two of pairs); trigrams with their exponent."""
     out = np.zeros(counts.shape[1])
-    for part in (slice(0, WORDS), slice(WORDS, None)):
+    for part, share in ((slice(0, WORDS), 1.0), (slice(WORDS, WORDS + PAIRS), 1.0), (slice(WORDS + PAIRS, None), TRIGRAM_SHARE)):
         raw, target = counts[0, part], counts[1, part]
         if target.sum():
-            out[part] = np.log(target + smoothing) - np.log(raw * target.sum() / raw.sum() + smoothing)
+            expected = raw * target.sum() / raw.sum()
+            ratio = np.log(target + 1) - np.log(expected + 1)
+            told = (np.abs(ratio) >= least) & (np.abs(target - expected) >= deviations * np.sqrt(expected + 1)) if len(raw) > PAIRS else True
+            out[part] = np.where(told, share * ratio, 0.0)
     return out
 
 
-def keyed(docs: DataFrame, weight: np.ndarray, *, sharpness: float, seed: int, doc_id: str, text: str, above: float | None = None) -> DataFrame:
+def gumbel(doc_id: np.ndarray, seed: int) -> np.ndarray:
+    """Gumbel noise of each id."""
+    h = tx.mix(tx.mix(doc_id.astype(np.uint64) + np.uint64(1)) ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64))
+    return -np.log(-np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53))
+
+
+def keyed(docs: DataFrame, weight: np.ndarray, *, seed: int, doc_id: str, text: str, above: float | None = None) -> DataFrame:
     """(doc_id, log_weight, key), or with `above` the rows of docs whose key is at least that."""
-    sent = docs.sparkSession.sparkContext.broadcast(weight)  # a number for each bucket
+    sent = docs.sparkSession.sparkContext.broadcast(weight.astype(np.float32))  # a number for each bucket
     if above is None:
         docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
         doc_id, text, schema = "doc_id", "text", "doc_id long, log_weight double, key double"
@@ -86,15 +107,9 @@ def keyed(docs: DataFrame, weight: np.ndarray, *, sharpness: float, seed: int, d
         schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = sent.value
         for chunk in tx.chunks(batches, text):
-            ids, at, pair_at = hashed(chunk)
-            total = np.concatenate([[0.0], np.cumsum(w[ids])])
-            n = np.diff(at) + np.diff(pair_at)
-            log_weight = sharpness * (total[at[1:]] - total[at[:-1]] + total[pair_at[1:]] - total[pair_at[:-1]]) / np.sqrt(np.maximum(n, 1))
-            names = tx.column(chunk.rows, doc_id).cast(pa.int64()).fill_null(-1).to_numpy().astype(np.uint64)
-            uniform = ((tx.mix(tx.mix(names + np.uint64(1)) ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
-            key = np.round(log_weight - np.log(-np.log(uniform)), 9)
+            log_weight = np.round(sum(np.minimum(0, tx.per_document(sent.value[ids].astype(np.float64), at)) for ids, at in hashed(chunk)), 6)
+            key = np.round(log_weight + gumbel(tx.column(chunk.rows, doc_id).cast(pa.int64()).fill_null(-1).to_numpy(), seed), 6)
             if above is None:
                 yield tx.batch(doc_id=tx.column(chunk.rows, "doc_id"), log_weight=log_weight, key=key)
             else:
@@ -103,32 +118,31 @@ def keyed(docs: DataFrame, weight: np.ndarray, *, sharpness: float, seed: int, d
     return docs.mapInArrow(run, schema)
 
 
-def kth_largest(keys: DataFrame, share: float) -> float:
-    """The key of rank ceil(share * rows) from above. Each pass counts keys in finer bins of the bin that holds it; the driver sees counts only."""
-    low, high, wanted = None, None, None
-    for width in (8.0, 2.0**-6, 2.0**-18, 2.0**-30):
-        rows = keys if low is None else keys.where((F.col("key") >= low) & (F.col("key") < high))
-        bins = sorted(((r[0], r[1]) for r in rows.groupBy(F.floor(F.greatest(F.lit(-8000.0), F.least(F.lit(8000.0), F.col("key"))) / width)).count().collect()), reverse=True)
-        if not bins:
-            return -np.inf
-        if wanted is None:
-            wanted = max(1, int(np.ceil(share * sum(n for _, n in bins))))
-        for at, n in bins:
-            if wanted <= n:
+def kth_largest(keys: DataFrame, k: int, column: str = "key") -> float:
+    """The k-th largest value, exactly. Each pass counts the values between two of them in 1,024 bins and goes on with the least and largest of the bin that holds it; the driver sees counts only."""
+    low, high = keys.agg(F.min(column), F.max(column)).first()
+    while low != high:
+        slot = F.floor((F.col(column) - low) / ((high - low) / 1024))
+        bins = keys.where(F.col(column).between(low, high)).groupBy(slot.alias("slot")).agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).collect()
+        for b in sorted(bins, key=lambda b: -b["slot"]):
+            low, high = b["low"], b["high"]
+            if k <= b["n"]:
                 break
-            wanted -= n
-        low, high = (at * width if at * width > -8000 else -np.inf), ((at + 1) * width if at * width < 8000 else np.inf)
+            k -= b["n"]
     return low
 
 
-def select(docs: DataFrame, labels: DataFrame, *, share: float | None = None, sharpness: float = 16.0, seed: int = 1, doc_id: str = "doc_id", text: str = "text", target_rows: int = TARGET_ROWS) -> tuple[DataFrame, DataFrame]:
+def select(docs: DataFrame, labels: DataFrame, *, keep: float = KEEP, seed: int = 1, doc_id: str = "doc_id", text: str = "text", target_rows: int = TARGET_ROWS) -> tuple[DataFrame, DataFrame]:
     """(sample, kept): (doc_id, log_weight, key) of the sampled documents, and their rows of docs. labels: (doc_id, target boolean)."""
-    if share is None:
-        said = labels.agg(F.avg(F.col("target").cast("double"))).first()[0]
-        share = 1.0 if said is None else min(1.0, said * (1 + MARGIN))
-    chosen = labels.where("target").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows)
-    weight = ratios(counted(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), chosen))
-    how = {"sharpness": sharpness, "seed": seed, "doc_id": doc_id, "text": text}
+    named = labels.where("target").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    aside = F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(ASIDE)) == 0
+    first = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    weight = ratios(counted(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), first(named.where(~aside), target_rows)))
+    how = {"seed": seed, "doc_id": doc_id, "text": text}
     keys = written(keyed(docs, weight, **how), "keys")
-    bar = kth_largest(keys, share)
-    return keys.where(F.col("key") >= bar), keyed(docs, weight, **how, above=bar)
+    unseen = written(keys.join(F.broadcast(first(named.where(aside), target_rows)), "doc_id", "left_semi").select("log_weight"), "unseen")
+    n = unseen.count()
+    cut = kth_largest(unseen, max(1, int(np.floor(keep * n))), "log_weight") if n else -np.inf
+    k = keys.where(F.col("log_weight") >= float(cut)).count()
+    bar = kth_largest(keys, k) if k else np.inf
+    return keys.where(F.col("key") >= float(bar)), keyed(docs, weight, **how, above=bar)

@@ -69,17 +69,9 @@ def features(chunk: tx.Chunk, buckets: int = BUCKETS) -> list[tuple[np.ndarray,
     starts, ends, at = chunk.words()
     h = chunk.hashes(starts, ends)
     pairs, first = tx.windows(h, at, 2)
-    low = tx.LOWER[chunk.buf].astype(np.uint32)
-    three = (low[:-2] << np.uint32(16) | low[1:-1] << np.uint32(8) | low[2:]) if len(low) > 2 else low[:0]
-    three = (three * np.uint32(0x9E3779B1)) >> np.uint32(32 - (buckets.bit_length() - 1))
-    ok = np.ones(len(three), bool)
-    for back in (1, 2):  # trigrams that begin in a document's last two bytes run into the next one
-        stop = chunk.at[1:] - back
-        ok[stop[(stop >= chunk.at[:-1]) & (stop < len(three))]] = False
-    three_at = np.concatenate([[0], np.cumsum(ok)])[np.minimum(chunk.at, len(three))]
-    three = three[ok]
+    three, three_at = tx.trigrams(chunk.lower(), buckets)
     m = np.uint64(buckets)
-    return [((h % m).astype(np.int32), at), ((pairs % m).astype(np.int32) + buckets, np.searchsorted(first, at)), (three.astype(np.int32) + 2 * buckets, three_at)]
+    return [((h % m).astype(np.int32), at), ((pairs % m).astype(np.int32) + buckets, np.searchsorted(first, at)), (three + 2 * buckets, three_at)]
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], prior: float, buckets: int = BUCKETS, steps: int = 60) -> tuple[np.ndarray, float] | None:

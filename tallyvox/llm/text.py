@@ -120,6 +120,18 @@ def whole(h: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray
     return short, mix(out + size[short].astype(U))
 
 
+def trigrams(chunk: Chunk, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket (of a power of two) of each three bytes in a row that stay in one document, and the documents' offsets."""
+    buf, at = chunk.buf.astype(np.uint32), chunk.at
+    three = (buf[:-2] << np.uint32(16) | buf[1:-1] << np.uint32(8) | buf[2:]) if len(buf) > 2 else buf[:0]
+    three = (three * np.uint32(0x9E3779B1)) >> np.uint32(32 - (buckets.bit_length() - 1))
+    ok = np.ones(len(three), bool)
+    for back in (1, 2):  # those that begin in a document's last two bytes run into the next one
+        stop = at[1:] - back
+        ok[stop[(stop >= at[:-1]) & (stop < len(three))]] = False
+    return three[ok].astype(np.int32), np.concatenate([[0], np.cumsum(ok)])[np.minimum(at, len(three))]
+
+
 def column(rows: pa.RecordBatch, name: str) -> pa.Array:
     out = rows.column(name)
     return out.combine_chunks() if isinstance(out, pa.ChunkedArray) else out

@@ -202,25 +202,64 @@ def test_quality_model_holds_out_of_sample(spark):
 
 
 def test_importance_sample(spark):
-    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), queries.targets(spark, "/root/testdata/sf0.01")
-    sampled, kept = importance.select(docs, labels)
-    ids = {r.doc_id for r in sampled.collect()}
-    n = docs.count()
-    share = labels.where("target").count() / labels.count() * (1 + importance.MARGIN)
-    assert len(ids) == math.ceil(share * n) and {r.doc_id for r in kept.collect()} == ids and kept.columns == docs.columns
-    truth = {r.doc_id: r.target for r in labels.collect()}
-    assert np.mean([i in ids for i, good in truth.items() if good]) > 0.97
-    assert np.mean([i in ids for i, good in truth.items() if not good]) < 0.5
+    """Held-out labels: the model sees a half of them. Clean text stays, nearly all bad text and most toxic text goes."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    targets = queries.targets(spark, "/root/testdata/sf0.1").where("doc_id % 2 = 0")
+    sampled, kept = importance.select(docs, targets)
+    ids = {r.doc_id for r in sampled.select("doc_id").collect()}
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == ids and kept.columns == docs.columns
+    unseen = labels.where("doc_id % 2 = 1").collect()
+    share = lambda q, t: np.mean([r.doc_id in ids for r in unseen if (r.quality, r.toxic) == (q, t)])
+    assert share(1, 0) > 0.98 and share(0, 0) < 0.1 and share(1, 1) < 0.45
+
+
+def test_importance_weights_match_brute_force(spark, frame, odd):
+    alnum, seed = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), 1
+    target = [i for i, t in odd if i is not None and i % 2 == 0]
+    labels = spark.createDataFrame([(i, True) for i in target] + [(3, False), (None, True), (4, None)], "doc_id long, target boolean")
+    aside = {r[0] for r in spark.createDataFrame([(i,) for i in target], "doc_id long").where(f"pmod(xxhash64(doc_id, 'aside'), {importance.ASIDE}) = 0").collect()}
+    grams = {}
+    for k, (_, t) in enumerate(odd):
+        low = (t or "").translate(LOWER)
+        raw = low.encode()
+        w = alnum.findall(low)
+        grams[k] = [Counter(w), Counter(x == y for x, y in zip(w, w[1:], strict=False)), Counter((int.from_bytes(raw[j : j + 3]) * 0x9E3779B1 % 2**32) >> 16 for j in range(len(raw) - 2))]
+    want = {}
+    ratio = []
+    for kind, share in ((0, 1), (1, 1), (2, 1 / 8)):
+        of, near = Counter(), Counter()
+        for k, (i, _) in enumerate(odd):
+            of.update(grams[k][kind])
+            if i in target and i not in aside:
+                near.update(grams[k][kind])
+        n, m, out = sum(of.values()), sum(near.values()), {}
+        for g, c in of.items():
+            e = c * m / n
+            r = math.log((near[g] + 1) / (e + 1))
+            out[g] = share * r if kind == 1 or abs(r) >= importance.LEAST and abs(near[g] - e) >= importance.DEVIATIONS * math.sqrt(e + 1) else 0
+        ratio.append(out)
+    assert any(x for out in ratio for x in out.values())
+    want = [(i, sum(min(0, sum(c * ratio[kind][g] for g, c in grams[k][kind].items())) for kind in range(3))) for k, (i, _) in enumerate(odd)]
+    cut = sorted((w for i, w in want if i in aside), reverse=True)[max(1, math.floor(importance.KEEP * sum(i in aside for i, _ in want))) - 1]
+    noise = dict(zip([i for i, _ in want], importance.gumbel(np.array([-1 if i is None else i for i, _ in want]), seed), strict=True))
+    keys = sorted((round(round(w, 6) + noise[i], 6) for i, w in want), reverse=True)
+    bar = keys[sum(w >= cut - 1e-6 for _, w in want) - 1]
+    sampled, kept = importance.select(frame, labels, seed=seed)
+    got = sorted(((r.doc_id, r.log_weight, r.key) for r in sampled.collect()), key=repr)
+    expected = sorted(((i, round(w, 6), round(round(w, 6) + noise[i], 6)) for i, w in want if round(w, 6) + noise[i] >= bar - 1e-5), key=repr)
+    assert [g[0] for g in got] == [e[0] for e in expected] and kept.count() == len(got)
+    assert all(abs(g[1] - e[1]) < 1e-4 * (1 + abs(e[1])) and abs(g[2] - e[2]) < 1e-4 * (1 + abs(e[2])) for g, e in zip(got, expected, strict=True))
+    x = importance.gumbel(np.arange(100_000), 3)
+    assert abs(x.mean() - 0.5772) < 0.02 and abs(x.std() - math.pi / math.sqrt(6)) < 0.02
 
 
 def test_kth_largest_is_exact(spark):
     keys = np.random.default_rng(1).normal(0, 50, 3000).round(9)
-    keys[100:140] = keys[7]
+    keys[100:140], keys[500], keys[501:1501] = keys[7], -1e9, 1e7 + np.arange(1000)
     df = spark.createDataFrame([(float(k),) for k in keys], "key double")
-    for share in (0.01, 0.3, 0.77, 1.0):
-        want = np.sort(keys)[::-1][math.ceil(share * len(keys)) - 1]
-        assert abs(importance.kth_largest(df, share) - want) < 1e-8
-        assert df.where(df.key >= importance.kth_largest(df, share)).count() == (keys >= want).sum()
+    for k in (1, 30, 900, 2300, 2310, 3000):
+        want = float(np.sort(keys)[::-1][k - 1])
+        assert importance.kth_largest(df, k) == want
 
 
 def test_importance_on_odd_rows(spark, frame, empty):
