@@ -7,8 +7,9 @@ its positions gives the place where the item would begin; lists that agree on do
 left is compared with the document's own words for exact phrases. proximity() relaxes the agreement to a distance.
 
 Documents are told apart by id and text hash: repeated rows have the same result, rows that share an id but not the text
-have their own. Null and empty texts and items have no words: no hits. Without items nothing is hit. Other columns of the
-two tables aren't read, so names can't clash.
+have their own. Null and empty texts and items have no words: no hits. Without items nothing is hit. An item without an id
+hits words, but isn't counted or named. Repeated items are one. Other columns of the two tables aren't read, so names can't
+clash.
 """
 
 from __future__ import annotations
@@ -82,15 +83,15 @@ def frequencies(docs: DataFrame, members: Members | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        total = np.zeros(len(m.hashes) if m else 0, np.int64)
+        total = np.zeros(len(m.hashes) if m is not None else 0, np.int64)
         for chunk in tx.chunks(batches):
             h, _ = word_hashes(chunk)
-            if m:
+            if m is not None:
                 total += np.bincount(m.find(h)[1], minlength=len(total))
             else:
                 word, n = np.unique(h, return_counts=True)
                 yield tx.batch(word=tx.ints(word), frequency=n)
-        if m:
+        if m is not None:
             found = np.flatnonzero(total)
             yield tx.batch(word=tx.ints(m.hashes[found]), frequency=total[found])
 
@@ -120,7 +121,7 @@ def postings(docs: DataFrame, members: Members | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in tx.chunks(batches):
             h, at = word_hashes(chunk)
-            i = sent.value.find(h)[0] if sent.value else np.arange(len(h))
+            i = sent.value.find(h)[0] if sent.value is not None else np.arange(len(h))
             d = np.searchsorted(at, i, "right") - 1
             yield tx.batch(word=tx.ints(h[i]), doc=tx.column(chunk.rows, "doc").take(pa.array(d)), same=tx.column(chunk.rows, "same").take(pa.array(d)), pos=i - at[d])
 
@@ -174,7 +175,8 @@ def hits(h: np.ndarray, found: list[tuple[str, int, np.ndarray]], span: int) ->
         same = np.concatenate([[0], np.cumsum(h[begin + lo : begin + hi] == words[lo:hi])])
         full = np.flatnonzero(same[k:] - same[:-k] == k)
         if len(full):
-            items.add(item_id)
+            if item_id is not None:
+                items.add(item_id)
             for j in range(k):
                 hit[begin + lo + full + j] = True
     return hit, items

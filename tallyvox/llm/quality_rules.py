@@ -2,11 +2,13 @@
 
 Features are shares of a document's words, word pairs and byte trigrams in hash buckets, so a score is a sum over n-grams
 divided by their number, one pass over a chunk of texts. The model is fitted on at most `fit_rows` labelled documents a
-class, the first by a hash of the id; a quarter of these, kept aside, set the slope and offset that turn scores into
+class, the first by a hash of the id, and on `fit_bytes` of their features; a quarter of these, kept aside, set the slope and offset that turn scores into
 probabilities, weighted to the labels' own shares of the classes. Documents with a probability under `least` go.
 
 Null text has no words; it fails the base rule for length, as any text of fewer than ten words does. Without labels of
-both classes the model keeps everything. Repeated rows are judged alike. Other columns aren't read.
+both classes the model keeps everything. Repeated rows are judged alike; of those with one labelled id, the text with the
+least hash is fitted on, and of several labels of one id the best. Of an empty table nothing comes out. Other columns aren't
+read.
 """
 
 from __future__ import annotations
@@ -15,14 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .scratch import written
 
 BUCKETS = 1 << 15
 #: Labelled documents of a class that the model is fitted on, at most.
 FIT_ROWS = 1500
+#: Bytes of features of a class that the model is fitted on, at most.
+FIT_BYTES = 64 << 20
 #: Fixed limits.
 MIN_WORDS, MAX_REPEAT_PERCENT, LEAST_PROBABILITY = 10, 20, 0.5
 SYMBOLS = np.array([chr(b) in "#*$%&|<>" for b in range(256)])
@@ -106,14 +111,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], prior: float, buckets: i
     return w * 30 * slope / spread, b * slope / spread + offset
 
 
-def sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[tuple[np.ndarray, np.ndarray, int]], float]:
-    """Features of the labelled sample, at most 2 * fit_rows documents, and the share of class 1 among all labels."""
+def sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> tuple[list[tuple[np.ndarray, np.ndarray, int]], float]:
+    """Features of the labelled sample, at most 2 * fit_rows documents and 2 * fit_bytes, and the share of class 1 among all labels."""
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     prior = known.agg(F.avg("quality")).first()[0]
     if prior is None:
         return [], 0.5
     first = lambda k: known.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    chosen = docs.join(F.broadcast(first(0).union(first(1))), "doc_id").select("doc_id", "text", "quality")
+    chosen = docs.join(F.broadcast(first(0).union(first(1))), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in tx.chunks(batches):
@@ -127,7 +132,10 @@ def sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tupl
                 found.append((np.concatenate(ids).tobytes(), np.concatenate(shares).tobytes()))
             yield tx.batch(doc_id=tx.column(chunk.rows, "doc_id"), quality=tx.column(chunk.rows, "quality"), ids=pa.array([x[0] for x in found], pa.binary()), shares=pa.array([x[1] for x in found], pa.binary()))
 
-    rows = chosen.mapInArrow(run, "doc_id long, quality int, ids binary, shares binary").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    found = written(chosen.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(run, "doc_id long, quality int, ids binary, shares binary"), "sample")
+    upto = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")  # at most fit_rows rows a class, sizes only
+    few = found.select("doc_id", "quality", F.sum(F.length("ids") + F.length("shares")).over(upto).alias("upto")).where(F.col("upto") <= fit_bytes)
+    rows = found.join(F.broadcast(few.select("doc_id")), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     return [(np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["shares"], "<f4").astype(float), r["quality"]) for r in rows], prior
 
 

@@ -79,7 +79,7 @@ def captures(pages: DataFrame) -> DataFrame:
 def op5_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import resolve
 
-    found = resolve(captures(table(spark, sf_dir, "pages")), bucket=65_536)
+    found = resolve(captures(table(spark, sf_dir, "pages")))
     listed = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     return found.select("record_id", F.expr("record_id div 4").alias("page_id"), "canonical_url", "outcome", "response_id", listed.alias("headers"))
 
@@ -94,7 +94,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     pieces = pack(table(spark, sf_dir, "documents"), tokenizer_file())
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_length")
 
 
 def op8_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,6 +180,38 @@ def test_base_counts_and_verdicts(spark, frame, odd):
     assert quality_rules.judge(frame, labels.limit(0)).where("not base_failed and not kept").count() == 0
 
 
+def test_probabilities_match_brute_force(spark, odd):
+    """Also with repeated labelled ids, and with room for a part of the sample only."""
+    good = [(1000 + i, f"plain words here {' '.join(f'word{(i * j) % 50}' for j in range(1, 30))}") for i in range(24)]
+    bad = [(2000 + i, f"win $$$ now {' '.join(f'cash{(i * j) % 9} !!!' for j in range(1, 20))}") for i in range(24)]
+    rows = [*good, *bad, *good[:3], (1000, "another text of the same id and label as one above, of some ten words"), *odd]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, quality int")
+    labels = spark.createDataFrame([*((i, 1) for i, _ in good), *((i, 0) for i, _ in bad), (1000, 0), (None, 1), (5, None)], "doc_id long, quality int")
+    for room in (quality_rules.FIT_BYTES, 20_000):
+        some, prior = quality_rules.sample(docs.select("doc_id", "text"), labels, fit_bytes=room)
+        assert (len(some) == 48) == (room > 20_000) and sum(len(r[0]) * 8 for r in some) <= 2 * room and prior == 0.5
+    some, prior = quality_rules.sample(docs.select("doc_id", "text"), labels)
+    w, b = quality_rules.fit(some, prior)
+    want, n = [], quality_rules.BUCKETS
+
+    def hashed(*parts):
+        h = np.array([quality_rules.tx.Chunk(None, np.frombuffer(x, np.uint8), np.array([0, len(x)])).hashes(np.array([0]), np.array([len(x)]))[0] for x in parts])
+        return int(h[0]) if len(h) == 1 else int(quality_rules.tx.windows(h, np.array([0, 2]), 2)[0][0])
+
+    for i, t in rows:
+        if len(t or "") > 3000:
+            continue
+        raw = (t or "").encode()
+        low = (t or "").translate(LOWER).encode()
+        tokens = [x.encode() for x in WORD.findall(t or "")]
+        kinds = ([hashed(x) % n for x in tokens], [hashed(x, y) % n + n for x, y in zip(tokens, tokens[1:], strict=False)], [((int.from_bytes(low[j : j + 3]) * 0x9E3779B1 % 2**32) >> 17) + 2 * n for j in range(len(raw) - 2)])
+        score = b + sum(sum(w[x] for x in k) / len(k) for k in kinds if k)
+        want.append((i, round(1 / (1 + math.exp(-score)), 6)))
+    got = [(r.doc_id, round(r.probability, 6)) for r in quality_rules.judge(docs.where("length(coalesce(text, '')) <= 3000"), labels).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert quality_rules.judge(docs.limit(0), labels).count() == 0
+
+
 def test_features_do_not_depend_on_the_next_document():
     texts = ["abcd", "", "x", None, "yz", "some more words", "q"]
     chunk = lambda of: next(quality_rules.tx.chunks([pa.record_batch({"text": pa.array(of, pa.string())})]))
@@ -292,35 +324,36 @@ def brute_revisits(records):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("bucket", [1, 7, 10_000])
-def test_revisits(spark, bucket):
+@pytest.mark.parametrize("ranges", [None, 1, 7, 40])
+def test_revisits(spark, ranges):
     rng = np.random.default_rng(3)
     pick = lambda *x: x[rng.integers(len(x))]
     records = [{"record_id": i, "url": pick("a.example/1", "a.example/1", "a.example/1", "b.example/2", None), "ts": pick(None, *range(60)), "status": pick(200, 304, 304, 404), "etag": pick(None, "x", "W/x", "y"), "last_modified": pick(None, "d1", "d2"), "headers": pick(None, {"Age": "1", "content-length": "9"})} for i in range(300)]
     for r in records:
         r["ts"] = None if r["ts"] is None else int(r["ts"])
     df = spark.createDataFrame(records, "record_id long, url string, ts long, status int, etag string, last_modified string, headers map<string,string>")
-    got = warc.resolve(df, bucket=bucket)
+    got = warc.resolve(df, ranges=ranges)
     assert rows_of(got, "record_id", "outcome", "response_id") == brute_revisits(records)
     assert warc.resolve(df.limit(0)).count() == 0
 
 
 def test_headers_and_urls(spark):
-    rows = [(1, "HTTP://www.Example.com:80/a/?utm_source=x&q=1#f", 1, 200, "t", None, {"Content-Type": "text/html", "Age": "1", "X": "y"}), (2, "https://example.com/a/?q=1", 2, 304, "t", None, {"age": "2", "Content-Type": "none", "New": "z"})]
+    rows = [(1, "HTTP://www.Example.com:80/a/?utm_source=x&q=1#f", 1, 200, "t", None, {"Content-Type": "text/html", "Age": "1", "AGE": "0", "X": "y"}), (2, "https://example.com/a/?q=1", 2, 304, "t", None, {"age": "2", "Age": "3", "Content-Type": "none", "New": "z", "None": None})]
     df = spark.createDataFrame(rows, "record_id long, url string, ts long, status int, etag string, last_modified string, headers map<string,string>")
     r = warc.resolve(df).first()
-    assert r.canonical_url == "example.com/a/?q=1" and r.headers == {"content-type": "text/html", "x": "y", "age": "2", "new": "z"}
+    assert r.canonical_url == "example.com/a/?q=1" and r.headers == {"content-type": "text/html", "x": "y", "age": "2", "new": "z", "none": None}
 
 
 # 6
 
 
-@pytest.mark.parametrize("span", [10, 3])
-def test_decontamination(spark, frame, odd, span):
+@pytest.mark.parametrize(("span", "few"), [(10, 1 << 21), (3, 1 << 21), (3, 0)])
+def test_decontamination(spark, frame, odd, span, few, monkeypatch):
+    monkeypatch.setattr(decontam, "FILTER_WORDS", few)  # with too many words for a filter, all are stored
     token = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     cut = lambda t: token.findall((t or "").translate(LOWER))
     passage = cut(odd[20][1])
-    items = [(1, " ".join(passage[30:60])), (2, "two THREE"), (3, None), (4, ""), (5, "x"), (6, " ".join(passage[30:60])), (7, "for for for"), (8, "nowhere to be found at all in these texts of ours today")]
+    items = [(1, " ".join(passage[30:60])), (2, "two THREE"), (3, None), (4, ""), (5, "x"), (6, " ".join(passage[30:60])), (7, "for for for"), (8, "nowhere to be found at all in these texts of ours today"), (None, " ".join(passage[70:85])), (None, None), (1, " ".join(passage[30:60]))]
     df = spark.createDataFrame(items, "item_id long, text string")
     want = []
     for i, t in odd:
@@ -332,7 +365,7 @@ def test_decontamination(spark, frame, odd, span):
                 for b in range(len(w) - k + 1):
                     if w[b : b + k] == x[a : a + k]:
                         hit.update(range(b, b + k))
-                        names.add(str(name))
+                        names |= {str(name)} - {"None"}
         want.append((i, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
     got = decontam.contamination(frame, df, span=span)
     assert rows_of(got, *got.columns) == sorted(want, key=repr)
@@ -370,7 +403,9 @@ def test_packing(frame, odd, expected_ids):
     for i in {i for i, _ in odd if i is not None and i != 4}:
         whole = b"".join(x for _, x in sorted(pieces[i]))
         assert whole == next(v for k, v in expected_ids.items() if k[0] == i).tobytes()
-    assert packing.padded_length(512) == 512 and packing.padded_length(513) == 1024
+    assert packing.padded_length(np.array([512, 513, 1, 1024])).tolist() == [512, 1024, 1, 1024]
+    last = at - at // 1024 * 1024 or 1024
+    assert {r.padded_length for r in got if r.sequence_id == (at - 1) // 1024} == {last if last & (last - 1) == 0 else 1024} and {r.padded_length for r in got if r.sequence_id < (at - 1) // 1024} == {1024}
 
 
 def test_repair_round_trip(frame, odd, expected_ids):
