@@ -242,6 +242,7 @@ class Part:
         self.root, self.codes = self.arrays["root"], Codes(self.arrays["others"])
         self.levels = {x: Level.of({k[len(x) + 1 :]: a for k, a in self.arrays.items() if k.startswith(f"{x}_")}) for x in self.LEVELS}
         self.book = {x: 10.0 ** self.arrays[f"book.{x}"].astype(float) for x in ("p3", "p2", "off3", "off2")}
+        self.filter = Filter(self.arrays["filter"])
 
     @staticmethod
     def write(path: str, grams: tuple[np.ndarray, ...], hot: tuple[np.ndarray, ...], discount: float) -> None:
@@ -276,6 +277,10 @@ class Part:
         at = lambda x: np.searchsorted(root, x)
         for name, parent, word, n in (("u", at(cv), cu, len(root)), ("uw", parent3, w[keep3] if len(u) else w, len(cu)), ("w", at(node2[names2][parent2]), bw[keep2], len(root))):
             a |= {f"{name}_{k}": x for k, x in Level.arrays(parent, word, n).items()}
+        name = lambda x: np.where(x < OTHER, x.astype(U), others[np.maximum(x - OTHER, 0)] if len(others) else U(0))
+        keep3, keep2 = keep3.astype(np.int64), keep2.astype(np.int64)
+        three = Filter.mixed(name(v[keep3]), name(u[keep3])), name(w[keep3])
+        a["filter"] = Filter.of([(1, name(cv), name(cu)), (2, name(bv[keep2]), name(bw[keep2])), (3, *three)])
         whole2 = np.zeros(len(root))  # no bigram: all is left to the unigrams
         whole2[at(node2[names2])] = np.log10(off2)
         for k, x in (("p3", np.log10(p3)), ("off3", np.log10(off3)), ("p2", np.log10(p2)), ("off2", whole2)):
@@ -283,34 +288,73 @@ class Part:
         mapped(path, a)
 
     def find(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(p, off): what bigrams and trigrams say of w after u, v, and the weight of its unigram. Sorted by v and u it is faster."""
+        """(p, off): what bigrams and trigrams say of w after u, v, and the weight of its unigram. Rows of one v, and of one u in it, stand together."""
         p, off = np.zeros(len(v)), np.ones(len(v))
-        if not len(self.root):
+        if not len(self.root) or not len(v):
             return p, off
-        change = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (u[1:] != u[:-1])))  # contexts
-        row = np.repeat(np.arange(len(change)), np.diff(np.append(change, len(v))))
-        node = np.minimum(np.searchsorted(self.root, v[change]), len(self.root) - 1)
-        known = self.root[node] == v[change]
-        w = self.codes.of(w)
-        q = np.flatnonzero(known[row] & (w >= 0))
-        place = self.levels["w"].child(node, w[q], row[q])
-        hit = place >= 0
-        p[q[hit]] = self.book["p2"][self.arrays["code.p2"][place[hit]]]
-        off[:] = np.where(known, self.book["off2"][self.arrays["code.off2"][node]], 1.0)[row]
-        context = np.full(len(change), -1)
-        uc = self.codes.of(u[change])
-        some = np.flatnonzero(known & (uc >= 0))
-        context[some] = self.levels["u"].child(node, uc[some], some)
-        q = np.flatnonzero(context[row] >= 0)
-        if len(q):
-            low = self.book["off3"][self.arrays["code.off3"][context[row[q]]]]
-            p[q], off[q] = p[q] * low, off[q] * low
-            q = q[w[q] >= 0]
-            place = self.levels["uw"].child(np.maximum(context, 0), w[q], row[q])
-            hit = place >= 0
-            p[q[hit]] += self.book["p3"][self.arrays["code.p3"][place[hit]]]
+        new_v = np.append(True, v[1:] != v[:-1])
+        first, of_v = np.flatnonzero(new_v), np.cumsum(new_v) - 1
+        node = np.minimum(np.searchsorted(self.root, v[first]), len(self.root) - 1)
+        known = self.root[node] == v[first]
+        off[:] = np.where(known, self.book["off2"][self.arrays["code.off2"][node]], 1.0)[of_v]
+        q = np.flatnonzero(self.filter.may(2, v, w) & known[of_v])
+        place = self._child("w", node, of_v[q], w[q])
+        q, place = q[place >= 0], place[place >= 0]
+        p[q] = self.book["p2"][self.arrays["code.p2"][place]]
+        context = np.flatnonzero(np.append(True, new_v[1:] | (u[1:] != u[:-1])))
+        some = context[self.filter.may(1, v[context], u[context]) & known[of_v[context]]]
+        found = self._child("u", node, of_v[some], u[some])
+        some, found = some[found >= 0], found[found >= 0]
+        if len(some):
+            nth = np.full(len(v), -1, np.int32)
+            stop = np.append(context[1:], len(v))[np.searchsorted(context, some)]
+            size = stop - some
+            rows = np.repeat(some - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            nth[rows] = np.repeat(np.arange(len(some), dtype=np.int32), size)
+            low = self.book["off3"][self.arrays["code.off3"][found]][nth[rows]]
+            p[rows], off[rows] = p[rows] * low, off[rows] * low
+            q = q[nth[q] >= 0]  # a trigram's bigram is in the model too
+            q = q[self.filter.may(3, self.filter.mixed(v[q], u[q]), w[q])]
+            place = self._child("uw", found, nth[q], w[q])
+            q, place = q[place >= 0], place[place >= 0]
+            p[q] += self.book["p3"][self.arrays["code.p3"][place]]
         return p, off
 
+    def _child(self, level: str, node: np.ndarray, at: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The places of words below node[at], -1 where they aren't."""
+        word = self.codes.of(word)
+        out = self.levels[level].child(node, np.maximum(word, 0), at)
+        return np.where(word >= 0, out, -1)
+
+
+class Filter:
+    """Bits by a hash of (level, context, word), so that most n-grams that aren't in a part are told without a search."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.shift = bits, U(64 - (len(bits) * 8 - 1).bit_length())
+
+    @staticmethod
+    def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        h = a * U(0x9E3779B97F4A7C15) + b * U(0xD6E8FEB86659FD93)
+        return (h ^ (h >> U(32))) * U(0xBF58476D1CE4E5B9)
+
+    def place(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (self.mixed(a + U(level), b) >> self.shift).astype(np.int64)
+
+    def may(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        at = self.place(level, a, b)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+    @staticmethod
+    def of(grams: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Its bytes, eight bits an n-gram or more. grams: (level, contexts, words)."""
+        n = sum(len(a) for _, a, _ in grams)
+        bits = np.zeros(8 << max(6, (n - 1).bit_length() if n else 0), bool)
+        own = Filter(np.zeros(len(bits) // 8, np.uint8))
+        for level, a, b in grams:
+            bits[own.place(level, a, b)] = True
+        return np.packbits(bits, bitorder="little")
+
 
 def kept_of(context: np.ndarray, c: np.ndarray, discount: float) -> tuple[np.ndarray, ...]:
     """Of n-grams with these context numbers: (which are kept, the number of each one's context among those that have any, discounted probabilities, what each such context leaves, which contexts these are)."""
@@ -366,10 +410,13 @@ class Model:
 
     def part_of(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """The part of each triple; what has no v is dealt out by w."""
-        split, nth = self.splits(v), np.zeros(len(v), np.int64)
+        split = self.splits(v)
+        new = np.append(True, (v[1:] != v[:-1]) | (split[1:] > 1) & (u[1:] != u[:-1]) | (v[1:] == START)) if len(v) else np.zeros(0, bool)
+        first = np.flatnonzero(new)  # sorted rows have few different ones
+        u, v, w, split, nth = u[first], v[first], w[first], split[first], np.zeros(len(first), np.int64)
         q = np.flatnonzero(split > 1)
         nth[q] = (tx.mix(u[q] + U(1)) % split[q].astype(U)).astype(np.int64)
-        return self.place(np.where(v == START, w, v), nth)
+        return np.repeat(self.place(np.where(v == START, w, v), nth), np.diff(np.append(first, len(new))))
 
     def path(self, part: int) -> str:
         return f"{self.folder}/{part}.trie"
@@ -381,12 +428,14 @@ class Model:
 
     def score(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 probabilities of tokens that are all among the most frequent words, with all parts at hand."""
-        u, v, w = before(self.named(h), at)
-        part, p, off = self.part_of(u, v, w), np.zeros(len(w)), np.ones(len(w))
+        grams, order = Grams.of(*before(self.named(h), at))
+        u, v, w = grams.words()
+        part, p, off, out = self.part_of(u, v, w), np.zeros(len(w)), np.ones(len(w)), np.zeros(len(w))
         for s in np.unique(part):
             q = np.flatnonzero(part == s)
             p[q], off[q] = self.find(int(s), u[q], v[q], w[q])
-        return np.log10(p + off * 10 ** self.unigram(self.count[w.astype(np.int64)]))
+        out[order] = np.log10(p + off * 10 ** self.unigram(self.count[w.astype(np.int64)]))
+        return out
 
 
 def before(w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -618,11 +667,13 @@ def score(trained: Trained, docs: DataFrame | None = None, keep: tuple[str, ...]
         """Sums of each text's tokens in a part (home, names, score), and tokens of less frequent words (key, row, p, off)."""
         m = model_of(sent)
 
-        def done(part: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            u, v, w, row = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((u, v)) if len(held) > 1 else np.arange(len(v))
-            w, row = w[order], row[order]
-            p, off = m.find(part, u[order], v[order], w)
+        def done(part: int, held: list[tuple[Grams, np.ndarray]]) -> pa.RecordBatch:
+            key, rest = np.concatenate([g.key for g, _ in held]), np.concatenate([g.rest for g, _ in held], axis=1)
+            row = np.concatenate([r[: len(g.key)] for g, r in held]), np.concatenate([r[len(g.key) :] for g, r in held])
+            order, last = np.argsort(key), np.lexsort(rest[:2])
+            u, v, w = Grams(key[order], rest[:, last]).words()
+            row = np.append(row[0][order], row[1][last])
+            p, off = m.find(part, u, v, w)
             known = w < TOP
             value = np.log10(p[known] + off[known] * 10 ** m.unigram(m.count[w[known].astype(np.int64)]))
             names, back = np.unique(row[known], return_inverse=True)
@@ -642,8 +693,8 @@ def score(trained: Trained, docs: DataFrame | None = None, keep: tuple[str, ...]
                     yield done(now, held)
                     held, size = [], 0
                 names, now = risen(r["names"]), r["part"]
-                held.append((*Grams.read(r["key"], r["rest"]).words(), names[loose(r["nth"], np.uint16 if len(names) <= 1 << 16 else np.uint32)]))
-                size += len(held[-1][0])
+                held.append((Grams.read(r["key"], r["rest"]), names[loose(r["nth"], np.uint16 if len(names) <= 1 << 16 else np.uint32)]))
+                size += len(held[-1][1])
         if held:
             yield done(now, held)
 
