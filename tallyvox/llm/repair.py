@@ -26,51 +26,75 @@ from .scratch import written
 from .tokens import Encoder
 
 MAGIC = b"RPG2"
-BLOCK = 1 << 20
+#: Ids a block has, about: its tables stay in a core's cache. Larger blocks are smaller by some 8 % for each doubling, and slower.
+BLOCK = 1 << 18
 #: A rule takes about five bytes, a replaced pair saves two: rules for rarer pairs make blocks longer again.
 LEAST = 8
-_SLOT_BITS = 20
+_SLOT_BITS = 17
 
 
 def _slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(32 - _SLOT_BITS)
+    return (((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(32 - _SLOT_BITS)).astype(np.intp)
 
 
-def replaced(seq: np.ndarray, at: np.ndarray, bar: int, first: int, of_slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, rules) after one round (of_slot: a table of -1): of the pairs at the places `at` those found `bar` times or more become symbols from `first` on. Where two overlap, the more frequent one counts; what is left over waits for the next round."""
+class Tables:
+    """Room for a number and a pair in each slot; whoever fills it empties it again."""
+
+    def __init__(self):
+        self.number, self.pair = np.full(1 << _SLOT_BITS, -1, np.int32), np.zeros(1 << _SLOT_BITS, np.uint64)
+
+
+def replaced(seq: np.ndarray, at: np.ndarray, slot: np.ndarray, bar: int, first: int, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, rules) after one round: of the pairs at the places `at` those found `bar` times or more become symbols from `first` on. Where two overlap, the more frequent one counts; what is left over, and pairs whose slot another one holds, wait for the next round."""
     key = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
-    ordered = np.sort(key)
-    begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(key) else np.zeros(0, np.int64)
-    n = np.diff(np.append(begin, len(ordered)))
-    pair, n = ordered[begin[n >= bar]], n[n >= bar]
-    left, right = (pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32)
-    own, by_n = _slots(left, right), np.argsort(n, kind="stable")
-    of_slot[own[by_n]] = by_n  # the most frequent pair of a slot
-    rule = of_slot[_slots(seq[at], seq[at + 1])]
-    of_slot[own] = -1
-    hit = np.flatnonzero(rule >= 0)
-    hit = hit[pair[rule[hit]] == key[hit]]
-    at, rule = at[hit], rule[hit].astype(np.int64)
-    near, rank = np.diff(at) == 1, n[rule] << 32 | rule
-    loses = np.zeros(len(at), bool)
-    loses[1:] |= near & (rank[:-1] > rank[1:])
-    loses[:-1] |= near & (rank[1:] > rank[:-1])
-    run = np.flatnonzero(np.append(True, ~near | (rule[1:] != rule[:-1]))[: len(at)])  # overlapping pairs alike: every other one
-    odd = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2
-    keep = ~loses & (odd == 0)
-    good = np.bincount(rule[keep], minlength=len(pair)) >= max(2, bar // 2)
-    keep &= good[rule]
-    at, rule = at[keep], (np.cumsum(good) - 1)[rule[keep]]
-    seq[at] = (first + rule).astype(np.uint32)
+    tables.pair[slot] = key
+    held = np.flatnonzero(tables.pair[slot] == key)
+    count = np.bincount(slot[held], minlength=1 << _SLOT_BITS).astype(np.int32) if len(held) > 1 << 14 else None
+    if count is None:  # few places: the slots met instead of all
+        own, back, n = np.unique(slot[held], return_inverse=True, return_counts=True)
+        n_at = n[back].astype(np.int32)
+    else:
+        n_at = count[slot[held]]
+    some = n_at >= bar
+    held, n_at = held[some], n_at[some]
+    at, slot, key = at[held], slot[held], key[held]
+    near = np.flatnonzero(at[1:] - at[:-1] == 1)
+    keep = np.ones(len(at), bool)
+    left, right = near, near + 1
+    more, less = n_at[left] > n_at[right], n_at[left] < n_at[right]
+    even = ~(more | less)
+    alike = even & (slot[left] == slot[right])
+    by_slot = even & ~alike
+    more |= by_slot & (slot[left] > slot[right])
+    keep[right[more]] = False
+    keep[left[~more & ~alike]] = False
+    if alike.any():  # overlapping pairs alike: every other one
+        run = np.ones(len(at), bool)
+        run[right[alike]] = False
+        begin = np.flatnonzero(run)
+        keep &= (np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))) % 2 == 0
+    at, slot, key = at[keep], slot[keep], key[keep]
+    if len(at) > 1 << 14:
+        count = np.bincount(slot, minlength=1 << _SLOT_BITS)
+        good = np.flatnonzero(count >= max(2, bar // 2))
+    else:
+        own, n = np.unique(slot, return_counts=True)
+        good = own[n >= max(2, bar // 2)]
+    tables.number[good] = np.arange(len(good), dtype=np.int32)
+    rule = tables.number[slot]
+    tables.number[good] = -1
+    pair = tables.pair[good]
+    some = rule >= 0
+    at, rule = at[some], rule[some]
+    seq[at] = rule.astype(np.uint32) + np.uint32(first)
     stays = np.ones(len(seq), bool)
     stays[at + 1] = False
-    return seq[stays], np.stack([left[good], right[good]], 1)
+    return seq[stays], np.stack([pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
 
 
 def compress(ids: np.ndarray, vocabulary: int, *, least: int = LEAST, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, rules): rules[k] is the pair that symbol vocabulary + k stands for. The count that a pair needs falls by `step` to `least`; then rounds go on until no pair has it."""
-    seq, rules, first, bar = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)], vocabulary, None
-    of_slot = np.full(1 << _SLOT_BITS, -1, np.int32)
+    seq, rules, first, bar, tables = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)], vocabulary, None, Tables()
     while len(seq) > 1:
         slot = _slots(seq[:-1], seq[1:])
         count = np.bincount(slot, minlength=1 << _SLOT_BITS)
@@ -78,18 +102,21 @@ def compress(ids: np.ndarray, vocabulary: int, *, least: int = LEAST, step: int
         if top < least:
             break
         last = bar == least
-        bar = max(least, min(top, bar or top) // step)
-        at = np.flatnonzero(count[slot] >= bar)
-        found = False
-        while len(at) > (0 if bar == least else len(seq) >> 5):  # what is few at a higher bar is found at the next
-            seq, new = replaced(seq, at, bar, first, of_slot)
+        bar = max(least, min(top // 2, bar or top) // step)
+        at = np.flatnonzero((count >= bar)[slot])
+        slot, found = slot[at], False
+        while len(at):
+            seq, new = replaced(seq, at, slot, bar, first, tables)
             if not len(new):
                 break
             found = True
             rules.append(new)
             fresh = seq >= first  # a pair can only have become more frequent with a new symbol
             first += len(new)
+            if bar > least:  # what is left over is found at the next bar
+                break
             at = np.flatnonzero(fresh[:-1] | fresh[1:])
+            slot = _slots(seq[at], seq[at + 1])
         if last and not found:
             break
     return seq, np.concatenate(rules)
@@ -179,7 +206,7 @@ class Block:
         symbols, size = self.sequence[lo:hi], np.diff(ends[lo:hi], prepend=ends[lo - 1] if lo else 0)
         source, at = self._table
         stop = np.cumsum(size)
-        out = source[np.repeat(at[symbols] - (stop - size), size) + np.arange(int(size.sum()))]
+        out = source[np.repeat((at[symbols] - (stop - size)).astype(np.int32), size) + np.arange(int(size.sum()), dtype=np.int32)]
         skip = int(self.at[first] - (ends[lo - 1] if lo else 0))
         return out[skip : skip + int(self.at[last] - self.at[first])]
 

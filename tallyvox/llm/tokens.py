@@ -40,7 +40,7 @@ class Encoder:
         return _loaded[path]
 
     def _forget(self) -> None:
-        self.key, self.begin, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.key, self.place = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64)  # where in the arena, and how many ids
         self.arena, self.used, self.filled = np.zeros(1 << 16, self.wide), 0, 0
 
     def ids(self, text: str) -> np.ndarray:
@@ -108,9 +108,10 @@ class Encoder:
             one = new[one]
             self._learn(buf, starts[one], ends[one], h[one])
             slot[new] = self._slots(h[new])
-        n = self.size[slot].astype(np.int64)
+        found = self.place[slot]
+        n = found & 0xFFFFFF
         upto = np.concatenate([[0], np.cumsum(n)])
-        out = self.arena[np.repeat(self.begin[slot].astype(np.int64) - upto[:-1], n) + np.arange(upto[-1])]
+        out = self.arena[np.repeat((found >> 24) - upto[:-1], n) + np.arange(upto[-1])]
         return out, np.diff(upto[np.searchsorted(starts, at)])
 
     def _slots(self, h: np.ndarray) -> np.ndarray:
@@ -156,7 +157,7 @@ class Encoder:
             self.key[at[todo[free]]] = h[todo[free]]
             won = self.key[at[todo]] == h[todo]
             done = todo[won]
-            self.begin[at[done]], self.size[at[done]] = begin[done], size[done]
+            self.place[at[done]] = begin[done] << 24 | size[done]
             todo = todo[~won]
             at[todo] = (at[todo] + 1) & (SLOTS - 1)
         self.filled += len(h)
