@@ -54,7 +54,7 @@ def ensemble(votes: DataFrame, raters: list[int], subject: str = "subject", elem
 
 
 def audit(elements: DataFrame, betti: DataFrame, raters: int, subject: str = "subject") -> DataFrame:
-    """One row a subject: means over organs of the means over raters (not pooled), largest topology term, entropy. betti: (subject, betti)."""
+    """One row a subject: means over organs of the means over raters (not pooled), largest topology term, entropy. betti: (subject, organ, differences), the raters' absolute differences from the consensus in components."""
     label, organs = F.col("label"), list(ORGANS)
     cells = []
     for r in range(raters):
@@ -69,6 +69,7 @@ def audit(elements: DataFrame, betti: DataFrame, raters: int, subject: str = "su
     inter = pair_dice(elements, [subject], raters, organs).groupBy(subject, "organ").agg(F.avg("dice").alias("inter"))
     both = organ.join(inter, [subject, "organ"]).groupBy(subject).agg(F.avg("dice").alias("dice"), F.avg("iou").alias("iou"), F.avg("inter").alias("inter"), F.first("mean_h").alias("mean_h"), F.first("max_h").alias("max_h"))
     r4 = lambda c, name: F.round(c, 4).alias(name)
+    betti = betti.groupBy(subject).agg(F.max(F.array_max("differences")).alias("betti"))
     return both.join(betti, subject, "left").select(subject, r4("dice", "mean_consensus_dice"), r4("iou", "mean_consensus_iou"), r4("inter", "mean_inter_model_dice"), F.coalesce("betti", F.lit(0)).alias("max_betti_diff"), r4("mean_h", "mean_uncertainty"), r4("max_h", "max_uncertainty"))
 
 

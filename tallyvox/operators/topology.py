@@ -1,10 +1,15 @@
-"""Connected components of a scan's foreground."""
+"""Connected components of a scan's foreground.
+
+A group is the mask of one organ in one scan, so its size is bounded by the scan's (24 bytes a voxel here). Groups are what is
+dealt out; a table has very many.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _STEPS = {6: [(1, 0, 0), (0, 1, 0), (0, 0, 1)], 26: [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)]}
 
@@ -42,3 +47,13 @@ def betti0(voxels: DataFrame, by: list[str], connectivity: int = 6) -> DataFrame
         return pd.DataFrame([[*key, n_components(rows[["x", "y", "z"]].to_numpy(), connectivity)]], columns=[*by, "betti"])
 
     return voxels.groupBy(*by).applyInPandas(count, f"{kinds}, betti long")
+
+
+def betti_differences(elements: DataFrame, raters: int, organs: list[int], subject: str = "subject", connectivity: int = 6) -> DataFrame:
+    """(subject, organ, consensus, raters, differences): components of each organ in the consensus and in each rater's mask, and their absolute differences. elements: labels (an array of the raters'), label (the consensus), x, y, z; an organ that a mask lacks has no component."""
+    every = F.concat(F.array("label"), "labels")
+    voxels = elements.select(subject, "x", "y", "z", F.posexplode(F.transform(every, lambda v: v.cast("int"))).alias("rater", "organ")).where(F.col("organ").isin(*organs))
+    found = betti0(voxels, [subject, "rater", "organ"], connectivity)
+    each = [F.coalesce(F.max(F.when(F.col("rater") == r, F.col("betti"))), F.lit(0)) for r in range(raters + 1)]
+    rows = found.groupBy(subject, "organ").agg(each[0].alias("consensus"), F.array(*each[1:]).alias("raters"))
+    return rows.withColumn("differences", F.transform("raters", lambda b: F.abs(b - F.col("consensus"))))

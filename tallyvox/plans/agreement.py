@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import metrics as m
 from ..functions import rules
 from ..functions.metrics import Empty
-from ..operators import agreement, ensemble
+from ..operators import agreement, ensemble, topology
+from ..sources.shared import written
 from . import views
 from .registry import query
-from .views import PROBS_SQL, WIDE_SQL
+from .views import PLACED_SQL, PROBS_SQL, WIDE_SQL
 
 R4 = lambda name: F.round(name, 4).alias(name)
 
@@ -101,7 +102,32 @@ def m24_m28_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements.select("subject", "element", "label", R4("h"), F.round(F.col("p")[0], 4).alias("p0"), F.round(F.col("p")[1], 4).alias("p1"))
 
 
-AUDIT_SQL = f"""{CONSENSUS_SQL},
+BETTI_SQL = f"""{CONSENSUS_SQL}, {PLACED_SQL},
+mask AS (SELECT subject, rater, organ, n, x, y FROM (SELECT subject, element, unnest([0, 1, 2, 3]) AS rater, unnest([label, l1, l2, l3]) AS organ FROM elements) JOIN placed USING (subject, element) WHERE organ > 0),
+face AS (SELECT a.subject, a.rater, a.organ, a.n AS low, b.n AS high FROM mask a JOIN mask b ON b.subject = a.subject AND b.rater = a.rater AND b.organ = a.organ AND b.n = a.n + 1 WHERE a.x < 7
+  UNION ALL SELECT a.subject, a.rater, a.organ, a.n, b.n FROM mask a JOIN mask b ON b.subject = a.subject AND b.rater = a.rater AND b.organ = a.organ AND b.n = a.n + 8 WHERE a.y < 7
+  UNION ALL SELECT a.subject, a.rater, a.organ, a.n, b.n FROM mask a JOIN mask b ON b.subject = a.subject AND b.rater = a.rater AND b.organ = a.organ AND b.n = a.n + 64),
+edge AS (SELECT subject, rater, organ, low AS n, high AS other FROM face UNION ALL SELECT subject, rater, organ, high, low FROM face),
+reach AS (SELECT subject, rater, organ, n, n AS root FROM mask UNION SELECT r.subject, r.rater, r.organ, e.other, r.root FROM reach r JOIN edge e ON e.subject = r.subject AND e.rater = r.rater AND e.organ = r.organ AND e.n = r.n WHERE e.other > r.root),
+part AS (SELECT subject, rater, organ, n, min(root) AS root FROM reach GROUP BY ALL),
+betti AS (SELECT subject, organ, {", ".join(f"count(DISTINCT root) FILTER (rater = {r}) AS b{r}" for r in range(4))} FROM part GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {BETTI_SQL} SELECT subject, organ, b0 AS consensus, b1, b2, b3, greatest(abs(b1 - b0), abs(b2 - b0), abs(b3 - b0)) AS worst FROM betti""")
+def m14_m31_betti_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = topology.betti_differences(elements_in_place(spark, sf_dir), 3, list(rules.ORGANS))
+    return d.select("subject", "organ", "consensus", *[F.col("raters")[r].alias(f"b{r + 1}") for r in range(3)], F.array_max("differences").alias("worst"))
+
+
+def elements_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ensemble's elements with their places."""
+    wide = views.placed(spark, sf_dir)
+    elements, _ = ensemble.ensemble(views.raters(spark, sf_dir), views.RATERS)
+    return elements.join(wide.select("subject", "element", "x", "y", "z"), ["subject", "element"])
+
+
+AUDIT_SQL = f"""{BETTI_SQL},
+worst AS (SELECT subject, max(greatest(abs(b1 - b0), abs(b2 - b0), abs(b3 - b0))) AS worst FROM betti GROUP BY subject),
 long AS (SELECT subject, element, label, l1, l2, l3, h, organ FROM elements, (SELECT unnest([1, 2, 3, 4]) AS organ)),
 each AS (SELECT subject, organ,
     avg(h) AS mean_h, max(h) AS max_h,
@@ -110,28 +136,27 @@ each AS (SELECT subject, organ,
     [{", ".join(f"CASE WHEN count(*) FILTER (l{a} = organ) + count(*) FILTER (l{b} = organ) > 0 THEN 2e0 * count(*) FILTER (l{a} = organ AND l{b} = organ) / (count(*) FILTER (l{a} = organ) + count(*) FILTER (l{b} = organ)) ELSE 1e0 END" for a, b in ((1, 2), (1, 3), (2, 3)))}] AS inter
   FROM long GROUP BY subject, organ),
 audit AS (SELECT subject, round(avg(list_avg(dice)), 4) AS mean_consensus_dice, round(avg(list_avg(iou)), 4) AS mean_consensus_iou, round(avg(list_avg(inter)), 4) AS mean_inter_model_dice,
-    subject % 8 AS max_betti_diff, round(max(mean_h), 4) AS mean_uncertainty, round(max(max_h), 4) AS max_uncertainty
-  FROM each GROUP BY subject),
+    coalesce(max(worst), 0) AS max_betti_diff, round(max(mean_h), 4) AS mean_uncertainty, round(max(max_h), 4) AS max_uncertainty
+  FROM each LEFT JOIN worst USING (subject) GROUP BY subject),
 triaged AS (SELECT *, CASE WHEN max_betti_diff > 5 OR mean_consensus_dice < 5e-1 OR mean_uncertainty > 15e-2 THEN 'NOISE_REJECT'
     WHEN mean_consensus_dice >= 82e-2 AND mean_inter_model_dice >= 85e-2 AND max_betti_diff <= 2 THEN 'CLEAN_HIGH_CONFIDENCE' ELSE 'WEAK_COARSE' END AS triage_category FROM audit)"""
 ACTION_SQL = "CASE triage_category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.ACTIONS.items()) + " END"
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The audit table with category and action. The topology term is a stand-in, subject % 8."""
-    elements, _ = ensemble.ensemble(views.raters(spark, sf_dir), views.RATERS)
-    betti = elements.select("subject").distinct().select("subject", (F.col("subject") % 8).alias("betti"))
-    found = ensemble.audit(elements, betti, 3)
+    """The audit table with category and action, written once: what is built on it reads it more than once."""
+    elements = written(elements_in_place(spark, sf_dir))
+    found = ensemble.audit(elements, topology.betti_differences(elements, 3, list(rules.ORGANS)), 3)
     category = rules.triage(*(F.col(c) for c in ("mean_consensus_dice", "mean_inter_model_dice", "max_betti_diff", "mean_uncertainty")))
-    return found.withColumn("triage_category", category).withColumn("action", rules.action(F.col("triage_category")))
+    return written(found.withColumn("triage_category", category).withColumn("action", rules.action(F.col("triage_category"))))
 
 
-@query(f"WITH {AUDIT_SQL} SELECT *, {ACTION_SQL} AS action FROM triaged")
+@query(f"WITH RECURSIVE {AUDIT_SQL} SELECT *, {ACTION_SQL} AS action FROM triaged")
 def p01_p02_m29_m33_triage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(spark, sf_dir)
 
 
-@query(f"WITH {AUDIT_SQL}, n AS (SELECT triage_category, count(*) AS n FROM triaged GROUP BY ALL) SELECT triage_category, n, round(100e0 * n / sum(n) OVER (), 2) AS percent FROM n")
+@query(f"WITH RECURSIVE {AUDIT_SQL}, n AS (SELECT triage_category, count(*) AS n FROM triaged GROUP BY ALL) SELECT triage_category, n, round(100e0 * n / sum(n) OVER (), 2) AS percent FROM n")
 def m38_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.report import value_counts
 

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import agreement, curate, report
+from ..operators import agreement, curate, report, surface, topology
 from ..sources import files, tables
+from ..sources.shared import written
 from . import views
-from .agreement import AUDIT_SQL, CONFUSION_SQL, audit
+from .agreement import AUDIT_SQL, BETTI_SQL, audit, elements_in_place
 from .registry import query, table
-from .views import WIDE_SQL
+from .views import PLACED_SQL, WIDE_SQL
 
 
 def named_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,14 +26,14 @@ NAMED_SQL = f"""{AUDIT_SQL}, named AS (SELECT * EXCLUDE (subject, triage_categor
     CASE WHEN subject % 17 <> 0 THEN triage_category END AS triage_category FROM triaged)"""
 
 
-@query(f"""WITH {NAMED_SQL}, b AS (SELECT subject_id, triage_category AS category FROM named WHERE status = 'SUCCESS' UNION ALL
+@query(f"""WITH RECURSIVE {NAMED_SQL}, b AS (SELECT subject_id, triage_category AS category FROM named WHERE status = 'SUCCESS' UNION ALL
   SELECT subject_id, 'TRAIN_POOL' FROM named WHERE status = 'SUCCESS' AND triage_category IN ('CLEAN_HIGH_CONFIDENCE', 'WEAK_COARSE'))
 SELECT category, count(*) AS n, string_agg(subject_id, ',' ORDER BY subject_id) AS subject_ids FROM b GROUP BY category""")
 def p16_p17_k06_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.splits(named_audit(spark, sf_dir))
 
 
-@query(f"""WITH {NAMED_SQL}, teacher AS (SELECT DISTINCT printf('S%05d', user_id * 3) AS subject_id FROM events),
+@query(f"""WITH RECURSIVE {NAMED_SQL}, teacher AS (SELECT DISTINCT printf('S%05d', user_id * 3) AS subject_id FROM events),
 m AS (SELECT subject_id, 'consensus/' || subject_id || '_consensus.nii.gz' AS label_path, triage_category AS category FROM named WHERE triage_category = 'CLEAN_HIGH_CONFIDENCE'
   UNION ALL SELECT subject_id, 'autolabel/' || subject_id || '_autolabel.nii.gz', triage_category FROM named WHERE triage_category = 'WEAK_COARSE')
 SELECT subject_id, 'data/' || subject_id || '/ct.nii.gz' AS ct_path, label_path, category FROM m UNION ALL
@@ -42,17 +43,17 @@ def u05_j10_p20_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.manifest(named_audit(spark, sf_dir), teacher)
 
 
-@query(f"""WITH {NAMED_SQL}, s AS (SELECT DISTINCT printf('S%05d', user_id) AS subject_id FROM events)
+@query(f"""WITH RECURSIVE {NAMED_SQL}, s AS (SELECT DISTINCT printf('S%05d', user_id) AS subject_id FROM events)
 SELECT subject_id FROM s WHERE subject_id NOT IN (SELECT subject_id FROM named WHERE status = 'SUCCESS')""")
 def j11_j12_r06_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     subjects = table(spark, sf_dir, "events").select(F.format_string("S%05d", "user_id").alias("subject_id")).distinct()
     return curate.unfinished(subjects, named_audit(spark, sf_dir))
 
 
-@query("""WITH f AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 3 <> 0)
+@query("""WITH f AS (SELECT DISTINCT user_id, event_type FROM events)
 SELECT user_id FROM f WHERE event_type IN ('click', 'view', 'purchase') GROUP BY user_id HAVING count(*) = 3""")
 def j01_u03_common_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view", "purchase") & (F.col("event_id") % 3 != 0))
+    f = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view", "purchase"))
     return f.groupBy("user_id").agg(F.count_distinct("event_type").alias("n")).where("n = 3").select("user_id")
 
 
@@ -107,11 +108,11 @@ def s09_first_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.first_layout([e.where("event_type = 'nothing'").select("id"), e.where("event_type = 'click'").select("id").distinct(), e.select("id").distinct()]).select("id", "layout")
 
 
-@query("""WITH f AS (SELECT printf('P%04d', conv_id) AS s, CASE turn % 4 WHEN 0 THEN 'ct.nii.gz' WHEN 1 THEN 'stomach.nii.gz' WHEN 2 THEN 'colon.nii.gz' ELSE 'gi_mask.nii.gz' END AS name FROM conversations WHERE (conv_id + turn) % 3 > 0)
+@query("""WITH f AS (SELECT printf('P%04d', conv_id) AS s, CASE turn % 4 WHEN 0 THEN 'ct.nii.gz' WHEN 1 THEN 'stomach.nii.gz' WHEN 2 THEN 'colon.nii.gz' ELSE 'gi_mask.nii.gz' END AS name FROM conversations)
 SELECT s AS subject_id, min(s || '/' || name) FILTER (name = 'ct.nii.gz') AS ct_path, min(s || '/' || name) FILTER (name = 'gi_mask.nii.gz') AS mask_path,
   CASE WHEN count(*) FILTER (name = 'gi_mask.nii.gz') = 0 THEN CAST(count(DISTINCT name) FILTER (name IN ('stomach.nii.gz', 'colon.nii.gz')) AS INTEGER) END AS organs FROM f GROUP BY s HAVING count(*) FILTER (name = 'ct.nii.gz') > 0""")
 def s10_p25_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").where((F.col("conv_id") + F.col("turn")) % 3 > 0)
+    c = table(spark, sf_dir, "conversations")
     t = F.col("turn") % 4
     rows = c.select(F.format_string("P%04d", "conv_id").alias("folder"), F.when(t == 0, "ct.nii.gz").when(t == 1, "stomach.nii.gz").when(t == 2, "colon.nii.gz").otherwise("gi_mask.nii.gz").alias("name"))
     rows = rows.withColumn("path", F.concat_ws("/", "folder", "name"))
@@ -168,7 +169,7 @@ def s16_synthetic_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.synthetic_cohort(spark, 3).groupBy("subject_id", "label").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {NAMED_SQL} SELECT subject_id, status, mean_consensus_dice, mean_consensus_iou, mean_inter_model_dice, max_betti_diff, mean_uncertainty, max_uncertainty, triage_category FROM named")
+@query(f"WITH RECURSIVE {NAMED_SQL} SELECT subject_id, status, mean_consensus_dice, mean_consensus_iou, mean_inter_model_dice, max_betti_diff, mean_uncertainty, max_uncertainty, triage_category FROM named")
 def s04_s05_k01_k03_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.shared import folder
 
@@ -177,7 +178,7 @@ def s04_s05_k01_k03_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_shards(spark, path, tables.AUDIT).drop("file", "action")
 
 
-@query(f"WITH {NAMED_SQL} SELECT subject_id FROM named WHERE triage_category = 'WEAK_COARSE'")
+@query(f"WITH RECURSIVE {NAMED_SQL} SELECT subject_id FROM named WHERE triage_category = 'WEAK_COARSE'")
 def s06_k05_text_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.shared import folder
 
@@ -186,7 +187,7 @@ def s06_k05_text_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_list(spark, path)
 
 
-@query(f"""WITH {NAMED_SQL} SELECT triage_category AS category, count(*) AS n FROM named WHERE status = 'SUCCESS' GROUP BY ALL
+@query(f"""WITH RECURSIVE {NAMED_SQL} SELECT triage_category AS category, count(*) AS n FROM named WHERE status = 'SUCCESS' GROUP BY ALL
 UNION ALL SELECT 'TRAIN_POOL', count(*) FROM named WHERE status = 'SUCCESS' AND triage_category <> 'NOISE_REJECT'""")
 def s07_k06_json_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.shared import folder
@@ -229,21 +230,21 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(spark, sf_dir).select(F.format_string("S%05d", "subject").alias("subject_id"), state.alias("state"), F.when(F.col("subject") % 11 > 0, F.col("mean_uncertainty")).alias("score"), F.col("subject").alias("seq"))
 
 
-@query(f"WITH {POOL_SQL} SELECT subject_id, coalesce(score, 0) AS score, seq FROM pool WHERE state = 'triage' ORDER BY coalesce(score, 0) DESC, seq LIMIT 10")
+@query(f"WITH RECURSIVE {POOL_SQL} SELECT subject_id, coalesce(score, 0) AS score, seq FROM pool WHERE state = 'triage' ORDER BY coalesce(score, 0) DESC, seq LIMIT 10")
 def t02_t05_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.review_queue(pool(spark, sf_dir), 10)
 
 
-@query(f"WITH {POOL_SQL} SELECT CASE WHEN seq % 4 = 0 THEN 'labeled' ELSE state END AS state, count(*) AS n FROM pool GROUP BY ALL")
+@query(f"WITH RECURSIVE {POOL_SQL} SELECT CASE WHEN seq % 4 = 0 THEN 'labeled' ELSE state END AS state, count(*) AS n FROM pool GROUP BY ALL")
 def u06_annotated_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pool(spark, sf_dir)
     return curate.annotated(p, p.where("seq % 4 = 0").select("subject_id")).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {POOL_SQL}, q AS (SELECT subject_id FROM pool WHERE state = 'triage' ORDER BY coalesce(score, 0) DESC, seq LIMIT 10), details AS (SELECT printf('S%05d', user_id) AS subject_id, event_type, event_id FROM events WHERE user_id % 2 = 0)
+@query(f"""WITH RECURSIVE {POOL_SQL}, q AS (SELECT subject_id FROM pool WHERE state = 'triage' ORDER BY coalesce(score, 0) DESC, seq LIMIT 10), details AS (SELECT printf('S%05d', user_id) AS subject_id, event_type, event_id FROM events WHERE event_type = 'error')
 SELECT q.subject_id, coalesce(f.event_type, 'REJECT_OR_TRIAGE') AS detail, coalesce(f.event_id, 0) AS event_id FROM q LEFT JOIN (SELECT * FROM details QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY event_id) = 1) f USING (subject_id)""")
 def j13_w02_queue_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "events").where("user_id % 2 = 0").select(F.format_string("S%05d", "user_id").alias("subject_id"), "event_type", "event_id")
+    d = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.format_string("S%05d", "user_id").alias("subject_id"), "event_type", "event_id")
     first = curate.first_rows(d, ["subject_id"], [F.col("event_id")])
     return curate.review_queue(pool(spark, sf_dir), 10).join(first, "subject_id", "left").select("subject_id", F.coalesce("event_type", F.lit(rules.LEGACY_REJECT)).alias("detail"), F.coalesce("event_id", F.lit(0)).alias("event_id"))
 
@@ -253,17 +254,17 @@ def w03_u02_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.first_rows(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id"], [F.col("turn"), F.col("role")])
 
 
-@query("""WITH e AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS epoch, l_extendedprice AS val FROM lineitem WHERE l_linenumber < 3)
+@query("""WITH e AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS epoch, l_extendedprice AS val FROM lineitem)
 SELECT l_suppkey, epoch, val FROM e QUALIFY val > coalesce(max(val) OVER (PARTITION BY l_suppkey ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1e0)""")
 def w05_k08_best_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.improved(epochs(spark, sf_dir), ["l_suppkey"], "val", "epoch", -1.0)
 
 
 def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where("l_linenumber < 3").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("epoch"), F.col("l_extendedprice").alias("val"))
+    return table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("epoch"), F.col("l_extendedprice").alias("val"))
 
 
-@query("""WITH e AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS epoch, l_extendedprice AS val FROM lineitem WHERE l_linenumber < 3)
+@query("""WITH e AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS epoch, l_extendedprice AS val FROM lineitem)
 SELECT l_suppkey, epoch, val FROM e QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY val DESC, epoch) = 1""")
 def w06_best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.best_rows(epochs(spark, sf_dir), ["l_suppkey"], "val", "epoch")
@@ -274,7 +275,7 @@ def w08_cosine_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(rules.cosine_rate(F.col("l_linenumber"), 7, 1e-3), 9).alias("rate"))
 
 
-@query(f"""WITH {AUDIT_SQL}, l AS (SELECT CASE WHEN mean_consensus_dice < 5e-1 OR max_betti_diff > 5 THEN 'REJECT_OR_TRIAGE' WHEN mean_consensus_dice >= 82e-2 THEN 'CLEAN_HIGH_CONFIDENCE' ELSE 'WEAK_COARSE' END AS c, mean_consensus_dice AS d FROM audit),
+@query(f"""WITH RECURSIVE {AUDIT_SQL}, l AS (SELECT CASE WHEN mean_consensus_dice < 5e-1 OR max_betti_diff > 5 THEN 'REJECT_OR_TRIAGE' WHEN mean_consensus_dice >= 82e-2 THEN 'CLEAN_HIGH_CONFIDENCE' ELSE 'WEAK_COARSE' END AS c, mean_consensus_dice AS d FROM audit),
 s AS (SELECT count(*) AS n, count(*) FILTER (c = 'REJECT_OR_TRIAGE') AS rejected, avg(d) AS m FROM l)
 SELECT n, rejected, round(m, 4) AS mean_dice, CASE WHEN m >= 82e-2 AND 1e0 * rejected / n < 5e-2 THEN 'A' WHEN m >= 65e-2 THEN 'B' ELSE 'C' END AS outcome FROM s""")
 def p03_p04_legacy_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,17 +308,28 @@ def m34_m40_head_to_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("n_swin").alias("swin"), F.col("n_mednext").alias("mednext"), "ties", F.round("a", 4).alias("swin_mean"), F.round("b", 4).alias("mednext_mean"), F.when(F.col("b") > F.col("a"), "MedNeXt").otherwise("Swin").alias("recommended"))
 
 
-LONG_SQL = f"""{WIDE_SQL}, c AS (SELECT subject, organ, r.rater, count(*) FILTER (l1 = organ AND p = organ) AS tp, count(*) FILTER ((l1 = organ) <> (p = organ)) AS off FROM
-  (SELECT subject, element, l1, unnest([l2, l3]) AS p, unnest(['swin', 'mednext']) AS rater FROM raters) r, (SELECT unnest([1, 2, 3, 4]) AS organ) GROUP BY ALL),
-long AS (SELECT subject, organ, rater, CASE WHEN 2 * tp + off > 0 THEN 2e0 * tp / (2 * tp + off) ELSE 1e0 END AS dice, CASE WHEN off % 3 = 0 THEN NULL ELSE off * 5e-1 END AS hd95 FROM c)"""
+LONG_SQL = f"""{WIDE_SQL}, {PLACED_SQL},
+sided AS (SELECT subject, pair.organ AS organ, pair.rater AS rater, pair.side AS side, x, y, z FROM (SELECT subject, x, y, z, unnest([{{'rater': 'swin', 'side': 'a', 'organ': l1}}, {{'rater': 'mednext', 'side': 'a', 'organ': l1}}, {{'rater': 'swin', 'side': 'b', 'organ': l2}}, {{'rater': 'mednext', 'side': 'b', 'organ': l3}}]) AS pair FROM placed) WHERE pair.organ > 0),
+size AS (SELECT subject, organ, rater, count(*) FILTER (side = 'a') AS a, count(*) FILTER (side = 'b') AS b FROM sided GROUP BY ALL),
+tps AS (SELECT a.subject, a.organ, a.rater, count(*) AS tp FROM sided a JOIN sided b ON a.side = 'a' AND b.side = 'b' AND a.subject = b.subject AND a.organ = b.organ AND a.rater = b.rater AND a.x = b.x AND a.y = b.y AND a.z = b.z GROUP BY ALL),
+faced AS (SELECT b.subject, b.organ, b.rater, b.side, b.x, b.y, b.z FROM sided b LEFT JOIN sided n ON n.subject = b.subject AND n.organ = b.organ AND n.rater = b.rater AND n.side = b.side AND abs(n.x - b.x) + abs(n.y - b.y) + abs(n.z - b.z) = 1 GROUP BY ALL HAVING count(n.x) < 6),
+gaps AS (SELECT a.subject, a.organ, a.rater, a.side, a.x, a.y, a.z, min(sqrt(((a.x - b.x) * 15e-1) ** 2 + ((a.y - b.y) * 15e-1) ** 2 + ((a.z - b.z) * 2e0) ** 2)) AS d FROM faced a JOIN faced b ON a.subject = b.subject AND a.organ = b.organ AND a.rater = b.rater AND a.side <> b.side GROUP BY ALL),
+far AS (SELECT subject, organ, rater, max(h) AS hd95 FROM (SELECT subject, organ, rater, side, quantile_cont(d, 95e-2) AS h FROM gaps GROUP BY ALL) GROUP BY ALL),
+cells AS (SELECT subject, organ, rater FROM (SELECT DISTINCT subject FROM raters), (SELECT unnest([1, 2, 3, 4]) AS organ), (SELECT unnest(['swin', 'mednext']) AS rater)),
+long AS (SELECT subject, organ, rater, CASE WHEN coalesce(a + b, 0) > 0 THEN 2e0 * coalesce(tp, 0) / (a + b) ELSE 1e0 END AS dice, hd95 FROM cells LEFT JOIN size USING (subject, organ, rater) LEFT JOIN tps USING (subject, organ, rater) LEFT JOIN far USING (subject, organ, rater))"""
 
 
 def audit_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(subject, organ, rater, dice, hd95) of two raters against the first; the distance is a stand-in, missing for some."""
-    v = views.raters_wide(spark, sf_dir).select("subject", F.col("l1").alias("gt"), F.explode(F.array(F.struct(F.col("l2").alias("pred"), F.lit("swin").alias("rater")), F.struct(F.col("l3").alias("pred"), F.lit("mednext").alias("rater")))).alias("v")).select("subject", "gt", "v.*")
-    c = agreement.overlap(agreement.confusion(v, ["subject", "rater"]))
-    off = F.col("fp") + F.col("fn")
-    return c.select("subject", "organ", "rater", "dice", F.when(off % 3 != 0, off * 0.5).alias("hd95"))
+    """(subject, organ, rater, dice, hd95) of two raters against the first; hd95 is missing where a side lacks the organ. Written once: what is built on it reads it more than once."""
+    v = views.placed(spark, sf_dir)
+    pair = lambda label, rater: F.struct(F.col(label).alias("pred"), F.lit(rater).alias("rater"))
+    pairs = v.select("subject", "x", "y", "z", F.col("l1").alias("gt"), F.explode(F.array(pair("l2", "swin"), pair("l3", "mednext"))).alias("v")).select("subject", "x", "y", "z", "gt", "v.*")
+    c = agreement.overlap(agreement.confusion(pairs, ["subject", "rater"])).select("subject", "organ", F.col("rater").alias("model"), "dice")
+    sides = F.array(F.struct(F.lit("a").alias("rater"), F.col("gt").alias("organ")), F.struct(F.lit("b").alias("rater"), F.col("pred").alias("organ")))
+    masks = pairs.withColumnRenamed("rater", "model").select("subject", "model", "x", "y", "z", F.explode(sides).alias("s")).select("subject", "model", "x", "y", "z", "s.*").where("organ > 0")
+    depth = 1 + (v.agg(F.max("z")).first()[0] or 0)
+    far = surface.surface_distances(masks, ["subject", "organ", "model"], views.SPACING, (views.SIDE, views.SIDE, depth)).select("subject", "organ", "model", "hd95")
+    return written(c.join(far, ["subject", "organ", "model"], "left").withColumnRenamed("model", "rater"))
 
 
 @query(f"WITH {LONG_SQL} SELECT rater, round(avg(dice), 4) AS dice, round(avg(hd95), 4) AS hd95 FROM long GROUP BY rater")
@@ -325,29 +337,48 @@ def m35_per_model_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.means(audit_long(spark, sf_dir), ["rater"], ["dice", "hd95"])
 
 
-@query(f"WITH {AUDIT_SQL} SELECT round(avg(subject), 4) AS subject, round(avg(mean_consensus_dice), 4) AS mean_consensus_dice, round(avg(mean_consensus_iou), 4) AS mean_consensus_iou, round(avg(mean_inter_model_dice), 4) AS mean_inter_model_dice, round(avg(max_betti_diff), 4) AS max_betti_diff, round(avg(mean_uncertainty), 4) AS mean_uncertainty, round(avg(max_uncertainty), 4) AS max_uncertainty FROM audit")
+@query(f"WITH RECURSIVE {AUDIT_SQL} SELECT round(avg(subject), 4) AS subject, round(avg(mean_consensus_dice), 4) AS mean_consensus_dice, round(avg(mean_consensus_iou), 4) AS mean_consensus_iou, round(avg(mean_inter_model_dice), 4) AS mean_inter_model_dice, round(avg(max_betti_diff), 4) AS max_betti_diff, round(avg(mean_uncertainty), 4) AS mean_uncertainty, round(avg(max_uncertainty), 4) AS max_uncertainty FROM audit")
 def m36_m39_numeric_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.numeric_means(audit(spark, sf_dir))
 
 
-@query(f"WITH {LONG_SQL} SELECT organ, round(avg(dice), 4) AS dice_mean, round(stddev_samp(dice), 4) AS dice_std, round(avg(hd95), 4) AS hd95_mean, round(stddev_samp(hd95), 4) AS hd95_std FROM long WHERE rater = 'swin' GROUP BY organ")
+CLUSTER_SQL = """pairs AS (SELECT subject, organ, CAST(l1 = organ AS INTEGER) AS gt, CAST(l2 = organ AS INTEGER) AS pred FROM raters, (SELECT unnest([1, 2, 3, 4]) AS organ)),
+cc AS (SELECT subject, organ, gt, pred, count(*)::DOUBLE AS n FROM pairs GROUP BY ALL),
+cm AS (SELECT *, sum(n) OVER (PARTITION BY subject, organ, gt) AS a, sum(n) OVER (PARTITION BY subject, organ, pred) AS b FROM cc),
+cs AS (SELECT subject, organ, sum(n) AS t, sum(n * n) - sum(n) AS tp, sum(n * a) - sum(n * n) AS fn, sum(n * b) - sum(n * n) AS fp, sum(n) * sum(n) - sum(n * a) - sum(n * b) + sum(n * n) AS tn, -sum(n * (log2(n / a) + log2(n / b))) AS h FROM cm GROUP BY ALL),
+clusters AS (SELECT subject, organ, CASE WHEN fn = 0 AND fp = 0 THEN 1e0 ELSE 2 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn)) END AS ari, h / t AS voi FROM cs)"""
+
+
+@query(f"""WITH {LONG_SQL}, {CLUSTER_SQL}
+SELECT organ, {", ".join(f"round(avg({c}), 4) AS {c}_mean, round(stddev_samp({c}), 4) AS {c}_std" for c in ("dice", "hd95", "ari", "voi"))} FROM long JOIN clusters USING (subject, organ) WHERE rater = 'swin' GROUP BY organ""")
 def m37_organ_mean_std(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.mean_and_std(audit_long(spark, sf_dir).where("rater = 'swin'"), ["organ"], ["dice", "hd95"])
+    organs = views.pairs(spark, sf_dir).withColumn("organ", F.explode(F.array(*[F.lit(k) for k in rules.ORGANS])))
+    one = organs.select("subject", "organ", *[(F.col(c) == F.col("organ")).cast("int").alias(c) for c in ("gt", "pred")])
+    both = audit_long(spark, sf_dir).where("rater = 'swin'").join(agreement.clustering(one, ["subject", "organ"]), ["subject", "organ"])
+    return report.mean_and_std(both, ["organ"], ["dice", "hd95", "ari", "voi"])
+
+
+@query(f"""WITH RECURSIVE {BETTI_SQL}, diffs AS (SELECT organ, unnest([abs(b1 - b0), abs(b2 - b0), abs(b3 - b0)]) AS betti_diff, unnest([1, 2, 3]) AS rater FROM betti)
+SELECT organ, rater, round(avg(betti_diff), 4) AS betti_diff_mean, round(stddev_samp(betti_diff), 4) AS betti_diff_std FROM diffs GROUP BY ALL""")
+def m37_betti_mean_std(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = topology.betti_differences(elements_in_place(spark, sf_dir), 3, list(rules.ORGANS)).select("organ", F.posexplode("differences").alias("rater", "betti_diff"))
+    return report.mean_and_std(d.withColumn("rater", F.col("rater") + 1), ["organ", "rater"], ["betti_diff"])
 
 
-@query(f"""WITH {LONG_SQL} SELECT subject, {", ".join(f"round(max(dice) FILTER (organ = {k} AND rater = '{r}'), 4) AS {n}_dice_{r}" for k, n in rules.ORGANS.items() for r in ("swin", "mednext"))} FROM long GROUP BY subject""")
+@query(f"""WITH {LONG_SQL} SELECT subject, {", ".join(f"round(max({m}) FILTER (organ = {k} AND rater = '{r}'), 4) AS {n}_{m}_{r}" for k, n in rules.ORGANS.items() for m in ("dice", "hd95") for r in ("swin", "mednext"))} FROM long GROUP BY subject""")
 def m44_m45_wide_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [f"{n}_dice_{r}" for n in rules.ORGANS.values() for r in ("swin", "mednext")]
+    names = [f"{n}_{m}_{r}" for n in rules.ORGANS.values() for m in ("dice", "hd95") for r in ("swin", "mednext")]
     organ = F.element_at(F.array(*[F.lit(x) for x in rules.ORGANS.values()]), F.col("organ"))
-    rows = audit_long(spark, sf_dir).withColumn("dice", F.round("dice", 4))
-    return report.wide(rows, ["subject"], F.concat(organ, F.lit("_dice_"), F.col("rater")), "dice", names)
+    rows = audit_long(spark, sf_dir).unpivot(["subject", "organ", "rater"], ["dice", "hd95"], "metric", "value").withColumn("value", F.round("value", 4))
+    return report.wide(rows, ["subject"], F.concat(organ, F.lit("_"), F.col("metric"), F.lit("_"), F.col("rater")), "value", names)
 
 
-@query(f"WITH {CONFUSION_SQL} SELECT subject, CAST(coalesce(greatest(max(fp) FILTER (organ = 1), max(fp) FILTER (organ = 2), max(fp) FILTER (organ = 3 AND subject % 2 = 0)), 0) AS BIGINT) AS worst FROM c GROUP BY subject")
+@query(f"""WITH RECURSIVE {BETTI_SQL}, cells AS (SELECT subject, {", ".join(f"max(greatest(abs(b1 - b0), abs(b2 - b0), abs(b3 - b0))) FILTER (organ = {k}) AS {n}_betti_diff" for k, n in rules.ORGANS.items())} FROM betti GROUP BY subject)
+SELECT *, coalesce(greatest({", ".join(f"{n}_betti_diff" for n in rules.ORGANS.values())}), 0) AS worst FROM cells""")
 def m41_rowwise_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = agreement.confusion(views.pairs(spark, sf_dir), ["subject"])
-    cols = [F.max(F.when((F.col("organ") == k) & ((F.col("subject") % 2 == 0) | F.lit(k < 3)), F.col("fp"))) for k in (1, 2, 3)]
-    return c.groupBy("subject").agg(F.coalesce(F.greatest(*cols), F.lit(0)).alias("worst"))
+    d = topology.betti_differences(elements_in_place(spark, sf_dir), 3, list(rules.ORGANS)).withColumn("worst", F.array_max("differences"))
+    cells = d.groupBy("subject").agg(*[F.max(F.when(F.col("organ") == k, F.col("worst"))).alias(f"{n}_betti_diff") for k, n in rules.ORGANS.items()])
+    return cells.withColumn("worst", F.coalesce(F.greatest(*[F.col(f"{n}_betti_diff") for n in rules.ORGANS.values()]), F.lit(0)))
 
 
 @query("SELECT node, count(*) AS degree FROM (SELECT unnest(['s' || l_suppkey, 'p' || l_partkey]) AS node FROM lineitem) GROUP BY node ORDER BY degree DESC, node LIMIT 10")
