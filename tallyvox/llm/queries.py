@@ -28,7 +28,7 @@ URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge
 
-    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score", "probability")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,12 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tallyvox.llm import decontam, eflm, importance, jaccard_join, packing, quality_rules, queries, repair, suffix_dedup, url_filter, warc
 from tallyvox.llm.eliasfano import Level, Sequence
@@ -72,37 +74,59 @@ def test_hosts_and_rules(spark):
 
 
 def test_url_scores_match_brute_force(spark):
-    urls = [f"http://{'casino' if i % 4 == 0 else 'garden'}{i % 7}.example.org/p{i}" for i in range(80)]
-    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string")
+    """Scores, calibration and verdicts, with repeated rows, a very long URL, ties and columns whose names clash."""
+    urls = [f"http://{'casino' if i % 4 == 0 else 'garden'}{'spam' if i % 8 == 0 else ''}{i % 7}.example.org/{'abcdefgh'[i % 8] * (i % 5)}{i}" for i in range(240)]
+    urls += [urls[5], urls[8], "http://garden.example.org/" + "long-path/" * 800, "", None, "no scheme casino"]
+    df = spark.createDataFrame([(i, u, "x", 1.0) for i, u in enumerate(urls)], "page_id int, url string, HOST string, score double")
+    rows = {r.page_id: r for r in df.select("page_id", url_filter.grams(df.url).alias("g"), (F.xxhash64(url_filter.grams(df.url)) % url_filter.HELD_OUT == 0).alias("aside")).collect()}
+    fold = lambda u: [url_filter.ALPHABET.find("0" if c.isdigit() else c) + 1 or 31 for c in u.split("://")[-1].lower()]
+    for i, u in enumerate(urls):
+        c = [0, 0, 0, *fold(u or "")]
+        assert (rows[i].g or []) == [((c[j] * 32 + c[j + 1]) * 32 + c[j + 2]) * 32 + c[j + 3] for j in range(len(c) - 3)]
+    good = [not any(s in url for s in url_filter.REJECT_SEEDS) if (url := (u or "").split("://")[-1].split("/")[0] if u and "://" in u else "") else True for u in urls]
+    count = {k: [Counter() for _ in range(4)] for k in (True, False)}
+    for i, r in rows.items():
+        for g in r.g or [] if not r.aside else []:
+            for order in range(4):
+                count[good[i]][order][g % 32 ** (order + 1)] += 1
+    total = sum(sum(count[k][0].values()) for k in count)
+    often = Counter()
+    for k in count:
+        for g, n in count[k][3].items():
+            often[g // 32] += n
+    used = {c for c, n in often.items() if n >= max(url_filter.LEAST_SEEN, total / url_filter.CONTEXTS)}
+    assert 10 < len(used) < len(often)
+
+    def p(k, g, order):
+        if order < 0:
+            return 1 / 32
+        low, c = p(k, g % 32**order if order else 0, order - 1), count[k][order]
+        after = [n for x, n in c.items() if x // 32 == g // 32]
+        return (c[g] + len(after) * low) / (sum(after) + len(after)) if after else low
+
+    def score(gs):
+        w = [math.log(p(True, g if o == 3 else g % 32**3, o)) - math.log(p(False, g if o == 3 else g % 32**3, o)) for g in gs for o in [3 if g // 32 in used else 2]]
+        return sum(w) / len(w)
+
     got = {r.page_id: r for r in url_filter.judge(df, []).collect()}
-    assert all(got[i].verdict == ("block" if i % 4 == 0 else "allow") for i in range(80))
-    grams = [r.g for r in df.orderBy("page_id").select(url_filter.grams(df.url).alias("g")).collect()]
-    fold = lambda u: [url_filter.ALPHABET.find("0" if c.isdigit() else c) + 1 or 31 for c in u.split("://")[1].lower()]
-    for u, g in zip(urls, grams, strict=True):
-        c = [0, 0, *fold(u)]
-        assert g == [(c[i] * 32 + c[i + 1]) * 32 + c[i + 2] for i in range(len(c) - 2)]
-    labelled = df.select(url_filter.grams(df.url).alias("grams"), (df.page_id % 4 != 0).alias("accepted"))
-    w = url_filter.weights(labelled).first()[0]
-    logs = {}
-    for k in (True, False):
-        tri = Counter(x for i, g in enumerate(grams) if (i % 4 != 0) == k for x in g)
-        bi, uni = Counter(), Counter()
-        for x, n in tri.items():
-            bi[x % 1024] += n
-            uni[x % 32] += n
-        p1 = lambda c, uni=uni: (uni[c] + len(uni) / 32) / (sum(uni.values()) + len(uni))
-
-        def p2(bc, bi=bi, p1=p1):
-            s = [n for y, n in bi.items() if y // 32 == bc // 32]
-            return (bi[bc] + len(s) * p1(bc % 32)) / (sum(s) + len(s)) if s else p1(bc % 32)
-
-        def p3(x, tri=tri, p2=p2):
-            s = [n for y, n in tri.items() if y // 32 == x // 32]
-            return (tri[x] + len(s) * p2(x % 1024)) / (sum(s) + len(s)) if s else p2(x % 1024)
-
-        logs[k] = p3
-    for x in [*grams[0], 5, 999, 32767]:
-        assert abs(w[x] - (math.log(logs[True](x)) - math.log(logs[False](x)))) < 1e-9
+    assert set(next(iter(got.values())).asDict()) == {"page_id", "url", "host", "path", "rule", "score", "probability", "threshold", "verdict"}
+    want = {i: score(r.g) for i, r in rows.items() if r.g and len(r.g) < 200}
+    assert all(abs(got[i].score - x) < 1e-4 for i, x in want.items()) and got[240].score == got[5].score and got[243].score is None and got[244].verdict == "allow"
+    assert got[242].score > 0
+    bins = Counter((max(-8, min(8, round(round(got[i].score / 0.05) * 0.05, 6))), good[i]) for i, r in rows.items() if r.g and r.aside)
+    n1, n0 = (sum(n for (_, k), n in bins.items() if k == which) for which in (True, False))
+    loss = lambda a, b: sum(n * url_filter.bent((n1 + 1) / (n1 + 2) if k else 1 / (n0 + 2), a * x + b) for (x, k), n in bins.items())
+    logit = lambda x: math.log(x / (1 - x))
+    (i, x), (j, y) = ((k, logit(got[k].probability)) for k in (0, 1))
+    slope = (x - y) / (got[0].score - got[1].score)
+    offset = x - slope * got[0].score
+    best = loss(slope, offset)
+    assert all(loss(slope + a, offset + b) >= best - 1e-6 for a, b in product((-0.05, 0, 0.05), repeat=2))
+    assert abs(got[1].threshold + offset / slope) < 1e-6
+    assert all((got[k].verdict == "block") == (got[k].score is not None and got[k].score < got[k].threshold) for k in got)
+    assert np.mean([(got[k].verdict == "allow") == good[k] for k in range(240)]) > 0.98
+    one = url_filter.judge(df.where("page_id % 4 = 1 and page_id < 240"), []).collect()  # no rejected example
+    assert {r.verdict for r in one} == {"allow"} and {r.score for r in one} <= {0.0, None}
 
 
 # 2
