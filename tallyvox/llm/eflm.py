@@ -389,13 +389,12 @@ class Model:
         self.total, self.distinct, self.parts, part_tokens = a["totals"].tolist()
         self.folder = str(a["folder"])
         self.words, self.count = Words(a["key"].view(U)), a["c"]
+        self.p1 = (self.count + 1) / (self.total + self.distinct + 1)  # of the most frequent words
+        self.log_p1 = np.log10(self.p1)
         self.split = np.ones(OTHER, np.int64)
         self.split[: len(self.count)] = -(-self.count // part_tokens)
         self.held: tuple[int, Part | None] = (-1, None)
 
-    def unigram(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + 1) / (self.total + self.distinct + 1))
-
     def named(self, h: np.ndarray) -> np.ndarray:
         """Numbers of the most frequent words, hashes of others."""
         w = self.words.find(h)
@@ -434,7 +433,7 @@ class Model:
         for s in np.unique(part):
             q = np.flatnonzero(part == s)
             p[q], off[q] = self.find(int(s), u[q], v[q], w[q])
-        out[order] = np.log10(p + off * 10 ** self.unigram(self.count[w.astype(np.int64)]))
+        out[order] = np.log10(p + off * self.p1[w.astype(np.int64)])
         return out
 
 
@@ -477,7 +476,7 @@ def numbered(docs: DataFrame, sent, keep: tuple[str, ...]) -> DataFrame:
             w = m.named(h)
             known = w < TOP
             base = np.zeros(len(w))
-            base[known] = m.unigram(m.count[w[known].astype(np.int64)])
+            base[known] = m.log_p1[w[known].astype(np.int64)]
             short, cut = np.where(known, w, ELSEWHERE).astype(np.uint32), np.concatenate([[0], np.cumsum(~known)])[at]
             others = w[~known]
             yield tx.batch(
@@ -659,30 +658,34 @@ def score(trained: Trained, docs: DataFrame | None = None, keep: tuple[str, ...]
         m = model_of(sent)
         for u, v, w, row in gathered(texts(batches), FLUSH):
             found, at = Grams.of(u, v, w)
-            names, nth = np.unique(row, return_inverse=True)
-            told, nth = rising(names), nth[at].astype(np.uint16 if len(names) <= 1 << 16 else np.uint32)
+            new = np.append(True, row[1:] != row[:-1])  # rows rise
+            names = row[new]
+            told, nth = rising(names), (np.cumsum(new) - 1)[at].astype(np.uint16 if len(names) <= 1 << 16 else np.uint32)
             yield from routed(m, found, {"names": lambda q, told=told: told, "nth": lambda q, nth=nth: squeezed(nth[q])}, deal=True)
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums of each text's tokens in a part (home, names, score), and tokens of less frequent words (key, row, p, off)."""
         m = model_of(sent)
 
-        def done(part: int, held: list[tuple[Grams, np.ndarray]]) -> pa.RecordBatch:
-            key, rest = np.concatenate([g.key for g, _ in held]), np.concatenate([g.rest for g, _ in held], axis=1)
-            row = np.concatenate([r[: len(g.key)] for g, r in held]), np.concatenate([r[len(g.key) :] for g, r in held])
+        def done(part: int, held: list[tuple[Grams, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            key, rest = np.concatenate([g.key for g, *_ in held]), np.concatenate([g.rest for g, *_ in held], axis=1)
+            every = np.unique(np.concatenate([names for _, names, _ in held]))
+            nth = [np.searchsorted(every, names)[n] for _, names, n in held]
+            nth = np.concatenate([n[: len(g.key)] for n, (g, *_) in zip(nth, held, strict=True)]), np.concatenate([n[len(g.key) :] for n, (g, *_) in zip(nth, held, strict=True)])
             order, last = np.argsort(key), np.lexsort(rest[:2])
             u, v, w = Grams(key[order], rest[:, last]).words()
-            row = np.append(row[0][order], row[1][last])
+            nth = np.append(nth[0][order], nth[1][last])
             p, off = m.find(part, u, v, w)
             known = w < TOP
-            value = np.log10(p[known] + off[known] * 10 ** m.unigram(m.count[w[known].astype(np.int64)]))
-            names, back = np.unique(row[known], return_inverse=True)
-            total = np.bincount(back, value, len(names)).astype(np.float32)
+            value = np.log10(p[known] + off[known] * m.p1[w[known].astype(np.int64)])
+            total = np.bincount(nth[known], value, len(every))
+            has = np.flatnonzero(np.bincount(nth[known], minlength=len(every)))
+            names, total, row = every[has], total[has].astype(np.float32), every[nth[~known]]
             edge = np.flatnonzero(np.diff(names >> U(32), prepend=U(1 << 62)))
             cut = zip(edge.tolist(), [*edge[1:].tolist(), len(names)], strict=False)  # a partition's texts each
             out = [(int(names[a] >> U(32)), rising(names[a:b]), squeezed(total[a:b]), None, None, None, None) for a, b in cut]
             if not known.all():
-                out.append((-1, None, None, w[~known].view(np.int64), row[~known].view(np.int64), p[~known], off[~known]))
+                out.append((-1, None, None, w[~known].view(np.int64), row.view(np.int64), p[~known], off[~known]))
             kinds = (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64()))
             return tx.batch(**{c: pa.array([x[i] for x in out], kind) for i, (c, kind) in enumerate(zip(("home", "names", "score", "key", "row", "p", "off"), kinds, strict=True))})
 
@@ -693,8 +696,8 @@ def score(trained: Trained, docs: DataFrame | None = None, keep: tuple[str, ...]
                     yield done(now, held)
                     held, size = [], 0
                 names, now = risen(r["names"]), r["part"]
-                held.append((Grams.read(r["key"], r["rest"]), names[loose(r["nth"], np.uint16 if len(names) <= 1 << 16 else np.uint32)]))
-                size += len(held[-1][1])
+                held.append((Grams.read(r["key"], r["rest"]), names, loose(r["nth"], np.uint16 if len(names) <= 1 << 16 else np.uint32)))
+                size += len(held[-1][2])
         if held:
             yield done(now, held)
 
