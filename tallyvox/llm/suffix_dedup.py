@@ -275,14 +275,14 @@ def resolved(segs: DataFrame, widths: tuple[int, ...] = (32, 4, 1), limit: int =
     rest = sorted_spans(segs.join(crowd, "g", "left_anti"), length)
     cut = written(pieces(segs.join(crowd, "g", "left_semi").dropDuplicates(["g", "seg"]), widths[0], length), "pieces")
     one = written(one_each(cut), "segments")
-    copied = cut.where("m = 1").join(one.where("m > 1").select("g", "seg"), ["g", "seg"], "left_semi")
+    copied = cut.where("m = 1").join(within(one.where("m > 1").select("g", "seg")), ["g", "seg"], "left_semi")
     copied = copied.select("doc", "same", "lo", (F.col("run") - 1 + length).alias("size"), F.lit(None).cast("binary").alias("spans"))
     return rest.unionByName(copied).unionByName(resolved(one, widths[1:], limit, length))
 
 
-def within(df: DataFrame, payload: str) -> DataFrame:
+def within(df: DataFrame, payload: str | None = None) -> DataFrame:
     """df with a broadcast hint if it's small, by its counted rows and bytes."""
-    size = df.agg((F.count("*") * 64 + F.sum(F.length(payload))).alias("size")).first()[0] or 0
+    size = df.agg((F.count("*") * 64 + (F.sum(F.length(payload)) if payload else F.lit(0))).alias("size")).first()[0] or 0
     return F.broadcast(df) if size <= BROADCAST else df
 
 
@@ -312,7 +312,7 @@ def repeated_spans(docs: DataFrame, limit: int = LIMIT, length: int = LENGTH) ->
             yield tx.batch(**{c: inner.field(c) for c in ("g", "seg", "m", "run", "anchor")}, data=data, **place, lo=inner.field("lo"))
 
     segs = written(docs.select(*KEY, "text").join(listed, KEY).select(*KEY, "text", "wanted").mapInArrow(cut, PLACED), "segments")
-    copied = shared.where("alike").unionByName(mixed.join(reps.where("m > 1").select("g", "seg"), ["g", "seg"], "left_semi"), allowMissingColumns=True)
+    copied = shared.where("alike").unionByName(mixed.join(within(reps.where("m > 1").select("g", "seg")), ["g", "seg"], "left_semi"), allowMissingColumns=True)
     copied = copied.select(*KEY, "lo", (F.col("run") - 1 + length).alias("size"), F.lit(None).cast("binary").alias("spans"))
     both = resolved(segs, limit=limit, length=length).unionByName(copied)
     return both.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "size", "spans")).alias("spans"))  # spans of one document
