@@ -614,10 +614,82 @@ def test_pipeline_stages(spark):
     assert now == ids
 
 
-def test_pipeline_stages_on_odd_rows(spark, odd):
+def test_pipeline_stages_match_brute_force(spark, odd, expected_ids):
+    """Each stage on the odd rows, with columns that operators use themselves."""
     import corpus_pipeline
 
-    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in odd], "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs, SF).count() >= 0
-        assert stage(spark, docs.limit(0), SF).count() == 0
+    stage = dict(corpus_pipeline.STAGES)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, doc int, same long, found string, key double, spans string"
+    docs = spark.createDataFrame([(i, t, None, "s", None if t is None else len(t), "row", 1, 2, "x", 2.0, None) for i, t in odd], schema)
+    for name, f in corpus_pipeline.STAGES:
+        nothing = f(spark, docs.limit(0), SF)
+        assert nothing.count() == 0 and (name == "packing" or nothing.columns == docs.columns)
+
+    ids = lambda df: sorted((r.doc_id for r in df.collect()), key=repr)
+    targets = queries.targets(spark, SF)
+    sampled, _ = importance.select(docs, targets)
+    assert ids(stage["quality"](spark, docs, SF)) == ids(sampled)  # weights and keys have a test of their own
+
+    found = brute_components(odd, 5, 80)
+    want = [i for i, n, c in found if not n] + list({c for _, n, c in found if n and c is not None}) + [None] * sum(1 for i, n, c in found if n and c is None)
+    assert ids(stage["near_duplicates"](spark, docs, SF)) == sorted(want, key=repr)
+
+    kept = []
+    seen = Counter(b[j : j + 200] for _, t in odd for b in [(t or "").encode()] for j in range(len(b) - 199))
+    for i, t in odd:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for j in range(len(b) - 199):
+            if seen[b[j : j + 200]] > 1:
+                gone[j : j + 200] = b"\1" * 200
+        rest = bytes(x for x, y in zip(b, gone, strict=True) if not y).decode("utf-8", "ignore")
+        if rest or not any(gone):
+            kept.append((i, t if t is None else rest, None if t is None else len(rest)))
+    assert rows_of(stage["repeated_strings"](spark, docs, SF), "doc_id", "text", "n_chars") == sorted(kept, key=repr)
+
+    token = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    cut = lambda t: token.findall((t or "").translate(LOWER))
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    leaky = [(900, "before " + " ".join(cut(items[0])[:12]) + " after"), (901, " ".join(cut(items[1])[:9])), (None, items[2])]
+    more = docs.unionByName(spark.createDataFrame(leaky, "doc_id long, text string"), allowMissingColumns=True)
+    windows = {tuple(w[j : j + min(10, len(w))]) for x in items for w in [cut(x)] if w for j in range(len(w) - min(10, len(w)) + 1)}
+    sizes = {len(w) for w in windows}
+    clean = [i for i, t in [*odd, *leaky] if not any(tuple(w[j : j + k]) in windows for w in [cut(t)] for k in sizes for j in range(len(w) - k + 1))]
+    assert len(clean) < len(odd) + 3 and ids(stage["benchmark_leaks"](spark, more, SF)) == sorted(clean, key=repr)
+
+    pieces = stage["packing"](spark, docs, SF).collect()
+    assert sum(r.length for r in pieces) == sum(len(expected_ids[x]) for x in odd)
+    assert Counter(r.doc_id for r in pieces if r.start == 0) == Counter(i for i, _ in odd)
+
+
+def test_pipeline_runs_end_to_end(spark):
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, SF)
+    assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(got.columns) and got.count() > 0
+
+
+THUE_MORSE = "a"
+while len(THUE_MORSE) < 2048:
+    THUE_MORSE += THUE_MORSE.translate(str.maketrans("ab", "ba"))
+
+
+def test_strings_that_a_polynomial_hash_takes_for_equal(spark):
+    """Thue-Morse strings and their complements: ids, lines, sets, hits, spans and scores tell them apart."""
+    a, b = ([x[:n] for n in (1024, 2048)] for x in (THUE_MORSE, THUE_MORSE.translate(str.maketrans("ab", "ba"))))
+    e = Encoder(queries.tokenizer_file())
+    for x in [*a, *b]:
+        assert np.array_equal(e.encode([x, f"{x} {x}"], 0)[0], np.concatenate([e.ids(x), [0], e.ids(f"{x} {x}"), [0]]))
+    rows = [(k, " ".join([x] * 12) + f"\n{x}\n{y}") for k, (x, y) in enumerate(zip([*a, *b], [*b, *a], strict=True))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r.n_dup_lines for r in quality_rules.judge(docs, none).collect()} == {0}
+    assert rows_of(jaccard_join.join(docs), "doc_id", "n_shingles", "component_id") == brute_components(rows, 4, 85)
+    items = spark.createDataFrame([(1, " ".join([a[0]] * 10)), (2, " ".join([b[1]] * 10))], "item_id long, text string")
+    assert rows_of(decontam.contamination(docs, items), "doc_id", "n_items") == [(0, 1), (1, 0), (2, 0), (3, 1)]
+    got = suffix_dedup.report(docs)
+    assert rows_of(got, *got.columns[:5]) == brute_repeats(rows)
+    scores = eflm.score(eflm.train(docs.where("doc_id = 0")), docs)
+    assert [r.n_known for r in scores.orderBy("doc_id").collect()] == [15, 1, 15, 1]
+    pieces = {(r.doc_id, r.start): bytes(r.ids) for r in packing.pack(docs, queries.tokenizer_file(), length=1 << 20).collect()}
+    assert all(pieces[i, 0] == np.append(e.ids(t), 0).astype("<u4").tobytes() for i, t in rows)
