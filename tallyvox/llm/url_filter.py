@@ -21,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 #: Of the fold of characters: 1 to 30 by their place here, other characters 31, before the text 0. Digits are one class.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0.-/"
 SIZE = 32
@@ -32,7 +34,7 @@ HELD_OUT = 5
 #: Scores are counted for calibration in steps of GRID up to REACH.
 GRID, REACH = 0.05, 8.0
 #: A context of three characters is used where it is seen LEAST_SEEN times, and one in CONTEXTS of all; so there are no more than CONTEXTS.
-LEAST_SEEN, CONTEXTS = 16, 4096
+LEAST_SEEN, CONTEXTS = 16, 1024
 
 
 def after_scheme(url: Column) -> Column:
@@ -114,26 +116,27 @@ def difference(p: DataFrame, by: list[str]) -> DataFrame:
 
 
 class Model:
-    """at[abc] is where the weights of the characters after a, b, c begin in `weights`; both are constants of the plan, as columns they would be copied with each row."""
+    """`weights` has a row of SIZE numbers for each context b, c of two characters, in order, then one for each a, b, c in use; slots[abc] is that one's number from 1, or 0. Both are constants of the plan, as columns they would be copied with each row."""
 
     def __init__(self, labelled: DataFrame):
-        counts = counted(labelled)
-        second = second_order(counts)
+        counts = written(counted(labelled), "url-counts")  # small tables that are read several times
+        second = written(second_order(counts), "url-grid")
         row = lambda df, by: df.agg(F.transform(F.array_sort(F.collect_list(F.struct(*by, "w"))), lambda x: x["w"]).alias("w")).first()["w"]
         base = row(difference(second, ["bcd"]), ["bcd"])
         third = difference(third_order(counts, second), ["abc", "d"]).groupBy("abc").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "w"))), lambda x: x["w"]).alias("w"))
         rows = sorted(((r["abc"], r["w"]) for r in third.collect()), key=lambda r: r[0])  # at most CONTEXTS
-        self.at = [abc % SIZE**2 * SIZE for abc in range(SIZE**3)]
-        self.weights = list(base)
-        for abc, w in rows:
-            self.at[abc] = len(self.weights)
+        self.slots, self.weights = [0] * SIZE**3, list(base)
+        for nth, (abc, w) in enumerate(rows, 1):
+            self.slots[abc] = nth
             self.weights += w
 
     def scored(self, df: DataFrame, into: str = "score") -> DataFrame:
         """df (with grams) and each row's score: null without characters."""
-        at = F.split(F.lit(",".join(map(str, self.at))), ",").cast("array<int>")
-        weights = F.split(F.lit(",".join(f"{x:.6g}" for x in self.weights)), ",").cast("array<double>")
-        total = F.aggregate("grams", F.lit(0.0), lambda acc, g: acc + F.get(weights, F.get(at, F.shiftright(g, 5)) + g.bitwiseAND(SIZE - 1)))
+        slots = F.split(F.lit(",".join(map(str, self.slots))), ",").cast("array<int>")
+        weights = F.split(F.lit(",".join(f"{x:.5g}" for x in self.weights)), ",").cast("array<double>")
+        # the row of abc is SIZE ** 2 + slot - 1, else that of bc
+        row = lambda slot, g: F.when(slot > 0, slot + (SIZE**2 - 1)).otherwise(F.shiftright(g, 5).bitwiseAND(SIZE**2 - 1))
+        total = F.aggregate("grams", F.lit(0.0), lambda acc, g: acc + F.get(weights, row(F.get(slots, F.shiftright(g, 5)), g) * SIZE + g.bitwiseAND(SIZE - 1)))
         return df.withColumn(into, F.when(F.size("grams") > 0, total / F.size("grams")))
 
 

@@ -111,7 +111,7 @@ def test_url_scores_match_brute_force(spark):
     got = {r.page_id: r for r in url_filter.judge(df, []).collect()}
     assert set(next(iter(got.values())).asDict()) == {"page_id", "url", "host", "path", "rule", "score", "probability", "threshold", "verdict"}
     want = {i: score(r.g) for i, r in rows.items() if r.g and len(r.g) < 200}
-    assert all(abs(got[i].score - x) < 1e-4 for i, x in want.items()) and got[240].score == got[5].score and got[243].score is None and got[244].verdict == "allow"
+    assert all(abs(got[i].score - x) < 1e-3 for i, x in want.items()) and got[240].score == got[5].score and got[243].score is None and got[244].verdict == "allow"
     assert got[242].score > 0
     bins = Counter((max(-8, min(8, round(round(got[i].score / 0.05) * 0.05, 6))), good[i]) for i, r in rows.items() if r.g and r.aside)
     n1, n0 = (sum(n for (_, k), n in bins.items() if k == which) for which in (True, False))
@@ -121,7 +121,7 @@ def test_url_scores_match_brute_force(spark):
     slope = (x - y) / (got[0].score - got[1].score)
     offset = x - slope * got[0].score
     best = loss(slope, offset)
-    assert all(loss(slope + a, offset + b) >= best - 1e-6 for a, b in product((-0.05, 0, 0.05), repeat=2))
+    assert all(loss(slope + a, offset + b) >= best - 1e-5 for a, b in product((-0.05, 0, 0.05), repeat=2))
     assert abs(got[1].threshold + offset / slope) < 1e-6
     assert all((got[k].verdict == "block") == (got[k].score is not None and got[k].score < got[k].threshold) for k in got)
     assert np.mean([(got[k].verdict == "allow") == good[k] for k in range(240)]) > 0.98
