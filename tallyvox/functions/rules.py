@@ -15,10 +15,16 @@ ACTIONS = {
     WEAK: "Apply Hard Thresholding (Set Conflicting Pixels to Ignore Class)",
 }
 ORGANS = {1: "stomach", 2: "duodenum", 3: "small_bowel", 4: "colon"}
-# Fixed label remaps, source to target; others become 0. FULL_BODY and EXPERT give 57 different meanings.
+# Fixed label remaps, source to target; others become 0. FULL_BODY and EXPERT give 57 different meanings. EXPERT is by model;
+# a class with two targets is split at half the depth.
 FULL_BODY = {18: 1, 50: 1, 55: 1, 19: 2, 51: 2, 56: 2, 20: 3, 52: 3, 57: 3, 5: 4, 6: 4, 53: 4, 58: 4}
 SIX_TO_FOUR = {2: 1, 3: 2, 4: 3, 5: 3, 6: 4}
-EXPERT = {"ensemble": {1: (2, 2), 2: (3, 3), 3: (4, 5), 4: (6, 6)}, "full_body": {18: (2, 2), 19: (3, 3), 20: (4, 5), 57: (6, 6)}}
+EXPERT = {
+    "MedNeXt": {1: (2, 2), 2: (3, 3), 3: (4, 5), 4: (6, 6)},
+    "Swin-UNETR": {1: (2, 2), 2: (3, 3), 3: (4, 5), 4: (6, 6)},
+    "EnsembleConsensus": {1: (2, 2), 2: (3, 3), 3: (4, 5), 4: (6, 6)},
+    "TotalSegmentator": {18: (2, 2), 19: (3, 3), 20: (4, 5), 57: (6, 6)},
+}
 IGNORE = 255
 
 

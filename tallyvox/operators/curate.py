@@ -60,6 +60,11 @@ def fold_of(rn: Column, n: Column, k: int) -> Column:
     return F.when(rn <= cut, F.floor((rn - 1) / (size + 1))).otherwise(extra + F.floor((rn - 1 - cut) / F.greatest(size, F.lit(1)))).cast("int")
 
 
+def shuffled(key: Column, seed: int) -> Column:
+    """A text to order by: the same shuffle for the same seed wherever and however often it is asked for."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+
+
 def modulo_shard(rn: Column, shards: int) -> Column:
     return F.pmod(rn - 1, F.lit(shards))
 
@@ -99,8 +104,10 @@ def queue_state(category: Column) -> Column:
 
 
 def first_rows(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """Keep-first deduplication with an explicit order."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_rn = 1").drop("_rn")
+    """Keep-first deduplication with an explicit order: an aggregate, so rows are combined before the shuffle and a key with very many needs no sort."""
+    rest = [c for c in df.columns if c not in by]
+    first = df.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
+    return first.select(*[F.col(c) if c in by else F.col("_first")[c].alias(c) for c in df.columns])
 
 
 def unfinished(subjects: DataFrame, done: DataFrame, key: str = "subject_id") -> DataFrame:
@@ -120,3 +127,10 @@ def integrity(rows: DataFrame, files: DataFrame, every: int = 10) -> DataFrame:
         F.when(deep & ~F.size("label_shape").isin(3, 4), "label is not 3-D or 4-D"),
     ))
     return both.withColumn("errors", errors)
+
+
+def missing_deliverables(subjects: DataFrame, made: DataFrame, key: str, kinds: list[str]) -> DataFrame:
+    """(key, missing): subjects that lack files of some kind, with these kinds in order. made: (key, kind). The kinds are a parameter."""
+    have = made.where(F.col("kind").isin(*kinds)).groupBy(key).agg(F.collect_set("kind").alias("have"))
+    missing = F.array_except(F.array(*[F.lit(k) for k in sorted(kinds)]), F.coalesce("have", F.array().cast("array<string>")))
+    return subjects.join(have, key, "left").select(key, missing.alias("missing")).where(F.size("missing") > 0).select(key, F.array_join("missing", ",").alias("missing"))

@@ -98,3 +98,25 @@ def tiled(scans: DataFrame, size: int = 96, overlap: float = 0.25, shape: str =
 def depth_split(voxels: DataFrame, depth: int, source: int, below: int, above: int) -> DataFrame:
     """The class `source` becomes `below` in the lower half of the depth, `above` in the upper."""
     return voxels.withColumn("label", F.when(F.col("label") == source, F.when(F.col("z") < depth // 2, below).otherwise(above)).otherwise(F.col("label")))
+
+
+def foreground_cropped(voxels: DataFrame, by: list[str]) -> DataFrame:
+    """voxels moved so that their group's bounding box begins at 0, with its shape in sx, sy, sz."""
+    edge = voxels.groupBy(*by).agg(*[F.min(c).alias(f"_{c}") for c in XYZ], *[(F.max(c) - F.min(c) + 1).alias(f"s{c}") for c in XYZ])
+    return voxels.join(edge, by).select(*[c for c in voxels.columns if c not in XYZ], *[(F.col(c) - F.col(f"_{c}")).alias(c) for c in XYZ], *[f"s{c}" for c in XYZ])
+
+
+def padded(voxels: DataFrame, roi: tuple[int, int, int]) -> DataFrame:
+    """voxels (with sx, sy, sz) of grids padded to at least `roi`, half of it before (rounded down): background isn't stored, so only places and shapes change."""
+    short = {c: F.greatest(F.lit(0), F.lit(n) - F.col(f"s{c}")) for c, n in zip(XYZ, roi, strict=True)}
+    moved = {c: (F.col(c) + F.floor(short[c] / 2)).cast("int") for c in XYZ} | {f"s{c}": (F.col(f"s{c}") + short[c]).cast("int") for c in XYZ}
+    return voxels.withColumns(moved)
+
+
+def reoriented(voxels: DataFrame, affine: list[list[float]], shape: tuple[int, int, int]) -> DataFrame:
+    """voxels with axes in the order and direction of the world's: each grid axis goes to the world axis it runs along most, and is turned where it runs against it."""
+    axis = [max(range(3), key=lambda r: abs(affine[r][c])) for c in range(3)]  # of each grid axis
+    if sorted(axis) != [0, 1, 2]:
+        raise ValueError("two axes of the grid run along one of the world")
+    turned = [(F.col(c) if affine[axis[i]][i] > 0 else shape[i] - 1 - F.col(c)) for i, c in enumerate(XYZ)]
+    return voxels.withColumns({XYZ[axis[i]]: turned[i] for i in range(3)})

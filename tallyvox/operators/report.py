@@ -49,3 +49,8 @@ def improved(df: DataFrame, by: list[str], score: str, order: str, start: float)
 def wide(df: DataFrame, by: list[str], name: Column, value: str, names: list[str]) -> DataFrame:
     """One column for each of the listed names."""
     return df.withColumn("_name", name).groupBy(*by).pivot("_name", names).agg(F.first(value))
+
+
+def lines(counts: DataFrame, column: str) -> DataFrame:
+    """value_counts() as lines of text: name, count, percentage."""
+    return counts.select(F.format_string("%-24s %6d (%6.2f%%)", F.col(column), "n", "percent").alias("line"))

@@ -120,13 +120,25 @@ def s10_p25_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("subject_id", "ct_path", "mask_path", F.when(F.col("organs").isNotNull(), F.size("organs")).alias("organs"))
 
 
-# Fixed map of derived scans to the expert mask they use.
-PROPAGATION = {"00242113": "00242113", "00242114": "00242114", "00242115": "00242113", "00242116": "00242113", "00242131": "00242131", "00242132": "00242131", "00242133": "00242131", "00242134": "00242134", "00242135": "00242136", "00242136": "00242136", "00394224": "00394224"}
-PROP_SQL = ", ".join(f"('BDMAP_{k}', 'BDMAP_{v}.seg.nrrd')" for k, v in PROPAGATION.items())
+# Derived scans and the expert mask they use.
+PROPAGATION = {
+    "BDMAP_00242113": "BDMAP_00242113.seg.nrrd",
+    "BDMAP_00242114": "BDMAP_00242114.seg.nrrd",
+    "BDMAP_00242115": "BDMAP_00242113.seg.nrrd",
+    "BDMAP_00242116": "BDMAP_00242113.seg.nrrd",
+    "BDMAP_00242131": "BDMAP_00242131.seg.nrrd",
+    "BDMAP_00242132": "BDMAP_00242131.seg.nrrd",
+    "BDMAP_00242133": "BDMAP_00242131.seg.nrrd",
+    "BDMAP_00242134": "BDMAP_00242134.seg.nrrd",
+    "BDMAP_00242135": "BDMAP_00242136.seg.nrrd",
+    "BDMAP_00242136": "BDMAP_00242136.seg.nrrd",
+    "BDMAP_00394224": "BDMAP_00394224.seg.nrrd",
+}
+PROP_SQL = ", ".join(f"('{k}', '{v}')" for k, v in PROPAGATION.items())
 
 
 def propagation(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f"BDMAP_{k}", f"BDMAP_{v}.seg.nrrd") for k, v in PROPAGATION.items()], "subject_id string, source_file string")
+    return spark.createDataFrame(list(PROPAGATION.items()), "subject_id string, source_file string")
 
 
 @query(f"""WITH p AS (SELECT * FROM (VALUES {PROP_SQL}) t(subject_id, source_file)), m AS (SELECT DISTINCT event_type AS model FROM events)
@@ -212,6 +224,18 @@ def r01_r05_shards_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", curate.fold_of(rn, n, 4).alias("fold"), curate.modulo_shard(rn, 7).alias("modulo"), curate.ceil_chunk(rn, n, 6).alias("ceil_chunk"), curate.floor_chunk(rn, n, 6).alias("floor_chunk"), (rn <= F.floor(0.8 * n)).alias("train"))
 
 
+SHUFFLE_SQL = "r AS (SELECT c_custkey, row_number() OVER (ORDER BY md5('42:' || c_custkey), c_custkey) AS rn, count(*) OVER () AS n FROM customer)"
+
+
+@query(f"""WITH {SHUFFLE_SQL} SELECT c_custkey, CAST(CASE WHEN rn <= (n % 4) * (n // 4 + 1) THEN (rn - 1) // (n // 4 + 1) ELSE n % 4 + (rn - 1 - (n % 4) * (n // 4 + 1)) // (n // 4) END AS INTEGER) AS fold,
+  rn <= CAST(floor(8e-1 * n) AS BIGINT) AS train, rn <= greatest(1, CAST(floor(2e-1 * n) AS BIGINT)) AS validation FROM r""")
+def r04_r05_shuffled_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    n, rn = F.col("n"), F.col("rn")
+    rows = curate.ranked(c, [curate.shuffled(F.col("c_custkey"), 42), F.col("c_custkey")]).crossJoin(F.broadcast(c.agg(F.count("*").alias("n"))))  # one row
+    return rows.select("c_custkey", curate.fold_of(rn, n, 4).alias("fold"), (rn <= F.floor(0.8 * n)).alias("train"), (rn <= F.greatest(F.lit(1), F.floor(0.2 * n))).alias("validation"))
+
+
 @query()
 def t04_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.sample(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 50)
@@ -461,3 +485,53 @@ def r08_r11_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 def w07_share_of_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = views.raters_wide(spark, sf_dir).groupBy("subject", "l1").agg(F.count("*").alias("n"))
     return n.select("subject", "l1", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("subject")), 4).alias("share"))
+
+
+@query(f"""WITH RECURSIVE {AUDIT_SQL}, n AS (SELECT triage_category AS c, count(*) AS n FROM triaged GROUP BY ALL)
+SELECT printf('%-24s %6d (%6.2f%%)', c, n, 100e0 * n / (SELECT sum(n) FROM n)) AS line FROM n""")
+def k10_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.lines(report.value_counts(audit(spark, sf_dir), "triage_category", 6), "triage_category")
+
+
+@query(f"WITH {WIDE_SQL} SELECT subject, element, l1 AS gt, CASE WHEN element % 3 = 0 THEN 0 ELSE l2 END AS pred FROM raters")
+def j03_co_located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    votes = views.raters(spark, sf_dir).where("rater <> 2 or element % 3 <> 0")  # the second rater leaves elements out
+    return agreement.co_located(votes, 1, 2, ["subject", "element"])
+
+
+@query(f"""WITH RECURSIVE {NAMED_SQL} SELECT subject_id, triage_category, CASE WHEN status = 'SUCCESS' THEN 'first' END AS kind FROM named WHERE status = 'SUCCESS' UNION ALL SELECT subject_id, triage_category, 'second' FROM named""")
+def p26_column_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = written(named_audit(spark, sf_dir))
+    first, second = curate.succeeded(a).withColumn("kind", F.lit("first")), curate.succeeded(a.drop("status")).withColumn("kind", F.lit("second"))
+    return first.unionByName(second, allowMissingColumns=True).select("subject_id", "triage_category", "kind")
+
+
+@query("""WITH s AS (SELECT DISTINCT user_id FROM events), k AS (SELECT unnest(['consensus', 'uncertainty']) AS kind),
+f AS (SELECT DISTINCT user_id, CASE WHEN event_type IN ('click', 'view') THEN 'consensus' ELSE 'uncertainty' END AS kind FROM events WHERE event_type IN ('click', 'purchase') AND value > 12e1)
+SELECT s.user_id, string_agg(k.kind, ',' ORDER BY k.kind) AS missing FROM s CROSS JOIN k LEFT JOIN f ON f.user_id = s.user_id AND f.kind = k.kind WHERE f.user_id IS NULL GROUP BY s.user_id""")
+def r11_deliverables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    made = e.where("event_type in ('click', 'purchase') and value > 120").select("user_id", F.when(F.col("event_type") == "click", "consensus").otherwise("uncertainty").alias("kind"))
+    return curate.missing_deliverables(e.select("user_id").distinct(), made, "user_id", ["consensus", "uncertainty"])
+
+
+@query("""WITH first AS (SELECT p_partkey AS id, p_size AS v, (row_number() OVER (ORDER BY p_partkey) - 1) // 50 AS batch FROM part WHERE p_partkey % 4 > 0)
+SELECT id, CASE WHEN id % 5 = 0 THEN v + 100 ELSE v END AS v, batch FROM first
+UNION ALL SELECT p_partkey, p_size + 100, (SELECT max(batch) + 1 FROM first) + (row_number() OVER (ORDER BY p_partkey) - 1) // 50 FROM part WHERE p_partkey % 20 = 0""")
+def k02_checkpoint_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.shared import folder
+
+    at, p = folder(spark), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("v"))
+    tables.checkpoint(p.where("id % 4 > 0"), at, "id", every=50)
+    tables.upsert(spark, at, p.where("id % 5 = 0").withColumn("v", F.col("v") + 100), "id", every=50)
+    return spark.read.parquet(at).select("id", "v", F.col("batch").cast("long").alias("batch"))
+
+
+@query("""WITH s AS (SELECT user_id, CAST(floor(epoch(max(ts))) AS BIGINT) - CAST(floor(epoch(min(ts))) AS BIGINT) AS s FROM events GROUP BY user_id)
+SELECT user_id, round(s / 6e1, 1) AS minutes, printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) AS clock FROM s""")
+def r07_elapsed_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import monitor
+
+    minutes, clock = monitor.elapsed(F.col("a"), F.col("b"))
+    spans = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return spans.select("user_id", minutes.alias("minutes"), clock.alias("clock"))

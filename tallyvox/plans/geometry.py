@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..operators import grid, loss, surface, topology
 from ..sources import volumes
+from ..sources.shared import folder
 from . import views
 from .registry import query, table
 from .views import BOXES_SQL, GRID, PROBS_SQL, SPACING
@@ -168,7 +169,7 @@ SELECT event_id, CASE WHEN label BETWEEN 0 AND 4 THEN label ELSE 0 END AS clampe
 def p07_p10_p13_remaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "events").select("event_id", F.abs(F.col("event_id") * 37 % 120).cast("int").alias("label"), (F.col("event_id") % 14).alias("z"))
     label = F.col("label")
-    return v.select("event_id", rules.clamp_label(label).alias("clamped"), rules.remap(label, rules.FULL_BODY).alias("full_body"), rules.remap(label, rules.SIX_TO_FOUR).alias("six_to_four"), rules.remap_split(label, F.col("z"), F.lit(GRID), "full_body").alias("expert"))
+    return v.select("event_id", rules.clamp_label(label).alias("clamped"), rules.remap(label, rules.FULL_BODY).alias("full_body"), rules.remap(label, rules.SIX_TO_FOUR).alias("six_to_four"), rules.remap_split(label, F.col("z"), F.lit(GRID), "TotalSegmentator").alias("expert"))
 
 
 @query("""WITH v AS (SELECT user_id AS subject, abs(event_id * 37 % (5 + user_id % 3 * 20)) AS label FROM events)
@@ -188,10 +189,30 @@ def p21_p22_intensity_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(edges, "l_suppkey").select("l_orderkey", "l_linenumber", F.round(rules.window_intensity(F.col("l_quantity") * 10 - 200), 4).alias("fixed"), F.round(scaled, 4).alias("by_percentile"))
 
 
-@query(f"WITH {BOXES_SQL} SELECT subject || '_consensus.nii.gz' AS path, 'SUCCESS' AS status, x, y, z, z % 4 + 1 AS label FROM boxes WHERE rater = 'a'")
+FILE_SQL = "SELECT subject || '{0}' AS path, 'SUCCESS' AS status, x, y, z, z % 4 + 1 AS label FROM boxes WHERE rater = 'a'"
+
+
+def exported(spark: SparkSession, files: DataFrame) -> str:
+    """The folder that the files were written to."""
+    at = folder(spark)
+    volumes.exported(files, at).agg(F.sum("size")).collect()
+    return at
+
+
+def named(volume_rows: DataFrame) -> DataFrame:
+    return volume_rows.withColumn("path", F.regexp_extract("path", "[^/]+$", 0))
+
+
+@query(f"WITH {BOXES_SQL} {FILE_SQL.format('_consensus.nii.gz')}")
 def s01_k04_g11_nifti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = volumes.encoded(labelled(spark, sf_dir, "a"), "subject", SHAPE, SPACING)
-    return volumes.voxels(volumes.decoded(files)).select("path", F.lit("SUCCESS").alias("status"), "x", "y", "z", "label")
+    at = exported(spark, volumes.encoded(labelled(spark, sf_dir, "a"), "subject", SHAPE, SPACING, channels=2))
+    return named(volumes.voxels(volumes.read_volumes(spark, at))).select("path", F.lit("SUCCESS").alias("status"), "x", "y", "z", "label")
+
+
+@query(f"WITH {BOXES_SQL} {FILE_SQL.format('.seg.nrrd')}")
+def s02_nrrd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = exported(spark, volumes.encoded(labelled(spark, sf_dir, "a"), "subject", SHAPE, SPACING, ".seg.nrrd"))
+    return named(volumes.voxels(volumes.read_volumes(spark, at, "*.nrrd"))).select("path", F.lit("SUCCESS").alias("status"), "x", "y", "z", "label")
 
 
 @query("""SELECT p_partkey || '_probs.npz' AS path, x.i AS x, y.i AS y, 0 AS z, CAST((p_partkey + x.i + 2 * y.i) % 5 AS INTEGER) AS label, 5e-1 AS top FROM part, (SELECT range AS i FROM range(3)) x, (SELECT range AS i FROM range(2)) y""")
@@ -199,10 +220,32 @@ def s03_k07_npz(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("subject"))
     label = (F.col("subject") + F.col("x") + 2 * F.col("y")) % 5
     rows = grid.target_grid(groups, (3, 2, 1)).withColumn("p", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda c: F.when(c == label, 0.5).otherwise(0.125).cast("float")))
-    back = volumes.decoded_probabilities(volumes.encoded_probabilities(rows, "subject", (3, 2, 1)))
+    at = exported(spark, volumes.encoded_probabilities(rows, "subject", (3, 2, 1)))
+    back = named(volumes.read_probabilities(spark, at))
     return back.select("path", "x", "y", "z", rules.top_class(F.col("p")).alias("label"), F.array_max("p").cast("double").alias("top"))
 
 
+@query(f"""WITH {BOXES_SQL}, e AS (SELECT subject, min(x) AS x0, max(x) - min(x) + 1 AS sx, min(y) AS y0, max(y) - min(y) + 1 AS sy, min(z) AS z0, max(z) - min(z) + 1 AS sz FROM boxes WHERE rater = 'b' GROUP BY subject)
+SELECT subject, x - x0 + greatest(0, 9 - sx) // 2 AS x, y - y0 + greatest(0, 12 - sy) // 2 AS y, z - z0 + greatest(0, 4 - sz) // 2 AS z, greatest(sx, 9) AS sx, greatest(sy, 12) AS sy, greatest(sz, 4) AS sz FROM boxes JOIN e USING (subject) WHERE rater = 'b'""")
+def g06_foreground_crop_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = views.boxes(spark, sf_dir).where("rater = 'b'").select("subject", "x", "y", "z")
+    return grid.padded(grid.foreground_cropped(v, ["subject"]), (9, 12, 4))
+
+
+@query(f"WITH {BOXES_SQL} SELECT subject, rater, 13 - y AS x, z AS y, 13 - x AS z FROM boxes")
+def g07_reoriented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.reoriented(views.boxes(spark, sf_dir), [[0, -1.5, 0], [0, 0.1, 2.0], [-1.5, 0, 0]], SHAPE)
+
+
+@query(f"""WITH {BOXES_SQL}, v AS (SELECT subject, x, y, z, z % 4 + 1 AS label FROM boxes WHERE rater = 'a')
+SELECT subject, x, y, z, CASE label WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN CASE WHEN z < 7 THEN 4 ELSE 5 END WHEN 4 THEN 6 END AS expert, CASE WHEN label = 3 AND z >= 7 THEN 4 WHEN label = 4 THEN 5 ELSE label END AS split FROM v""")
+def p11_p13_expert_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = labelled(spark, sf_dir, "a")
+    expert = rules.remap_split(F.col("label"), F.col("z"), F.lit(GRID), "EnsembleConsensus")
+    moved = v.withColumn("expert", expert).withColumn("label", F.when(F.col("label") == 4, 5).otherwise(F.col("label")))  # 4 becomes 5, to make room for the upper part
+    return grid.depth_split(moved, GRID, 3, 3, 4).withColumnRenamed("label", "split").select("subject", "x", "y", "z", "expert", "split")
+
+
 @query("""WITH v AS (SELECT event_id, (event_id * 7 % 100) / 1e2 AS d, (event_id * 13 % 100) / 1e2 AS i, event_id % 8 AS b, (event_id * 3 % 20) / 1e2 AS h FROM events)
 SELECT event_id, CASE WHEN b > 5 OR d < 5e-1 OR h > 15e-2 THEN 'NOISE_REJECT' WHEN d >= 82e-2 AND i >= 85e-2 AND b <= 2 THEN 'CLEAN_HIGH_CONFIDENCE' ELSE 'WEAK_COARSE' END AS category,
   CASE WHEN 2 * b + 3 > 0 THEN 2e0 * b / (2 * b + 3) ELSE 1e0 END AS dice, round(4e-1 * d + 6e-1 * greatest(0e0, 1 - b * 10 / 5e1), 6) AS composite FROM v""")

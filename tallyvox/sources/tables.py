@@ -59,3 +59,23 @@ def split_manifest(splits: DataFrame, thresholds: dict[str, float]) -> DataFrame
     entry = F.struct(F.col("n").alias("count"), F.split("subject_ids", ",").alias("subject_ids"))
     listed = splits.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", entry.alias("v"))))).alias("splits"))  # one entry a category
     return listed.select(F.to_json(F.struct(F.create_map(*[x for k, v in thresholds.items() for x in (F.lit(k), F.lit(float(v)))]).alias("thresholds"), "splits")).alias("value"))
+
+
+def checkpoint(rows: DataFrame, path: str, key: str, every: int = 50, start: int = 0) -> None:
+    """Write rows in batches of so many by their key, numbered from `start`; a batch is a partition, so a repeated run replaces it."""
+    from ..operators.curate import ranked
+
+    append_partition(ranked(rows, [F.col(key)]).withColumn("batch", (F.lit(start) + F.floor((F.col("rn") - 1) / every)).cast("int")).drop("rn"), path, "batch")
+
+
+def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str, every: int = 50) -> None:
+    """Resume: rows whose key is there replace it in its batch, which is written anew; others go to new batches. rows has one row a key."""
+    from .shared import written
+
+    old = spark.read.parquet(path)
+    last = old.agg(F.max("batch")).first()[0]
+    placed = written(rows.join(old.select(key, "batch"), key, "left"))
+    touched = placed.where("batch is not null").select("batch").distinct()
+    kept = old.join(F.broadcast(touched), "batch", "left_semi").join(rows.select(key), key, "left_anti")
+    append_partition(written(kept.unionByName(placed.where("batch is not null"))), path, "batch")
+    checkpoint(placed.where("batch is null").drop("batch"), path, key, every, 0 if last is None else last + 1)

@@ -58,6 +58,14 @@ def encode_nifti(data: np.ndarray, affine: np.ndarray) -> bytes:
     return gzip.compress(bytes(head) + data.astype(data.dtype.newbyteorder("<")).tobytes(order="F"), mtime=0)
 
 
+def encode_nrrd(data: np.ndarray, spacing: tuple[float, float, float]) -> bytes:
+    """A gzip NRRD file."""
+    kind = {v: k for k, v in NRRD_TYPES.items()}[data.dtype.str[1:]]
+    directions = " ".join(f"({','.join(str(float(s)) if i == j else '0' for j in range(3))})" for i, s in enumerate(spacing))
+    head = f"NRRD0004\ntype: {kind}\ndimension: 3\nspace: left-posterior-superior\nsizes: {' '.join(map(str, data.shape))}\nspace directions: {directions}\nendian: little\nencoding: gzip\n\n"
+    return head.encode() + gzip.compress(data.astype(data.dtype.newbyteorder("<")).tobytes(order="F"), mtime=0)
+
+
 def decode_nrrd(raw: bytes) -> tuple[np.ndarray, list[float], np.ndarray]:
     head, _, payload = raw.partition(b"\n\n")
     fields = dict(line.split(":", 1) for line in head.decode("latin-1").splitlines()[1:] if ":" in line and not line.startswith("#"))
@@ -105,18 +113,37 @@ def read_volumes(spark: SparkSession, path: str, pattern: str = "*.nii.gz") -> D
     return decoded(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path))
 
 
-def encoded(voxels: DataFrame, by: str, shape: tuple[int, int, int], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), suffix: str = "_consensus.nii.gz") -> DataFrame:
-    """(path, content): a NIfTI file of each group's labelled voxels, to be stored as a table or handed to an exporter. A group is one scan."""
+def encoded(voxels: DataFrame, by: str, shape: tuple[int, int, int], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), suffix: str = "_consensus.nii.gz", channels: int = 0) -> DataFrame:
+    """(path, content): a file of each group's labelled voxels, NRRD or NIfTI by its suffix; NIfTI with `channels` is 4-D, the labels in its first channel. A group is one scan."""
     affine = np.diag([*spacing, 1.0])
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         data = np.zeros(shape, np.uint8)
         data[tuple(rows[c].to_numpy() for c in "xyz")] = rows["label"].to_numpy()
-        return pd.DataFrame({"path": [f"{key[0]}{suffix}"], "content": [encode_nifti(data, affine)]})
+        if channels:
+            data = np.stack([data, *[np.full(shape, 9, np.uint8)] * (channels - 1)], axis=3)
+        return pd.DataFrame({"path": [f"{key[0]}{suffix}"], "content": [encode_nrrd(data, spacing) if suffix.endswith(".nrrd") else encode_nifti(data, affine)]})
 
     return voxels.groupBy(by).applyInPandas(run, "path string, content binary")
 
 
+def exported(files: DataFrame, folder: str) -> DataFrame:
+    """Write files(path, content) below a folder, each in its task; (path, size) of what was written. A repeated attempt writes the same file again. folder: a path or URI of a store that pyarrow opens and all tasks share."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(base, recursive=True)
+        for rows in batches:
+            for name, raw in zip(rows["path"], rows["content"], strict=True):
+                with store.open_output_stream(f"{base}/{name}", compression=None) as out:  # files are compressed already
+                    out.write(raw)
+            yield pd.DataFrame({"path": rows["path"], "size": [len(x) for x in rows["content"]]})
+
+    return files.select("path", "content").mapInPandas(run, "path string, size long")
+
+
 def voxels(volumes: DataFrame) -> DataFrame:
     """(path, x, y, z, label): foreground voxels in rows."""
     return volumes.where("status = 'SUCCESS'").select("path", F.explode(F.arrays_zip("x", "y", "z", "label")).alias("v")).select("path", "v.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -31,3 +31,10 @@ def progress(done: DataFrame, target: int, *, merged: bool = False) -> DataFrame
     """(n, percent, finished): counts against a target, capped at 100; finished when merged, or when all are there."""
     n = done.agg(F.count("*").alias("n"))
     return n.select("n", F.least(F.round(100 * F.col("n") / target, 1), F.lit(100.0)).alias("percent"), (F.lit(merged) | (F.col("n") >= target)).alias("finished"))
+
+
+def elapsed(begin: Column, end: Column) -> tuple[Column, Column]:
+    """(minutes to one digit, HH:MM:SS) between two timestamps, in whole seconds."""
+    s = F.unix_timestamp(end) - F.unix_timestamp(begin)
+    clock = F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
+    return F.round(s / 60, 1), clock

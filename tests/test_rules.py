@@ -67,6 +67,6 @@ def test_undefined_ratios(spark):
 
 
 def test_remaps_and_windows(spark):
-    got = values(spark, [(57, 1), (57, 9), (20, 1), (20, 9), (6, 0), (300, 0)], "l int, z int", rules.remap(F.col("l"), rules.FULL_BODY), rules.remap_split(F.col("l"), F.col("z"), F.lit(14), "full_body"), rules.clamp_label(F.col("l")))
+    got = values(spark, [(57, 1), (57, 9), (20, 1), (20, 9), (6, 0), (300, 0)], "l int, z int", rules.remap(F.col("l"), rules.FULL_BODY), rules.remap_split(F.col("l"), F.col("z"), F.lit(14), "TotalSegmentator"), rules.clamp_label(F.col("l")))
     assert got == [(3, 6, 0), (3, 6, 0), (3, 4, 0), (3, 5, 0), (4, 0, 0), (0, 0, 0)]
     assert [r[0] for r in values(spark, [(-500.0,), (37.5,), (999.0,)], "h double", rules.window_intensity(F.col("h")))] == [0.0, 0.5, 1.0]
