@@ -278,17 +278,19 @@ def w03_u02_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.first_rows(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id"], [F.col("turn"), F.col("role")])
 
 
-@query("""WITH e AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS epoch, l_extendedprice AS val FROM lineitem)
+@query("""WITH e AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS epoch, max(l_extendedprice) AS val FROM lineitem GROUP BY ALL)
 SELECT l_suppkey, epoch, val FROM e QUALIFY val > coalesce(max(val) OVER (PARTITION BY l_suppkey ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1e0)""")
 def w05_k08_best_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.improved(epochs(spark, sf_dir), ["l_suppkey"], "val", "epoch", -1.0)
 
 
 def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("epoch"), F.col("l_extendedprice").alias("val"))
+    """(l_suppkey, epoch, val): the best price of each line number of an order, which can occur twice."""
+    e = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("epoch"), F.col("l_extendedprice").alias("val"))
+    return e.groupBy("l_suppkey", "epoch").agg(F.max("val").alias("val"))
 
 
-@query("""WITH e AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS epoch, l_extendedprice AS val FROM lineitem)
+@query("""WITH e AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS epoch, max(l_extendedprice) AS val FROM lineitem GROUP BY ALL)
 SELECT l_suppkey, epoch, val FROM e QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY val DESC, epoch) = 1""")
 def w06_best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.best_rows(epochs(spark, sf_dir), ["l_suppkey"], "val", "epoch")
