@@ -1,7 +1,7 @@
 """Connected components of a scan's foreground.
 
-A group is the mask of one organ in one scan, so its size is bounded by the scan's (24 bytes a voxel here). Groups are what is
-dealt out; a table has very many.
+A group is the masks of one scan, so its size is bounded by the scan's voxels and its raters (24 bytes a voxel here). Groups are
+what is dealt out; a table has very many.
 """
 
 from __future__ import annotations
@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 _STEPS = {6: [(1, 0, 0), (0, 1, 0), (0, 0, 1)], 26: [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)]}
 
 
-def n_components(xyz: np.ndarray, connectivity: int = 6) -> int:
-    """Least labels spread over neighbour links, with pointer jumping, until nothing changes."""
+def components(xyz: np.ndarray, mask: np.ndarray, connectivity: int = 6) -> np.ndarray:
+    """The number of components of each mask (numbered from 0). Least labels spread over neighbour links, with pointer jumping, until nothing changes; the masks' grids lie apart."""
     if not len(xyz):
-        return 0
+        return np.zeros(0, np.int64)
     p = xyz.astype(np.int64) - xyz.min(axis=0) + 1
     side = p.max(axis=0) + 2
-    code = np.unique((p[:, 0] * side[1] + p[:, 1]) * side[2] + p[:, 2])
+    code = np.unique(((mask.astype(np.int64) * side[0] + p[:, 0]) * side[1] + p[:, 1]) * side[2] + p[:, 2])
     links = []
     for dx, dy, dz in _STEPS[connectivity]:
         other = code + (dx * side[1] + dy) * side[2] + dz
@@ -36,24 +36,32 @@ def n_components(xyz: np.ndarray, connectivity: int = 6) -> int:
         np.minimum.at(label, label[links[:, 1]], low)
         label = label[label]
         if (label == before).all():
-            return len(np.unique(label))
+            return np.bincount(code[np.unique(label)] // int(side.prod()), minlength=int(mask.max()) + 1)
+
+
+def n_components(xyz: np.ndarray, connectivity: int = 6) -> int:
+    """The number of components of one mask."""
+    return int(components(xyz, np.zeros(len(xyz), np.int64), connectivity).sum())
 
 
-def betti0(voxels: DataFrame, by: list[str], connectivity: int = 6) -> DataFrame:
-    """(by, betti): components of each group's voxels. A group is one scan's mask of one organ, bounded by the scan."""
+def betti0(voxels: DataFrame, by: list[str], connectivity: int = 6, scan: list[str] | None = None) -> DataFrame:
+    """(by, betti): components of each group's voxels. scan: those of the columns `by` that name a scan (all by default); a scan's masks are one group of tasks' rows, bounded by its voxels and raters."""
     kinds = ", ".join(f"{c} {t}" for c, t in voxels.select(*by).dtypes)
+    inner = [c for c in by if c not in (scan or by)]
 
-    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*key, n_components(rows[["x", "y", "z"]].to_numpy(), connectivity)]], columns=[*by, "betti"])
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows.drop_duplicates(by)[by].reset_index(drop=True)
+        mask = rows.groupby(inner, sort=False).ngroup().to_numpy() if inner else np.zeros(len(rows), np.int64)
+        return first.assign(betti=components(rows[["x", "y", "z"]].to_numpy(), mask, connectivity))
 
-    return voxels.groupBy(*by).applyInPandas(count, f"{kinds}, betti long")
+    return voxels.groupBy(*(scan or by)).applyInPandas(count, f"{kinds}, betti long")
 
 
 def betti_differences(elements: DataFrame, raters: int, organs: list[int], subject: str = "subject", connectivity: int = 6) -> DataFrame:
     """(subject, organ, consensus, raters, differences): components of each organ in the consensus and in each rater's mask, and their absolute differences. elements: labels (an array of the raters'), label (the consensus), x, y, z; an organ that a mask lacks has no component."""
     every = F.concat(F.array("label"), "labels")
     voxels = elements.select(subject, "x", "y", "z", F.posexplode(F.transform(every, lambda v: v.cast("int"))).alias("rater", "organ")).where(F.col("organ").isin(*organs))
-    found = betti0(voxels, [subject, "rater", "organ"], connectivity)
+    found = betti0(voxels, [subject, "rater", "organ"], connectivity, [subject])
     each = [F.coalesce(F.max(F.when(F.col("rater") == r, F.col("betti"))), F.lit(0)) for r in range(raters + 1)]
     rows = found.groupBy(subject, "organ").agg(each[0].alias("consensus"), F.array(*each[1:]).alias("raters"))
     return rows.withColumn("differences", F.transform("raters", lambda b: F.abs(b - F.col("consensus"))))
