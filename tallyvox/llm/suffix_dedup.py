@@ -42,6 +42,8 @@ SHORT = 200
 LIMIT = 2048
 #: Bytes of segments that are sorted at once.
 BATCH = 1 << 19
+#: A segment with more than one in so many of all copies is one of few: its places are told by a filter, not by a join on one hot key.
+HOT = 512
 #: A side of a join is broadcast up to so many bytes, counted before.
 BROADCAST = 32 << 20
 
@@ -266,6 +268,16 @@ def one_each(rows: DataFrame) -> DataFrame:
     return some.select("g", "seg", "m", "run", "anchor", "data", *[F.when(F.col("m") == 1, F.col(c)).alias(c) for c in ("doc", "same")], "lo")
 
 
+def copied(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Those of rows (g, seg, ...) whose segment has copies. numbers: (g, seg, m), a table."""
+    key, copies = F.concat_ws(":", "g", "seg"), numbers.where("m > 1").select("g", "seg", "m")
+    total = copies.agg(F.sum("m")).first()[0] or 0
+    hot = [f"{r['g']}:{r['seg']}" for r in copies.where(F.col("m") > total / HOT).select("g", "seg").collect()]  # fewer than HOT
+    rest = rows.where(~key.isin(*hot)) if hot else rows
+    found = rest.join(within(copies.where(F.col("m") <= total / HOT).select("g", "seg")), ["g", "seg"], "left_semi")
+    return found.unionByName(rows.where(key.isin(*hot))) if hot else found
+
+
 def resolved(segs: DataFrame, widths: tuple[int, ...] = (32, 4, 1), limit: int = LIMIT, length: int = LENGTH) -> DataFrame:
     """FOUND rows of the different segments (PLACED) that have no copy; spans are from lo, or size bytes from there."""
     crowd = segs.groupBy("g").agg(F.count_distinct("seg").alias("n")).where(F.col("n") > limit)
@@ -275,9 +287,8 @@ def resolved(segs: DataFrame, widths: tuple[int, ...] = (32, 4, 1), limit: int =
     rest = sorted_spans(segs.join(crowd, "g", "left_anti"), length)
     cut = written(pieces(segs.join(crowd, "g", "left_semi").dropDuplicates(["g", "seg"]), widths[0], length), "pieces")
     one = written(one_each(cut), "segments")
-    copied = cut.where("m = 1").join(within(one.where("m > 1").select("g", "seg")), ["g", "seg"], "left_semi")
-    copied = copied.select("doc", "same", "lo", (F.col("run") - 1 + length).alias("size"), F.lit(None).cast("binary").alias("spans"))
-    return rest.unionByName(copied).unionByName(resolved(one, widths[1:], limit, length))
+    whole = copied(cut.where("m = 1"), one).select("doc", "same", "lo", (F.col("run") - 1 + length).alias("size"), F.lit(None).cast("binary").alias("spans"))
+    return rest.unionByName(whole).unionByName(resolved(one, widths[1:], limit, length))
 
 
 def within(df: DataFrame, payload: str | None = None) -> DataFrame:
@@ -312,9 +323,9 @@ def repeated_spans(docs: DataFrame, limit: int = LIMIT, length: int = LENGTH) ->
             yield tx.batch(**{c: inner.field(c) for c in ("g", "seg", "m", "run", "anchor")}, data=data, **place, lo=inner.field("lo"))
 
     segs = written(docs.select(*KEY, "text").join(listed, KEY).select(*KEY, "text", "wanted").mapInArrow(cut, PLACED), "segments")
-    copied = shared.where("alike").unionByName(mixed.join(within(reps.where("m > 1").select("g", "seg")), ["g", "seg"], "left_semi"), allowMissingColumns=True)
-    copied = copied.select(*KEY, "lo", (F.col("run") - 1 + length).alias("size"), F.lit(None).cast("binary").alias("spans"))
-    both = resolved(segs, limit=limit, length=length).unionByName(copied)
+    whole = shared.where("alike").unionByName(copied(mixed, reps), allowMissingColumns=True)
+    whole = whole.select(*KEY, "lo", (F.col("run") - 1 + length).alias("size"), F.lit(None).cast("binary").alias("spans"))
+    both = resolved(segs, limit=limit, length=length).unionByName(whole)
     return both.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "size", "spans")).alias("spans"))  # spans of one document
 
 
