@@ -71,10 +71,11 @@ def item_words(items: DataFrame, item_id: str, text: str) -> DataFrame:
     return rows.dropDuplicates(["item"]).mapInArrow(run, "item long, item_id string, n long, pos long, word long")
 
 
-def filter_of(words: DataFrame) -> Members | None:
-    """The words, if they are few enough to be sent to every task."""
-    found = words.select("word").distinct().limit(FILTER_WORDS + 1).toArrow()["word"].to_numpy().view(np.uint64)
-    return Members(found) if len(found) <= FILTER_WORDS else None
+def filter_of(words: DataFrame, most: int | None = None) -> Members | None:
+    """The words, if they are few enough (FILTER_WORDS, or `most`) to be sent to every task."""
+    most = FILTER_WORDS if most is None else most
+    found = words.select("word").distinct().limit(most + 1).toArrow()["word"].to_numpy().view(np.uint64)
+    return Members(found) if len(found) <= most else None
 
 
 def frequencies(docs: DataFrame, members: Members | None) -> DataFrame:

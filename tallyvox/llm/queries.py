@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,6 +120,39 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def tail_repeated(doc_id: int | None, n: int):
+    """The words of every tenth document by its id's checksum: from some word on, a stretch of them again and again."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10:
+        return None
+    g, i = h // 10, np.arange(n)
+    a = g % n
+    return np.where(i < a, i, a + (i - a) % (1 + (n - a) // (3 + g % 8)))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import find
+
+    found = find(table(spark, sf_dir, "documents"), order=tail_repeated)
+    none = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    best = F.aggregate("runs", none, lambda a, x: F.when(a.isNull() | (x["length"] * a["period"] > a["length"] * x["period"]), x).otherwise(a))  # runs are by start and period, so the first of equals stays
+    lines = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n"))), "")
+    rows = found.select("doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_runs", "best.*", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256", "n_words")
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -170,7 +205,31 @@ named AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT CAST(
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items, sha256(coalesce(named.names, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN named ON named.doc_id = d.doc_id
 """
+OP12_SQL = f"""
+WITH split AS (SELECT doc_id, row_number() OVER () AS d, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
+lines AS (SELECT doc_id, d, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS line FROM split),
+keyed AS (SELECT *, {LOWER_SQL.replace("coalesce(text, '')", "regexp_replace(line, '^[ \x09-\x0D]+|[ \x09-\x0D]+$', '', 'g')")} AS k FROM lines),
+hot AS (SELECT k FROM (SELECT DISTINCT d, k FROM keyed WHERE k <> '') GROUP BY k HAVING count(*) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(hot.k) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (hot.k IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN hot ON hot.k = keyed.k GROUP BY doc_id, d
+"""
+OP13_SQL = f"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS d, regexp_extract_all({LOWER_SQL}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+grp AS (SELECT DISTINCT lang, source FROM d),
+occ AS (SELECT lang, source, d, unnest(w) AS term FROM d),
+voc AS (SELECT lang, term, count(*) AS c FROM occ GROUP BY lang, term HAVING count(DISTINCT d) >= 3),
+cnt AS (SELECT o.lang, o.source, o.term, count(*) AS c FROM occ o JOIN voc v ON v.lang = o.lang AND v.term = o.term GROUP BY ALL),
+lang_n AS (SELECT lang, count(*) AS v, sum(c) AS n FROM voc GROUP BY lang),
+grp_n AS (SELECT lang, source, sum(c) AS n FROM cnt GROUP BY lang, source),
+full_p AS (SELECT g.lang, g.source, v.term, coalesce(c.c, 0) AS c, CAST(1 + 1000000000 * (coalesce(c.c, 0) + 1) // (coalesce(n.n, 0) + l.v) AS HUGEINT) AS p, CAST(1 + 1000000000 * (v.c + 1) // (l.n + l.v) AS HUGEINT) AS lp
+  FROM grp g JOIN voc v ON v.lang = g.lang JOIN lang_n l ON l.lang = g.lang LEFT JOIN grp_n n ON n.lang = g.lang AND n.source = g.source LEFT JOIN cnt c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+val AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM full_p a JOIN full_p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(val.value, 0) AS BIGINT) AS value FROM grp a JOIN grp b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN val ON val.lang = a.lang AND val.source = a.source AND val.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - lp) * (p - lp) // lp AS BIGINT) FROM full_p WHERE c > 0 AND p > lp),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": OP2_SQL, "op5_revisits": OP5_SQL, "op6_decontamination": OP6_SQL}
+    return {"op2_jaccard_join": OP2_SQL, "op5_revisits": OP5_SQL, "op6_decontamination": OP6_SQL, "op12_line_dedup": OP12_SQL, "op13_source_divergence": OP13_SQL}

@@ -25,10 +25,10 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df after a write to the shared folder: its lineage ends there, and a lost executor costs no recomputation."""
+def written(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
+    """df after a write to the shared folder: its lineage ends there, and a lost executor costs no recomputation. by: a column of few values, each of which gets a folder."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/tallyvox/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
