@@ -1,70 +1,57 @@
-"""Surface shells and distances between them, as joins on cells of a grid."""
+"""Surface shells and distances between them."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import distance as dt
+
 XYZ = ["x", "y", "z"]
 FACES = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 
 
-def shell(voxels: DataFrame, by: list[str]) -> DataFrame:
-    """Foreground voxels with fewer than six foreground face neighbours; outside the grid is background. Each voxel is sent to its neighbours and itself and counted there: one shuffle, no join."""
-    seen = [F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), (F.col("z") + dz).alias("z"), F.lit(int((dx, dy, dz) == (0, 0, 0))).alias("own")) for dx, dy, dz in [(0, 0, 0), *FACES]]
-    sent = voxels.select(*by, F.explode(F.array(*seen)).alias("v")).select(*by, "v.*")
-    counts = sent.groupBy(*by, *XYZ).agg(F.sum("own").alias("own"), F.count_if(F.col("own") == 0).alias("near"))
-    return counts.where("own > 0 and near < 6").select(*by, *XYZ)
+def shell_lines(lines: DataFrame, by: list[str], masks: list[str]) -> DataFrame:
+    """`distance.lines()` with only those bits of each mask whose voxel has fewer than six face neighbours in the mask; outside the grid is background. Each line is sent to the six around it and itself, and their bits are cut there: one shuffle, no join."""
+    moves = [(0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
+    seen = [F.struct(F.lit(k).alias("_k"), (F.col("x") + i).alias("x"), (F.col("y") + j).alias("y"), (F.col("zb") + b).alias("zb")) for k, (i, j, b) in enumerate(moves)]
+    sent = lines.select(*by, F.explode(F.array(*seen)).alias("_v"), *masks).select(*by, "_v.*", *masks)
+    own = {(m, k): F.coalesce(F.bit_or(F.when(F.col("_k") == k, F.col(m))), F.lit(0).cast("long")).alias(f"{m}_{k}") for m in masks for k in range(7)}
+    met = sent.groupBy(*by, "x", "y", "zb").agg(*own.values())
+    inner = lambda m: [F.col(f"{m}_{k}") for k in (1, 2, 3, 4)] + [F.expr(f"shiftleft({m}_0, 1) | shiftrightunsigned({m}_5, 63)"), F.expr(f"shiftrightunsigned({m}_0, 1) | shiftleft({m}_6, 63)")]
+    out = met
+    for m in masks:
+        around = F.lit(-1).cast("long")
+        for c in inner(m):
+            around = around.bitwiseAND(c)
+        out = out.withColumn(m, F.col(f"{m}_0").bitwiseAND(F.bitwise_not(around)))
+    return out.where(" or ".join(f"`{m}` <> 0" for m in masks)).select(*by, "x", "y", "zb", *masks)
 
 
-def nearest(source: DataFrame, target: DataFrame, by: list[str], spacing: tuple[float, float, float], reach: float) -> DataFrame:
-    """(by, x, y, z, d): the distance of each source point to the nearest target point of its group, in the unit of `spacing`. reach: the grid's diagonal.
-
-    Points meet in cells of a given width: each source point looks into its own cell and the 26 around it. What it finds
-    within the width is the nearest; other points look again in cells of four times the width. So a point meets the few targets
-    near it, not all of its group. Groups without targets have no rows.
-    """
-    cell = lambda c, s, w: F.floor(F.col(c) * s / w).cast("int")
-    width, left, done = 2 * max(spacing), source, []
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    while True:
-        t = target.select(*by, *[cell(c, s, width).alias(f"c{c}") for c, s in zip(XYZ, spacing, strict=True)], *[(F.col(c) * s).alias(f"t{c}") for c, s in zip(XYZ, spacing, strict=True)])
-        s = left.select(*by, *XYZ, F.explode(around).alias("o"), *[cell(c, s, width).alias(f"b{c}") for c, s in zip(XYZ, spacing, strict=True)])
-        s = s.select(*by, *XYZ, *[(F.col(f"b{c}") + F.col(f"o.{o}")).alias(f"c{c}") for c, o in zip(XYZ, "ijk", strict=True)])
-        gap = [F.col(c) * w - F.col(f"t{c}") for c, w in zip(XYZ, spacing, strict=True)]
-        found = s.join(t, [*by, "cx", "cy", "cz"], "left").groupBy(*by, *XYZ).agg(F.min(F.sqrt(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2])).alias("d"))
-        if width > reach:
-            return reduce(DataFrame.unionByName, [*done, found.where("d is not null")])
-        done.append(found.where(F.col("d") <= width))
-        left = found.where(F.col("d").isNull() | (F.col("d") > width)).drop("d")
-        width *= 4
+def shell(voxels: DataFrame, by: list[str]) -> DataFrame:
+    """Foreground voxels with fewer than six foreground face neighbours; outside the grid is background."""
+    found = shell_lines(dt.lines(voxels, by, {"own": F.lit(True)}), by, ["own"])
+    return found.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(63)))).where("shiftrightunsigned(own, _i) & 1 = 1").select(*by, "x", "y", (F.col("zb") * 64 + F.col("_i")).alias("z"))
 
 
-def surface_distances(voxels: DataFrame, by: list[str], spacing: tuple[float, float, float], shape: tuple[int, int, int], tolerance: float = 2.0, gt: str = "a", pred: str = "b") -> DataFrame:
-    """(by, hd95, asd, nsd): of both raters' shells. Points on both shells have distance 0 and take no part in the search. Groups that lack a side have no row; join back to find them null."""
-    shells = shell(voxels.where(F.col("rater").isin(gt, pred)), [*by, "rater"])
-    sides = shells.groupBy(*by, *XYZ).agg(F.max((F.col("rater") == gt).cast("int")).alias("g"), F.max((F.col("rater") == pred).cast("int")).alias("p"))
-    reach = sum((n * s) ** 2 for n, s in zip(shape, spacing, strict=True)) ** 0.5
-    a, b = sides.where("g = 1").select(*by, *XYZ), sides.where("p = 1").select(*by, *XYZ)
-    only_a, only_b = sides.where("g = 1 and p = 0").select(*by, *XYZ), sides.where("g = 0 and p = 1").select(*by, *XYZ)
-    zero = sides.where("g = 1 and p = 1").select(*by, F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), F.lit(0.0).alias("d"))
-    d = nearest(only_a, b, by, spacing, reach).select(*by, F.lit(0).alias("side"), "d").unionByName(nearest(only_b, a, by, spacing, reach).select(*by, F.lit(1).alias("side"), "d")).unionByName(zero)
+def surface_distances(voxels: DataFrame, by: list[str], spacing: tuple[float, float, float], tolerance: float = 2.0, gt: str = "a", pred: str = "b") -> DataFrame:
+    """(by, hd95, asd, nsd): of both raters' shells. Groups that lack a side have no row; join back to find them null."""
+    masks = {"gt": F.col("rater") == gt, "pred": F.col("rater") == pred}
+    shells = shell_lines(dt.lines(voxels.where(F.col("rater").isin(gt, pred)), by, masks), by, list(masks))
+    d = dt.nearest(shells, by, spacing, [("gt", "pred"), ("pred", "gt")])
     per = d.groupBy(*by, "side").agg(F.percentile("d", F.lit(0.95)).alias("h"), F.avg("d").alias("m"), F.avg((F.col("d") <= tolerance).cast("double")).alias("n"))
     return per.groupBy(*by).agg(F.max("h").alias("hd95"), (F.sum("m") / 2).alias("asd"), (F.sum("n") / 2).alias("nsd"), F.count("*").alias("sides")).where("sides = 2").drop("sides")
 
 
-def hd95_of_points(voxels: DataFrame, by: list[str], spacing: tuple[float, float, float], shape: tuple[int, int, int], every: int = 10, gt: str = "a", pred: str = "b") -> DataFrame:
+def hd95_of_points(voxels: DataFrame, by: list[str], spacing: tuple[float, float, float], every: int = 10, gt: str = "a", pred: str = "b") -> DataFrame:
     """The basic audit's variant: over all mask points, and of the source only each tenth in grid order."""
     from .curate import ranked
 
-    reach = sum((n * s) ** 2 for n, s in zip(shape, spacing, strict=True)) ** 0.5
-    sides = []
-    for here, there in ((gt, pred), (pred, gt)):
-        mine = ranked(voxels.where(F.col("rater") == here), [F.col(c) for c in XYZ], "rn", by).where((F.col("rn") - 1) % every == 0)
-        sides.append(nearest(mine.select(*by, *XYZ), voxels.where(F.col("rater") == there).select(*by, *XYZ), by, spacing, reach).groupBy(*by).agg(F.percentile("d", F.lit(0.95)).alias("h")))
-    return sides[0].unionByName(sides[1]).groupBy(*by).agg(F.max("h").alias("hd95"))
+    numbered = ranked(voxels.where(F.col("rater").isin(gt, pred)), [F.col(c) for c in XYZ], "rn", [*by, "rater"])
+    mine, asked = {"gt": F.col("rater") == gt, "pred": F.col("rater") == pred}, (F.col("rn") - 1) % every == 0
+    rows = dt.lines(numbered, by, mine | {f"{k}_asked": on & asked for k, on in mine.items()})
+    d = dt.nearest(rows, by, spacing, [("gt_asked", "pred"), ("pred_asked", "gt")])
+    return d.groupBy(*by, "side").agg(F.percentile("d", F.lit(0.95)).alias("h")).groupBy(*by).agg(F.max("h").alias("hd95"))
 
 
 def distance(p: list[Column], q: list[Column], spacing: tuple[float, float, float]) -> Column:

@@ -353,8 +353,7 @@ def audit_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = agreement.overlap(agreement.confusion(pairs, ["subject", "rater"])).select("subject", "organ", F.col("rater").alias("model"), "dice")
     sides = F.array(F.struct(F.lit("a").alias("rater"), F.col("gt").alias("organ")), F.struct(F.lit("b").alias("rater"), F.col("pred").alias("organ")))
     masks = pairs.withColumnRenamed("rater", "model").select("subject", "model", "x", "y", "z", F.explode(sides).alias("s")).select("subject", "model", "x", "y", "z", "s.*").where("organ > 0")
-    depth = 1 + (v.agg(F.max("z")).first()[0] or 0)
-    far = surface.surface_distances(masks, ["subject", "organ", "model"], views.SPACING, (views.SIDE, views.SIDE, depth)).select("subject", "organ", "model", "hd95")
+    far = surface.surface_distances(masks, ["subject", "organ", "model"], views.SPACING).select("subject", "organ", "model", "hd95")
     return written(c.join(far, ["subject", "organ", "model"], "left").withColumnRenamed("model", "rater"))
 
 

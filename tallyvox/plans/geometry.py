@@ -32,7 +32,7 @@ per AS (SELECT subject, side, quantile_cont(d, 95e-2) AS h, avg(d) AS m, avg(CAS
 
 @query(f"WITH {DISTANCE_SQL} SELECT subject, round(max(h), 4) AS hd95, round(sum(m) / 2, 4) AS asd, round(sum(n) / 2, 4) AS nsd FROM per GROUP BY subject")
 def m15_m17_m18_g09_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = surface.surface_distances(views.boxes(spark, sf_dir), ["subject"], SPACING, SHAPE)
+    d = surface.surface_distances(views.boxes(spark, sf_dir), ["subject"], SPACING)
     return d.select("subject", *[F.round(c, 4).alias(c) for c in ("hd95", "asd", "nsd")])
 
 
@@ -42,7 +42,7 @@ d AS (SELECT a.subject, a.rater AS side, a.rn, min(sqrt(((a.x - b.x) * 15e-1) **
 per AS (SELECT subject, side, quantile_cont(d, 95e-2) AS h FROM d GROUP BY ALL)
 SELECT subject, round(max(h), 4) AS hd95 FROM per GROUP BY subject""")
 def m16_hd95_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surface.hd95_of_points(views.boxes(spark, sf_dir), ["subject"], SPACING, SHAPE).select("subject", F.round("hd95", 4).alias("hd95"))
+    return surface.hd95_of_points(views.boxes(spark, sf_dir), ["subject"], SPACING).select("subject", F.round("hd95", 4).alias("hd95"))
 
 
 def _betti_sql(steps: list[tuple[int, int, int]]) -> str:
@@ -215,6 +215,51 @@ def s02_nrrd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named(volumes.voxels(volumes.read_volumes(spark, at, "*.nrrd"))).select("path", F.lit("SUCCESS").alias("status"), "x", "y", "z", "label")
 
 
+def spoiled(files: DataFrame) -> DataFrame:
+    """files with those whose subject divides by 50 cut off in their header."""
+    bad = F.regexp_extract("path", "^[0-9]+", 0).cast("long") % 50 == 0
+    return files.withColumn("content", F.when(bad, F.expr("substring(content, 1, 40)")).otherwise(F.col("content")))
+
+
+HEADER_SQL = "SELECT CAST(p_partkey AS VARCHAR) AS subject, p_partkey % 50 <> 0 AS readable, CASE WHEN p_partkey % 50 <> 0 THEN 14 END AS side, CASE WHEN p_partkey % 50 <> 0 THEN {0} END AS a00, CASE WHEN p_partkey % 50 <> 0 THEN 2e0 END AS a22 FROM part"
+
+
+@query(HEADER_SQL.format("15e-1"))
+def s01_nifti_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers alone, by the data source; a file that is cut off is a row with an error."""
+    from ..sources import formats
+
+    formats.register(spark)
+    at = exported(spark, spoiled(volumes.encoded(labelled(spark, sf_dir, "a"), "subject", SHAPE, SPACING, ".nii.gz")))
+    found = spark.read.format("nifti").schema("subject string, status string, shape array<int>, affine array<double>").load(at)
+    return found.select("subject", (F.col("status") == "SUCCESS").alias("readable"), F.col("shape")[1].alias("side"), F.round(F.col("affine")[0], 6).alias("a00"), F.round(F.col("affine")[10], 6).alias("a22"))
+
+
+@query(f"""WITH {BOXES_SQL} SELECT CAST(subject AS VARCHAR) AS subject, true AS readable, 14 AS side, 15e-1 AS dx, count(*) AS voxels, CAST(sum(z % 4 + 1) AS BIGINT) AS labels FROM boxes WHERE rater = 'b' AND subject % 50 <> 0 GROUP BY subject
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), false, NULL, NULL, NULL, NULL FROM part WHERE p_partkey % 50 = 0""")
+def s02_nrrd_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import formats
+
+    formats.register(spark)
+    at = exported(spark, spoiled(volumes.encoded(labelled(spark, sf_dir, "b"), "subject", SHAPE, SPACING, ".seg.nrrd")))
+    found = spark.read.format("nrrd").option("suffix", ".seg.nrrd").option("partitionBytes", 1 << 16).load(at)
+    total = F.aggregate("label", F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select("subject", (F.col("status") == "SUCCESS").alias("readable"), F.col("shape")[2].alias("side"), F.col("spacing")[0].alias("dx"), F.when(F.col("label").isNotNull(), F.size("label").cast("long")).alias("voxels"), total.alias("labels"))
+
+
+@query(f"WITH {BOXES_SQL} SELECT CAST(subject AS VARCHAR) AS subject, z % 4 + 1 AS label, count(*) AS n, CAST(sum(x * 10000 + y * 100 + z) AS BIGINT) AS places, true AS alike FROM boxes WHERE rater = 'a' AND subject % 50 <> 0 GROUP BY ALL")
+def s01_decode_volume_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table functions over files, in SQL: row by row with LATERAL and by Arrow batches of a table."""
+    from ..functions.sql import register_tables
+
+    register_tables(spark)
+    at = exported(spark, spoiled(volumes.encoded(labelled(spark, sf_dir, "a"), "subject", SHAPE, SPACING, ".nii.gz")))
+    spark.read.format("binaryFile").option("pathGlobFilter", "*.nii.gz").load(at).select("path", "content").createOrReplaceTempView("tallyvox_files")
+    return spark.sql("""WITH lateral_rows AS (SELECT f.path, v.label, count(*) AS n, sum(v.x * 10000L + v.y * 100 + v.z) AS places FROM tallyvox_files f, LATERAL decode_volume(f.path, f.content) v GROUP BY ALL),
+        table_rows AS (SELECT path, label, count(*) AS n, sum(x * 10000L + y * 100 + z) AS places FROM decode_volumes(TABLE(tallyvox_files)) GROUP BY ALL)
+        SELECT regexp_extract(path, '([0-9]+)[^/]*$', 1) AS subject, CAST(label AS INT) AS label, r.n, r.places, r.n = t.n AND r.places = t.places AS alike FROM lateral_rows r JOIN table_rows t USING (path, label)""")
+
+
 @query("""SELECT p_partkey || '_probs.npz' AS path, x.i AS x, y.i AS y, 0 AS z, CAST((p_partkey + x.i + 2 * y.i) % 5 AS INTEGER) AS label, 5e-1 AS top FROM part, (SELECT range AS i FROM range(3)) x, (SELECT range AS i FROM range(2)) y""")
 def s03_k07_npz(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("subject"))

@@ -6,6 +6,7 @@ import gzip
 import io
 import struct
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -18,29 +19,45 @@ NRRD_TYPES = {"uchar": "u1", "unsigned char": "u1", "uint8": "u1", "signed char"
 SCHEMA = "path string, status string, shape array<int>, spacing array<double>, affine array<double>, x array<int>, y array<int>, z array<int>, label array<short>"
 
 
-def decode_nifti(raw: bytes) -> tuple[np.ndarray, list[float], np.ndarray]:
-    """(data, spacing, 4x4 affine). 4-D volumes give their first channel; slope and intercept apply where set."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
+#: Bytes of a NIfTI-1 header.
+NIFTI_HEADER = 352
+
+
+class Header(NamedTuple):
+    shape: tuple[int, ...]
+    spacing: list[float]
+    affine: np.ndarray
+    kind: str
+    begin: int = 0
+    slope: float = 0.0
+    intercept: float = 0.0
+
+
+def nifti_header(raw: bytes) -> Header:
     order = "<" if struct.unpack_from("<i", raw, 0)[0] == 348 else ">"
     if struct.unpack_from(order + "i", raw, 0)[0] != 348:
         raise ValueError("not a NIfTI-1 header")
     dim = struct.unpack_from(order + "8h", raw, 40)
-    kind = NIFTI_TYPES[struct.unpack_from(order + "h", raw, 70)[0]]
+    kind = order + NIFTI_TYPES[struct.unpack_from(order + "h", raw, 70)[0]]
     zooms = struct.unpack_from(order + "8f", raw, 76)
     begin, slope, intercept = (struct.unpack_from(order + "f", raw, at)[0] for at in (108, 112, 116))
-    shape = dim[1 : dim[0] + 1]
-    data = np.frombuffer(raw, order + kind, int(np.prod(shape)), int(begin)).reshape(shape, order="F")
-    while data.ndim > 3:
-        data = data[..., 0]
-    if slope not in (0.0, 1.0) or (slope and intercept):
-        data = data * slope + intercept
     affine = np.eye(4)
     if struct.unpack_from(order + "h", raw, 254)[0] > 0:
         affine[:3] = np.array(struct.unpack_from(order + "12f", raw, 280)).reshape(3, 4)
     else:
         affine[[0, 1, 2], [0, 1, 2]] = zooms[1:4]
-    return data, [float(z) for z in zooms[1:4]], affine
+    return Header(dim[1 : dim[0] + 1][:3], [float(z) for z in zooms[1:4]], affine, kind, int(begin), slope, intercept)
+
+
+def decode_nifti(raw: bytes) -> tuple[np.ndarray, list[float], np.ndarray]:
+    """(data, spacing, 4x4 affine). 4-D volumes give their first channel; slope and intercept apply where set."""
+    if raw[:2] == b"\x1f\x8b":
+        raw = gzip.decompress(raw)
+    head = nifti_header(raw)
+    data = np.frombuffer(raw, head.kind, int(np.prod(head.shape)), head.begin).reshape(head.shape, order="F")  # the first channel comes first
+    if head.slope not in (0.0, 1.0) or (head.slope and head.intercept):
+        data = data * head.slope + head.intercept
+    return data, head.spacing, head.affine
 
 
 def encode_nifti(data: np.ndarray, affine: np.ndarray) -> bytes:
@@ -66,31 +83,45 @@ def encode_nrrd(data: np.ndarray, spacing: tuple[float, float, float]) -> bytes:
     return head.encode() + gzip.compress(data.astype(data.dtype.newbyteorder("<")).tobytes(order="F"), mtime=0)
 
 
-def decode_nrrd(raw: bytes) -> tuple[np.ndarray, list[float], np.ndarray]:
-    head, _, payload = raw.partition(b"\n\n")
-    fields = dict(line.split(":", 1) for line in head.decode("latin-1").splitlines()[1:] if ":" in line and not line.startswith("#"))
-    fields = {k.strip(): v.lstrip("=").strip() for k, v in fields.items()}
-    if not raw.startswith(b"NRRD"):
+def _nrrd_fields(head: bytes) -> dict[str, str]:
+    if not head.startswith(b"NRRD"):
         raise ValueError("not an NRRD header")
-    shape = [int(x) for x in fields["sizes"].split()]
-    if fields.get("encoding", "raw") in ("gzip", "gz"):
-        payload = gzip.decompress(payload)
+    fields = dict(line.split(":", 1) for line in head.decode("latin-1").splitlines()[1:] if ":" in line and not line.startswith("#"))
+    return {k.strip(): v.lstrip("=").strip() for k, v in fields.items()}
+
+
+def nrrd_header(head: bytes) -> Header:
+    """shape: of the space's axes; leading ones of another kind are left out."""
+    fields = _nrrd_fields(head)
     order = ">" if fields.get("endian") == "big" else "<"
-    data = np.frombuffer(payload, order + NRRD_TYPES[fields["type"]], int(np.prod(shape))).reshape(shape, order="F")
     affine = np.eye(4)
     if "space directions" in fields:
         rows = [r for r in fields["space directions"].replace("none", "").split(") (") if r.strip()]
-        vectors = [[float(x) for x in r.strip("() ").split(",")] for r in rows]
-        affine[:3, :3] = np.array(vectors[-3:]).T
-        while data.ndim > 3:
-            data = data[0]
-    return data, np.linalg.norm(affine[:3, :3], axis=0).tolist(), affine
+        affine[:3, :3] = np.array([[float(x) for x in r.strip("() ").split(",")] for r in rows][-3:]).T
+    return Header(tuple(int(x) for x in fields["sizes"].split())[-3:], np.linalg.norm(affine[:3, :3], axis=0).tolist(), affine, order + NRRD_TYPES[fields["type"]])
+
+
+def decode_nrrd(raw: bytes) -> tuple[np.ndarray, list[float], np.ndarray]:
+    head, _, payload = raw.partition(b"\n\n")
+    fields, found = _nrrd_fields(head), nrrd_header(head)
+    shape = [int(x) for x in fields["sizes"].split()]
+    if fields.get("encoding", "raw") in ("gzip", "gz"):
+        payload = gzip.decompress(payload)
+    data = np.frombuffer(payload, found.kind, int(np.prod(shape))).reshape(shape, order="F")
+    while data.ndim > 3:
+        data = data[0]
+    return data, found.spacing, found.affine
+
+
+def labels(data: np.ndarray) -> np.ndarray:
+    """Values of 0 to 255 as labels, the others as background."""
+    return np.where((data >= 0) & (data <= 255), data, 0).astype(np.int16)
 
 
 def _decoded(path: str, raw: bytes) -> tuple:
     try:
         data, spacing, affine = (decode_nrrd if path.endswith(".nrrd") else decode_nifti)(raw)
-        label = np.where((data >= 0) & (data <= 255), data, 0).astype(np.int16)
+        label = labels(data)
         at = np.nonzero(label)
         return (path, "SUCCESS", list(data.shape), spacing, affine.ravel().tolist(), *(a.astype(np.int32) for a in at), label[at])
     except Exception as e:  # a bad file is a row with its error, and the others go on

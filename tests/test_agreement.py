@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyvox.operators import agreement, curate, ensemble, grid, loss, report, surface, topology
-from tallyvox.sources import files, tables, volumes
+from tallyvox.operators import agreement, curate, distance, ensemble, grid, loss, report, surface, topology
+from tallyvox.sources import files, formats, tables, volumes
 
 
 def cube(rater, x, y, z, label=1, subject="s"):
@@ -21,21 +21,44 @@ def two_cubes(spark):
 
 def test_two_cubes(two_cubes):
     assert {(r.rater, r.n) for r in surface.shell(two_cubes, ["subject", "rater"]).groupBy("rater").agg(F.count("*").alias("n")).collect()} == {("a", 488), ("b", 296)}
-    d = surface.surface_distances(two_cubes, ["subject"], (1.5, 1.5, 2.0), (20, 20, 20)).first()
+    d = surface.surface_distances(two_cubes, ["subject"], (1.5, 1.5, 2.0)).first()
     assert (round(d.hd95, 5), round(d.asd, 5), round(d.nsd, 5)) == (2.5, 1.72393, 0.89344)
     pairs = agreement.co_located(two_cubes.withColumn("r", (F.col("rater") == "b").cast("int") + 1), 1, 2, ["subject", "x", "y", "z"], "r")
     c = agreement.overlap(agreement.confusion(pairs, ["subject"], [1], F.lit(8000))).first()
     assert round(c.dice, 6) == 0.677249 and c.tn == 7000
 
 
-def test_distances_are_the_nearest(spark):
+@pytest.mark.parametrize("cells", [None, 0])
+def test_distances_are_the_nearest(spark, monkeypatch, cells):
+    """Boxes taken whole and cut in layers and slabs: sparse and dense points, negative places, a group with one plane, one without hits."""
+    monkeypatch.setattr(distance, "SLAB", 5)
     rng = np.random.default_rng(4)
-    a, b = (np.unique(rng.integers(0, 40, (60, 3)), axis=0) for _ in range(2))
-    spacing = (1.5, 1.0, 2.0)
-    df = lambda p: spark.createDataFrame([("g", *map(int, r)) for r in p], "s string, x int, y int, z int")
-    got = {(r.x, r.y, r.z): r.d for r in surface.nearest(df(a), df(b), ["s"], spacing, 100.0).collect()}
-    for p in a:
-        assert abs(got[tuple(map(int, p))] - np.sqrt((((b - p) * spacing) ** 2).sum(1)).min()) < 1e-9
+    spacing = (1.5, 0.7, 2.0)
+    groups = {"wide": (rng.integers(-40, 40, (60, 3)), rng.integers(0, 150, (60, 3))), "full": (rng.integers(0, 7, (200, 3)), rng.integers(0, 7, (150, 3))), "flat": (rng.integers(0, 9, (20, 3)) * [1, 1, 0], np.array([[3, 3, 0], [70, 1, 0]])), "none": (np.array([[1, 2, 3]]), np.zeros((0, 3), int)), "far": (np.array([[0, 0, 0]]), np.array([[0, 0, 190]]))}
+    rows = [(g, k, *map(int, r)) for g, sides in groups.items() for k, p in enumerate(sides) for r in np.unique(p, axis=0)]
+    voxels = spark.createDataFrame(rows, "s string, k int, x int, y int, z int")
+    lines = distance.lines(voxels, ["s"], {"a": F.col("k") == 0, "b": F.col("k") == 1})
+    got = {(r.s, r.side, r.x, r.y, r.z): r.d for r in distance.nearest(lines, ["s"], spacing, [("a", "b"), ("b", "a")], cells=cells).collect()}
+    want = {(g, side, *map(int, p)): np.sqrt((((there - p) * spacing) ** 2).sum(1)).min() for g, pair in groups.items() for side, (here, there) in enumerate((pair, pair[::-1])) for p in here if len(there)}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_envelope_is_the_least_of_all_parabolas():
+    rng = np.random.default_rng(2)
+    f = np.where(rng.random((300, 23)) < 0.4, np.inf, rng.integers(0, 60, (300, 23)) * 0.37)
+    f[:3] = np.inf
+    i = np.arange(23)
+    for step in (1.0, 0.3, 5.0):
+        assert np.allclose(distance.envelope(f, step), (f[:, None, :] + (step * (i[:, None] - i)) ** 2).min(2))
+
+
+def test_shell_over_blocks_of_z(spark):
+    """Faces between blocks of 64 places, and below zero."""
+    rng = np.random.default_rng(6)
+    found = {(int(x), int(y), int(z)) for x, y, z in rng.integers((0, 0, -70), (4, 4, 140), (2500, 3))} | {(i, j, k) for i in range(3) for j in range(3) for k in range(60, 132)}
+    df = spark.createDataFrame([("s", *p) for p in found], "s string, x int, y int, z int")
+    got = {(r.x, r.y, r.z) for r in surface.shell(df, ["s"]).collect()}
+    assert got == {p for p in found if sum(tuple(a + b for a, b in zip(p, d, strict=True)) in found for d in surface.FACES) < 6}
 
 
 @pytest.mark.parametrize(("points", "six", "twenty_six"), [([], 0, 0), ([(0, 0, 0), (1, 1, 1)], 2, 1), ([(0, 0, 0), (0, 0, 1), (5, 5, 5), (5, 6, 5), (6, 7, 5), (9, 9, 9)], 4, 3)])
@@ -180,3 +203,33 @@ def test_listing(spark, tmp_path):
     (tmp_path / "P1" / "ct.nii.gz").write_bytes(b"x")
     r = files.listing(spark, str(tmp_path)).first()
     assert (r["name"], r["folder"], r["size"]) == ("ct.nii.gz", "P1", 1)
+
+
+def test_sources_read_headers_only(spark, tmp_path):
+    """Rows by subject, pushed conditions, a payload that isn't there, a broken header, more files than a partition takes."""
+    from pyspark.sql.datasource import EqualTo, In, StringStartsWith
+    from pyspark.sql.types import StructType
+
+    data = np.arange(24, dtype=np.uint8).reshape(2, 3, 4)
+    affine = np.array([[0.0, -2, 0, 5], [1.5, 0, 0, 6], [0, 0, 3, 7], [0, 0, 0, 1]])
+    (tmp_path / "sub").mkdir()
+    whole, nrrd = volumes.encode_nifti(data, affine), volumes.encode_nrrd(data, (1.0, 2.0, 3.0))
+    for name, raw in {"A1.nii.gz": whole, "A2.nii.gz": whole, "sub/B1.nii.gz": whole, "cut.nii.gz": whole[:-12], "bad.nii.gz": whole[:30], "none.nii.gz": b"", "n.nrrd": nrrd, "ncut.nrrd": nrrd[:-5]}.items():
+        (tmp_path / name).write_bytes(raw)
+    formats.register(spark)
+    heads = spark.read.format("nifti").schema("subject string, status string, shape array<int>, affine array<double>").option("partitionBytes", len(whole)).load(f"file://{tmp_path}")
+    assert heads.rdd.getNumPartitions() >= 3
+    got = {r.subject: r for r in heads.collect()}
+    assert {s for s, r in got.items() if r.status == "SUCCESS"} == {"A1", "A2", "B1", "cut"} and got.keys() == {"A1", "A2", "B1", "cut", "bad", "none"}
+    assert got["cut"].shape == [2, 3, 4] and np.allclose(got["cut"].affine, affine.ravel()) and got["bad"].shape is None
+    full = {r.subject: r for r in spark.read.format("nifti").load(str(tmp_path)).collect()}
+    assert full["cut"].status.startswith("ERROR") and full["A1"].label == list(range(1, 24)) and full["A1"].x[0] == 0
+    assert [r.subject for r in heads.where("subject = 'B1'").collect()] == ["B1"]
+    assert sorted(r.subject for r in heads.where("subject like 'A%' and status = 'SUCCESS'").collect()) == ["A1", "A2"]
+    reader = formats.Nifti({"path": str(tmp_path)}).reader(StructType().add("subject", "string"))
+    assert list(reader.pushFilters([EqualTo(("status",), "x"), In(("subject",), ("A1", "B1")), StringStartsWith(("subject",), "A")])) == [EqualTo(("status",), "x")]
+    assert [p.rsplit("/", 1)[-1] for part in reader.partitions() for p in part.paths] == ["A1.nii.gz"]
+    n = {r.subject: r for r in spark.read.format("nrrd").schema("subject string, status string, spacing array<double>").load(str(tmp_path)).collect()}
+    assert n["n"].spacing == n["ncut"].spacing == [1.0, 2.0, 3.0] and n["ncut"].status == "SUCCESS"
+    with pytest.raises(Exception, match="no such columns"):
+        spark.read.format("nifti").schema("subjct string").load(str(tmp_path)).collect()
