@@ -67,6 +67,20 @@ def test_components(points, six, twenty_six):
     assert (topology.n_components(xyz, 6), topology.n_components(xyz, 26)) == (six, twenty_six)
 
 
+@pytest.mark.parametrize("connectivity", [6, 26])
+def test_components_in_blocks(spark, connectivity):
+    """Sparse, dense and winding masks, also across zero, in blocks of several sizes and whole."""
+    rng = np.random.default_rng(8)
+    snake = [(x, y, 0) for y in range(0, 21, 2) for x in range(-5, 16)] + [((15 if y % 4 == 1 else -5), y, 0) for y in range(1, 20, 2)]
+    masks = {"sparse": rng.integers(-9, 12, (700, 3)), "dense": rng.integers(0, 10, (600, 3)), "snake": np.array(snake), "one": np.array([[4, 4, 4]]), "tall": np.array([(0, 0, z) for z in range(-70, 200)])}
+    voxels = spark.createDataFrame([(k, 1, *map(int, p)) for k, ps in masks.items() for p in ps], "s string, r int, x int, y int, z int")
+    want = {k: topology.n_components(p, connectivity) for k, p in masks.items()}
+    assert want["snake"] == want["tall"] == want["one"] == 1 < want["sparse"]
+    for most, block in ((None, 128), (0, 4), (300, 3), (0, 100), (0, 1)):
+        got = {r.s: r.betti for r in topology.betti0(voxels, ["s", "r"], connectivity, most=most, block=block).collect()}
+        assert got == want
+
+
 def test_diversity_weights(spark):
     small = set(itertools.product(range(10), repeat=3))
     rows = [("s", x * 900 + y * 30 + z, [1, 1, int((x, y, z) in small)]) for x in range(30) for y in range(30) for z in range(30)]
