@@ -19,7 +19,7 @@ from ..sources.shared import written
 
 XYZ = ["x", "y", "z"]
 #: Cells of a box that is one task's; cells taken through the passes at once; columns of x in a slab of a larger one.
-CELLS, TOGETHER, SLAB = 1 << 22, 1 << 21, 16
+CELLS, TOGETHER, SLAB = 1 << 22, 1 << 17, 16
 
 
 def lines(voxels: DataFrame, by: list[str], masks: dict[str, Column]) -> DataFrame:
@@ -67,6 +67,16 @@ def envelope(f: np.ndarray, step: float) -> np.ndarray:
     return out
 
 
+def sweep(f: np.ndarray, axis: int, step: float) -> np.ndarray:
+    """envelope() along an axis of f, which is 0 at hits and infinite elsewhere: parabolas of one height take over half-way, so the nearest hit on either side is the least."""
+    f = np.moveaxis(f, axis, 0)
+    for i in range(1, len(f)):
+        np.minimum(f[i], f[i - 1] + step, out=f[i])
+    for i in range(len(f) - 2, -1, -1):
+        np.minimum(f[i], f[i + 1] + step, out=f[i])
+    return np.moveaxis(f * f, 0, axis)
+
+
 def passes(f: np.ndarray, spacing: tuple[float, ...], axes: tuple[int, ...]) -> np.ndarray:
     """f after a pass along each of these axes."""
     for axis, step in zip(axes, spacing, strict=True):
@@ -108,8 +118,12 @@ def squares(hit: tuple[np.ndarray, np.ndarray], ask: tuple[np.ndarray, np.ndarra
         if size.all() and asked.any():
             f = np.full((j - i, *size), np.inf)
             f[(slot[hit[0][mine]], *(hit[1][mine] - low[hit[0][mine]]).T)] = 0
-            f = passes(f, spacing, (1, 2, 3))
-            out[asked] = f[(slot[ask[0][asked]], *(ask[1][asked] - low[ask[0][asked]]).T)]
+            x, y, z = (ask[1][asked] - low[ask[0][asked]]).T
+            f = sweep(f, 1, spacing[0]).reshape(-1, *size[1:])
+            layer, of = np.unique(slot[ask[0][asked]] * size[0] + x, return_inverse=True)  # only these go on along y
+            f = passes(f[layer], spacing[1:2], (1,)).reshape(-1, size[2])
+            column, of = np.unique(of * size[1] + y, return_inverse=True)  # and these along z
+            out[asked] = envelope(f[column], spacing[2])[of, z]
         i = j
     return out
 
@@ -165,7 +179,7 @@ def _cut(rows: DataFrame, by: list[str], spacing: tuple[float, float, float], si
         x, y, x0, x1, y0, y1 = (found.column(c).to_numpy() for c in ("x", "y", "x0", "x1", "y0", "y1"))
         f = np.full((x1[0] - x0[0] + 1, y1[0] - y0[0] + 1), np.inf)
         f[x - x0, y - y0] = 0
-        f = passes(f, spacing[:2], (0, 1))
+        f = passes(sweep(f, 0, spacing[0]), spacing[1:2], (1,))
         first = np.arange(0, len(f), SLAB)
         key = found.select([*by, "side", "z", "x0", "y0"]).take(pa.array(np.zeros(len(first), np.int64)))
         more = {"wide": np.full(len(first), f.shape[1], np.int32), "slab": (first // SLAB).astype(np.int32), "f": pa.array([f[i : i + SLAB].tobytes() for i in first], pa.binary())}
