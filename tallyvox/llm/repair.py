@@ -93,7 +93,7 @@ def replaced(seq: np.ndarray, at: np.ndarray, slot: np.ndarray, bar: int, first:
 
 
 def compress(ids: np.ndarray, vocabulary: int, *, least: int = LEAST, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, rules): rules[k] is the pair that symbol vocabulary + k stands for. The count that a pair needs falls by `step` to `least`; then rounds go on until no pair has it."""
+    """(sequence, rules): rules[k] is the pair that symbol vocabulary + k stands for. The count that a pair needs falls by `step` to `least`; then rounds go on until no pair of unlike symbols has it."""
     seq, rules, first, bar, tables = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)], vocabulary, None, Tables()
     while len(seq) > 1:
         slot = _slots(seq[:-1], seq[1:])
@@ -119,9 +119,34 @@ def compress(ids: np.ndarray, vocabulary: int, *, least: int = LEAST, step: int
             slot = _slots(seq[at], seq[at + 1])
         if last and not found:
             break
+    # a frequent pair may share its slot with a rare one: what is left is counted by sorted keys
+    while len(seq) > 1:
+        at, rank = _frequent(seq, least)
+        if not len(at):
+            break
+        seq, new = replaced(seq, at, rank, least, first, tables)
+        if not len(new):  # all of them overlap with others: the most frequent one alone
+            unlike = seq[at] != seq[at + 1]
+            if not unlike.any():
+                break
+            one = rank == np.bincount(rank[unlike]).argmax()
+            seq, new = replaced(seq, at[one], rank[one], least, first, tables)
+        rules.append(new)
+        first += len(new)
     return seq, np.concatenate(rules)
 
 
+def _frequent(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of pairs found `least` times or more, each with a number of its pair."""
+    slot = _slots(seq[:-1], seq[1:])
+    at = np.flatnonzero((np.bincount(slot, minlength=1 << _SLOT_BITS) >= least)[slot])
+    _, back, n = np.unique(seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], return_inverse=True, return_counts=True)
+    often = n >= least
+    number = np.cumsum(often) - 1
+    some = (often & (number < 1 << _SLOT_BITS))[back]
+    return at[some], number[back[some]]
+
+
 def batches_of(rules: np.ndarray, vocabulary: int) -> Iterator[tuple[int, int]]:
     """Ranges of rules that refer to earlier ones only."""
     most, i = rules.astype(np.int64).max(axis=1, initial=0) - vocabulary, 0
@@ -193,7 +218,7 @@ class Block:
         return out, at
 
     def decode(self, first: int = 0, last: int | None = None) -> np.ndarray:
-        """The ids of documents first to last-1 (all by default): only the symbols that cover them are expanded."""
+        """The ids of documents first to last-1 (all by default), from the symbols that cover them. A block's rules are expanded once, when it is first asked."""
         last = len(self.at) - 1 if last is None else last
         if self._ends is None:
             size = np.ones(len(self.sequence), np.int64)

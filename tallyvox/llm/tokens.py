@@ -18,6 +18,8 @@ KIND[[i for i in range(256) if chr(i).isalpha()]] = 0
 KIND[[i for i in range(256) if chr(i).isnumeric()]] = 1
 KIND[[9, 10, 11, 12, 13, 32, 0x85, 0xA0]] = 2
 SLOTS = 1 << 22
+#: Ids of pieces that are kept, about; one text's pieces may go beyond it.
+ARENA = 1 << 25
 _loaded: dict[str, Encoder] = {}
 
 
@@ -40,7 +42,7 @@ class Encoder:
         return _loaded[path]
 
     def _forget(self) -> None:
-        self.key, self.place = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64)  # where in the arena, and how many ids
+        self.key, self.place, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int32)  # where in the arena, and how many ids
         self.arena, self.used, self.filled = np.zeros(1 << 16, self.wide), 0, 0
 
     def ids(self, text: str) -> np.ndarray:
@@ -101,17 +103,16 @@ class Encoder:
         new = np.flatnonzero(slot < 0)
         if len(new):
             _, one = np.unique(h[new], return_index=True)
-            if self.filled + len(one) > SLOTS * 0.6:
+            if self.filled + len(one) > SLOTS * 0.6 or self.used > ARENA:
                 self._forget()
                 _, one = np.unique(h, return_index=True)
                 new = np.arange(len(h))
             one = new[one]
             self._learn(buf, starts[one], ends[one], h[one])
             slot[new] = self._slots(h[new])
-        found = self.place[slot]
-        n = found & 0xFFFFFF
+        n = self.size[slot].astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(n)])
-        out = self.arena[np.repeat((found >> 24) - upto[:-1], n) + np.arange(upto[-1])]
+        out = self.arena[np.repeat(self.place[slot] - upto[:-1], n) + np.arange(upto[-1])]
         return out, np.diff(upto[np.searchsorted(starts, at)])
 
     def _slots(self, h: np.ndarray) -> np.ndarray:
@@ -157,7 +158,7 @@ class Encoder:
             self.key[at[todo[free]]] = h[todo[free]]
             won = self.key[at[todo]] == h[todo]
             done = todo[won]
-            self.place[at[done]] = begin[done] << 24 | size[done]
+            self.place[at[done]], self.size[at[done]] = begin[done], size[done]
             todo = todo[~won]
             at[todo] = (at[todo] + 1) & (SLOTS - 1)
         self.filled += len(h)
