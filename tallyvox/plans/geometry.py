@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import grid, loss, surface, topology
+from ..operators.quantile import quantiles
 from ..sources import volumes
 from ..sources.shared import folder
 from . import views
@@ -190,11 +191,19 @@ SELECT l_orderkey, l_linenumber, round(least(greatest((l_quantity * 10 - 200 + 1
   round(CASE WHEN hi > lo THEN least(greatest((l_quantity - lo) / (hi - lo), 0), 1) ELSE 0e0 END, 4) AS by_percentile FROM lineitem JOIN q USING (l_suppkey)""")
 def p21_p22_intensity_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
-    edges = t.groupBy("l_suppkey").agg(F.percentile("l_quantity", F.lit(0.01)).alias("lo"), F.percentile("l_quantity", F.lit(0.99)).alias("hi"))
+    edges = quantiles(t, ["l_suppkey"], "l_quantity", [0.01, 0.99]).select("l_suppkey", F.col("quantiles")[0].alias("lo"), F.col("quantiles")[1].alias("hi"))
     scaled = F.when(F.col("hi") > F.col("lo"), F.least(F.greatest((F.col("l_quantity") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
     return t.join(edges, "l_suppkey").select("l_orderkey", "l_linenumber", F.round(rules.window_intensity(F.col("l_quantity") * 10 - 200), 4).alias("fixed"), F.round(scaled, 4).alias("by_percentile"))
 
 
+@query("""SELECT l_suppkey, round(quantile_cont(l_extendedprice, 5e-3), 6) AS low, round(quantile_cont(l_extendedprice, 5e-1), 6) AS middle, round(quantile_cont(l_extendedprice, 995e-3), 6) AS high, round(max(l_extendedprice), 6) AS most
+FROM lineitem GROUP BY l_suppkey""")
+def p22_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of values that are nearly all different."""
+    q = quantiles(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice", [0.005, 0.5, 0.995, 1.0])
+    return q.select("l_suppkey", *[F.round(F.col("quantiles")[i], 6).alias(c) for i, c in enumerate(("low", "middle", "high", "most"))])
+
+
 FILE_SQL = "SELECT subject || '{0}' AS path, 'SUCCESS' AS status, x, y, z, z % 4 + 1 AS label FROM boxes WHERE rater = 'a'"
 
 

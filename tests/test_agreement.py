@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyvox.operators import agreement, curate, distance, ensemble, grid, loss, report, surface, topology
+from tallyvox.operators.quantile import quantiles
 from tallyvox.sources import files, formats, tables, volumes
 
 
@@ -247,3 +248,22 @@ def test_sources_read_headers_only(spark, tmp_path):
     assert n["n"].spacing == n["ncut"].spacing == [1.0, 2.0, 3.0] and n["ncut"].status == "SUCCESS"
     with pytest.raises(Exception, match="no such columns"):
         spark.read.format("nifti").schema("subjct string").load(str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("sent", [1 << 16, 0])
+def test_quantiles_by_counting(spark, sent):
+    """Ties, one value, infinities apart, tiny and huge spreads, nulls and NaN, against numpy; groups sent to all tasks, and joined."""
+    rng = np.random.default_rng(5)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.95, 1.0]
+    groups = {"many": rng.normal(0, 1e6, 3000), "ties": rng.integers(0, 4, 500).astype(float), "one": np.array([2.5]), "two": np.array([1.0, 4.0]), "same": np.full(50, -3.0), "wide": np.array([-1.7e308, 1.7e308, 0.0, 1.0, 2.0]), "narrow": 1 + rng.integers(0, 9, 200) * 2.0**-52, "scales": 2.0 ** rng.integers(-60, 60, 400)}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("ties", None), ("ties", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    for bins in (256, 2) if sent else (256,):
+        got = {r.g: r.quantiles for r in quantiles(df.where("g <> 'scales'") if bins == 2 else df, ["g"], "v", probs, bins=bins, sent=sent).collect()}
+        assert got.keys() == groups.keys() - ({"scales"} if bins == 2 else set())
+        for k, v in got.items():
+            if k != "wide":
+                assert np.allclose(v, np.quantile(groups[k], probs), rtol=1e-12, atol=0)
+        assert got["wide"][0] == -1.7e308 and got["wide"][3] == 1.0 and got["wide"][5] == 1.7e308
+        if bins == 2:
+            break
