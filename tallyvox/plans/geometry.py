@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import grid, loss, surface, topology
+from ..operators import grid, loss, respace, surface, topology
 from ..operators.quantile import quantiles
 from ..sources import volumes
 from ..sources.shared import folder
@@ -168,6 +169,50 @@ def p28_n09_gold_weighted_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loss.gold_weighted(one.join(gold, "batch"), ["batch"]).select("batch", F.round("loss", 4).alias("loss"))
 
 
+#: Two scans' grids in turn: one with axes that run against and across the world's, one turned by a third of a right angle in its plane.
+AFFINES = [np.array([[0, -2.0, 0, 7], [0, 0, 3.0, -4], [-1.2, 0, 0, 5], [0, 0, 0, 1]]), np.array([[1.7 * np.cos(np.pi / 6), -2.3 * np.sin(np.pi / 6), 0, -3], [1.7 * np.sin(np.pi / 6), 2.3 * np.cos(np.pi / 6), 0.2, 2], [0, 0.1, 2.6, 1], [0, 0, 0, 1]])]
+IMAGE_SHAPE = (4, 3, 5)
+
+
+def _respaced_sql(upright: bool) -> str:
+    """Each place of each target grid, put into the source's, with the eight corners around it."""
+    grids = []
+    for k, a in enumerate(AFFINES):
+        t = respace.respaced(a, IMAGE_SHAPE, SPACING, upright)
+        at = [f"least(greatest({' + '.join(f'({float(m):.17e}) * {c}.i' for m, c in zip(row[:3], 'xyz', strict=True))} + ({float(row[3]):.17e}), 0e0), {n - 1}e0)" for row, n in zip(t.matrix, IMAGE_SHAPE, strict=True)]
+        grids.append(f"SELECT {k} AS grid, x.i AS x, y.i AS y, z.i AS z, {at[0]} AS a, {at[1]} AS b, {at[2]} AS c FROM " + ", ".join(f"(SELECT range AS i FROM range({n})) {c}" for c, n in zip("xyz", t.shape, strict=True)))
+    n = dict(zip("abc", IMAGE_SHAPE, strict=True))
+    low = ", ".join(f"CAST(least(floor({c}) + {o}.i, {n[c] - 1}) AS BIGINT) AS s{c}" for c, o in zip("abc", "xyz", strict=True))
+    weight = " * ".join(f"CASE WHEN {o}.i = 1 THEN {c} - floor({c}) ELSE 1 - {c} + floor({c}) END" for c, o in zip("abc", "xyz", strict=True))
+    near = ", ".join(f"CAST(least(floor({c} + 5e-1), {n[c] - 1}) AS BIGINT) AS n{c}" for c in "abc")
+    return f"""WITH t AS ({" UNION ALL ".join(grids)}),
+w AS (SELECT t.grid, t.x, t.y, t.z, {low}, {near}, {weight} AS w FROM t, {", ".join(f"(SELECT range AS i FROM range(2)) {o}" for o in "xyz")})
+SELECT p_partkey AS subject, w.x, w.y, w.z, round(sum(w * ((p_partkey + 3 * sa + 5 * sb + 7 * sc) % 11) / 1e1), 6) AS value, CAST(max((p_partkey + na + 2 * nb + nc) % 5) AS INTEGER) AS label
+FROM part JOIN w ON w.grid = p_partkey % 2 GROUP BY ALL"""
+
+
+def _respaced(spark: SparkSession, sf_dir: str, upright: bool, **sizes) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("subject"))
+    affine = F.when(F.col("subject") % 2 == 0, F.array(*[F.lit(float(x)) for x in AFFINES[0].ravel()])).otherwise(F.array(*[F.lit(float(x)) for x in AFFINES[1].ravel()]))
+    scans = parts.withColumns({"affine": affine, "shape": F.array(*[F.lit(n) for n in IMAGE_SHAPE])})
+    x, y, z, s = (F.col(c) for c in ("x", "y", "z", "subject"))
+    voxels = grid.target_grid(parts, IMAGE_SHAPE).withColumns({"value": (s + 3 * x + 5 * y + 7 * z) % 11 / 10, "label": ((s + x + 2 * y + z) % 5).cast("int")})
+    found = respace.resampled(voxels, respace.targets(scans, ["subject"], SPACING, upright), ["subject"], **sizes)
+    return found.withColumn("value", F.round("value", 6))
+
+
+@query(_respaced_sql(False))
+def g07_g03_respaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Axes in the world's order, then 1.5 x 1.5 x 2 apart, image and label at once."""
+    return _respaced(spark, sf_dir, False)
+
+
+@query(_respaced_sql(True))
+def g07_g03_upright(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On grids along the world's axes, turned and sheared ones too, in blocks and tiles of two and three places."""
+    return _respaced(spark, sf_dir, True, block=2, tile=3)
+
+
 @query("""WITH v AS (SELECT event_id, abs(event_id * 37 % 120) AS label, event_id % 14 AS z FROM events)
 SELECT event_id, CASE WHEN label BETWEEN 0 AND 4 THEN label ELSE 0 END AS clamped,
   CASE WHEN label IN (18, 50, 55) THEN 1 WHEN label IN (19, 51, 56) THEN 2 WHEN label IN (20, 52, 57) THEN 3 WHEN label IN (5, 6, 53, 58) THEN 4 ELSE 0 END AS full_body,

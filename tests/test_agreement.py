@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyvox.operators import agreement, curate, distance, ensemble, grid, loss, report, surface, topology
+from tallyvox.operators import agreement, curate, distance, ensemble, grid, loss, report, respace, surface, topology
 from tallyvox.operators.quantile import quantiles
 from tallyvox.sources import files, formats, tables, volumes
 
@@ -267,3 +267,41 @@ def test_quantiles_by_counting(spark, sent):
         assert got["wide"][0] == -1.7e308 and got["wide"][3] == 1.0 and got["wide"][5] == 1.7e308
         if bins == 2:
             break
+
+
+def test_grids_in_the_worlds_order():
+    """Spacing and directions of the new grid, corners, and the axes' order against the map's effect."""
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        turn = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+        a = np.eye(4)
+        a[:3, :3], a[:3, 3] = turn * rng.uniform(0.5, 3, 3), rng.normal(0, 9, 3)
+        shape = tuple(int(n) for n in rng.integers(1, 30, 3))
+        o = respace.ordered(a, shape)
+        assert all(o.affine[w, w] > 0 or abs(o.affine[w, w]) <= 0.8 * np.linalg.norm(o.affine[:3, w]) for w in range(3)) and sorted(o.shape) == sorted(shape)
+        for upright in (False, True):
+            t = respace.respaced(a, shape, (1.5, 1.5, 2.0), upright)
+            assert np.allclose(np.linalg.norm(t.affine[:3, :3], axis=0), (1.5, 1.5, 2.0)) and np.allclose(a[:3] @ np.vstack([t.matrix, [0, 0, 0, 1]]), t.affine[:3])
+            if not upright:
+                assert np.allclose(t.affine[:3, 3], o.affine[:3, 3]) and all(abs((m - 1) * s - (n - 1) * d) <= s / 2 + 1e-6 for m, s, n, d in zip(t.shape, (1.5, 1.5, 2.0), o.shape, np.linalg.norm(o.affine[:3, :3], axis=0), strict=True))
+    same = respace.respaced(np.diag([1.5, 1.5, 2.0, 1]), (5, 6, 7), (1.5, 1.5, 2.0))
+    assert same.shape == (5, 6, 7) and np.allclose(same.matrix, np.eye(4)[:3])
+
+
+def test_resampling_in_blocks(spark):
+    """A general map over several blocks and tiles against one array, with border places and voxels that aren't stored."""
+    rng = np.random.default_rng(3)
+    shape, target = (9, 7, 8), (8, 6, 10)
+    image, label = rng.normal(size=shape), rng.integers(0, 5, shape)
+    image[rng.random(shape) < 0.1] = 0
+    m = np.array([[0.9137, 0.3071, -0.1053, 0.4019], [-0.2043, 1.1159, 0.2517, 0.3011], [0.1039, -0.1523, 0.8087, -0.7013]])
+    voxels = spark.createDataFrame([("s", *map(int, p), float(image[p]), int(label[p])) for p in np.ndindex(shape) if image[p] or label[p]], "s string, x int, y int, z int, value double, label int")
+    grids = spark.createDataFrame([("s", m.ravel().tolist(), list(target), list(shape))], "s string, matrix array<double>, shape array<int>, source array<int>")
+    for block, tile in ((32, 32), (4, 3), (3, 5), (1, 2)):
+        got = {(r.x, r.y, r.z): (r.value, r.label) for r in respace.resampled(voxels, grids, ["s"], block=block, tile=tile).collect()}
+        assert len(got) == np.prod(target)
+        for p in np.ndindex(target):
+            q = np.clip(m[:, :3] @ p + m[:, 3], 0, np.array(shape) - 1)
+            low = np.floor(q).astype(int)
+            want = sum(np.prod(np.where(c, q - low, 1 - q + low)) * image[tuple(np.minimum(low + c, np.array(shape) - 1))] for c in map(np.array, np.ndindex(2, 2, 2)))
+            assert abs(got[p][0] - want) < 1e-9 and got[p][1] == label[tuple(np.floor(q + 0.5).astype(int))]
