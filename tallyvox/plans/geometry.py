@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import grid, loss, respace, surface, topology
+from ..operators import grid, loss, respace, surface, topology, windows
 from ..operators.quantile import quantiles
 from ..sources import volumes
 from ..sources.shared import folder
@@ -213,6 +213,32 @@ def g07_g03_upright(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _respaced(spark, sf_dir, True, block=2, tile=3)
 
 
+def _windows_sql(size: int, overlap: float, halo: int) -> str:
+    """Window sums with their halo, and each voxel's mean of them, even and by bells."""
+    step = max(1, int(size * (1 - overlap)))
+    axes = [sorted({min(i, max(0, n - size)) for i in range(0, max(0, n - size) + step, step)}) for n in IMAGE_SHAPE]
+    bell = windows.weights(size, "gaussian", 0.25)
+    w = " * ".join(f"list_extract([{', '.join(f'{b:.17e}' for b in bell)}], CAST(v.{c} - s.{c}0 + 1 AS INTEGER))" for c in "xyz")
+    near = lambda h: " AND ".join(f"v.{c} >= {c}0 - {h} AND v.{c} < {c}0 + {size + h}" for c in "xyz")
+    return f"""WITH v AS (SELECT p_partkey AS subject, x.i AS x, y.i AS y, z.i AS z, (p_partkey + 3 * x.i + 5 * y.i + 7 * z.i) % 11 / 1e1 AS value FROM part, {", ".join(f"(SELECT range AS i FROM range({n})) {c}" for c, n in zip("xyz", IMAGE_SHAPE, strict=True))}),
+b AS (SELECT * FROM {", ".join(f"(SELECT unnest({a}) AS {c}0)" for c, a in zip("xyz", axes, strict=True))}),
+s AS (SELECT subject, x0, y0, z0, sum(value) AS total FROM v JOIN b ON {near(halo)} GROUP BY ALL)
+SELECT v.subject, v.x, v.y, v.z, round(avg(total), 6) AS even, round(sum(total * {w}) / sum({w}), 6) AS bell FROM v JOIN s ON s.subject = v.subject AND {near(0).replace("x0", "s.x0").replace("y0", "s.y0").replace("z0", "s.z0")} GROUP BY ALL"""
+
+
+@query(_windows_sql(3, 0.25, 1))
+def g10_windows_blended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of three places with a halo of one; each gives the sum of what it sees."""
+    by = ["subject"]
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("subject"))
+    x, y, z, s = (F.col(c) for c in ("x", "y", "z", "subject"))
+    voxels = grid.target_grid(parts, IMAGE_SHAPE).withColumn("value", (s + 3 * x + 5 * y + 7 * z) % 11 / 10)
+    scans = parts.withColumn("shape", F.array(*[F.lit(n) for n in IMAGE_SHAPE]))
+    out = windows.applied(windows.cut(voxels, scans, by, size=3, overlap=0.25, halo=1), np.sum, by, size=3, halo=1)
+    even, bell = windows.blended(out, by, size=3), windows.blended(out, by, size=3, kind="gaussian", sigma=0.25)
+    return even.withColumnRenamed("v", "even").join(bell.withColumnRenamed("v", "bell"), [*by, "x", "y", "z"]).select(*by, "x", "y", "z", F.round("even", 6).alias("even"), F.round("bell", 6).alias("bell"))
+
+
 @query("""WITH v AS (SELECT event_id, abs(event_id * 37 % 120) AS label, event_id % 14 AS z FROM events)
 SELECT event_id, CASE WHEN label BETWEEN 0 AND 4 THEN label ELSE 0 END AS clamped,
   CASE WHEN label IN (18, 50, 55) THEN 1 WHEN label IN (19, 51, 56) THEN 2 WHEN label IN (20, 52, 57) THEN 3 WHEN label IN (5, 6, 53, 58) THEN 4 ELSE 0 END AS full_body,

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyvox.operators import agreement, curate, distance, ensemble, grid, loss, report, respace, surface, topology
+from tallyvox.operators import agreement, curate, distance, ensemble, grid, loss, report, respace, surface, topology, windows
 from tallyvox.operators.quantile import quantiles
 from tallyvox.sources import files, formats, tables, volumes
 
@@ -305,3 +305,24 @@ def test_resampling_in_blocks(spark):
             low = np.floor(q).astype(int)
             want = sum(np.prod(np.where(c, q - low, 1 - q + low)) * image[tuple(np.minimum(low + c, np.array(shape) - 1))] for c in map(np.array, np.ndindex(2, 2, 2)))
             assert abs(got[p][0] - want) < 1e-9 and got[p][1] == label[tuple(np.floor(q + 0.5).astype(int))]
+
+
+def test_windows_with_a_halo(spark):
+    """A function of the neighbourhood, blended from windows with a halo, is that of the whole; scans smaller than a window too."""
+    rng = np.random.default_rng(4)
+    images = {"a": rng.normal(size=(11, 5, 7)), "small": rng.normal(size=(2, 3, 2))}
+    voxels = spark.createDataFrame([(s, *map(int, p), float(a[p])) for s, a in images.items() for p in np.ndindex(a.shape)], "s string, x int, y int, z int, value double")
+    scans = spark.createDataFrame([(s, list(a.shape)) for s, a in images.items()], "s string, shape array<int>")
+
+    def around(block):  # the sum of a place and its six neighbours
+        c = block[1:-1, 1:-1, 1:-1]
+        return c + block[2:, 1:-1, 1:-1] + block[:-2, 1:-1, 1:-1] + block[1:-1, 2:, 1:-1] + block[1:-1, :-2, 1:-1] + block[1:-1, 1:-1, 2:] + block[1:-1, 1:-1, :-2]
+
+    for size, overlap in ((4, 0.25), (4, 0.5), (3, 0.0)):
+        out = windows.applied(windows.cut(voxels, scans, ["s"], size=size, overlap=overlap, halo=1), around, ["s"], size=size, halo=1)
+        for kind in ("constant", "gaussian"):
+            got = {(r.s, r.x, r.y, r.z): r.v for r in windows.blended(out, ["s"], size=size, kind=kind).collect()}
+            assert len(got) == sum(a.size for a in images.values())
+            for s, a in images.items():
+                want = around(np.pad(a, 1))
+                assert all(abs(got[(s, *p)] - want[p]) < 1e-9 for p in np.ndindex(a.shape))
