@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import agreement, curate, report, surface, topology
 from ..sources import files, tables
-from ..sources.shared import written
+from ..sources.shared import folder, written
 from . import views
 from .agreement import AUDIT_SQL, BETTI_SQL, audit, elements_in_place
 from .registry import query, table
@@ -183,8 +184,6 @@ def s16_synthetic_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {NAMED_SQL} SELECT subject_id, status, mean_consensus_dice, mean_consensus_iou, mean_inter_model_dice, max_betti_diff, mean_uncertainty, max_uncertainty, triage_category FROM named")
 def s04_s05_k01_k03_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.shared import folder
-
     path = f"{folder(spark)}/audit-csv"
     tables.write_csv(named_audit(spark, sf_dir).select(*tables.AUDIT.names), path)
     return tables.read_shards(spark, path, tables.AUDIT).drop("file", "action")
@@ -192,8 +191,6 @@ def s04_s05_k01_k03_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {NAMED_SQL} SELECT subject_id FROM named WHERE triage_category = 'WEAK_COARSE'")
 def s06_k05_text_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.shared import folder
-
     path = f"{folder(spark)}/weak-list"
     tables.write_list(named_audit(spark, sf_dir).where(F.col("triage_category") == rules.WEAK), "subject_id", path)
     return tables.read_list(spark, path)
@@ -202,8 +199,6 @@ def s06_k05_text_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {NAMED_SQL} SELECT triage_category AS category, count(*) AS n FROM named WHERE status = 'SUCCESS' GROUP BY ALL
 UNION ALL SELECT 'TRAIN_POOL', count(*) FROM named WHERE status = 'SUCCESS' AND triage_category <> 'NOISE_REJECT'""")
 def s07_k06_json_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.shared import folder
-
     path = f"{folder(spark)}/manifest-json"
     limits = {"NOISE_BETTI_DIFF_MAX": rules.NOISE_BETTI_DIFF_MAX, "NOISE_DICE_MIN": rules.NOISE_DICE_MIN, "CLEAN_DICE_MIN": rules.CLEAN_DICE_MIN}
     tables.split_manifest(curate.splits(named_audit(spark, sf_dir)), limits).write.mode("overwrite").text(path)
@@ -462,8 +457,6 @@ def r09_r10_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def r07_r08_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import monitor
-    from ..sources.shared import folder
-
     at = folder(spark)
     e = table(spark, sf_dir, "events").select("event_id", "event_type")
     e.repartition(4).write.parquet(f"{at}/arrived")
@@ -520,8 +513,6 @@ def r11_deliverables(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, CASE WHEN id % 5 = 0 THEN v + 100 ELSE v END AS v, batch FROM first
 UNION ALL SELECT p_partkey, p_size + 100, (SELECT max(batch) + 1 FROM first) + (row_number() OVER (ORDER BY p_partkey) - 1) // 50 FROM part WHERE p_partkey % 20 = 0""")
 def k02_checkpoint_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.shared import folder
-
     at, p = folder(spark), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("v"))
     tables.checkpoint(p.where("id % 4 > 0"), at, "id", every=50)
     tables.upsert(spark, at, p.where("id % 5 = 0").withColumn("v", F.col("v") + 100), "id", every=50)
@@ -536,3 +527,44 @@ def r07_elapsed_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     minutes, clock = monitor.elapsed(F.col("a"), F.col("b"))
     spans = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     return spans.select("user_id", minutes.alias("minutes"), clock.alias("clock"))
+
+
+@query("""WITH r AS (SELECT user_id AS subject, event_id AS seen, round(value, 6) AS value FROM events)
+SELECT subject, max(seen) AS seen, round(max_by(value, seen), 6) AS value, count(*) AS n FROM r GROUP BY subject""")
+def k02_r06_stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each subject's newest row by a stream into a versioned table; the first run is stopped between a batch's files and its manifest, and the stream goes on from its checkpoint."""
+    from ..sources.versions import VersionedTable
+    from ..streaming import monitor
+
+    at = folder(spark)
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("subject"), F.col("event_id").alias("seen"), F.round("value", 6).alias("value"))
+    e.repartition(3).write.parquet(f"{at}/arrived")
+    kept = VersionedTable(spark, f"{at}/table", "subject long, seen long, value double", "subject", buckets=8)
+
+    def stop() -> None:
+        raise InterruptedError("stopped between files and manifest")
+
+    def broken(rows: DataFrame, batch: int) -> None:
+        kept.upsert(rows, batch, "stream", latest="seen", between=stop if batch == 1 else None)
+
+    watch = lambda: monitor.watch(spark, f"{at}/arrived", e.schema)
+    try:
+        monitor.process(watch(), broken, f"{at}/checkpoint").awaitTermination()
+    except StreamingQueryException:
+        pass
+    monitor.upsert(watch(), kept, f"{at}/checkpoint", latest="seen").awaitTermination()
+    return kept.read().join(e.groupBy("subject").agg(F.count("*").alias("n")), "subject").select("subject", "seen", "value", "n")
+
+
+@query("""WITH c AS (SELECT event_id % 5 AS batch, count(*) AS rows FROM events GROUP BY ALL), n AS (SELECT batch, rows, sum(rows) OVER (ORDER BY batch) AS n, (SELECT count(*) // 2 FROM events) AS target FROM c)
+SELECT CAST(batch AS INTEGER) AS batch, rows, CAST(n AS BIGINT) AS n, least(round(100e0 * n / target, 1), 100) AS percent, n >= target AS finished FROM n WHERE n - rows < target""")
+def r08_monitor_until(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A count that ends its query by itself when half of all events are there: a row for each batch."""
+    from ..streaming import monitor
+
+    at = folder(spark)
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    for part in range(5):  # five files, one after the other
+        e.where(F.col("event_id") % 5 == part).coalesce(1).write.mode("append").parquet(f"{at}/arrived")
+    monitor.until(monitor.watch(spark, f"{at}/arrived", e.schema), e.count() // 2, f"{at}/progress", f"{at}/checkpoint", every="0 seconds")
+    return spark.read.schema("batch int, rows long, n long, percent double, finished boolean").parquet(f"{at}/progress")

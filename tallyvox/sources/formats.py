@@ -26,23 +26,24 @@ COLUMNS = "path string, subject string, status string, shape array<int>, spacing
 VOXELS = {"x", "y", "z", "label"}
 
 
-def listed(folder: str, suffix: str) -> list[tuple[str, int]]:
-    """(path, size) of the files below a folder, or of one file."""
+def store_of(path: str):
+    """(file system, path in it)."""
     from pyarrow import fs
 
-    store, base = _store(folder)
-    found = store.get_file_info(base)
-    if found.type == fs.FileType.File:
-        return [(folder, found.size)]
-    head = folder[: len(folder) - len(base)] if folder.endswith(base) else ""
-    rows = store.get_file_info(fs.FileSelector(base, recursive=True))
-    return sorted((head + f.path, f.size) for f in rows if f.type == fs.FileType.File and f.path.endswith(suffix))
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def _store(path: str):
+def infos(folder: str, suffix: str) -> list[tuple[str, int, int]]:
+    """(path, size, time of change in ns) of the files below a folder, or of one file."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    store, base = store_of(folder)
+    found = store.get_file_info(base)
+    if found.type == fs.FileType.File:
+        return [(folder, found.size, found.mtime_ns)]
+    head = folder[: len(folder) - len(base)] if folder.endswith(base) else ""
+    rows = store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
+    return sorted((head + f.path, f.size, f.mtime_ns) for f in rows if f.type == fs.FileType.File and f.path.endswith(suffix))
 
 
 class Files(InputPartition):
@@ -78,7 +79,7 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         groups, held = [], self.size
-        for path, size in listed(self.folder, self.suffix):
+        for path, size, _ in infos(self.folder, self.suffix):
             if self.wanted(path):
                 if held + size > self.size:
                     groups.append([])
@@ -97,7 +98,7 @@ class Reader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array([row[c]], _arrow(self.types[c])) for c in self.names], names=self.names)
 
     def values(self, path: str) -> dict:
-        store, base = _store(path)
+        store, base = store_of(path)
         with store.open_input_stream(base, compression=None) as raw:
             if not VOXELS & set(self.names):
                 head = self.header(raw)
