@@ -34,11 +34,15 @@ def manifest(audit: DataFrame, teacher: DataFrame | None = None, use_weak: bool
     return out
 
 
-def splits(audit: DataFrame, subject: str = "subject_id") -> DataFrame:
-    """(category, n, subject_ids sorted), and the training pool of clean and weak ones. The lists are the manifest's own content; large cohorts read the audit table by category."""
+def split_rows(audit: DataFrame, subject: str = "subject_id") -> DataFrame:
+    """(category, subject_id): the subjects of each category, and of the training pool of clean and weak ones."""
     ok = succeeded(audit).where("triage_category is not null")
-    both = ok.select(F.explode(F.when(F.col("triage_category").isin(CLEAN, WEAK), F.array("triage_category", F.lit("TRAIN_POOL"))).otherwise(F.array("triage_category"))).alias("category"), F.col(subject).cast("string").alias("s"))
-    return both.groupBy("category").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("s")), ",").alias("subject_ids"))
+    return ok.select(F.explode(F.when(F.col("triage_category").isin(CLEAN, WEAK), F.array("triage_category", F.lit("TRAIN_POOL"))).otherwise(F.array("triage_category"))).alias("category"), F.col(subject).cast("string").alias("subject_id"))
+
+
+def splits(audit: DataFrame, subject: str = "subject_id") -> DataFrame:
+    """(category, n, subject_ids sorted) of split_rows(), the lists as one text each: for a report. `manifests.commit()` writes cohorts of any size."""
+    return split_rows(audit, subject).groupBy("category").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("subject_id")), ",").alias("subject_ids"))
 
 
 def ranked(df: DataFrame, order: list[Column], name: str = "rn", by: list[str] | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import metrics as m
 from ..functions import rules
 from ..functions.metrics import Empty
 from ..operators import agreement, ensemble, topology
+from ..sources.cache import cached
 from ..sources.shared import written
 from . import views
 from .registry import query
@@ -144,11 +145,15 @@ ACTION_SQL = "CASE triage_category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k,
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The audit table with category and action, written once: what is built on it reads it more than once."""
-    elements = written(elements_in_place(spark, sf_dir))
-    found = ensemble.audit(elements, topology.betti_differences(elements, 3, list(rules.ORGANS)), 3)
-    category = rules.triage(*(F.col(c) for c in ("mean_consensus_dice", "mean_inter_model_dice", "max_betti_diff", "mean_uncertainty")))
-    return written(found.withColumn("triage_category", category).withColumn("action", rules.action(F.col("triage_category"))))
+    """The audit table with category and action, made once for the file it's made from."""
+
+    def make() -> DataFrame:
+        elements = written(elements_in_place(spark, sf_dir))
+        found = ensemble.audit(elements, topology.betti_differences(elements, 3, list(rules.ORGANS)), 3)
+        category = rules.triage(*(F.col(c) for c in ("mean_consensus_dice", "mean_inter_model_dice", "max_betti_diff", "mean_uncertainty")))
+        return found.withColumn("triage_category", category).withColumn("action", rules.action(F.col("triage_category")))
+
+    return cached(spark, "audit", [f"{sf_dir}/events.parquet"], make)
 
 
 @query(f"WITH RECURSIVE {AUDIT_SQL} SELECT *, {ACTION_SQL} AS action FROM triaged")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import agreement, curate, report, surface, topology
-from ..sources import files, tables
+from ..sources import files, manifests, tables
+from ..sources.cache import cached
 from ..sources.shared import folder, written
 from . import views
 from .agreement import AUDIT_SQL, BETTI_SQL, audit, elements_in_place
@@ -175,11 +176,12 @@ def s17_merged_organs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.merged_organs(v, ["subject"]).withColumnRenamed("label", "by_id").join(files.merged_by_file(v, ["subject"]).withColumnRenamed("label", "by_file"), ["subject", "x", "y", "z"])
 
 
-@query("""WITH g AS (SELECT s.i AS s, x.i AS x, y.i AS y, z.i AS z FROM (SELECT range AS i FROM range(3)) s, (SELECT range AS i FROM range(32)) x, (SELECT range AS i FROM range(32)) y, (SELECT range AS i FROM range(32)) z),
+@query("""WITH g AS (SELECT s.s_suppkey AS s, x.i AS x, y.i AS y, z.i AS z FROM supplier s, (SELECT range AS i FROM range(32)) x, (SELECT range AS i FROM range(32)) y, (SELECT range AS i FROM range(32)) z),
 l AS (SELECT printf('DUMMY_%03d', s) AS subject_id, CASE WHEN y BETWEEN 4 AND 11 AND z BETWEEN 4 AND 11 THEN CASE WHEN x BETWEEN 4 AND 11 THEN 1 WHEN x BETWEEN 12 AND 17 THEN 2 WHEN x BETWEEN 18 AND 23 THEN 3 WHEN x BETWEEN 24 AND 29 THEN 4 ELSE 0 END ELSE 0 END AS label FROM g)
 SELECT subject_id, label, count(*) AS n FROM l GROUP BY ALL""")
 def s16_synthetic_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.synthetic_cohort(spark, 3).groupBy("subject_id", "label").agg(F.count("*").alias("n"))
+    subjects = table(spark, sf_dir, "supplier").select(F.format_string("DUMMY_%03d", F.col("s_suppkey")).alias("subject_id"))
+    return files.synthetic_cohort(subjects).groupBy("subject_id", "label").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH RECURSIVE {NAMED_SQL} SELECT subject_id, status, mean_consensus_dice, mean_consensus_iou, mean_inter_model_dice, max_betti_diff, mean_uncertainty, max_uncertainty, triage_category FROM named")
@@ -341,7 +343,11 @@ long AS (SELECT subject, organ, rater, CASE WHEN coalesce(a + b, 0) > 0 THEN 2e0
 
 
 def audit_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(subject, organ, rater, dice, hd95) of two raters against the first; hd95 is missing where a side lacks the organ. Written once: what is built on it reads it more than once."""
+    """(subject, organ, rater, dice, hd95) of two raters against the first; hd95 is missing where a side lacks the organ. Made once for the file it's made from."""
+    return cached(spark, "audit-long", [f"{sf_dir}/events.parquet"], lambda: _audit_long(spark, sf_dir))
+
+
+def _audit_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = views.placed(spark, sf_dir)
     pair = lambda label, rater: F.struct(F.col(label).alias("pred"), F.lit(rater).alias("rater"))
     pairs = v.select("subject", "x", "y", "z", F.col("l1").alias("gt"), F.explode(F.array(pair("l2", "swin"), pair("l3", "mednext"))).alias("v")).select("subject", "x", "y", "z", "gt", "v.*")
@@ -349,7 +355,7 @@ def audit_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = F.array(F.struct(F.lit("a").alias("rater"), F.col("gt").alias("organ")), F.struct(F.lit("b").alias("rater"), F.col("pred").alias("organ")))
     masks = pairs.withColumnRenamed("rater", "model").select("subject", "model", "x", "y", "z", F.explode(sides).alias("s")).select("subject", "model", "x", "y", "z", "s.*").where("organ > 0")
     far = surface.surface_distances(masks, ["subject", "organ", "model"], views.SPACING).select("subject", "organ", "model", "hd95")
-    return written(c.join(far, ["subject", "organ", "model"], "left").withColumnRenamed("model", "rater"))
+    return c.join(far, ["subject", "organ", "model"], "left").withColumnRenamed("model", "rater")
 
 
 @query(f"WITH {LONG_SQL} SELECT rater, round(avg(dice), 4) AS dice, round(avg(hd95), 4) AS hd95 FROM long GROUP BY rater")
@@ -568,3 +574,12 @@ def r08_monitor_until(spark: SparkSession, sf_dir: str) -> DataFrame:
         e.where(F.col("event_id") % 5 == part).coalesce(1).write.mode("append").parquet(f"{at}/arrived")
     monitor.until(monitor.watch(spark, f"{at}/arrived", e.schema), e.count() // 2, f"{at}/progress", f"{at}/checkpoint", every="0 seconds")
     return spark.read.schema("batch int, rows long, n long, percent double, finished boolean").parquet(f"{at}/progress")
+
+
+@query(f"""WITH RECURSIVE {NAMED_SQL} SELECT triage_category AS category, subject_id FROM named WHERE status = 'SUCCESS'
+UNION ALL SELECT 'TRAIN_POOL', subject_id FROM named WHERE status = 'SUCCESS' AND triage_category <> 'NOISE_REJECT'""")
+def p17_k06_committed_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids in files by category, told by one small manifest, read back from it."""
+    at = folder(spark)
+    manifests.commit(curate.split_rows(named_audit(spark, sf_dir)), at, {"CLEAN_DICE_MIN": rules.CLEAN_DICE_MIN}, rows_per_file=100)
+    return manifests.read(spark, at)

@@ -62,12 +62,29 @@ def aliases_of(subject: Column, prefix: str = "BDMAP_") -> Column:
     return F.array_distinct(F.array(subject, bare, F.regexp_replace(bare, "^0+", "")))
 
 
-def by_alias(subjects: DataFrame, files: DataFrame, prefix: str = "BDMAP_") -> DataFrame:
-    """(subject_id, alias, path): the file whose path has an alias of the subject, by the first alias with any; consensus files first, then by path. The subjects are few and are sent to the files."""
-    wanted = subjects.select("subject_id", F.posexplode(aliases_of(F.col("subject_id"), prefix)).alias("nth", "alias"))
-    hits = files.join(F.broadcast(wanted), F.contains(F.col("path"), F.col("alias")) & (F.col("alias") != ""))
-    order = Window.partitionBy("subject_id").orderBy("nth", ~F.contains(F.lower("path"), F.lit("consensus")), "path")
-    return hits.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").select("subject_id", "alias", "path")
+def _piece(path: Column, n: int):
+    return lambda i: F.substr(path, i, F.lit(n))
+
+
+#: Aliases that are sent to all tasks; with more, they and the paths' pieces are joined by a shuffle.
+SENT_ALIASES = 1 << 18
+
+
+def by_alias(subjects: DataFrame, files: DataFrame, prefix: str = "BDMAP_", sent: int = SENT_ALIASES) -> DataFrame:
+    """(subject_id, alias, path): the file whose path has an alias of the subject, by the first alias with any; consensus files first, then by path.
+
+    A path is cut into all its pieces that are as long as some alias, and pieces are joined with aliases by equality, so that no
+    path is held against every alias. There are few lengths of aliases.
+    """
+    wanted = subjects.select("subject_id", F.posexplode(aliases_of(F.col("subject_id"), prefix)).alias("nth", "alias")).where("alias <> ''")
+    known = wanted.groupBy(F.length("alias").alias("n")).agg(F.count("*").alias("m")).collect()  # a row for each length
+    path = F.col("path")
+    empty = F.array().cast("array<string>")
+    pieces = [F.when(F.length(path) >= r.n, F.transform(F.sequence(F.lit(1), F.length(path) - r.n + 1), _piece(path, r.n))).otherwise(empty) for r in known]
+    cut = files.select("path", F.explode(F.array_distinct(F.flatten(F.array(*pieces)))).alias("alias")) if known else files.select("path", F.lit(None).cast("string").alias("alias"))
+    hits = cut.join(F.broadcast(wanted) if sum(r.m for r in known) <= sent else wanted, "alias")
+    first = F.min(F.struct("nth", (~F.contains(F.lower("path"), F.lit("consensus"))).alias("plain"), "path", "alias"))
+    return hits.groupBy("subject_id").agg(first.alias("m")).select("subject_id", "m.alias", "m.path")
 
 
 def resolved_label(subjects: DataFrame, files: DataFrame) -> DataFrame:
@@ -87,11 +104,11 @@ def merged_by_file(voxels: DataFrame, by: list[str]) -> DataFrame:
     return voxels.groupBy(*by, "x", "y", "z").agg(F.max(F.struct("name", "organ")).alias("m")).select(*by, "x", "y", "z", F.col("m.organ").alias("label"))
 
 
-def synthetic_cohort(spark: SparkSession, n: int, seed: int = 42, size: int = 32) -> DataFrame:
-    """(subject_id, x, y, z, label, hu): four adjacent boxes in a cube, and Gaussian noise."""
+def synthetic_cohort(subjects: DataFrame, seed: int = 42, size: int = 32) -> DataFrame:
+    """(subject_id, x, y, z, label, hu) for each of subjects(subject_id): four adjacent boxes in a cube, and Gaussian noise."""
     edges = [4, 12, 18, 24, 30]
     side = F.sequence(F.lit(0), F.lit(size - 1))
-    rows = spark.range(n).select(F.format_string("DUMMY_%03d", F.col("id")).alias("subject_id"))
+    rows = subjects.select("subject_id")
     for c in "xyz":
         rows = rows.withColumn(c, F.explode(side))
     label = F.lit(0)

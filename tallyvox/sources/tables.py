@@ -69,13 +69,13 @@ def checkpoint(rows: DataFrame, path: str, key: str, every: int = 50, start: int
 
 
 def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str, every: int = 50) -> None:
-    """Resume: rows whose key is there replace it in its batch, which is written anew; others go to new batches. rows has one row a key."""
+    """Resume: rows whose key is there replace it in its batch, which is written anew; others go to new batches. rows has one row a key. A stop between the two writes is mended by a repeated run with the same rows; `versions.VersionedTable` is whole or not at all."""
     from .shared import written
 
     old = spark.read.parquet(path)
     last = old.agg(F.max("batch")).first()[0]
     placed = written(rows.join(old.select(key, "batch"), key, "left"))
     touched = placed.where("batch is not null").select("batch").distinct()
-    kept = old.join(F.broadcast(touched), "batch", "left_semi").join(rows.select(key), key, "left_anti")
+    kept = old.join(touched, "batch", "left_semi").join(rows.select(key), key, "left_anti")
     append_partition(written(kept.unionByName(placed.where("batch is not null"))), path, "batch")
     checkpoint(placed.where("batch is null").drop("batch"), path, key, every, 0 if last is None else last + 1)

@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from tallyvox.sources import cache, files, manifests
 from tallyvox.sources.versions import VersionedTable
 from tallyvox.streaming import monitor, settled
 
@@ -153,3 +154,64 @@ def test_monitor_ends_itself(spark, tmp_path):
     spark.range(30).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     monitor.until(watch(), 70, f"{tmp_path}/p3", f"{tmp_path}/c3", every="0 seconds", most=60)
     assert told(f"{tmp_path}/p3")[-1][2:] == (80, 100.0, True)
+
+
+def test_cache_is_kept_by_input(spark, tmp_path):
+    """A second query reads what the first one wrote; a changed input makes it anew and drops the old one; a failed one leaves nothing."""
+    made, source, at = [], f"{tmp_path}/in", f"{tmp_path}/cache"
+
+    def make():
+        made.append(1)
+        return spark.read.parquet(source).selectExpr("id * 2 AS twice")
+
+    def got():
+        return sorted(r.twice for r in cache.cached(spark, "t", [source], make, at=at).collect())
+
+    spark.range(3).write.parquet(source)
+    assert got() == got() == [0, 2, 4] and len(made) == 1
+    spark.range(2).write.mode("append").parquet(source)
+    assert got() == got() == [0, 0, 2, 2, 4] and len(made) == 2
+    assert len([p for p in (tmp_path / "cache" / "t").iterdir() if not p.name.startswith(".")]) == 1
+    with pytest.raises(ZeroDivisionError):
+        cache.cached(spark, "bad", [source], lambda: 1 / 0, at=at)
+    assert cache.cached(spark, "t", [f"{tmp_path}/other"], lambda: spark.range(1).selectExpr("id AS twice"), at=at).count() == 1 and len(made) == 2 and got() and len(made) == 2
+
+
+def test_manifests_tell_what_is_there(spark, tmp_path):
+    """Files of few ids, odd category names, versions, a stop before the manifest, changed and missing files."""
+    at = f"{tmp_path}/m"
+    rows = [("A", f"s{i:03d}") for i in range(25)] + [("B b/=", "x"), ("B b/=", "y")]
+    df = spark.createDataFrame(rows, "category string, subject_id string").repartition(3)
+    told = manifests.commit(df, at, {"t": 0.5}, rows_per_file=10)
+    assert {c: s["count"] for c, s in told["splits"].items()} == {"A": 25, "B b/=": 2} and len(told["splits"]["A"]["files"]) >= 3
+    assert told["thresholds"] == {"t": 0.5} and "s001" not in str(told)
+    back = lambda *a: sorted(tuple(r) for r in manifests.read(spark, at, *a).collect())
+    assert back() == sorted(rows) and back(["B b/="]) == [("B b/=", "x"), ("B b/=", "y")] and back(["none"]) == []
+    manifests.commit(df.where("category = 'A' and subject_id < 's003'"), at, {})
+    assert back() == [("A", f"s{i:03d}") for i in range(3)] and manifests.latest(spark, at)["version"] == 2
+    part = next(p for p in (tmp_path / "m" / manifests.latest(spark, at)["folder"]).rglob("part-*"))
+    part.write_text(part.read_text().replace("s001", "s009"))
+    (part.parent / f".{part.name}.crc").unlink()
+    with pytest.raises(ValueError, match="aren't those"):
+        back()
+    manifests.commit(df.limit(0), at, {})
+    assert back() == []
+    with pytest.raises(FileNotFoundError):
+        manifests.read(spark, f"{tmp_path}/none")
+
+
+@pytest.mark.parametrize("sent", [100, 0])
+def test_aliases_by_pieces_of_paths(spark, sent):
+    """As a search for each alias in each path; no join without a key."""
+    subjects = ["BDMAP_00000012", "BDMAP_00000120", "P7", "00", "", "BDMAP_", "none"]
+    paths = ["a/BDMAP_00000012.nii", "b/12_consensus.nii", "b/12.nii", "c/120/x", "c/0120_Consensus", "P7/P7/P7", "", "7", "x00000012y"]
+    found = files.by_alias(spark.createDataFrame([(s,) for s in subjects], "subject_id string"), spark.createDataFrame([(p,) for p in paths], "path string"), sent=sent)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    want = set()
+    for s in subjects:
+        bare = s.replace("BDMAP_", "")
+        hits = [(n, "consensus" not in p.lower(), p, a) for n, a in enumerate(dict.fromkeys([s, bare, bare.lstrip("0")])) for p in paths if a and a in p]
+        if hits:
+            want.add((s, min(hits)[3], min(hits)[2]))
+    assert {tuple(r) for r in found.collect()} == want and len(want) >= 4
