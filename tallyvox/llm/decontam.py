@@ -33,6 +33,8 @@ if TYPE_CHECKING:
 SPAN = 10
 #: Test words sent to all tasks as a filter, at most; with more, all words are counted and stored.
 FILTER_WORDS = 1 << 21
+#: Candidates that are sent to the documents, at most; with more, the documents are sorted and merged with them.
+SENT_BYTES = 16 << 20
 
 
 class Members:
@@ -159,10 +161,15 @@ class Index:
         found = self.phrases().join(listed, "item").groupBy(*KEY).agg(F.collect_list(F.struct("item_id", "begin", "words")).alias("found"))  # what one document's own words agree with
         return written(found, "found")
 
+    def sent(self) -> DataFrame:
+        """candidates() for a join with the documents: sent to all tasks where they are few, by their counted bytes, so that no text moves; else for a merge join."""
+        found = self.candidates()
+        size = found.agg(F.sum(F.aggregate("found", F.lit(64).cast("long"), lambda n, x: n + 8 * F.size(x["words"]) + 64))).first()[0] or 0
+        return F.broadcast(found) if size <= SENT_BYTES else found.hint("merge")
+
     def matches(self) -> DataFrame:
         """(doc_id, text, found): each document and the candidate phrases in it, null where there are none."""
-        # always a merge join: how many documents match isn't bounded, and the plan is to be the same at every size
-        return self.docs.join(self.candidates().hint("merge"), KEY, "left").select("doc_id", "text", "found")
+        return self.docs.join(self.sent(), KEY, "left").select("doc_id", "text", "found")
 
 
 def hits(h: np.ndarray, found: list[tuple[str, int, np.ndarray]], span: int) -> tuple[np.ndarray, set[str]]:
@@ -206,7 +213,7 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs (all columns) without the contaminated ones."""
-    found = Index(docs, items, doc_id=doc_id, text=text, **options).candidates().hint("merge")
+    found = Index(docs, items, doc_id=doc_id, text=text, **options).sent()
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"), *[v.alias(k) for k, v in key_of(doc_id, text).items()]).join(found, KEY, "left").select("row", "text", "found")
     span = options.get("span", SPAN)
 

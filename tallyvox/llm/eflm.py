@@ -12,7 +12,11 @@ probabilities sum to one. Values have 8 bits each.
     One task builds a part and writes it to one file in the shared folder: a trie with v at its root, below it the u with
     their w (trigrams) and the w of v (bigrams).
  3. For scoring, a task sends its tokens, sorted, each with the place of its text, to the tasks of their parts. Many lookups
-    of one part are dealt out to several tasks, which all map its file. Sums go back to the texts' own partitions.
+    of one part are dealt out to several tasks, which all map its file. Sums go back to the texts' own partitions, as 32-bit
+    numbers: a score is exact to some 1e-7 of itself, beside the 8 bits of the model's values.
+
+A part holds so many tokens however large the corpus is; their number grows. Very long texts are scored whole: a text is one
+row of word numbers, two to eight bytes a word, until its tokens are sent to their parts.
 
 Null and empty texts are their end token. Repeated rows are scored each on its own. A null id is training text. Without
 training text every probability is 1 / (V + 1) with V = 0. Columns other than id and text aren't read, but those to be kept.
@@ -21,11 +25,11 @@ spark.checkpoint.dir must be a folder that tasks can open as files.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import os
 import uuid
-import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -48,8 +52,8 @@ TOP, BITS = U(1 << 63), U(21)
 OTHER = 1 << 20
 ELSEWHERE, START = U(OTHER - 2), U(OTHER - 1)
 LEAST, DISCOUNT = 2, 0.75
-#: Training tokens a part of the model is to hold (more, when there would be over PARTS parts), and tokens a task holds before it sends them on.
-PART_TOKENS, PARTS, FLUSH = 1 << 21, 1 << 16, 1 << 20
+#: Training tokens a part of the model is to hold, and tokens a task holds before it sends them on: MOST where there are so many parts that few tokens go to each.
+PART_TOKENS, FLUSH, MOST = 1 << 21, 1 << 20, 1 << 23
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 END = np.uint64(0x5E4DE4D5E4DE4D5F)
 #: Distinct keys a task counts before it sends them on.
@@ -393,6 +397,7 @@ class Model:
         self.log_p1 = np.log10(self.p1)
         self.split = np.ones(OTHER, np.int64)
         self.split[: len(self.count)] = -(-self.count // part_tokens)
+        self.flush = min(MOST, max(FLUSH, 32 * self.parts))
         self.held: tuple[int, Part | None] = (-1, None)
 
     def named(self, h: np.ndarray) -> np.ndarray:
@@ -418,7 +423,7 @@ class Model:
         return np.repeat(self.place(np.where(v == START, w, v), nth), np.diff(np.append(first, len(new))))
 
     def path(self, part: int) -> str:
-        return f"{self.folder}/{part}.trie"
+        return f"{self.folder}/{part >> 12}/{part}.trie"
 
     def find(self, part: int, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.held[0] != part:
@@ -445,13 +450,13 @@ def before(w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.where(first[:-1], START, np.append(START, v[:-1])), v, w
 
 
-_models: dict[int, Model] = {}
+_models: dict[bytes, Model] = {}
 
 
 def model_of(sent) -> Model:
     """This worker's model of a broadcast's bytes."""
     raw = sent.value
-    key = zlib.crc32(raw)
+    key = hashlib.blake2b(raw, digest_size=16).digest()
     if key not in _models:
         _models.clear()
         _models[key] = Model(raw)
@@ -518,8 +523,8 @@ def routed(m: Model, grams: Grams, more: dict[str, np.ndarray], deal: bool) -> I
     part = m.part_of(*grams.words())
     order = np.argsort(part.astype(np.uint16) if m.parts <= 1 << 16 else part, kind="stable")  # within a part the order stays
     room = 2 * len(part) // m.parts + 1024 if deal else len(part)
-    edge = np.searchsorted(part[order], np.arange(m.parts + 1))
-    pieces = [(s, i, order[lo : min(lo + room, edge[s + 1])]) for s in np.flatnonzero(np.diff(edge)) for i, lo in enumerate(range(edge[s], edge[s + 1], room))]
+    edge = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(part)).tolist()  # parts that have any
+    pieces = [(part[order[a]], i, order[lo : min(lo + room, b)]) for a, b in zip(edge, edge[1:], strict=False) for i, lo in enumerate(range(a, b, room))]
     for i in range(0, len(pieces), 64):
         some = pieces[i : i + 64]
         told = [grams.take(q).bytes() for *_, q in some]
@@ -536,7 +541,6 @@ def train(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), training: str
     small_batches(spark)
     counts = written((docs.where(training) if training else docs).select("text").mapInArrow(counting, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "unigrams")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    part_tokens = max(part_tokens, -(-total // PARTS))
     parts = -(-total // part_tokens) or 1
     folder = shared_dir(spark)
     if "://" in folder.removeprefix("file://"):
@@ -556,7 +560,7 @@ def build(spark: SparkSession, table: DataFrame, sent, folder: str, discount: fl
     """Write all parts."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        for u, v, w, _ in gathered(texts(batches), FLUSH):
+        for u, v, w, _ in gathered(texts(batches), model_of(sent).flush):
             q = v != START
             yield u[q], v[q], w[q]
 
@@ -622,6 +626,7 @@ def build(spark: SparkSession, table: DataFrame, sent, folder: str, discount: fl
             found = [np.concatenate([x[i] for x in of]) if of else np.zeros(0, U) for i in range(3)]
             c = np.concatenate([loose(r["c"], np.uint32) for r in own]).astype(np.int64) if own else np.zeros(0, np.int64)
             two = [np.concatenate([loose(r[k], kind) for r in split]).astype(U) if split else np.zeros(0, U) for k, kind in (("v", np.uint32), ("w", U), ("c", U))]
+            os.makedirs(os.path.dirname(m.path(part)), exist_ok=True)
             Part.write(m.path(part), (*found, c), (*two[:2], two[2].astype(np.int64)), discount)
             built += 1
         yield tx.batch(built=np.array([built]))
@@ -656,7 +661,7 @@ def score(trained: Trained, docs: DataFrame | None = None, keep: tuple[str, ...]
 
     def lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_of(sent)
-        for u, v, w, row in gathered(texts(batches), FLUSH):
+        for u, v, w, row in gathered(texts(batches), model_of(sent).flush):
             found, at = Grams.of(u, v, w)
             new = np.append(True, row[1:] != row[:-1])  # rows rise
             names = row[new]

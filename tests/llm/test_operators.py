@@ -371,9 +371,17 @@ def test_headers_and_urls(spark):
 # 6
 
 
+def test_decontamination_moves_no_text(spark):
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    for found in (decontam.contamination(docs, items), decontam.clean(docs, items)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
 @pytest.mark.parametrize(("span", "few"), [(10, 1 << 21), (3, 1 << 21), (3, 0)])
 def test_decontamination(spark, frame, odd, span, few, monkeypatch):
     monkeypatch.setattr(decontam, "FILTER_WORDS", few)  # with too many words for a filter, all are stored
+    monkeypatch.setattr(decontam, "SENT_BYTES", few)  # and candidates are merged
     token = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     cut = lambda t: token.findall((t or "").translate(LOWER))
     passage = cut(odd[20][1])
