@@ -84,8 +84,8 @@ def floor_chunk(rn: Column, n: Column, workers: int) -> Column:
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows by the hash of their key: a sampling operator, its size is its feature."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """The first n rows of the seeded shuffle: a sampling operator, its size is its feature."""
+    return df.orderBy(shuffled(F.col(key), seed), key).limit(n)
 
 
 def review_queue(pool: DataFrame, k: int = 10) -> DataFrame:

@@ -233,7 +233,7 @@ def r04_r05_shuffled_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", curate.fold_of(rn, n, 4).alias("fold"), (rn <= F.floor(0.8 * n)).alias("train"), (rn <= F.greatest(F.lit(1), F.floor(0.2 * n))).alias("validation"))
 
 
-@query()
+@query("SELECT c_custkey FROM customer ORDER BY md5('42:' || c_custkey), c_custkey LIMIT 50")
 def t04_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.sample(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 50)
 
@@ -583,3 +583,30 @@ def p17_k06_committed_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = folder(spark)
     manifests.commit(curate.split_rows(named_audit(spark, sf_dir)), at, {"CLEAN_DICE_MIN": rules.CLEAN_DICE_MIN}, rows_per_file=100)
     return manifests.read(spark, at)
+
+
+@query("SELECT replace(p_brand, '#', '-') || '.txt' AS name, count(*) AS ids, sum(p_partkey) AS total FROM part GROUP BY p_brand")
+def r07_settled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder polled by a clock's trigger: a file of ids for each brand, each taken once it has stopped growing, read in tasks and put into a versioned table."""
+    from ..sources import volumes
+    from ..sources.versions import VersionedTable
+    from ..streaming import monitor, settled
+
+    at = folder(spark)
+    brands = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_list(F.col("p_partkey").cast("string"))), "\n").alias("ids"))  # a file's own content
+    rows = brands.select(F.concat(F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit(".txt")).alias("path"), F.encode("ids", "UTF-8").alias("content"))
+    there = volumes.exported(rows, f"{at}/in").agg(F.count("*")).first()[0]
+    settled.register(spark)
+    out = VersionedTable(spark, f"{at}/table", "name string, ids long, total long", "name", buckets=8)
+    stream = spark.readStream.format("settledfiles").option("log", f"{at}/log").option("maxFiles", 10).load(f"{at}/in")
+    ids = F.transform(F.split(F.decode("content", "UTF-8"), "\n"), lambda x: x.cast("long"))
+    told = stream.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.size(ids).cast("long").alias("ids"), F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    running = monitor.upsert(told, out, f"{at}/checkpoint", every="200 milliseconds")
+    try:
+        while running.isActive and out.read().count() < there:
+            running.awaitTermination(0.2)
+        if running.exception():
+            raise running.exception()
+    finally:
+        running.stop()
+    return out.read()
