@@ -137,8 +137,12 @@ class Runs:
     def compact(self, k: int) -> None:
         """The runs of level k as one of the next. It's written before they are removed."""
         self.write(self.summed(k), k + 1)
+        self.drop(k)
+
+    def drop(self, k: int) -> None:
+        """Remove a level and its files."""
         self.runs[k] = 0
-        self.spark.sql(f"DROP TABLE {self.level(k)}")
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.level(k)}")
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{self.level(k)}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -199,4 +203,7 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", docume
     runs = Runs(spark, documents)
     for batch in range(batches):
         runs.add(counts.where(F.col("batch") == batch))
-    return stripped(docs, runs.settled(), doc_id=doc_id, text=text, min_chars=min_chars, most=most)
+    out = stripped(docs, runs.settled(), doc_id=doc_id, text=text, min_chars=min_chars, most=most)  # has written the settled keys
+    for k in range(len(runs.runs)):
+        runs.drop(k)
+    return out
