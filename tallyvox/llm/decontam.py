@@ -8,7 +8,7 @@ left is compared with the document's own words for exact phrases. proximity() re
 
 Documents are told apart by id and text hash: repeated rows have the same result, rows that share an id but not the text
 have their own. Null and empty texts and items have no words: no hits. Without items nothing is hit. An item without an id
-hits words, but isn't counted or named. Repeated items are one. Other columns of the two tables aren't read, so names can't
+hits words, but isn't counted or named. Repeated items are one. Very long texts are searched whole, some 30 bytes a word of them. Other columns of the two tables aren't read, so names can't
 clash.
 """
 

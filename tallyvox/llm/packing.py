@@ -6,7 +6,8 @@ multiples of the window length; a piece is its boundary record. Only the last wi
 length, unless its own is a power of two.
 
 Null text is an empty document (its end id alone); a null id stays null; repeated rows are packed again; of an empty table
-nothing comes out. Columns other than the two named are not read, so their names can't clash.
+nothing comes out. Very long texts are tokenized and packed whole; one text is in memory at a time, some 40 bytes a byte of it.
+Columns other than the two named are not read, so their names can't clash.
 """
 
 from __future__ import annotations

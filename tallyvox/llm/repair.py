@@ -6,7 +6,7 @@ In each block the most frequent pairs of neighbouring symbols become nonterminal
 begins, so that any document can be decoded from the symbols that cover it.
 
 Null text is an empty document (its end id alone); documents with a null id come first; rows that share an id are ordered
-by a hash of their text; an empty table gives no blocks. Columns other than the two named are not read.
+by a hash of their text; an empty table gives no blocks. A very long text is one block, with those before it that fill none. Columns other than the two named are not read.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ carries its place along, so only copies are joined with their places.
 Long windows are looked for inside the spans of shorter ones: a string of 400 bytes that occurs again lies in one span of
 strings of 200 that do.
 
-Null and empty texts, and those shorter than a window, lose nothing. Repeated rows are copies of each other. Bytes are
+Null and empty texts, and those shorter than a window, lose nothing. Very long texts are searched whole, with some fifteen
+numbers of eight bytes a byte of the text while its segments are cut. Repeated rows are copies of each other. Bytes are
 those of UTF-8; in texts handed on, characters cut in two are dropped. Other columns are passed on or not read.
 """
 
