@@ -30,7 +30,7 @@ def tokenized(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, start = Encoder.of(tokenizer), TaskContext.get().partitionId(), 0
-        for chunk in tx.chunks(batches, "text"):
+        for chunk in tx.chunks(batches, "text", keeps="tokens"):
             ids, at = encoder.encode(tx.column(chunk.rows, "text").to_pylist(), end_id)
             yield tx.batch(part=np.full(chunk.n, part, np.int32), doc_id=tx.column(chunk.rows, "doc_id"), local_start=start + at[:-1], n_tokens=np.diff(at), ids=tx.slices(ids, at))
             start += len(ids)
@@ -49,7 +49,7 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = 1024, doc_id: str = "
     table = written(tokenized(docs, tokenizer, doc_id=doc_id, text=text, end_id=end_id), "tokens")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in tx.chunks(batches, "ids"):
+        for chunk in tx.chunks(batches, "ids", keeps="tokens"):
             rows = chunk.rows
             first, size, whole = (tx.column(rows, c).to_numpy().astype(np.int64) for c in ("first", "n_tokens", "whole"))
             if not len(size):

@@ -251,7 +251,7 @@ def encode(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str
             ids, at = np.concatenate(held), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
             return tx.batch(part=np.array([part], np.int32), block=np.array([nth], np.int32), first=np.array([first]), n_tokens=np.array([len(ids)]), doc_ids=pa.array([sum(names, [])], pa.list_(pa.int64())), payload=pa.array([Block.of(ids, at, vocabulary).to_bytes()], pa.binary()))
 
-        for chunk in tx.chunks(batches, "text"):
+        for chunk in tx.chunks(batches, "text", keeps="tokens"):
             ids, at = encoder.encode(tx.column(chunk.rows, "text").to_pylist(), end_id)
             held.append(ids)
             sizes.append(np.diff(at))

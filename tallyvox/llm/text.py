@@ -150,7 +150,15 @@ def bytes_of(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, at - at[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK) -> Iterator[Chunk]:
+#: What operators keep in a worker from task to task; it goes when a task of another operator comes.
+KEPT: dict[str, dict] = {}
+
+
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK, keeps: str = "") -> Iterator[Chunk]:
+    """keeps: the entry of KEPT that these tasks need."""
+    for name, held in KEPT.items():
+        if name != keeps:
+            held.clear()
     for rows in batches:
         buf, at = bytes_of(column(rows, text))
         i = 0

@@ -20,7 +20,7 @@ KIND[[9, 10, 11, 12, 13, 32, 0x85, 0xA0]] = 2
 SLOTS = 1 << 22
 #: Ids of pieces that are kept, about; one text's pieces may go beyond it.
 ARENA = 1 << 25
-_loaded: dict[str, Encoder] = {}
+_loaded: dict[str, Encoder] = tx.KEPT.setdefault("tokens", {})
 
 
 class Encoder:
@@ -42,7 +42,7 @@ class Encoder:
         return _loaded[path]
 
     def _forget(self) -> None:
-        self.key, self.place, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int32)  # where in the arena, and how many ids
+        self.key, self.place, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)  # where in the arena, and how many ids
         self.arena, self.used, self.filled = np.zeros(1 << 16, self.wide), 0, 0
 
     def ids(self, text: str) -> np.ndarray:
@@ -112,7 +112,7 @@ class Encoder:
             slot[new] = self._slots(h[new])
         n = self.size[slot].astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(n)])
-        out = self.arena[np.repeat(self.place[slot] - upto[:-1], n) + np.arange(upto[-1])]
+        out = self.arena[np.repeat(self.place[slot].astype(np.int64) - upto[:-1], n) + np.arange(upto[-1])]
         return out, np.diff(upto[np.searchsorted(starts, at)])
 
     def _slots(self, h: np.ndarray) -> np.ndarray:

@@ -607,7 +607,7 @@ def test_ids_of_long_pieces():
     """Numbers of ids have 31 bits; unbroken texts, alone, repeated and beside others, have the tokenizer's ids."""
     encoder, rng = Encoder(queries.tokenizer_file()), np.random.default_rng(3)
     long = "".join(rng.choice(list("abcdefghijklmnop"), 300_000))
-    assert encoder.size.dtype == np.int32 and encoder.place.dtype == np.int64
+    assert encoder.size.dtype == np.int32 and encoder.place.dtype == np.int32
     for texts in ([long], ["a b", long + " c " + long, "a b"], [long[:1000], "a b"]):
         got, at = encoder.encode(texts, 0)
         for t, a, b in zip(texts, at[:-1], at[1:], strict=True):
