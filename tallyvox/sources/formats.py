@@ -5,7 +5,8 @@ foreground voxels as arrays (x, y, z, label). With a schema of fewer columns onl
 header is read, and nothing behind it is inflated. Conditions on the subject (=, IN, IN a prefix) and on the path's end choose
 files before any is opened. A file that can't be read is a row with its error as status.
 
-Options: path, suffix (.nii.gz; .nrrd), partitionBytes. A folder is searched with its subfolders, by a store that pyarrow opens;
+Options: path, suffix (.nii.gz; .nrrd), partitionBytes, listing. With listing `tasks` the files lie in sub-folders of the path, the
+driver lists these alone, and each is a partition whose task lists its files: for folders of millions of files. A folder is searched with its subfolders, by a store that pyarrow opens;
 `volumes.read_volumes()` reads any store that Spark reads.
 """
 
@@ -21,18 +22,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from pyspark.sql.types import StructType
 
 from . import volumes
+from .volumes import store_of
 
 COLUMNS = "path string, subject string, status string, shape array<int>, spacing array<double>, affine array<double>, x array<int>, y array<int>, z array<int>, label array<short>"
 VOXELS = {"x", "y", "z", "label"}
 
 
-def store_of(path: str):
-    """(file system, path in it)."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def infos(folder: str, suffix: str) -> list[tuple[str, int, int]]:
     """(path, size, time of change in ns) of the files below a folder, or of one file."""
     from pyarrow import fs
@@ -47,8 +42,10 @@ def infos(folder: str, suffix: str) -> list[tuple[str, int, int]]:
 
 
 class Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    """Files, or a folder that its task lists."""
+
+    def __init__(self, paths: list[str], folder: str | None = None):
+        self.paths, self.folder = paths, folder
 
 
 class Reader(DataSourceReader):
@@ -60,7 +57,10 @@ class Reader(DataSourceReader):
         if not options.get("path"):
             raise ValueError("the option path is missing: load(folder)")
         self.folder, self.size = options["path"], int(options.get("partitionbytes", options.get("partitionBytes", 64 << 20)))
-        self.types = {f.name: f.dataType for f in schema.fields}
+        if (listing := options.get("listing", "driver")) not in ("driver", "tasks"):
+            raise ValueError(f"no such listing: {listing}; there are driver and tasks")
+        self.by_tasks = listing == "tasks"
+        self.types = {f.name: _arrow(f.dataType) for f in schema.fields}
         self.tests: list[tuple[str, object]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
@@ -78,6 +78,8 @@ class Reader(DataSourceReader):
         return path.rsplit("/", 1)[-1].removesuffix(self.suffix)
 
     def partitions(self) -> list[Files]:
+        if self.by_tasks:
+            return [Files([], sub) for sub in volumes.subfolders(self.folder)] or [Files([])]
         groups, held = [], self.size
         for path, size, _ in infos(self.folder, self.suffix):
             if self.wanted(path):
@@ -89,13 +91,15 @@ class Reader(DataSourceReader):
         return [Files(g) for g in groups] or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        for path in partition.paths:
-            row = {c: None for c in VOXELS | {"shape", "spacing", "affine"}} | {"path": path, "subject": self.subject(path)}
-            try:
-                row |= self.values(path) | {"status": "SUCCESS"}
-            except Exception as e:  # a bad file is a row with its error, and the others go on
-                row["status"] = f"ERROR: {e}"[:200]
-            yield pa.RecordBatch.from_arrays([pa.array([row[c]], _arrow(self.types[c])) for c in self.names], names=self.names)
+        found = partition.paths if partition.folder is None else filter(self.wanted, volumes.listed(partition.folder, self.suffix))
+        return volumes.together(map(self.row, found), {c: self.types[c] for c in self.names})
+
+    def row(self, path: str) -> dict:
+        row = {c: None for c in VOXELS | {"shape", "spacing", "affine"}} | {"path": path, "subject": self.subject(path)}
+        try:
+            return row | self.values(path) | {"status": "SUCCESS"}
+        except Exception as e:  # a bad file is a row with its error, and the others go on
+            return row | {"status": f"ERROR: {e}"[:200]}
 
     def values(self, path: str) -> dict:
         store, base = store_of(path)
