@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,23 +32,24 @@ def resample_affine(voxels: DataFrame, groups: DataFrame, by: list[str], matrix:
     """(by, x, y, z, label): label of the source voxel nearest to matrix * position + offset, 0 outside. Halves go away from zero."""
     grid = target_grid(groups.select(*by), target)
     at = [F.round(sum((F.col(c) * m for c, m in zip(XYZ, row, strict=True)), F.lit(o))).cast("int").alias(f"s{c}") for c, row, o in zip(XYZ, matrix, offset, strict=True)]
-    source = voxels.select(*by, *[F.col(c).alias(f"s{c}") for c in XYZ], "label")
+    source = voxels.select(*by, *[F.col(c).alias(f"s{c}") for c in XYZ], "label").hint("merge")  # sizes of exploded rows are guessed far too low, and they would be broadcast
     return grid.select(*by, *XYZ, *at).join(source, [*by, "sx", "sy", "sz"], "left").select(*by, *XYZ, F.coalesce("label", F.lit(0)).alias("label"))
 
 
 def resize_linear(values: DataFrame, by: list[str], source: tuple[int, int, int], target: tuple[int, int, int], value: str = "p") -> DataFrame:
-    """(by, x, y, z, value): trilinear, at ((d + 0.5) * S / T - 0.5) held at 0 or more. Each position asks for eight corners; the sum is by position."""
-    grid = target_grid(values.select(*by).distinct(), target)
-    corner = F.array(*[F.struct(*[F.lit(b).alias(c) for b, c in zip((i, j, k), XYZ, strict=True)]) for i in (0, 1) for j in (0, 1) for k in (0, 1)])
-    rows = grid.withColumn("o", F.explode(corner))
-    weight: Column = F.lit(1.0)
+    """(by, x, y, z, value): trilinear, at ((d + 0.5) * S / T - 0.5) held at 0 or more. Each source place is listed under the target places whose corner it is, axis by axis in the row, so nothing is joined; the sum is by position."""
+    rows, weight = values, F.lit(1.0)
     for c, s, t in zip(XYZ, source, target, strict=True):
-        at = F.greatest((F.col(c) + 0.5) * s / t - 0.5, F.lit(0.0))
-        low = F.floor(at)
-        rows = rows.withColumn(f"s{c}", F.least(low + F.col("o")[c], F.lit(s - 1)).cast("int"))
-        weight = weight * F.when(F.col("o")[c] == 1, at - low).otherwise(1 - (at - low))
-    src = values.select(*by, *[F.col(c).alias(f"s{c}") for c in XYZ], F.col(value).alias("_v"))
-    return rows.withColumn("_w", weight).join(src, [*by, "sx", "sy", "sz"]).groupBy(*by, *XYZ).agg(F.sum(F.col("_w") * F.col("_v")).alias(value))
+        asked: list[dict[int, float]] = [{} for _ in range(s)]  # of each source place the target places and their weights
+        for d in range(t):
+            at = max((d + 0.5) * s / t - 0.5, 0.0)
+            low = int(at)
+            for place, w in ((low, 1 - (at - low)), (min(low + 1, s - 1), at - low)):
+                asked[place][d] = asked[place].get(d, 0.0) + w
+        listed = F.from_json(F.lit(json.dumps([[{"d": d, "w": w} for d, w in a.items()] for a in asked])), "array<array<struct<d: int, w: double>>>")  # a constant, as long as the axis
+        rows = rows.withColumn(f"_{c}", F.explode(F.get(listed, F.col(c))))
+        weight = weight * F.col(f"_{c}.w")
+    return rows.groupBy(*by, *[F.col(f"_{c}.d").alias(c) for c in XYZ]).agg(F.sum(weight * F.col(value)).alias(value))
 
 
 def flip(voxels: DataFrame, axes: tuple[bool, bool, bool], shape: tuple[int, int, int]) -> DataFrame:
@@ -54,23 +57,33 @@ def flip(voxels: DataFrame, axes: tuple[bool, bool, bool], shape: tuple[int, int
 
 
 def crop(voxels: DataFrame, box: DataFrame, by: list[str], margin: int = 20) -> DataFrame:
-    """voxels within the bounding box of `box`'s voxels and a margin. The join's side has one row a group."""
+    """voxels within the bounding box of `box`'s voxels and a margin. The join's side has one row a group; neither side is broadcast, as there may be many groups and sizes of exploded rows are guessed far too low."""
     edge = box.groupBy(*by).agg(*[f(c).alias(f"_{n}{c}") for c in XYZ for n, f in (("lo", F.min), ("hi", F.max))])
     inside = F.lit(True)
     for c in XYZ:
         inside = inside & F.col(c).between(F.col(f"_lo{c}") - margin, F.col(f"_hi{c}") + margin)
-    return voxels.join(edge, by).where(inside).select(*voxels.columns)
+    return voxels.join(edge.hint("merge"), by).where(inside).select(*voxels.columns)
 
 
 def best_orientation(gt: DataFrame, pred: DataFrame, by: list[str], shape: tuple[int, int, int]) -> DataFrame:
-    """(by, flip, score): of the eight flips of pred that with the largest sum of organ Dice, the first of equals. gt, pred: (by, x, y, z, label). Each predicted voxel is listed under its eight images, which join the truth on position."""
-    images = F.array(*[F.struct(F.lit(i).alias("flip"), *[((n - 1 - F.col(c)) if i >> b & 1 else F.col(c)).alias(c) for b, (c, n) in enumerate(zip(XYZ, shape, strict=True))]) for i in range(8)])
-    moved = pred.select(*by, F.col("label").alias("p"), F.explode(images).alias("v")).select(*by, "p", "v.*")
-    both = moved.join(gt.select(*by, *XYZ, F.col("label").alias("g")), [*by, *XYZ])
-    hit = both.where("p = g").groupBy(*by, "flip", F.col("g").alias("label")).agg(F.count("*").alias("tp"))
-    sizes = gt.groupBy(*by, "label").agg(F.count("*").alias("n")).unionByName(pred.groupBy(*by, "label").agg(F.count("*").alias("n"))).groupBy(*by, "label").agg(F.sum("n").alias("n"))
-    every = sizes.withColumn("flip", F.explode(F.sequence(F.lit(0), F.lit(7)))).join(hit, [*by, "flip", "label"], "left")
-    score = every.groupBy(*by, "flip").agg(F.round(F.sum(2 * F.coalesce("tp", F.lit(0)) / F.col("n")), 9).alias("score"))
+    """(by, flip, score): of the eight flips of pred that with the largest sum of organ Dice, the first of equals. gt, pred: (by, x, y, z, label).
+
+    The eight images of a place are gathered under the one nearest to the origin, of both masks at once; which flips lead from a
+    predicted voxel to a true one follows from the sides of the middle they lie on. So each voxel moves once, and nothing is joined.
+    """
+    side = sum((F.when(2 * F.col(c) > n - 1, 1 << b).otherwise(0) for b, (c, n) in enumerate(zip(XYZ, shape, strict=True))), F.lit(0))
+    middle = sum((F.when(2 * F.col(f"_{c}") == n - 1, 1 << b).otherwise(0) for b, (c, n) in enumerate(zip(XYZ, shape, strict=True))), F.lit(0))  # alike under either flip
+    rows = gt.select(*by, *XYZ, "label", F.lit(True).alias("_gt")).unionByName(pred.select(*by, *XYZ, "label", F.lit(False).alias("_gt")))
+    near = [F.least(F.col(c), n - 1 - F.col(c)).alias(f"_{c}") for c, n in zip(XYZ, shape, strict=True)]
+    here = F.struct(side.alias("side"), "label")
+    orbits = rows.groupBy(*by, *near).agg(F.collect_list(F.when(F.col("_gt"), here)).alias("g"), F.collect_list(F.when(~F.col("_gt"), here)).alias("p"))  # at most eight places
+    met = orbits.select(*by, middle.alias("_m"), F.explode("p").alias("p"), "g").select(*by, "_m", "p", F.explode(F.filter("g", lambda g: g["label"] == F.col("p.label"))).alias("g"))
+    flips = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda f: f.bitwiseXOR(F.col("p.side")).bitwiseXOR(F.col("g.side")).bitwiseAND(F.bitwise_not(F.col("_m"))) == 0)
+    hit = met.select(*by, F.explode(flips).alias("flip"), F.col("g.label").alias("label")).groupBy(*by, "flip", "label").agg(F.count("*").alias("tp"))
+    sizes = rows.groupBy(*by, "label").agg(F.count("*").alias("n"))
+    every = sizes.withColumn("flip", F.explode(F.sequence(F.lit(0), F.lit(7)))).select(*by, "flip", "label", F.lit(0).cast("long").alias("tp"), "n")
+    both = every.unionByName(hit.withColumn("n", F.lit(0).cast("long"))).groupBy(*by, "flip", "label").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
+    score = both.groupBy(*by, "flip").agg(F.round(F.sum(2 * F.col("tp") / F.col("n")), 9).alias("score"))
     return score.groupBy(*by).agg(F.max(F.struct("score", (-F.col("flip")).alias("f"))).alias("m")).select(*by, (-F.col("m.f")).alias("flip"), F.col("m.score").alias("score"))
 
 
@@ -103,7 +116,7 @@ def depth_split(voxels: DataFrame, depth: int, source: int, below: int, above: i
 def foreground_cropped(voxels: DataFrame, by: list[str]) -> DataFrame:
     """voxels moved so that their group's bounding box begins at 0, with its shape in sx, sy, sz."""
     edge = voxels.groupBy(*by).agg(*[F.min(c).alias(f"_{c}") for c in XYZ], *[(F.max(c) - F.min(c) + 1).alias(f"s{c}") for c in XYZ])
-    return voxels.join(edge, by).select(*[c for c in voxels.columns if c not in XYZ], *[(F.col(c) - F.col(f"_{c}")).alias(c) for c in XYZ], *[f"s{c}" for c in XYZ])
+    return voxels.join(edge.hint("merge"), by).select(*[c for c in voxels.columns if c not in XYZ], *[(F.col(c) - F.col(f"_{c}")).alias(c) for c in XYZ], *[f"s{c}" for c in XYZ])
 
 
 def padded(voxels: DataFrame, roi: tuple[int, int, int]) -> DataFrame:

@@ -137,5 +137,6 @@ def resampled(voxels: DataFrame, grids: DataFrame, by: list[str], *, image: str
         return pa.RecordBatch.from_arrays([*kept, *(pa.array(place[:, k].astype(np.int32)) for k in range(3)), pa.array(image_at), pa.array(label_at)], names=[*by, *XYZ, image, label])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in voxels.select(*by).dtypes)
-    joined = tiles.join(blocks, [*by, *key]).select(*by, "matrix", "shape", "source", *[f"_t{c}" for c in XYZ], *key, "_block")
+    # blocks hold voxels in lists, whose size is guessed far too low, and they would be broadcast
+    joined = tiles.join(blocks.hint("merge"), [*by, *key]).select(*by, "matrix", "shape", "source", *[f"_t{c}" for c in XYZ], *key, "_block")
     return joined.mapInArrow(run, f"{kinds}, x int, y int, z int, `{image}` double, `{label}` int")

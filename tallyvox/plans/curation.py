@@ -173,14 +173,14 @@ SELECT subject, x, y, z, max(organ) AS by_id, arg_max(organ, name) AS by_file FR
 def s17_merged_organs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.col("rater") == "a"
     v = views.boxes(spark, sf_dir).select("subject", "x", "y", "z", F.when(a, 2).otherwise(1 + F.col("subject") % 4).alias("organ"), F.when(a, "z.nii.gz").otherwise("c.nii.gz").alias("name"))
-    return files.merged_organs(v, ["subject"]).withColumnRenamed("label", "by_id").join(files.merged_by_file(v, ["subject"]).withColumnRenamed("label", "by_file"), ["subject", "x", "y", "z"])
+    return files.merged(v, ["subject"], by_id=files.highest_organ(), by_file=files.last_file())
 
 
 @query("""WITH g AS (SELECT s.s_suppkey AS s, x.i AS x, y.i AS y, z.i AS z FROM supplier s, (SELECT range AS i FROM range(32)) x, (SELECT range AS i FROM range(32)) y, (SELECT range AS i FROM range(32)) z),
 l AS (SELECT printf('DUMMY_%03d', s) AS subject_id, CASE WHEN y BETWEEN 4 AND 11 AND z BETWEEN 4 AND 11 THEN CASE WHEN x BETWEEN 4 AND 11 THEN 1 WHEN x BETWEEN 12 AND 17 THEN 2 WHEN x BETWEEN 18 AND 23 THEN 3 WHEN x BETWEEN 24 AND 29 THEN 4 ELSE 0 END ELSE 0 END AS label FROM g)
 SELECT subject_id, label, count(*) AS n FROM l GROUP BY ALL""")
 def s16_synthetic_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    subjects = table(spark, sf_dir, "supplier").select(F.format_string("DUMMY_%03d", F.col("s_suppkey")).alias("subject_id"))
+    subjects = views.dealt(table(spark, sf_dir, "supplier"), "s_suppkey").select(F.format_string("DUMMY_%03d", F.col("s_suppkey")).alias("subject_id"))
     return files.synthetic_cohort(subjects).groupBy("subject_id", "label").agg(F.count("*").alias("n"))
 
 

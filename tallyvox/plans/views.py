@@ -44,9 +44,19 @@ def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRID, SPACING = 14, (1.5, 1.5, 2.0)
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows in as many partitions as a shuffle has: a few small rows of a file become very many voxels, so they are dealt out first, by scan."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(subject): a scan for each part, dealt out."""
+    return dealt(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("subject")), "subject")
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(subject, rater, x, y, z): foreground voxels of two raters' boxes in a 14-cube, a scan for each part. A few small rows of a file become very many voxels, so they are dealt out first, by scan."""
-    p = table(spark, sf_dir, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey").select(F.col("p_partkey").alias("subject"), (F.col("p_size") % 3).alias("s"), (F.col("p_partkey") % 3).alias("d"), (F.col("p_size") % 2).alias("t"))
+    """(subject, rater, x, y, z): foreground voxels of two raters' boxes in a 14-cube, a scan for each part, dealt out by scan."""
+    p = dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("subject"), (F.col("p_size") % 3).alias("s"), (F.col("p_partkey") % 3).alias("d"), (F.col("p_size") % 2).alias("t"))
     seq = lambda lo, hi: F.sequence(F.lit(lo) if isinstance(lo, int) else lo, F.lit(hi) if isinstance(hi, int) else hi)
     both = p.select("subject", F.explode(F.array(F.struct(F.lit("a").alias("rater"), (2 + F.col("s")).alias("x0"), (6 + F.col("s")).alias("x1"), F.lit(5).alias("z1")), F.struct(F.lit("b").alias("rater"), (2 + F.col("s") + F.col("d")).cast("int").alias("x0"), (6 + F.col("s")).alias("x1"), (5 + F.col("t")).alias("z1")))).alias("r")).select("subject", "r.*")
     body = both.select("subject", "rater", F.explode(seq(F.col("x0"), F.col("x1"))).alias("x"), "z1").select("subject", "rater", "x", F.explode(seq(2, 6)).alias("y"), "z1").select("subject", "rater", "x", "y", F.explode(seq(2, F.col("z1"))).alias("z"))

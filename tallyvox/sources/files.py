@@ -94,14 +94,28 @@ def resolved_label(subjects: DataFrame, files: DataFrame) -> DataFrame:
     return subjects.join(rows, "subject_id", "left").select("subject_id", kind.alias("kind"), F.coalesce("m", "s").alias("path"))
 
 
+def merged(voxels: DataFrame, by: list[str], **labels: Column) -> DataFrame:
+    """(by, x, y, z, labels): one label a voxel from organs' separate masks for each of these rules, all in one pass."""
+    return voxels.groupBy(*by, "x", "y", "z").agg(*[c.alias(name) for name, c in labels.items()])
+
+
+def highest_organ() -> Column:
+    return F.max("organ")
+
+
+def last_file() -> Column:
+    """The organ of the last file by name."""
+    return F.max(F.struct("name", "organ"))["organ"]
+
+
 def merged_organs(voxels: DataFrame, by: list[str]) -> DataFrame:
     """One label a voxel from organs' separate masks: the highest organ wins."""
-    return voxels.groupBy(*by, "x", "y", "z").agg(F.max("organ").alias("label"))
+    return merged(voxels, by, label=highest_organ())
 
 
 def merged_by_file(voxels: DataFrame, by: list[str]) -> DataFrame:
     """As merged_organs, but the last file by name wins."""
-    return voxels.groupBy(*by, "x", "y", "z").agg(F.max(F.struct("name", "organ")).alias("m")).select(*by, "x", "y", "z", F.col("m.organ").alias("label"))
+    return merged(voxels, by, label=last_file())
 
 
 def synthetic_cohort(subjects: DataFrame, seed: int = 42, size: int = 32) -> DataFrame:
