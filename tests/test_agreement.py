@@ -362,3 +362,43 @@ def test_source_listed_by_tasks(spark, tmp_path):
     assert rows.rdd.getNumPartitions() == 4 and {r.subject for r in rows.collect()} == {str(i) for i in range(60)}
     assert [r.label for r in rows.where("subject = '7'").collect()] == [[3]]
     assert spark.read.format("nrrd").option("listing", "tasks").load(f"file://{tmp_path}/none").count() == 0
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exploded_rows_are_never_broadcast(spark):
+    """Their sizes are guessed from the few rows they are made of; at 1 GB they filled the driver."""
+    from tallyvox.plans import catalog
+
+    for name in ("g02_g07_resample_affine", "g06_foreground_crop_pad", "m43_orientation", "s17_merged_organs", "g03_resize_linear", "g07_g03_upright", "g07_g03_respaced", "g05_crop", "g10_windows_blended"):
+        assert "Broadcast" not in _plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")), name
+    for name in ("m43_orientation", "s17_merged_organs", "g03_resize_linear"):
+        assert "Join" not in _plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")), name
+
+
+def test_orientation_by_orbits(spark):
+    """On a grid with a middle plane, whose voxels are alike under a flip, against all eight flips."""
+    from tallyvox.operators import grid
+
+    rng, shape = np.random.default_rng(3), (5, 4, 3)
+    rows = {side: [(s, *map(int, p), int(rng.integers(1, 4))) for s in range(6) for p in np.argwhere(rng.random(shape) < 0.5)] for side in ("gt", "pred")}
+    gt, pred = (spark.createDataFrame(rows[k], "s int, x int, y int, z int, label int") for k in ("gt", "pred"))
+    for r in grid.best_orientation(gt, pred, ["s"], shape).collect():
+        at = {side: {x[1:4]: x[4] for x in rows[side] if x[0] == r.s} for side in rows}
+        n = {k: sum(v == k for side in at.values() for v in side.values()) for k in (1, 2, 3)}
+        scores = []
+        for f in range(8):
+            moved = {tuple(m - 1 - c if f >> b & 1 else c for b, (c, m) in enumerate(zip(p, shape, strict=True))): v for p, v in at["pred"].items()}
+            scores.append(round(sum(2 * sum(at["gt"].get(p) == v == k for p, v in moved.items()) / n[k] for k in n if n[k]), 9))
+        assert (r.flip, round(r.score, 9)) == (scores.index(max(scores)), max(scores))
+
+
+def test_few_rows_are_dealt_out(spark):
+    """Suppliers and parts come as one small file; the voxels made of them are spread over all partitions."""
+    from tallyvox.plans import catalog
+
+    for name in ("s16_synthetic_cohort", "g10_windows_blended", "g03_resize_linear", "g07_g03_respaced"):
+        assert "REPARTITION_BY_NUM" in _plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")), name
+    assert _plan(catalog.QUERIES["g10_windows_blended"](spark, "/root/testdata/sf0.001")).split("== Initial Plan ==")[-1].count("MapInArrow") == 1
