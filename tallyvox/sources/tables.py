@@ -61,21 +61,39 @@ def split_manifest(splits: DataFrame, thresholds: dict[str, float]) -> DataFrame
     return listed.select(F.to_json(F.struct(F.create_map(*[x for k, v in thresholds.items() for x in (F.lit(k), F.lit(float(v)))]).alias("thresholds"), "splits")).alias("value"))
 
 
+#: Batches of a checkpoint in one folder.
+BATCHES = 1000
+
+
+def put_batches(rows: DataFrame, path: str) -> None:
+    """Write rows(batch) in the place of the batches they are of. Batches lie many to a folder, so that folders, which the driver moves one by one, grow a thousand times slower than batches; the others of a folder are written again with them."""
+    from .shared import written
+    from .versions import Store
+
+    spark, folder = rows.sparkSession, F.floor(F.col("batch") / BATCHES).cast("int")
+    new = written(rows)
+    if Store(spark, path).names(""):
+        touched = [r[0] for r in new.select(folder).distinct().collect()]  # a thousandth of the batches
+        there = spark.read.parquet(path).where(F.col("folder").isin(touched)).drop("folder").join(new.select("batch").distinct(), "batch", "left_anti")
+        new = written(new.unionByName(there))
+    append_partition(new.withColumn("folder", folder).repartition("folder"), path, "folder")
+
+
 def checkpoint(rows: DataFrame, path: str, key: str, every: int = 50, start: int = 0) -> None:
-    """Write rows in batches of so many by their key, numbered from `start`; a batch is a partition, so a repeated run replaces it."""
+    """Write rows in batches of so many by their key, numbered from `start`; a repeated run replaces its batches."""
     from ..operators.curate import ranked
 
-    append_partition(ranked(rows, [F.col(key)]).withColumn("batch", (F.lit(start) + F.floor((F.col("rn") - 1) / every)).cast("int")).drop("rn"), path, "batch")
+    put_batches(ranked(rows, [F.col(key)]).withColumn("batch", (F.lit(start) + F.floor((F.col("rn") - 1) / every)).cast("int")).drop("rn"), path)
 
 
 def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str, every: int = 50) -> None:
     """Resume: rows whose key is there replace it in its batch, which is written anew; others go to new batches. rows has one row a key. A stop between the two writes is mended by a repeated run with the same rows; `versions.VersionedTable` is whole or not at all."""
     from .shared import written
 
-    old = spark.read.parquet(path)
+    old = spark.read.parquet(path).drop("folder")
     last = old.agg(F.max("batch")).first()[0]
     placed = written(rows.join(old.select(key, "batch"), key, "left"))
     touched = placed.where("batch is not null").select("batch").distinct()
     kept = old.join(touched, "batch", "left_semi").join(rows.select(key), key, "left_anti")
-    append_partition(written(kept.unionByName(placed.where("batch is not null"))), path, "batch")
+    put_batches(kept.unionByName(placed.where("batch is not null")), path)
     checkpoint(placed.where("batch is null").drop("batch"), path, key, every, 0 if last is None else last + 1)

@@ -402,3 +402,21 @@ def test_few_rows_are_dealt_out(spark):
     for name in ("s16_synthetic_cohort", "g10_windows_blended", "g03_resize_linear", "g07_g03_respaced"):
         assert "REPARTITION_BY_NUM" in _plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")), name
     assert _plan(catalog.QUERIES["g10_windows_blended"](spark, "/root/testdata/sf0.001")).split("== Initial Plan ==")[-1].count("MapInArrow") == 1
+
+
+def test_batches_lie_many_to_a_folder(spark, tmp_path):
+    from tallyvox.sources import tables
+
+    at = f"{tmp_path}/c"
+    rows = lambda lo, hi, v: spark.range(lo, hi).selectExpr("id", f"{v} AS v")
+    tables.checkpoint(rows(0, 3001, 0), at, "id", every=2)
+    tables.checkpoint(rows(0, 4, 1), at, "id", every=2, start=1)  # batches 1 and 2 anew, the others of their folder stay
+    assert sorted(x.name for x in (tmp_path / "c").iterdir() if x.is_dir()) == ["folder=0", "folder=1"]
+    got = {(r.id, r.v, r.batch) for r in spark.read.parquet(at).collect()}
+    assert got == {(i, 0, i // 2) for i in range(3001) if i // 2 not in (1, 2)} | {(i, 1, 1 + i // 2) for i in range(4)}
+    at = f"{tmp_path}/u"
+    tables.checkpoint(rows(0, 2101, 0), at, "id", every=2)
+    for _ in range(2):  # a repeated run changes nothing
+        tables.upsert(spark, at, rows(2000, 2104, 5), "id", every=2)
+        got = {(r.id, r.v, r.batch) for r in spark.read.parquet(at).collect()}
+        assert got == {(i, 5 if i >= 2000 else 0, i // 2 if i < 2101 else 1051 + (i - 2101) // 2) for i in range(2104)}
