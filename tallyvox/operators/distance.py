@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from ..sources.shared import written
 
 XYZ = ["x", "y", "z"]
-#: Cells of a box that is one task's; cells taken through the passes at once; columns of x in a slab of a larger one.
-CELLS, TOGETHER, SLAB = 1 << 22, 1 << 17, 16
+#: Cells of a box that is one task's; cells taken through the passes at once; columns of x in a slab of a larger one; places of masks unpacked at once.
+CELLS, TOGETHER, SLAB, POINTS = 1 << 22, 1 << 17, 16, 1 << 18
 
 
 def lines(voxels: DataFrame, by: list[str], masks: dict[str, Column]) -> DataFrame:
@@ -150,9 +150,22 @@ def _kinds(df: DataFrame, by: list[str]) -> str:
     return ", ".join(f"`{c}` {t}" for c, t in df.select(*by).dtypes)
 
 
+def few(rows: pa.RecordBatch, points: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows with lists of lines, so many that their masks have up to `points` (POINTS) places together; one at least."""
+    listed = rows.column("lines")
+    at = np.concatenate([[0], np.cumsum(listed.value_lengths().to_numpy(zero_copy_only=False))])
+    masks = [listed.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(3, listed.type.value_type.num_fields)]
+    size = np.concatenate([[0], np.cumsum(sum(np.bitwise_count(m.view(np.uint64)).astype(np.int64) for m in masks))])[at]
+    i = 0
+    while i < rows.num_rows:
+        j = max(i + 1, int(np.searchsorted(size, size[i] + (points or POINTS), "right")) - 1)
+        yield rows.slice(i, j - i)
+        i = j
+
+
 def _whole(scans: DataFrame, by: list[str], spacing: tuple[float, float, float], sides: list[tuple[str, str]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
+        for rows in (some for batch in batches for some in few(batch)):
             listed = rows.column("lines")
             line = {f.name: listed.flatten().field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(listed.type.value_type)}
             scan = np.repeat(np.arange(rows.num_rows), listed.value_lengths().to_numpy(zero_copy_only=False))

@@ -420,3 +420,16 @@ def test_batches_lie_many_to_a_folder(spark, tmp_path):
         tables.upsert(spark, at, rows(2000, 2104, 5), "id", every=2)
         got = {(r.id, r.v, r.batch) for r in spark.read.parquet(at).collect()}
         assert got == {(i, 5 if i >= 2000 else 0, i // 2 if i < 2101 else 1051 + (i - 2101) // 2) for i in range(2104)}
+
+
+def test_scans_are_unpacked_a_few_at_a_time():
+    """An Arrow batch holds up to 10,000 scans, whose places aren't all in memory at once."""
+    import pyarrow as pa
+
+    from tallyvox.operators import distance
+
+    line = pa.struct([("x", pa.int32()), ("y", pa.int32()), ("zb", pa.int32()), ("gt", pa.int64()), ("pred", pa.int64())])
+    own = [[{"x": 0, "y": i, "zb": 0, "gt": 7, "pred": -1} for i in range(n)] for n in (1, 1, 3, 0, 9, 1)]
+    rows = pa.record_batch([pa.array(range(6)), pa.array(own, pa.list_(line))], names=["s", "lines"])
+    got = [x.column("s").to_pylist() for x in distance.few(rows, 140)]
+    assert got == [[0, 1], [2], [3], [4], [5]] and [x.num_rows for x in distance.few(rows, 10**6)] == [6]
