@@ -2,7 +2,7 @@
 
 Masks travel as lines of bits (`distance.lines()`). A mask of few voxels is one row, and a task labels many of them together. A
 larger one is cut into blocks that share their faces: each block is labelled in a task, labels that meet in a shared voxel are
-linked, and the links are contracted as a graph. So a task holds blocks, never a mask, whose size isn't bounded.
+linked, and the links are contracted: in one task where they are few, else as a graph. So a task holds blocks, never a mask, whose size isn't bounded.
 """
 
 from __future__ import annotations
@@ -75,13 +75,13 @@ def parts(rows: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         i = j
 
 
-def betti0(voxels: DataFrame, by: list[str], connectivity: int = 6, most: int | None = None, block: int = BLOCK) -> DataFrame:
-    """(by, betti): components of each group's voxels. Groups of more than `most` voxels (VOXELS) are labelled in blocks, the others whole."""
+def betti0(voxels: DataFrame, by: list[str], connectivity: int = 6, most: int | None = None, block: int = BLOCK, links: int | None = None) -> DataFrame:
+    """(by, betti): components of each group's voxels. Groups of more than `most` voxels (VOXELS) are labelled in blocks, the others whole. Where the blocks of a group share more than `links` voxels (VOXELS), their labels are contracted as a graph, else in one task."""
     rows = written(lines(voxels, by, {"own": F.lit(True)}))
     large = written(rows.groupBy(*by).agg(F.sum(F.bit_count("own")).alias("n")).where(F.col("n") > (VOXELS if most is None else most)).drop("n"))
     if large.isEmpty():
         return _whole(rows, by, connectivity)
-    return _whole(rows.join(large, by, "left_anti"), by, connectivity).unionByName(_in_blocks(rows.join(large, by, "left_semi"), by, connectivity, block))
+    return _whole(rows.join(large, by, "left_anti"), by, connectivity).unionByName(_in_blocks(rows.join(large, by, "left_semi"), by, connectivity, block, VOXELS if links is None else links))
 
 
 def _whole(rows: DataFrame, by: list[str], connectivity: int) -> DataFrame:
@@ -99,7 +99,7 @@ def _kinds(df: DataFrame, by: list[str]) -> str:
     return ", ".join(f"`{c}` {t}" for c, t in df.select(*by).dtypes)
 
 
-def _in_blocks(rows: DataFrame, by: list[str], connectivity: int, side: int) -> DataFrame:
+def _in_blocks(rows: DataFrame, by: list[str], connectivity: int, side: int, links: int) -> DataFrame:
     """Blocks take `side` places an axis and the first one of the next block, so that any two neighbours are together in one; labels are told apart by their least voxel and on which side of it the block lies."""
     if side >= HALF:
         raise ValueError(f"blocks of {HALF} places or more can't be told apart")
@@ -108,17 +108,19 @@ def _in_blocks(rows: DataFrame, by: list[str], connectivity: int, side: int) ->
         b = F.floor(F.col(c) / side)
         return F.explode(F.when(F.pmod(F.col(c), F.lit(side)) == 0, F.array(b, b - 1)).otherwise(F.array(b)))
 
-    voxels = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(63)))).where("shiftrightunsigned(own, _i) & 1 = 1").select(*by, "x", "y", (F.col("zb") * 64 + F.col("_i")).cast("int").alias("z"))
-    dealt = voxels.withColumn("bx", of("x")).withColumn("by_", of("y")).withColumn("bz", of("z"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("z", F.lit(64)).cast("int"))
-    again = dealt.groupBy(*by, "bx", "by_", "bz", "x", "y", F.floor(F.col("z") / 64).cast("int").alias("zb")).agg(F.bit_or(bit).alias("own"))
-    blocks = again.groupBy(*by, "bx", "by_", "bz").agg(F.collect_list(F.struct("x", "y", "zb", "own")).alias("lines"))  # of one block
+    # a line of 64 places is cut to the blocks along z that it meets, their halo included; nothing is taken apart by voxel
+    low, high = F.col("zb") * 64, F.col("zb") * 64 + 63
+    dealt = rows.withColumn("bx", of("x")).withColumn("by_", of("y")).withColumn("bz", F.explode(F.sequence(F.floor((low - 1) / side), F.floor(high / side))))
+    begin, end = F.greatest(F.col("bz") * side - low, F.lit(0)).cast("int"), F.least((F.col("bz") + 1) * side - low, F.lit(63)).cast("int")
+    ones = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), 63 - (end - begin))
+    cut = dealt.where(end >= begin).withColumn("own", F.col("own").bitwiseAND(F.call_function("shiftleft", ones, begin))).where("own <> 0")
+    blocks = cut.groupBy(*by, "bx", "by_", "bz").agg(F.collect_list(F.struct("x", "y", "zb", "own")).alias("lines"))  # of one block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each voxel that blocks share, with its label, and one with nulls for each component without any."""
+        """For each block the voxels it shares with others, with their labels, and the number of components without any."""
         for some in batches:
             corner = np.stack([some.column(c).to_numpy() for c in ("bx", "by_", "bz")], 1) * side
-            for begin, _, xyz, of_block in parts(some):
+            for begin, n, xyz, of_block in parts(some):
                 first, root = rooted(xyz, of_block, connectivity)
                 block, place = of_block[first] + begin, xyz[first]
                 if np.abs(place).max(initial=0) >= HALF:
@@ -128,16 +130,64 @@ def _in_blocks(rows: DataFrame, by: list[str], connectivity: int, side: int) ->
                 shared = np.flatnonzero((place % side == 0).any(1))
                 inner = np.setdiff1d(root, root[shared])
                 name = (code << 3 | behind)[root]
-                rows_ = pa.array(np.concatenate([block[shared], block[inner]]))
-                none = pa.nulls(len(inner), pa.int64())
-                yield pa.RecordBatch.from_arrays([*(some.column(c).take(rows_) for c in by), pa.concat_arrays([pa.array(code[shared]), none]), pa.concat_arrays([pa.array(name[shared]), none])], names=[*by, "place", "label"])
-
-    found = written(blocks.mapInArrow(run, f"{_kinds(rows, by)}, place long, label long"))
-    inner = found.where("label is null").groupBy(*by).agg(F.count("*").alias("n"))
-    meet = found.where("label is not null").groupBy(*by, "place").agg(F.collect_set("label").alias("labels"))  # at most eight blocks share a voxel
-    links = meet.select(*by, F.explode("labels").alias("a"), F.array_min("labels").alias("b")).distinct()
-    outer = links_contracted(links, by).groupBy(*by).agg(F.count_distinct("root").alias("n"))
-    return inner.unionByName(outer).groupBy(*by).agg(F.sum("n").alias("betti"))
+                upto = pa.array(np.concatenate([[0], np.cumsum(np.bincount(block[shared] - begin, minlength=n))]).astype(np.int32))  # voxels are in order of blocks
+                lists = [pa.ListArray.from_arrays(upto, pa.array(x[shared])) for x in (code, name)]
+                key = some.slice(begin, n)
+                yield pa.RecordBatch.from_arrays([*(key.column(c) for c in by), *lists, pa.array(np.bincount(block[inner] - begin, minlength=n).astype(np.int64))], names=[*by, "places", "labels", "inner"])
+
+    found = written(blocks.mapInArrow(run, f"{_kinds(rows, by)}, places array<long>, labels array<long>, inner long"))
+    large = written(found.groupBy(*by).agg(F.sum(F.size("places")).alias("n")).where(F.col("n") > links).drop("n"))
+    if large.isEmpty():
+        return _met(found, by)
+    whole, met = found.join(large, by, "left_semi"), found.join(large, by, "left_anti")
+    inner = whole.groupBy(*by).agg(F.sum("inner").alias("n"))
+    shared = whole.select(*by, F.explode(F.arrays_zip("places", "labels")).alias("v")).select(*by, F.col("v.places").alias("place"), F.col("v.labels").alias("label"))
+    meet = shared.groupBy(*by, "place").agg(F.collect_set("label").alias("labels"))  # at most eight blocks share a voxel
+    edges = meet.select(*by, F.explode("labels").alias("a"), F.array_min("labels").alias("b")).distinct()
+    outer = links_contracted(edges, by).groupBy(*by).agg(F.count_distinct("root").alias("n"))
+    return _met(met, by).unionByName(inner.unionByName(outer).groupBy(*by).agg(F.sum("n").alias("betti")))
+
+
+def _met(found: DataFrame, by: list[str]) -> DataFrame:
+    """(by, betti) of groups whose blocks share few voxels: their labels are contracted in a task, of many groups together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in batches:
+            size = np.concatenate([[0], np.cumsum(some.column("places").value_lengths().to_numpy(zero_copy_only=False))])
+            i = 0
+            while i < some.num_rows:
+                j = max(i + 1, int(np.searchsorted(size, size[i] + TOGETHER, "right")) - 1)
+                rows = some.slice(i, j - i)
+                place, label = (rows.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("places", "labels"))
+                outer = met(np.repeat(np.arange(j - i), np.diff(size[i : j + 1])), place, label, j - i)
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in by), pa.array(outer + rows.column("inner").to_numpy())], names=[*by, "betti"])
+                i = j
+
+    listed = found.groupBy(*by).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("places", "labels")], F.sum("inner").alias("inner"))  # of few voxels
+    return listed.mapInArrow(run, f"{_kinds(found, by)}, betti long")
+
+
+def met(group: np.ndarray, place: np.ndarray, label: np.ndarray, n: int) -> np.ndarray:
+    """The number of components of each of n groups (numbered from 0, in order): labels at one place of a group are one."""
+    order = np.lexsort((label, group))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (np.diff(group[order]) != 0) | (np.diff(label[order]) != 0)
+    node = np.empty(len(order), np.int64)
+    node[order] = np.cumsum(fresh) - 1
+    of = group[order][fresh]
+    order = np.lexsort((place, group))
+    same = np.flatnonzero((np.diff(group[order]) == 0) & (np.diff(place[order]) == 0))
+    a, b = node[order[same]], node[order[same + 1]]
+    root = np.arange(len(of))
+    while True:
+        before = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        root = root[root]
+        if (root == before).all():
+            break
+    return np.bincount(of[np.unique(root)], minlength=n)
 
 
 def links_contracted(links: DataFrame, by: list[str]) -> DataFrame:

@@ -433,3 +433,26 @@ def test_scans_are_unpacked_a_few_at_a_time():
     rows = pa.record_batch([pa.array(range(6)), pa.array(own, pa.list_(line))], names=["s", "lines"])
     got = [x.column("s").to_pylist() for x in distance.few(rows, 140)]
     assert got == [[0, 1], [2], [3], [4], [5]] and [x.num_rows for x in distance.few(rows, 10**6)] == [6]
+
+
+def test_blocks_meet_in_a_task_or_as_a_graph(spark):
+    """Random masks cut into small blocks, negative places and more than one line of 64 places too: as whole, both ways."""
+    from tallyvox.operators import topology
+
+    rng = np.random.default_rng(5)
+    rows = [(s, *(int(c) - 3 for c in p)) for s in range(4) for p in np.argwhere(rng.random((7, 6, 140)) < 0.12 + 0.05 * s)]
+    v = spark.createDataFrame(rows, "s int, x int, y int, z int")
+    for connectivity in (6, 26):
+        want = {r.s: r.betti for r in topology.betti0(v, ["s"], connectivity).collect()}
+        for links in (None, 0):
+            for block in (3, 80):
+                assert {r.s: r.betti for r in topology.betti0(v, ["s"], connectivity, most=0, block=block, links=links).collect()} == want
+
+
+def test_blocks_are_cut_from_lines(spark, monkeypatch):
+    """Lines are cut to blocks as they are: taken apart by voxel they were shuffled twice, and links of few voxels many times."""
+    from tallyvox.operators import topology
+
+    monkeypatch.setattr(topology, "links_contracted", None)  # not asked for where blocks share few voxels
+    v = spark.range(3).selectExpr("id AS s", "explode(sequence(0, 9)) AS x").selectExpr("s", "x", "x AS y", "x AS z")
+    assert {r.betti for r in topology.betti0(v, ["s"], 26, most=0, block=4).collect()} == {1}
