@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 XYZ = ["x", "y", "z"]
+#: Places of a target grid that are gathered in a row; what bounds of places are widened by, so that the exact test alone decides.
+TILE, SLACK = 4096, 1e-6
 
 
 def target_grid(groups: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
@@ -28,12 +31,48 @@ def resize_nearest(voxels: DataFrame, by: list[str], source: tuple[int, int, int
     return rows.select(*by, *[F.col(f"_{c}").alias(c) for c in XYZ], "label").where(" and ".join(f"{c} < {t}" for c, t in zip(XYZ, target, strict=True)))
 
 
-def resample_affine(voxels: DataFrame, groups: DataFrame, by: list[str], matrix: list[list[float]], offset: list[float], target: tuple[int, int, int]) -> DataFrame:
-    """(by, x, y, z, label): label of the source voxel nearest to matrix * position + offset, 0 outside. Halves go away from zero."""
-    grid = target_grid(groups.select(*by), target)
-    at = [F.round(sum((F.col(c) * m for c, m in zip(XYZ, row, strict=True)), F.lit(o))).cast("int").alias(f"s{c}") for c, row, o in zip(XYZ, matrix, offset, strict=True)]
-    source = voxels.select(*by, *[F.col(c).alias(f"s{c}") for c in XYZ], "label").hint("merge")  # sizes of exploded rows are guessed far too low, and they would be broadcast
-    return grid.select(*by, *XYZ, *at).join(source, [*by, "sx", "sy", "sz"], "left").select(*by, *XYZ, F.coalesce("label", F.lit(0)).alias("label"))
+def read_by(voxels: DataFrame, matrix: list[list[float]], offset: list[float], target: tuple[int, int, int]) -> DataFrame:
+    """voxels (at sx, sy, sz) with x, y, z: a row for each place of the target grid whose matrix * position + offset is nearest to the voxel.
+
+    Axis by axis come the places that can read it, by each row of the matrix and, where there is one, by its inverse; the rounded position decides.
+    """
+    inverse = np.linalg.inv(matrix) if np.linalg.cond(matrix) < 1e4 else None
+    rows, half = voxels, 0.5 + SLACK
+    for i, (c, n) in enumerate(zip(XYZ, target, strict=True)):
+        first, last = [F.lit(0)] * 2, [F.lit(n - 1)] * 2
+        for d, row, o in zip(XYZ, matrix, offset, strict=True):
+            if row[i]:  # what the places already there leave of sx, sy or sz, for any places of the axes to come
+                left = F.col(f"s{d}") - sum((F.col(e) * m for e, m in zip(XYZ[:i], row[:i], strict=True)), F.lit(o))
+                rest = [m * (k - 1) for m, k in zip(row[i + 1 :], target[i + 1 :], strict=True)]
+                low, high = [(left - sum(max(m, 0) for m in rest) - half) / row[i], (left - sum(min(m, 0) for m in rest) + half) / row[i]][:: 1 if row[i] > 0 else -1]
+                first, last = [*first, F.ceil(low - SLACK)], [*last, F.floor(high + SLACK)]
+        if inverse is not None:
+            middle, wide = sum(((F.col(f"s{d}") - o) * float(m) for d, o, m in zip(XYZ, offset, inverse[i], strict=True)), F.lit(0.0)), half * float(np.abs(inverse[i]).sum()) + SLACK
+            first, last = [*first, F.ceil(middle - wide)], [*last, F.floor(middle + wide)]
+        rows = rows.withColumns({"_first": F.greatest(*first), "_last": F.least(*last)}).withColumn(c, F.explode(F.when(F.col("_first") <= F.col("_last"), F.sequence("_first", "_last"))))
+    at = [F.round(sum((F.col(c) * m for c, m in zip(XYZ, row, strict=True)), F.lit(o))) for row, o in zip(matrix, offset, strict=True)]
+    return rows.where((F.col("sx") == at[0]) & (F.col("sy") == at[1]) & (F.col("sz") == at[2])).drop("_first", "_last")
+
+
+def resample_affine(voxels: DataFrame, groups: DataFrame, by: list[str], matrix: list[list[float]], offset: list[float], target: tuple[int, int, int], tile: int = TILE) -> DataFrame:
+    """(by, x, y, z, label): label of the source voxel nearest to matrix * position + offset, 0 outside. Halves go away from zero. groups: a row each.
+
+    Voxels go to the places that read them, and those of a tile, so many places in a row of the target grid, are gathered in one row; the tile's
+    other places are made from it. So only places that read a voxel are moved, at most once, and nothing is joined.
+    """
+    source = voxels.select(*by, *[F.col(c).alias(f"s{c}") for c in XYZ], "label")
+    for c in by:  # equal to nothing
+        source = source.where(F.col(c).isNotNull())
+    nx, ny, nz = target
+    place = (F.col("x").cast("long") * ny + F.col("y")) * nz + F.col("z")
+    read = read_by(source, matrix, offset, target).withColumn("_p", place).select(*by, F.floor(F.col("_p") / tile).alias("_tile"), F.struct((F.col("_p") % tile).cast("int").alias("place"), "label").alias("_read"))
+    asked = groups.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.lit((nx * ny * nz - 1) // tile).cast("long"))).alias("_tile"), F.lit(None).cast(read.schema["_read"].dataType).alias("_read"))
+    tiles = read.unionByName(asked).groupBy(*by, "_tile").agg(F.collect_list("_read").alias("_read"), F.bool_or(F.col("_read").isNull()).alias("_asked")).where("_asked")
+    every = F.sequence(F.lit(0), (F.least(F.lit(tile), nx * ny * nz - F.col("_tile") * tile) - 1).cast("int"))
+    out = tiles.select(*by, "_tile", "_read", F.posexplode(F.concat("_read.place", F.array_except(every, F.col("_read.place")))).alias("_n", "_p"))
+    p = F.col("_tile") * tile + F.col("_p")
+    at = [F.floor(p / (ny * nz)), F.floor(p / nz) % ny, p % nz]
+    return out.select(*by, *[a.cast("int").alias(c) for c, a in zip(XYZ, at, strict=True)], F.coalesce(F.get("_read", F.col("_n"))["label"], F.lit(0)).alias("label"))
 
 
 def resize_linear(values: DataFrame, by: list[str], source: tuple[int, int, int], target: tuple[int, int, int], value: str = "p") -> DataFrame:

@@ -456,3 +456,40 @@ def test_blocks_are_cut_from_lines(spark, monkeypatch):
     monkeypatch.setattr(topology, "links_contracted", None)  # not asked for where blocks share few voxels
     v = spark.range(3).selectExpr("id AS s", "explode(sequence(0, 9)) AS x").selectExpr("s", "x", "x AS y", "x AS z")
     assert {r.betti for r in topology.betti0(v, ["s"], 26, most=0, block=4).collect()} == {1}
+
+
+def test_resampled_places_are_not_moved(spark):
+    """Each place of each target grid was shuffled and sorted to meet the sources; now parts alone are, as they are dealt out."""
+    from tallyvox.plans import catalog
+
+    plan = _plan(catalog.QUERIES["g02_g07_resample_affine"](spark, "/root/testdata/sf0.001"))
+    assert "Join" not in plan and plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") > 0
+
+
+TURN = [[0.9 * np.cos(0.5), -0.9 * np.sin(0.5), 0.1], [1.1 * np.sin(0.5), 1.1 * np.cos(0.5), -0.2], [0.05, 0.15, 1.3]]
+
+
+@pytest.mark.parametrize(
+    ("matrix", "offset"),
+    [
+        ([[2.0, 0, 0], [0, -1.0, 0], [0, 0, 1.4]], [0.25, 4.0, 0.1]), ([[0, 0, -0.5], [0.25, 0, 0], [0, 1.5, 0]], [3.0, 0.0, -1.5]), (TURN, [0.3, -1.7, 0.2]),
+        ([[1, 0, 0], [0, 1, 0], [0, 0, 0]], [0.0, 0.0, 2.0]), ([[0.5, 0.5, 0], [0.5, 0.5, 0], [0, 0, 1]], [0.0, 0.0, 0.0]), ([[0, 0, 0], [0, 0, 0], [0, 0, 0]], [1.0, 1.0, 1.0]),
+    ],
+)
+@pytest.mark.parametrize("tile", [7, 4096])
+def test_affine_resampling(spark, matrix, offset, tile):
+    """Flipped, enlarged, turned and flat maps, halves and places below zero; two voxels at a place, one without a label, groups without voxels, not asked for or null."""
+    rng, target = np.random.default_rng(7), (5, 6, 4)
+    rows = [(s, *(int(c) - 1 for c in p), int(rng.integers(1, 5))) for s in (0, 1, 9, None) for p in np.argwhere(rng.random((6, 7, 6)) < 0.6)] + [(0, 1, 1, 2, 8), (0, 1, 1, 2, 9), (1, 1, 1, 1, None)]
+    v = spark.createDataFrame(rows, "s int, x int, y int, z int, label int")
+    groups = spark.createDataFrame([(0,), (1,), (2,), (None,)], "s int")
+    want = []
+    for s in (0, 1, 2, None):
+        for t in np.ndindex(*target):
+            at = [offset[r] + t[0] * matrix[r][0] + t[1] * matrix[r][1] + t[2] * matrix[r][2] for r in range(3)]
+            here = tuple(int(np.sign(a) * np.floor(abs(a) + 0.5)) for a in at)
+            want += [(s, *t, x) for x in [r[4] or 0 for r in rows if s is not None and r[:4] == (s, *here)] or [0]]
+    order = lambda r: tuple(-1 if c is None else c for c in r)
+    got = grid.resample_affine(v, groups, ["s"], matrix, offset, target, tile=tile)
+    assert got.dtypes == [(c, "int") for c in ("s", "x", "y", "z", "label")]
+    assert sorted(map(tuple, got.collect()), key=order) == sorted(want, key=order)
